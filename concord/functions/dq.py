@@ -84,6 +84,8 @@ _RULES: list[tuple[str, Callable]] = [
     (r"^max\s+length\s+(\d+)$", lambda m: (lambda c: max_length(c, int(m.group(1))))),
     (r"^(?:>=|≥)\s*(-?\d+(?:\.\d+)?)$", lambda m: (lambda c: ~(_c(c) >= _number(m.group(1))))),
     (r"^>\s*(-?\d+(?:\.\d+)?)$", lambda m: (lambda c: ~(_c(c) > _number(m.group(1))))),
+    (r"^(?:<=|≤)\s*(-?\d+(?:\.\d+)?)$", lambda m: (lambda c: ~(_c(c) <= _number(m.group(1))))),
+    (r"^<\s*(-?\d+(?:\.\d+)?)$", lambda m: (lambda c: ~(_c(c) < _number(m.group(1))))),
 ]
 
 FK_RULE = re.compile(r"^(fk\s+exists|must\s+exist\s+in\s+(?P<table>[\w.]+))$", re.IGNORECASE)

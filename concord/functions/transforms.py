@@ -64,4 +64,4 @@ def cast_to(c, type_name: str, *, safe: bool = True) -> Column:
 def parse_date(c, fmt: str = "yyyy-MM-dd", *, safe: bool = True) -> Column:
     """XF-11: text to DATE with a pattern; ``safe`` gives NULL on bad input."""
     c = _c(c).cast("string")
-    return F.try_to_date(c, F.lit(fmt)) if safe else F.to_date(c, fmt)
+    return F.try_to_date(c, fmt) if safe else F.to_date(c, fmt)
