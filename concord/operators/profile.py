@@ -38,32 +38,52 @@ def schema_listing(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFra
                                        "data_type string, nullable boolean")
 
 
+def _slots(c, dt: T.DataType) -> list:
+    """A value in one of three typed slots (long, double, text), so every
+    column fits one unpivoted layout without casting numbers to text."""
+    none_l, none_d, none_s = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(dt, (*_INTEGRAL, T.BooleanType)):
+        return [c.cast("bigint"), none_d, none_s]
+    if isinstance(dt, T.DateType):
+        return [F.unix_date(c).cast("bigint"), none_d, none_s]
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        return [none_l, c.cast("double"), none_s]
+    if isinstance(dt, T.StringType):
+        return [none_l, none_d, c]
+    return [none_l, none_d, c.cast("string")]
+
+
 def _long_values(name: str, df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     cols = columns or df.columns
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                               F.col(f"`{c}`").cast("string").alias("value")) for c in cols])
-    return df.select(F.lit(name).alias("table_name"), F.inline(pairs))
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    rows = []
+    for c in cols:
+        vl, vd, vs = _slots(F.col(f"`{c}`"), fields[c])
+        rows.append(F.struct(F.lit(c).alias("column_name"), vl.alias("vl"), vd.alias("vd"), vs.alias("vs")))
+    return df.select(F.lit(name).alias("table_name"), F.inline(F.array(*rows)))
 
 
 def column_profile(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None) -> DataFrame:
     """PRF-2: one row per column: ``table_name, column_name, n_rows, n_nulls,
     n_distinct, max_repeat, is_unique, is_key_candidate``.
 
-    All tables in one job: every table is unpivoted to (column, value) and
-    counted per value with map-side combining (a hot value collapses before
-    the shuffle), then summed per column.  Values are compared as text.
+    Exact counts, all tables in one job with two shuffles: every table is
+    unpivoted to (column, typed value), counted per value with map-side
+    combining (a hot value collapses before the shuffle), then summed per
+    column.
     """
     parts = [_long_values(t, df, (columns or {}).get(t)) for t, df in tables.items()]
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
-    per_value = long.groupBy("table_name", "column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    v = F.col("value")
+    per_value = long.groupBy("table_name", "column_name", "vl", "vd", "vs").agg(
+        F.count(F.lit(1)).alias("cnt"))
+    is_null = F.col("vl").isNull() & F.col("vd").isNull() & F.col("vs").isNull()
     prof = per_value.groupBy("table_name", "column_name").agg(
         F.sum("cnt").alias("n_rows"),
-        F.coalesce(F.sum(F.when(v.isNull(), F.col("cnt"))), F.lit(0)).cast("bigint").alias("n_nulls"),
-        F.count(v).alias("n_distinct"),
-        F.coalesce(F.max(F.when(v.isNotNull(), F.col("cnt"))), F.lit(0)).cast("bigint").alias("max_repeat"))
+        F.coalesce(F.sum(F.when(is_null, F.col("cnt"))), F.lit(0)).cast("bigint").alias("n_nulls"),
+        F.count_if(~is_null).alias("n_distinct"),
+        F.coalesce(F.max(F.when(~is_null, F.col("cnt"))), F.lit(0)).cast("bigint").alias("max_repeat"))
     unique = (F.col("max_repeat") <= 1) & (F.col("n_distinct") > 0)
     return prof.select("table_name", "column_name", "n_rows", "n_nulls", "n_distinct", "max_repeat",
                        unique.alias("is_unique"), (unique & (F.col("n_nulls") == 0)).alias("is_key_candidate"))
@@ -120,44 +140,51 @@ def fk_candidates(tables: dict[str, DataFrame], profile_rows: list) -> list[tupl
     return sorted(out)
 
 
+def _common_type(a: T.DataType, b: T.DataType) -> str:
+    if _type_family(a) == "integral" and _type_family(b) == "integral":
+        return "decimal(38,0)" if isinstance(a, T.DecimalType) or isinstance(b, T.DecimalType) else "bigint"
+    return a.simpleString() if a == b else "string"
+
+
 def inclusion_test(tables: dict[str, DataFrame], pairs: list[tuple[str, str, str, str]]) -> DataFrame:
-    """PRF-3: for every candidate pair, distinct child values and how many of
-    them have no parent.  All pairs in one job: both sides are reduced to
-    distinct (pair, value) rows, then one anti join on (pair, value)."""
+    """PRF-3: for every candidate pair, distinct non-null child values and how
+    many of them have no parent.
+
+    Per pair both sides are reduced to distinct typed values (partial
+    aggregation), so the anti join moves one row per distinct value and both
+    inputs arrive hash-partitioned on it; the per-pair rows are unioned into
+    one job.
+    """
     spark = next(iter(tables.values())).sparkSession
     schema = ("child_table string, child_column string, parent_table string, parent_column string, "
               "child_distinct bigint, orphan_values bigint, is_fk boolean")
     if not pairs:
         return spark.createDataFrame([], schema)
-    child = parent = None
-    for i, (ct, cc, pt, pc) in enumerate(pairs):
-        c = tables[ct].select(F.lit(i).alias("pair"), F.col(f"`{cc}`").cast("string").alias("value")) \
-            .where(F.col("value").isNotNull())
-        p = tables[pt].select(F.lit(i).alias("pair"), F.col(f"`{pc}`").cast("string").alias("value"))
-        child = c if child is None else child.unionByName(c)
-        parent = p if parent is None else parent.unionByName(p)
-    cd = child.distinct()
-    orphans = cd.join(parent.distinct(), ["pair", "value"], "left_anti") \
-        .groupBy("pair").agg(F.count(F.lit(1)).alias("orphan_values"))
-    counts = cd.groupBy("pair").agg(F.count(F.lit(1)).alias("child_distinct"))
-    meta = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)],
-                                 "pair int, child_table string, child_column string, "
-                                 "parent_table string, parent_column string")
-    res = meta.join(counts, "pair", "left").join(orphans, "pair", "left")
-    n_child = F.coalesce(F.col("child_distinct"), F.lit(0)).cast("bigint")
-    n_orph = F.coalesce(F.col("orphan_values"), F.lit(0)).cast("bigint")
-    return res.select("child_table", "child_column", "parent_table", "parent_column",
-                      n_child.alias("child_distinct"), n_orph.alias("orphan_values"),
-                      ((n_orph == 0) & (n_child > 0)).alias("is_fk"))
-
-
-def discover_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    parts = []
+    for ct, cc, pt, pc in pairs:
+        typ = _common_type(tables[ct].schema[cc].dataType, tables[pt].schema[pc].dataType)
+        child = tables[ct].select(F.col(f"`{cc}`").cast(typ).alias("v")).where(F.col("v").isNotNull()).distinct()
+        parent = tables[pt].select(F.col(f"`{pc}`").cast(typ).alias("v")).distinct()
+        flagged = child.join(parent.withColumn("__p", F.lit(True)), "v", "left")
+        parts.append(flagged.agg(
+            F.count(F.lit(1)).alias("child_distinct"),
+            F.count_if(F.col("__p").isNull()).alias("orphan_values"),
+        ).select(F.lit(ct).alias("child_table"), F.lit(cc).alias("child_column"),
+                 F.lit(pt).alias("parent_table"), F.lit(pc).alias("parent_column"),
+                 "child_distinct", "orphan_values"))
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res.withColumn("is_fk", (F.col("orphan_values") == 0) & (F.col("child_distinct") > 0))
+
+
+def discover_foreign_keys(tables: dict[str, DataFrame], profile_rows: list | None = None) -> DataFrame:
     """PRF-2 then PRF-3: profile, pick candidate pairs, test inclusion.
 
     Two Spark jobs; the per-column profile (one row per column) is the only
-    thing collected."""
-    prof = column_profile(tables).where("is_key_candidate").collect()
-    return inclusion_test(tables, fk_candidates(tables, prof))
+    thing collected.  Pass ``profile_rows`` to reuse a profile already taken."""
+    prof = profile_rows if profile_rows is not None else column_profile(tables).collect()
+    return inclusion_test(tables, fk_candidates(tables, [r for r in prof if r["is_key_candidate"]]))
 
 
 # ---------------------------------------------------------------- DIS-1 .. DIS-4

@@ -338,8 +338,10 @@ def fk_discovery(spark, sf_dir):
 
 def bridge_discovery(spark, sf_dir):
     t = tables(spark, sf_dir, TPCH_TABLES)
-    rel = profile.discover_foreign_keys(t)
-    cols = profile.column_profile(t).select("table_name", "column_name", "is_key_candidate")
+    prof = profile.column_profile(t).collect()  # one row per column
+    rel = profile.discover_foreign_keys(t, prof)
+    cols = spark.createDataFrame([(r["table_name"], r["column_name"], r["is_key_candidate"]) for r in prof],
+                                 "table_name string, column_name string, is_key_candidate boolean")
     return profile.related_tables(spark, ["orders", "part"], rel, cols)
 
 
