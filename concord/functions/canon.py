@@ -36,13 +36,24 @@ NULL_TOKENS = ["nan", "NaN", "None", "null", "NULL"]
 # (NaN, infinities, more than 26 integer digits or 12 decimals) keep the
 # engine's own text.
 _FLOAT_DECIMAL = "decimal(38,12)"
-_EDGE_WS = r"^\s+|\s+$"
+# Fixed value: the characters Java's regex class \s matches (space, tab,
+# newline, vertical tab, form feed, carriage return).
+WHITESPACE = " \t\n\u000b\f\r"
+
+# Everything below avoids regular expressions: trimming and suffix tests
+# work on Spark's UTF-8 strings directly instead of converting every value
+# to a Java string and back.
 
 
 def _strip_fraction_zeros(text: Column) -> Column:
     """'12.3400' -> '12.34', '7.000' -> '7', '100' -> '100'."""
-    no_zeros = F.regexp_replace(text, r"(\.\d*?)0+$", "$1")
-    return F.regexp_replace(no_zeros, r"\.$", "")
+    stripped = F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+    return F.when(text.contains("."), stripped).otherwise(text)
+
+
+def _drop_dot_zero(text: Column) -> Column:
+    """Remove one trailing '.0' ('7.0' -> '7', '7.00' -> '7.00')."""
+    return F.when(text.endswith(".0"), text.substr(F.lit(1), F.length(text) - 2)).otherwise(text)
 
 
 def _float_text(c: Column) -> Column:
@@ -68,13 +79,30 @@ def value_text(c: Column | str, dtype: T.DataType, *, strict: bool = False) -> C
     return c.cast("string")
 
 
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+# Types whose text never has edge whitespace, a trailing '.0' or a null token.
+_PLAIN = (*_INTEGRAL, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def canon(c: Column | str, dtype: T.DataType, *, strict: bool = False,
           strip_dot_zero_strings: bool = False) -> Column:
-    """Normalised comparison text (never NULL); see module docstring."""
+    """Normalised comparison text (never NULL); see module docstring.
+
+    The steps are specialised by type where they cannot change the text
+    (integers, booleans, dates and timestamps print without whitespace, a
+    trailing '.0' or a null token), which keeps the per-row cost low.
+    """
     text = F.coalesce(value_text(c, dtype, strict=strict), F.lit(""))
-    text = F.regexp_replace(text, _EDGE_WS, "")
-    if not isinstance(dtype, T.StringType) or strip_dot_zero_strings:
-        text = F.regexp_replace(text, r"\.0$", "")
+    if isinstance(dtype, _PLAIN):
+        return text
+    if isinstance(dtype, T.StringType):
+        text = F.btrim(text, F.lit(WHITESPACE))
+        if strip_dot_zero_strings:
+            text = _drop_dot_zero(text)
+    elif isinstance(dtype, T.DecimalType) and not strict:
+        pass  # trailing zeros, and so any '.0', are already gone
+    else:
+        text = _drop_dot_zero(F.btrim(text, F.lit(WHITESPACE)))
     return F.when(text.isin(*NULL_TOKENS), F.lit("")).otherwise(text)
 
 
