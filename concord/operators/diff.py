@@ -69,15 +69,23 @@ def _canon_side(df: DataFrame, key: str, cols: list[str], opts: dict) -> DataFra
                      *canon_columns(df, cols, **opts))
 
 
-def _tuple_counts(source: DataFrame, target: DataFrame, key: str, cols: list[str],
-                  opts: dict) -> tuple[DataFrame, dict]:
-    """Steps 1-2: ``key_col, __v*, __cs, __ct`` per distinct (key, value tuple)."""
+def _side_counts(source: DataFrame, target: DataFrame, key: str, cols: list[str],
+                 opts: dict) -> tuple[DataFrame, DataFrame, dict]:
+    """Step 1: per side, ``key_col, __v*, __cs|__ct`` per distinct (key, value tuple)."""
     inner = {c: f"__v{i}" for i, c in enumerate(cols)}
     s = _canon_side(source, key, cols, opts).toDF(KEY, *inner.values())
     t = _canon_side(target, key, cols, opts).toDF(KEY, *inner.values())
     group = [KEY, *inner.values()]
     sa = s.groupBy(*group).agg(F.count(F.lit(1)).alias("__cs"))
     ta = t.groupBy(*group).agg(F.count(F.lit(1)).alias("__ct"))
+    return sa, ta, inner
+
+
+def _tuple_counts(source: DataFrame, target: DataFrame, key: str, cols: list[str],
+                  opts: dict) -> tuple[DataFrame, dict]:
+    """Steps 1-2: ``key_col, __v*, __cs, __ct`` per distinct (key, value tuple)."""
+    sa, ta, inner = _side_counts(source, target, key, cols, opts)
+    group = [KEY, *inner.values()]
     j = sa.join(ta, group, "full_outer").select(
         *group, F.coalesce(F.col("__cs"), F.lit(0)).alias("__cs"),
         F.coalesce(F.col("__ct"), F.lit(0)).alias("__ct"))
@@ -177,17 +185,28 @@ def keyed_diff_result(name: str, source: DataFrame, target: DataFrame, key: str
     """One-row check result of a keyed comparison; one Spark job.
 
     ``source_value`` / ``target_value`` are ``"<n> rows"``; ``mismatch_count``
-    is the reference's count (see module docstring); the sample holds the
-    first ``sample_size`` mismatching keys in key order;
-    ``mismatch_breakdown`` counts mismatches per type and per changed column.
-    The three branches share the comparison's exchanges (Spark reuses
-    identical shuffle stages within a job).
+    is the reference's count (see module docstring); ``mismatch_breakdown``
+    counts mismatches per type; the sample holds the first ``sample_size``
+    mismatching keys in key order.
+
+    Plan: the per-key counts (steps 1-3) are computed once.  Values are only
+    needed for the sampled keys, at most ``sample_size`` of them, each with at
+    most one row per side shown - a set whose size is bounded by
+    construction.  It is broadcast and probed against the per-tuple
+    aggregates of step 1 (whose shuffle output Spark reuses), so no second
+    join over the data is run for the sample.
     """
     try:
-        stats = key_stats(source, target, key, columns, **opts)
-        diff = keyed_diff(source, target, key, columns, **opts)
+        cols = _resolve(source, target, key, columns)
     except DiffError as e:
         return error_result(source.sparkSession, name, check_type, str(e))
+    o = dict(strict=opts.get("strict", False), strip_dot_zero_strings=opts.get("strip_dot_zero_strings", False))
+    sa, ta, inner = _side_counts(source, target, key, cols, o)
+    group = [KEY, *inner.values()]
+    j = sa.join(ta, group, "full_outer").select(
+        *group, F.coalesce(F.col("__cs"), F.lit(0)).alias("__cs"),
+        F.coalesce(F.col("__ct"), F.lit(0)).alias("__ct"))
+    stats = _classify(_key_counts(j))
     kinds = [MISSING, EXTRA, CHANGED, DUPLICATE]
     totals = stats.agg(
         count_text(F.coalesce(F.sum("n_source"), F.lit(0)), "rows").alias("source_value"),
@@ -195,20 +214,37 @@ def keyed_diff_result(name: str, source: DataFrame, target: DataFrame, key: str
         F.coalesce(F.sum("mismatch_pairs"), F.lit(0)).alias("mismatch_count"),
         F.struct(*[F.coalesce(F.sum(F.when(F.col("mismatch_type") == k, F.col("mismatch_pairs"))),
                               F.lit(0)).alias(k) for k in kinds]).alias("__by_type"))
-    cols = [c[:-len("_source")] for c in diff.columns if c.endswith("_source")]
-    by_col = diff.agg(F.struct(*[
-        F.count_if((F.col("mismatch_type") == CHANGED)
-                   & (F.col(f"{c}_source") != F.col(f"{c}_target"))).alias(c) for c in cols])
-        .alias("__by_column"))
-    sample = sample_json(diff, [KEY], sample_size)
-    out = one_row_join(one_row_join(totals, by_col), sample).select(
+    top = stats.where(F.col("mismatch_pairs") > 0).orderBy(KEY).limit(sample_size)
+    kind = F.col("mismatch_type")
+    shown_s = top.where(kind.isin(MISSING, CHANGED) & (F.col("n_source") == 1)).select(KEY)
+    shown_t = top.where(kind.isin(EXTRA, CHANGED) & (F.col("n_target") == 1)).select(KEY)
+    tup = F.struct(*[F.col(v) for v in inner.values()])
+    vs = sa.join(F.broadcast(shown_s), KEY).select(KEY, tup.alias("__ts"))
+    vt = ta.join(F.broadcast(shown_t), KEY).select(KEY, tup.alias("__tt"))
+    rows = top.join(vs, KEY, "left").join(vt, KEY, "left")
+    value_cols = []
+    for c, v in inner.items():
+        value_cols += [F.col("__ts")[v].alias(f"{c}_source"), F.col("__tt")[v].alias(f"{c}_target")]
+    changed = F.array_join(F.array_compact(F.array(*[
+        F.when(F.col("__ts")[v] != F.col("__tt")[v], F.lit(c)) for c, v in inner.items()])), ",")
+    rows = rows.select(KEY, "n_source", "n_target", "matched_pairs", "mismatch_pairs", "mismatch_type",
+                       *value_cols, F.when(kind == CHANGED, changed).alias("changed_columns"))
+    sample = sample_json(rows, [KEY], sample_size)
+    out = one_row_join(totals, sample).select(
         "source_value", "target_value", "mismatch_count", "mismatch_sample",
         (F.col("mismatch_count") == 0).alias("passed"),
-        F.to_json(F.struct(F.col("__by_type").alias("by_type"),
-                           F.col("__by_column").alias("by_column"))).alias("mismatch_breakdown"))
+        F.to_json(F.struct(F.col("__by_type").alias("by_type"))).alias("mismatch_breakdown"))
     return result_frame(out, name, check_type)
 
 
+def column_breakdown(diff_rows: DataFrame) -> DataFrame:
+    """Number of ``value_mismatch`` keys per compared column, from ``keyed_diff`` rows."""
+    cols = [c[:-len("_source")] for c in diff_rows.columns if c.endswith("_source")]
+    return diff_rows.agg(*[
+        F.count_if((F.col("mismatch_type") == CHANGED)
+                   & (F.col(f"{c}_source") != F.col(f"{c}_target"))).alias(c) for c in cols])
+
+
 # ---------------------------------------------------------------- CMP-3 set diff
 
 def _distinct_side(df: DataFrame, col: str, marker: str, opts: dict) -> DataFrame:
