@@ -59,6 +59,12 @@ def _number(text: str):
     return float(text) if "." in text else int(text)
 
 
+def _sql_literal(v) -> str:
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return "'" + str(v).replace("'", "''") + "'"
+
+
 def _enum_values(body: str):
     body = body.strip()
     m = re.fullmatch(r"(-?\d+)\s*-\s*(-?\d+)", body)
@@ -69,23 +75,31 @@ def _enum_values(body: str):
     return [_number(x) if re.fullmatch(r"-?\d+(\.\d+)?", x) else x for x in items]
 
 
-# Rule text -> predicate builder.  Each entry: (regex, factory(match) -> f(col)).
+def _in_list(body: str) -> str:
+    return ", ".join(_sql_literal(v) for v in _enum_values(body))
+
+
+_NUM = r"(-?\d+(?:\.\d+)?)"
+
+# Rule text -> violation predicate as SQL text over the column ``{c}``.
+# Each entry: (regex, factory(match) -> template).  One table serves both
+# the Column predicates and the SQL of generated test cases.
 _RULES: list[tuple[str, Callable]] = [
-    (r"^(not\s+null|required|mandatory)$", lambda m: not_null),
-    (r"^(>\s*0|must\s+be\s+positive|positive)$", lambda m: positive),
-    (r"^yyyymm$", lambda m: yyyymm),
-    (r"^(-?\d+(?:\.\d+)?)\s*-\s*(-?\d+(?:\.\d+)?)\s*range$",
-     lambda m: (lambda c: in_range(c, _number(m.group(1)), _number(m.group(2))))),
-    (r"^(?:between\s+)?(-?\d+(?:\.\d+)?)\s+(?:and|to)\s+(-?\d+(?:\.\d+)?)$",
-     lambda m: (lambda c: in_range(c, _number(m.group(1)), _number(m.group(2))))),
-    (r"^enum\s+(.+)$", lambda m: (lambda c: in_set(c, _enum_values(m.group(1))))),
-    (r"^values?\s+(.+)$", lambda m: (lambda c: in_set(c, _enum_values(m.group(1))))),
-    (r"^(?:len|length)\s*(?:≤|<=)\s*(\d+)$", lambda m: (lambda c: max_length(c, int(m.group(1))))),
-    (r"^max\s+length\s+(\d+)$", lambda m: (lambda c: max_length(c, int(m.group(1))))),
-    (r"^(?:>=|≥)\s*(-?\d+(?:\.\d+)?)$", lambda m: (lambda c: ~(_c(c) >= _number(m.group(1))))),
-    (r"^>\s*(-?\d+(?:\.\d+)?)$", lambda m: (lambda c: ~(_c(c) > _number(m.group(1))))),
-    (r"^(?:<=|≤)\s*(-?\d+(?:\.\d+)?)$", lambda m: (lambda c: ~(_c(c) <= _number(m.group(1))))),
-    (r"^<\s*(-?\d+(?:\.\d+)?)$", lambda m: (lambda c: ~(_c(c) < _number(m.group(1))))),
+    (r"^(not\s+null|required|mandatory)$", lambda m: "{c} IS NULL"),
+    (r"^(>\s*0|must\s+be\s+positive|positive)$", lambda m: "NOT ({c} > 0)"),
+    (r"^yyyymm$", lambda m: "NOT (CAST({c} AS STRING) RLIKE '" + YYYYMM_PATTERN + "')"),
+    (rf"^{_NUM}\s*-\s*{_NUM}\s*range$",
+     lambda m: f"NOT ({{c}} BETWEEN {m.group(1)} AND {m.group(2)})"),
+    (rf"^(?:between\s+)?{_NUM}\s+(?:and|to)\s+{_NUM}$",
+     lambda m: f"NOT ({{c}} BETWEEN {m.group(1)} AND {m.group(2)})"),
+    (r"^enum\s+(.+)$", lambda m: f"NOT ({{c}} IN ({_in_list(m.group(1))}))"),
+    (r"^values?\s+(.+)$", lambda m: f"NOT ({{c}} IN ({_in_list(m.group(1))}))"),
+    (r"^(?:len|length)\s*(?:≤|<=)\s*(\d+)$", lambda m: f"char_length(CAST({{c}} AS STRING)) > {m.group(1)}"),
+    (r"^max\s+length\s+(\d+)$", lambda m: f"char_length(CAST({{c}} AS STRING)) > {m.group(1)}"),
+    (rf"^(?:>=|≥)\s*{_NUM}$", lambda m: f"NOT ({{c}} >= {m.group(1)})"),
+    (rf"^>\s*{_NUM}$", lambda m: f"NOT ({{c}} > {m.group(1)})"),
+    (rf"^(?:<=|≤)\s*{_NUM}$", lambda m: f"NOT ({{c}} <= {m.group(1)})"),
+    (rf"^<\s*{_NUM}$", lambda m: f"NOT ({{c}} < {m.group(1)})"),
 ]
 
 FK_RULE = re.compile(r"^(fk\s+exists|must\s+exist\s+in\s+(?P<table>[\w.]+))$", re.IGNORECASE)
@@ -98,14 +112,27 @@ def rule_kind(text: str | None) -> str | None:
     t = text.strip()
     if FK_RULE.match(t):
         return "fk"
-    return "predicate" if rule_predicate(t) is not None else None
+    return "predicate" if rule_sql(t, "x") is not None else None
 
 
-def rule_predicate(text: str) -> Callable[[Column | str], Column] | None:
-    """Violation predicate builder for a rule text, or None if not understood."""
+def rule_sql(text: str, column: str) -> str | None:
+    """Violation predicate of a rule text as Spark SQL over ``column``, or None."""
     t = re.sub(r"\s+", " ", text.strip())
     for pattern, factory in _RULES:
         m = re.match(pattern, t, re.IGNORECASE)
         if m:
-            return factory(m)
+            return factory(m).replace("{c}", column)
     return None
+
+
+def rule_predicate(text: str) -> Callable[[str], Column] | None:
+    """Violation predicate builder for a rule text (takes a column name), or
+    None if the text is not understood."""
+    if rule_sql(text, "x") is None:
+        return None
+
+    def build(column: str) -> Column:
+        if not isinstance(column, str):
+            raise TypeError("rule predicates bind a column name; add the expression as a column first")
+        return F.expr(rule_sql(text, f"`{column}`"))
+    return build

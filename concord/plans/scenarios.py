@@ -222,7 +222,7 @@ def fk_orphans(spark, sf_dir):
 
 
 def _rule_check(spark, sf_dir, tbl, column, rule, name):
-    pred = dq.rule_predicate(rule)(F.col(column))
+    pred = dq.rule_predicate(rule)(column)
     return _count_result(name, checks.dq_check(table(spark, sf_dir, tbl), pred), "dq_check")
 
 
@@ -244,7 +244,7 @@ def dq_len(spark, sf_dir):
 
 def dq_yyyymm(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(xf.period_key("o_orderdate").alias("period_key"))
-    pred = dq.rule_predicate("YYYYMM")(F.col("period_key"))
+    pred = dq.rule_predicate("YYYYMM")("period_key")
     return _count_result("dq_period_key_yyyymm", checks.dq_check(o, pred), "dq_check")
 
 
@@ -359,7 +359,7 @@ def lineitem_rules():
 
 
 def _rule_predicates():
-    return {f"{c}: {r}": dq.rule_predicate(r)(F.col(c)) for c, r in lineitem_rules()}
+    return {f"{c}: {r}": dq.rule_predicate(r)(c) for c, r in lineitem_rules()}
 
 
 def fused_suite(spark, sf_dir):
