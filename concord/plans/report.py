@@ -107,14 +107,16 @@ def append_results(results: DataFrame, path: str, run_col: str = "run_id") -> No
 def report_rows(run: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SNK-3 content: the run header (7 label/value lines) and the result table
     with PASS/FAIL (quoting is done by the CSV writer)."""
+    def line(label, value):
+        return F.struct(F.lit(label).alias("label"), value.cast("string").alias("value"))
     header = run.select(F.inline(F.array(
-        F.struct(F.lit("Run ID:").alias("label"), F.col("id").cast("string").alias("value")),
-        F.struct(F.lit("Mapping Document:"), F.coalesce(F.col("mapping_name"), F.lit("Unknown"))),
-        F.struct(F.lit("Status:"), F.col("status")),
-        F.struct(F.lit("Date:"), F.col("started_at").cast("string")),
-        F.struct(F.lit("Total:"), F.col("total_cases").cast("string")),
-        F.struct(F.lit("Passed:"), F.col("passed_cases").cast("string")),
-        F.struct(F.lit("Failed:"), F.col("failed_cases").cast("string")))))
+        line("Run ID:", F.col("id")),
+        line("Mapping Document:", F.coalesce(F.col("mapping_name"), F.lit("Unknown"))),
+        line("Status:", F.col("status")),
+        line("Date:", F.col("started_at")),
+        line("Total:", F.col("total_cases")),
+        line("Passed:", F.col("passed_cases")),
+        line("Failed:", F.col("failed_cases")))))
     table = results.select(
         F.col("test_case_id").alias("Test Case ID"),
         F.coalesce("test_case_name", F.lit("")).alias("Test Name"),

@@ -370,30 +370,39 @@ SELECT *, max_repeat <= 1 AND n_distinct > 0 AS is_unique,
        max_repeat <= 1 AND n_distinct > 0 AND n_nulls = 0 AS is_key_candidate
 FROM p"""
 
-# Pairs the name rule yields for these tables: parent = key candidate with a
-# key-like stem, child = same stem in another table.
-FK_PAIRS = [
-    ("customer", "c_nationkey", "nation", "n_nationkey"),
-    ("lineitem", "l_orderkey", "orders", "o_orderkey"),
-    ("lineitem", "l_partkey", "part", "p_partkey"),
-    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
-    ("nation", "n_regionkey", "region", "r_regionkey"),
-    ("orders", "o_custkey", "customer", "c_custkey"),
-    ("supplier", "s_nationkey", "nation", "n_nationkey"),
-]
-
-
-def _inclusion_one(ct, cc, pt, pc) -> str:
-    return f"""
-SELECT '{ct}' AS child_table, '{cc}' AS child_column, '{pt}' AS parent_table, '{pc}' AS parent_column,
-       CAST((SELECT count(DISTINCT {cc}) FROM {ct}) AS BIGINT) AS child_distinct,
-       CAST((SELECT count(*) FROM (SELECT DISTINCT {cc} AS v FROM {ct} WHERE {cc} IS NOT NULL) x
-             WHERE NOT EXISTS (SELECT 1 FROM {pt} WHERE {pt}.{pc} = x.v)) AS BIGINT) AS orphan_values"""
+def _long_text(t: str) -> str:
+    return (f"SELECT '{t}' AS t, column_name AS c, v FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM {t}) "
+            f"ON COLUMNS(*) INTO NAME column_name VALUE v)")
 
 
+# Key candidates, candidate pairs and inclusion tests all derived from the
+# data: values unpivoted to text (NULLs dropped), a key candidate is a column
+# whose non-null distinct count equals the table's row count, a pair shares
+# the name stem (short table prefix removed) with a key-like parent stem and
+# a type family.
 FK_DISCOVERY = f"""
-WITH r AS ({" UNION ALL ".join(_inclusion_one(*p) for p in FK_PAIRS)})
-SELECT *, orphan_values = 0 AND child_distinct > 0 AS is_fk FROM r"""
+WITH long AS ({" UNION ALL ".join(_long_text(t) for t in TPCH_COLUMNS)}),
+n AS ({" UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in TPCH_COLUMNS)}),
+cols AS (SELECT table_name AS t, column_name AS c,
+                lower(regexp_replace(column_name, '^[A-Za-z]{{1,3}}_(.+)$', '\\1')) AS stem,
+                CASE WHEN data_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT') THEN 'integral'
+                     ELSE data_type END AS fam
+         FROM information_schema.columns
+         WHERE table_name IN ({", ".join(f"'{t}'" for t in TPCH_COLUMNS)})),
+prof AS (SELECT t, c, count(*) AS nn, count(DISTINCT v) AS d FROM long GROUP BY t, c),
+keys AS (SELECT p.t, p.c FROM prof p JOIN n ON p.t = n.t WHERE p.nn = n.n AND p.d = p.nn AND n.n > 0),
+cand AS (SELECT ch.t AS child_table, ch.c AS child_column, pc.t AS parent_table, pc.c AS parent_column
+         FROM keys k JOIN cols pc ON pc.t = k.t AND pc.c = k.c
+              JOIN cols ch ON ch.stem = pc.stem AND ch.t <> pc.t AND ch.fam = pc.fam
+         WHERE regexp_matches(pc.stem, '(id|key|code|_cd|type)$')),
+cv AS (SELECT DISTINCT cand.*, l.v FROM cand JOIN long l ON l.t = cand.child_table AND l.c = cand.child_column),
+pv AS (SELECT DISTINCT l.t, l.c, l.v FROM long l)
+SELECT child_table, child_column, parent_table, parent_column,
+       CAST(count(*) AS BIGINT) AS child_distinct,
+       CAST(count(*) FILTER (WHERE pv.v IS NULL) AS BIGINT) AS orphan_values,
+       count(*) FILTER (WHERE pv.v IS NULL) = 0 AND count(*) > 0 AS is_fk
+FROM cv LEFT JOIN pv ON pv.t = cv.parent_table AND pv.c = cv.parent_column AND pv.v = cv.v
+GROUP BY child_table, child_column, parent_table, parent_column"""
 
 _SPARK_TYPE = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double",
                "TIMESTAMP": "timestamp_ntz", "DATE": "date", "BOOLEAN": "boolean"}

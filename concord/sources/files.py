@@ -39,7 +39,7 @@ def read_file(spark: SparkSession, path: str, *, schema=None, delimiter: str | N
 
     Pass ``schema`` at scale: inference costs an extra pass over the data.
     """
-    ext = os.path.splitext(path)[1].lower()
+    ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext in (".csv", ".tsv"):
         sep = delimiter or ("\t" if ext == ".tsv" else sniff_delimiter(_first_line(spark, path)))
         reader = spark.read.option("header", True).option("sep", sep).option("quote", '"') \
@@ -57,7 +57,9 @@ def read_file(spark: SparkSession, path: str, *, schema=None, delimiter: str | N
 
 
 def _list_files(spark: SparkSession, path: str) -> list[str] | None:
-    """Files directly inside ``path`` (any Hadoop file system), or None for a file."""
+    """Entries directly inside ``path`` (any Hadoop file system), or None for a
+    file.  A sub-folder counts when its name has a supported suffix: that is
+    how Spark itself writes a table (``out.parquet/part-*``)."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -65,7 +67,8 @@ def _list_files(spark: SparkSession, path: str) -> list[str] | None:
         raise FileNotFoundError(f"File not found: {path}")
     if not fs.getFileStatus(hpath).isDirectory():
         return None
-    return sorted(st.getPath().toString() for st in fs.listStatus(hpath) if st.isFile())
+    return sorted(st.getPath().toString() for st in fs.listStatus(hpath)
+                  if st.isFile() or os.path.splitext(st.getPath().getName())[1].lower() in SUPPORTED_SUFFIXES)
 
 
 def view_name(name: str) -> str:
@@ -87,7 +90,7 @@ def register_path(spark: SparkSession, path: str) -> list[str]:
         df.createOrReplaceTempView(DEFAULT_ALIAS)
         return [name, DEFAULT_ALIAS]
     for f in files:
-        name = os.path.basename(f)
+        name = os.path.basename(f.rstrip("/"))
         if os.path.splitext(name)[1].lower() in SUPPORTED_SUFFIXES:
             read_file(spark, f).createOrReplaceTempView(view_name(name))
             names.append(name)
