@@ -380,8 +380,8 @@ def _long_text(t: str) -> str:
 # whose non-null distinct count equals the table's row count, a pair shares
 # the name stem (short table prefix removed) with a key-like parent stem and
 # a type family.
-FK_DISCOVERY = f"""
-WITH long AS ({" UNION ALL ".join(_long_text(t) for t in TPCH_COLUMNS)}),
+_DISCOVERY_CTES = f"""
+long AS ({" UNION ALL ".join(_long_text(t) for t in TPCH_COLUMNS)}),
 n AS ({" UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in TPCH_COLUMNS)}),
 cols AS (SELECT table_name AS t, column_name AS c,
                 lower(regexp_replace(column_name, '^[A-Za-z]{{1,3}}_(.+)$', '\\1')) AS stem,
@@ -396,13 +396,44 @@ cand AS (SELECT ch.t AS child_table, ch.c AS child_column, pc.t AS parent_table,
               JOIN cols ch ON ch.stem = pc.stem AND ch.t <> pc.t AND ch.fam = pc.fam
          WHERE regexp_matches(pc.stem, '(id|key|code|_cd|type)$')),
 cv AS (SELECT DISTINCT cand.*, l.v FROM cand JOIN long l ON l.t = cand.child_table AND l.c = cand.child_column),
-pv AS (SELECT DISTINCT l.t, l.c, l.v FROM long l)
-SELECT child_table, child_column, parent_table, parent_column,
-       CAST(count(*) AS BIGINT) AS child_distinct,
-       CAST(count(*) FILTER (WHERE pv.v IS NULL) AS BIGINT) AS orphan_values,
-       count(*) FILTER (WHERE pv.v IS NULL) = 0 AND count(*) > 0 AS is_fk
-FROM cv LEFT JOIN pv ON pv.t = cv.parent_table AND pv.c = cv.parent_column AND pv.v = cv.v
-GROUP BY child_table, child_column, parent_table, parent_column"""
+pv AS (SELECT DISTINCT l.t, l.c, l.v FROM long l),
+fk AS (SELECT child_table, child_column, parent_table, parent_column,
+              CAST(count(*) AS BIGINT) AS child_distinct,
+              CAST(count(*) FILTER (WHERE pv.v IS NULL) AS BIGINT) AS orphan_values,
+              count(*) FILTER (WHERE pv.v IS NULL) = 0 AND count(*) > 0 AS is_fk
+       FROM cv LEFT JOIN pv ON pv.t = cv.parent_table AND pv.c = cv.parent_column AND pv.v = cv.v
+       GROUP BY child_table, child_column, parent_table, parent_column)"""
+
+FK_DISCOVERY = f"WITH {_DISCOVERY_CTES}\nSELECT * FROM fk"
+
+# Seeds orders and part; the phases of relationship discovery in order, each
+# skipping tables chosen before it.
+BRIDGE_DISCOVERY = f"""
+WITH {_DISCOVERY_CTES},
+seeds AS (SELECT * FROM (VALUES ('orders'), ('part')) s(table_name)),
+c0 AS (SELECT table_name, 'seed' AS reason FROM seeds),
+o AS (SELECT DISTINCT parent_table AS table_name, 'outbound_fk' AS reason FROM fk
+      WHERE is_fk AND child_table IN (SELECT table_name FROM seeds)
+        AND parent_table NOT IN (SELECT table_name FROM c0)),
+c1 AS (SELECT * FROM c0 UNION ALL SELECT * FROM o),
+b AS (SELECT child_table AS table_name, 'bridge_fk' AS reason FROM fk
+      WHERE is_fk AND parent_table IN (SELECT table_name FROM seeds)
+        AND child_table NOT IN (SELECT table_name FROM c1)
+      GROUP BY child_table HAVING count(DISTINCT parent_table) >= 2),
+c2 AS (SELECT * FROM c1 UNION ALL SELECT * FROM b),
+seed_keys AS (SELECT cols.t AS seed, lower(cols.c) AS cname FROM cols
+              WHERE cols.t IN (SELECT table_name FROM seeds)
+                AND ((cols.t, cols.c) IN (SELECT t, c FROM keys)
+                     OR regexp_matches(lower(cols.c), '(_id|_key|_code|_cd|type|code)$'))),
+bn AS (SELECT o2.t AS table_name, 'bridge_name' AS reason
+       FROM (SELECT t, lower(c) AS cname FROM cols WHERE t NOT IN (SELECT table_name FROM c2)
+               AND regexp_matches(lower(c), '(_id|_key|_code|_cd|type|code)$')) o2
+       JOIN seed_keys k ON o2.cname = k.cname GROUP BY o2.t HAVING count(DISTINCT k.seed) >= 2),
+c3 AS (SELECT * FROM c2 UNION ALL SELECT * FROM bn),
+i AS (SELECT DISTINCT child_table AS table_name, 'inbound_fk' AS reason FROM fk
+      WHERE is_fk AND parent_table IN (SELECT table_name FROM seeds)
+        AND child_table NOT IN (SELECT table_name FROM c3))
+SELECT * FROM c3 UNION ALL SELECT * FROM i"""
 
 _SPARK_TYPE = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double",
                "TIMESTAMP": "timestamp_ntz", "DATE": "date", "BOOLEAN": "boolean"}
@@ -497,6 +528,7 @@ ORACLE_SQL = {
     "xf_bridge_join": XF_BRIDGE_JOIN,
     "profile_columns": PROFILE_COLUMNS,
     "fk_discovery": FK_DISCOVERY,
+    "bridge_discovery": BRIDGE_DISCOVERY,
     "schema_columns": SCHEMA_COLUMNS,
     "fused_suite": FUSED_SUITE,
     "batch_results": BATCH_RESULTS,
