@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reconciled engine has no streaming operators - no watermarks, windows,
+state or late data (its checks run on demand against stored tables), so none
+are built here.  Every operator in ``concord`` takes and returns batch
+DataFrames; a caller who receives data as a stream can apply them per
+micro-batch with Structured Streaming's own ``foreachBatch``.
+"""
