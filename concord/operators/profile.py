@@ -53,14 +53,13 @@ def _slots(c, dt: T.DataType) -> list:
     return [none_l, none_d, c.cast("string")]
 
 
-def _long_values(name: str, df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    cols = columns or df.columns
+def _long_values(df: DataFrame, columns: list[tuple[int, str]]) -> DataFrame:
     fields = {f.name: f.dataType for f in df.schema.fields}
     rows = []
-    for c in cols:
+    for cid, c in columns:
         vl, vd, vs = _slots(F.col(f"`{c}`"), fields[c])
-        rows.append(F.struct(F.lit(c).alias("column_name"), vl.alias("vl"), vd.alias("vd"), vs.alias("vs")))
-    return df.select(F.lit(name).alias("table_name"), F.inline(F.array(*rows)))
+        rows.append(F.struct(F.lit(cid).alias("cid"), vl.alias("vl"), vd.alias("vd"), vs.alias("vs")))
+    return df.select(F.inline(F.array(*rows)))
 
 
 def column_profile(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None) -> DataFrame:
@@ -68,25 +67,32 @@ def column_profile(tables: dict[str, DataFrame], columns: dict[str, list[str]] |
     n_distinct, max_repeat, is_unique, is_key_candidate``.
 
     Exact counts, all tables in one job with two shuffles: every table is
-    unpivoted to (column, typed value), counted per value with map-side
+    unpivoted to (column id, typed value), counted per value with map-side
     combining (a hot value collapses before the shuffle), then summed per
-    column.
+    column.  Column names join back only at the end, on the per-column rows.
     """
-    parts = [_long_values(t, df, (columns or {}).get(t)) for t, df in tables.items()]
+    spark = next(iter(tables.values())).sparkSession
+    ids, parts = [], []
+    for t, df in tables.items():
+        cols = [(len(ids) + i, c) for i, c in enumerate((columns or {}).get(t) or df.columns)]
+        ids += [(cid, t, c) for cid, c in cols]
+        parts.append(_long_values(df, cols))
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
-    per_value = long.groupBy("table_name", "column_name", "vl", "vd", "vs").agg(
-        F.count(F.lit(1)).alias("cnt"))
+    per_value = long.groupBy("cid", "vl", "vd", "vs").agg(F.count(F.lit(1)).alias("cnt"))
     is_null = F.col("vl").isNull() & F.col("vd").isNull() & F.col("vs").isNull()
-    prof = per_value.groupBy("table_name", "column_name").agg(
+    prof = per_value.groupBy("cid").agg(
         F.sum("cnt").alias("n_rows"),
         F.coalesce(F.sum(F.when(is_null, F.col("cnt"))), F.lit(0)).cast("bigint").alias("n_nulls"),
         F.count_if(~is_null).alias("n_distinct"),
         F.coalesce(F.max(F.when(~is_null, F.col("cnt"))), F.lit(0)).cast("bigint").alias("max_repeat"))
+    # One row per column: a metadata-sized frame, joined by id.
+    names = spark.createDataFrame(ids, "cid int, table_name string, column_name string")
     unique = (F.col("max_repeat") <= 1) & (F.col("n_distinct") > 0)
-    return prof.select("table_name", "column_name", "n_rows", "n_nulls", "n_distinct", "max_repeat",
-                       unique.alias("is_unique"), (unique & (F.col("n_nulls") == 0)).alias("is_key_candidate"))
+    return prof.join(F.broadcast(names), "cid").select(
+        "table_name", "column_name", "n_rows", "n_nulls", "n_distinct", "max_repeat",
+        unique.alias("is_unique"), (unique & (F.col("n_nulls") == 0)).alias("is_key_candidate"))
 
 
 def approx_column_profile(name: str, df: DataFrame, rsd: float = 0.02) -> DataFrame:
