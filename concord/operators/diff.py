@@ -29,8 +29,8 @@ derived arithmetically instead:
    ``n_s`` if the target lacks the key, ``n_t`` if the source lacks it, and
    ``n_s * n_t - M`` otherwise.
 
-Value columns travel through step 3 only for tuples that are unbalanced
-(``c_s != c_t``), which are the only ones a mismatch row can show.
+Values travel through step 3 only for tuples found on one side alone, the
+only ones a mismatch row shows.
 """
 
 from __future__ import annotations
@@ -134,14 +134,45 @@ def _key_counts(j: DataFrame) -> DataFrame:
         F.sum(cs * ct).alias("matched_pairs"))
 
 
-def _one_sided_values(j: DataFrame, inner: dict, side: str) -> DataFrame:
-    """Values of the tuples found on one side only, per key: ``key_col, __n<side>,
-    __t<side>``.  Only mismatch rows need them, so only those tuples are moved;
-    partial aggregation bounds the rows a hot key sends to one task."""
-    own, other = ("__cs", "__ct") if side == "s" else ("__ct", "__cs")
+def _key_rows(source: DataFrame, target: DataFrame, key: str, columns: list[str] | None,
+              opts: dict) -> DataFrame:
+    """Every key with its counts, classification and shown values (steps 1-3).
+
+    Step 3 also carries, per side, the smallest tuple found on that side only;
+    it is shown when the side holds exactly one row for a ``missing``,
+    ``extra`` or ``value_mismatch`` key.  Carrying a struct makes step 3 a
+    sort-based aggregate (one external sort by key, map-side combining
+    kept), which is cheaper than joining the values back afterwards.
+    """
+    cols = _resolve(source, target, key, columns)
+    j, inner = _tuple_counts(source, target, key, cols, opts)
+    cs, ct = F.col("__cs"), F.col("__ct")
     tup = F.struct(*[F.col(v) for v in inner.values()])
-    return (j.where((F.col(own) > 0) & (F.col(other) == 0))
-            .groupBy(KEY).agg(F.count(F.lit(1)).alias(f"__n{side}"), F.min(tup).alias(f"__t{side}")))
+    k = j.groupBy(KEY).agg(
+        F.sum(cs).alias("n_source"), F.sum(ct).alias("n_target"),
+        F.sum(cs * ct).alias("matched_pairs"),
+        F.min(F.when((cs > 0) & (ct == 0), tup)).alias("__ts"),
+        F.min(F.when((ct > 0) & (cs == 0), tup)).alias("__tt"))
+    n_s, n_t = F.col("n_source"), F.col("n_target")
+    pairs = (F.when(n_t == 0, n_s).when(n_s == 0, n_t)
+             .otherwise(n_s * n_t - F.col("matched_pairs")))
+    kind = (F.when(pairs == 0, F.lit(None).cast("string"))
+            .when(n_t == 0, F.lit(MISSING))
+            .when(n_s == 0, F.lit(EXTRA))
+            .when((n_s == 1) & (n_t == 1), F.lit(CHANGED))
+            .otherwise(F.lit(DUPLICATE)))
+    k = k.select(KEY, "n_source", "n_target", "matched_pairs", pairs.alias("mismatch_pairs"),
+                 kind.alias("mismatch_type"), "__ts", "__tt")
+    kind = F.col("mismatch_type")
+    ts = F.when(kind.isin(MISSING, CHANGED) & (n_s == 1), F.col("__ts"))
+    tt = F.when(kind.isin(EXTRA, CHANGED) & (n_t == 1), F.col("__tt"))
+    value_cols = []
+    for c, v in inner.items():
+        value_cols += [ts[v].alias(f"{c}_source"), tt[v].alias(f"{c}_target")]
+    changed = F.array_join(F.array_compact(F.array(*[
+        F.when(ts[v] != tt[v], F.lit(c)) for c, v in inner.items()])), ",")
+    return k.select(KEY, "n_source", "n_target", "matched_pairs", "mismatch_pairs", "mismatch_type",
+                    *value_cols, F.when(kind == CHANGED, changed).alias("changed_columns"))
 
 
 def keyed_diff(source: DataFrame, target: DataFrame, key: str = KEY,
@@ -154,29 +185,11 @@ def keyed_diff(source: DataFrame, target: DataFrame, key: str = KEY,
     lists the differing columns) or ``duplicate_key`` (the key repeats on a
     side; ``mismatch_pairs`` is the number of unequal source/target row pairs,
     exactly the reference's row count for that key).  ``<c>_source`` /
-    ``<c>_target`` hold the normalised values when the side has one distinct
-    tuple for the key and the key is not a ``duplicate_key``.
+    ``<c>_target`` hold the normalised values of a side with exactly one row
+    for the key (not for ``duplicate_key``).
     """
-    cols = _resolve(source, target, key, columns)
     opts = dict(strict=strict, strip_dot_zero_strings=strip_dot_zero_strings)
-    j, inner = _tuple_counts(source, target, key, cols, opts)
-    k = _classify(_key_counts(j)).where(F.col("mismatch_pairs") > 0)
-    # Both value frames and k are hash-partitioned by key: the joins add no exchange.
-    d = (k.join(_one_sided_values(j, inner, "s"), KEY, "left")
-          .join(_one_sided_values(j, inner, "t"), KEY, "left"))
-    kind = F.col("mismatch_type")
-    show_s = kind.isin(MISSING, CHANGED) & (F.col("__ns") == 1)
-    show_t = kind.isin(EXTRA, CHANGED) & (F.col("__nt") == 1)
-    ts = F.when(show_s, F.col("__ts"))
-    tt = F.when(show_t, F.col("__tt"))
-    value_cols = []
-    for c, v in inner.items():
-        value_cols += [ts[v].alias(f"{c}_source"), tt[v].alias(f"{c}_target")]
-    changed = F.array_join(F.array_compact(F.array(*[
-        F.when(ts[v] != tt[v], F.lit(c)) for c, v in inner.items()])), ",")
-    return d.select(KEY, "n_source", "n_target", "matched_pairs", "mismatch_pairs",
-                    "mismatch_type", *value_cols,
-                    F.when(kind == CHANGED, changed).alias("changed_columns"))
+    return _key_rows(source, target, key, columns, opts).where(F.col("mismatch_pairs") > 0)
 
 
 def keyed_diff_result(name: str, source: DataFrame, target: DataFrame, key: str = KEY,
@@ -186,60 +199,42 @@ def keyed_diff_result(name: str, source: DataFrame, target: DataFrame, key: str
 
     ``source_value`` / ``target_value`` are ``"<n> rows"``; ``mismatch_count``
     is the reference's count (see module docstring); ``mismatch_breakdown``
-    counts mismatches per type; the sample holds the first ``sample_size``
-    mismatching keys in key order.
-
-    Plan: the per-key counts (steps 1-3) are computed once.  Values are only
-    needed for the sampled keys, at most ``sample_size`` of them, each with at
-    most one row per side shown - a set whose size is bounded by
-    construction.  It is broadcast and probed against the per-tuple
-    aggregates of step 1 (whose shuffle output Spark reuses), so no second
-    join over the data is run for the sample.
+    counts mismatches per type and value mismatches per column; the sample
+    holds the first ``sample_size`` mismatching keys in key order
+    (TakeOrderedAndProject: each task keeps its own top rows).
+
+    Both branches read every column of the per-key table (the per-column
+    counts use the values), so their plans coincide below the final
+    aggregates and Spark runs the comparison's shuffles once.
     """
+    o = dict(strict=opts.get("strict", False), strip_dot_zero_strings=opts.get("strip_dot_zero_strings", False))
     try:
         cols = _resolve(source, target, key, columns)
+        rows = _key_rows(source, target, key, cols, o)
     except DiffError as e:
         return error_result(source.sparkSession, name, check_type, str(e))
-    o = dict(strict=opts.get("strict", False), strip_dot_zero_strings=opts.get("strip_dot_zero_strings", False))
-    sa, ta, inner = _side_counts(source, target, key, cols, o)
-    group = [KEY, *inner.values()]
-    j = sa.join(ta, group, "full_outer").select(
-        *group, F.coalesce(F.col("__cs"), F.lit(0)).alias("__cs"),
-        F.coalesce(F.col("__ct"), F.lit(0)).alias("__ct"))
-    stats = _classify(_key_counts(j))
     kinds = [MISSING, EXTRA, CHANGED, DUPLICATE]
-    totals = stats.agg(
+    totals = rows.agg(
         count_text(F.coalesce(F.sum("n_source"), F.lit(0)), "rows").alias("source_value"),
         count_text(F.coalesce(F.sum("n_target"), F.lit(0)), "rows").alias("target_value"),
         F.coalesce(F.sum("mismatch_pairs"), F.lit(0)).alias("mismatch_count"),
         F.struct(*[F.coalesce(F.sum(F.when(F.col("mismatch_type") == k, F.col("mismatch_pairs"))),
-                              F.lit(0)).alias(k) for k in kinds]).alias("__by_type"))
-    top = stats.where(F.col("mismatch_pairs") > 0).orderBy(KEY).limit(sample_size)
-    kind = F.col("mismatch_type")
-    shown_s = top.where(kind.isin(MISSING, CHANGED) & (F.col("n_source") == 1)).select(KEY)
-    shown_t = top.where(kind.isin(EXTRA, CHANGED) & (F.col("n_target") == 1)).select(KEY)
-    tup = F.struct(*[F.col(v) for v in inner.values()])
-    vs = sa.join(F.broadcast(shown_s), KEY).select(KEY, tup.alias("__ts"))
-    vt = ta.join(F.broadcast(shown_t), KEY).select(KEY, tup.alias("__tt"))
-    rows = top.join(vs, KEY, "left").join(vt, KEY, "left")
-    value_cols = []
-    for c, v in inner.items():
-        value_cols += [F.col("__ts")[v].alias(f"{c}_source"), F.col("__tt")[v].alias(f"{c}_target")]
-    changed = F.array_join(F.array_compact(F.array(*[
-        F.when(F.col("__ts")[v] != F.col("__tt")[v], F.lit(c)) for c, v in inner.items()])), ",")
-    rows = rows.select(KEY, "n_source", "n_target", "matched_pairs", "mismatch_pairs", "mismatch_type",
-                       *value_cols, F.when(kind == CHANGED, changed).alias("changed_columns"))
-    sample = sample_json(rows, [KEY], sample_size)
+                              F.lit(0)).alias(k) for k in kinds]).alias("__by_type"),
+        F.struct(*[F.count_if((F.col("mismatch_type") == CHANGED)
+                              & (F.col(f"{c}_source") != F.col(f"{c}_target"))).alias(c) for c in cols])
+        .alias("__by_column"))
+    sample = sample_json(rows.where(F.col("mismatch_pairs") > 0), [KEY], sample_size)
     out = one_row_join(totals, sample).select(
         "source_value", "target_value", "mismatch_count", "mismatch_sample",
         (F.col("mismatch_count") == 0).alias("passed"),
-        F.to_json(F.struct(F.col("__by_type").alias("by_type"))).alias("mismatch_breakdown"))
+        F.to_json(F.struct(F.col("__by_type").alias("by_type"),
+                           F.col("__by_column").alias("by_column"))).alias("mismatch_breakdown"))
     return result_frame(out, name, check_type)
 
 
 def column_breakdown(diff_rows: DataFrame) -> DataFrame:
     """Number of ``value_mismatch`` keys per compared column, from ``keyed_diff`` rows."""
-    cols = [c[:-len("_source")] for c in diff_rows.columns if c.endswith("_source")]
+    cols = [c[:-len("_source")] for c in diff_rows.columns if c.endswith("_source") and c != "n_source"]
     return diff_rows.agg(*[
         F.count_if((F.col("mismatch_type") == CHANGED)
                    & (F.col(f"{c}_source") != F.col(f"{c}_target"))).alias(c) for c in cols])
