@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import row_hash
-from .result import result_frame
+from .result import one_row_join, result_frame
 
 EMPTY = "empty"
 MATCH_TEXT = "Checksum Match"
@@ -44,7 +44,7 @@ def checksum_pair(source: DataFrame, target: DataFrame, columns: list[str] | Non
     """Both checksums side by side and whether they agree (one job, two scans)."""
     s = checksum_text(checksum(source, columns, flavour)).withColumnRenamed("checksum", "source_checksum")
     t = checksum_text(checksum(target, columns, flavour)).withColumnRenamed("checksum", "target_checksum")
-    return s.crossJoin(t).withColumn("checksum_match", F.col("source_checksum") == F.col("target_checksum"))
+    return one_row_join(s, t).withColumn("checksum_match", F.col("source_checksum") == F.col("target_checksum"))
 
 
 def checksum_gate(source: DataFrame, target: DataFrame, columns: list[str] | None = None,

@@ -71,9 +71,25 @@ def sample_json(rows: DataFrame, order_by: list[str], limit: int) -> DataFrame:
         F.when(F.size("__s") > 0, F.to_json("__s", JSON_OPTIONS)).alias("mismatch_sample"))
 
 
-def one_row_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Join two frames of exactly one row each (aggregates without grouping)."""
-    return left.crossJoin(right)
+def one_row_join(*frames: DataFrame) -> DataFrame:
+    """Put the columns of frames holding exactly one row each side by side.
+
+    No join: the frames are stacked (each padding the others' columns with
+    NULL) and every column takes its one non-null value.  All inputs are
+    global aggregates or bounded samples, so this stacks a handful of rows.
+    """
+    stacked = frames[0]
+    for f in frames[1:]:
+        stacked = stacked.unionByName(f, allowMissingColumns=True)
+    cols = [c for f in frames for c in f.columns]
+    return stacked.agg(*[F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for c in cols])
+
+
+def with_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame to every row of ``df`` (a small
+    page), through a broadcast equi-join on a constant."""
+    k = "__one"
+    return df.withColumn(k, F.lit(1)).join(F.broadcast(one.withColumn(k, F.lit(1))), k).drop(k)
 
 
 def count_text(n: Column, unit: str) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.result import one_row_join, with_one_row
+
 # Pass-rate bands of the reference's report page and its defaults.
 GOOD_BAND = 80
 WARN_BAND = 50
@@ -42,7 +44,7 @@ def run_page(runs: DataFrame, offset: int = 0, limit: int = DEFAULT_PAGE_SIZE,
                                           F.col("name").alias("mapping_name")),
                          "mapping_document_id", "left") \
             .withColumn("mapping_name", F.coalesce("mapping_name", F.lit(UNKNOWN_MAPPING)))
-    return page.crossJoin(total)
+    return with_one_row(page, total)
 
 
 def pass_rate(runs: DataFrame) -> DataFrame:
@@ -60,10 +62,10 @@ def dashboard(runs: DataFrame, latest: int = DASHBOARD_RUNS, run_col: str = "run
     recent = runs.orderBy(F.col(run_col).desc()).limit(latest).agg(
         F.coalesce(F.sum("passed_cases"), F.lit(0)).cast("bigint").alias("passed_latest"),
         F.coalesce(F.sum("failed_cases"), F.lit(0)).cast("bigint").alias("failed_latest"))
-    out = runs.agg(F.count(F.lit(1)).alias("n_runs")).crossJoin(recent)
+    parts = [runs.agg(F.count(F.lit(1)).alias("n_runs")), recent]
     if documents is not None:
-        out = out.crossJoin(active_only(documents).agg(F.count(F.lit(1)).alias("n_mappings")))
-    return out
+        parts.append(active_only(documents).agg(F.count(F.lit(1)).alias("n_mappings")))
+    return one_row_join(*parts)
 
 
 def run_detail(results: DataFrame, cases: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def parse_summary(field_mappings: DataFrame, cases: DataFrame) -> DataFrame:
     tc = cases.agg(F.count(F.lit(1)).alias("test_cases_count"),
                    F.count_if(F.col("validation_status") == "valid").alias("valid_tests"),
                    F.count_if(F.col("validation_status") == "invalid").alias("invalid_tests"))
-    return fm.crossJoin(tc)
+    return one_row_join(fm, tc)
 
 
 def active_only(df: DataFrame) -> DataFrame:
