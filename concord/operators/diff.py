@@ -16,18 +16,21 @@ times in the source and n times in the target yields m x n rows, and
 option at scale (one hot key can hold a third of a table), so the count is
 derived arithmetically instead:
 
-1. each side is aggregated by ``(key, value tuple)`` to a row count
-   (map-side partial aggregation; rows are spread by the whole tuple, so a hot
-   key with varied values is spread over many tasks, and a hot repeated tuple
-   collapses to one row);
-2. the two aggregates are full-outer-joined on ``(key, value tuple)``; both
-   are already hash-partitioned on exactly these columns, so the join adds no
-   exchange;
-3. the join output is aggregated by key (partial aggregation again).  For a
-   key with ``n_s`` source rows, ``n_t`` target rows and ``M`` equal pairs
-   (``sum(c_s * c_t)`` over its tuples) the reference's mismatch rows number
-   ``n_s`` if the target lacks the key, ``n_t`` if the source lacks it, and
-   ``n_s * n_t - M`` otherwise.
+1. both sides are stacked (``unionByName`` with a side flag) and aggregated
+   by ``(key, value tuple)`` to a source and a target row count - one
+   aggregation in place of two aggregates and their full outer join.  Partial
+   aggregation runs before the exchange; rows are spread by the whole tuple,
+   so a hot key with varied values is spread over many tasks, and a hot
+   repeated tuple collapses to one row;
+2. keys and values whose types agree and whose canonical text is one-to-one
+   (integers, booleans, dates, ``timestamp_ntz``, decimals of one type) are
+   grouped in their own type; the rest as canonical text (``canon``).  Text
+   is printed for the output rows only;
+3. the per-tuple counts are aggregated by key (partial aggregation again).
+   For a key with ``n_s`` source rows, ``n_t`` target rows and ``M`` equal
+   pairs (``sum(c_s * c_t)`` over its tuples) the reference's mismatch rows
+   number ``n_s`` if the target lacks the key, ``n_t`` if the source lacks
+   it, and ``n_s * n_t - M`` otherwise.
 
 Values travel through step 3 only for tuples found on one side alone, the
 only ones a mismatch row shows.
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canon import canon, canon_columns
+from ..functions.canon import canon
 from .result import (KEYED_SAMPLE, SET_SAMPLE_EACH_SIDE, count_text, error_result,
                      one_row_join, result_frame, sample_json)
 
@@ -63,33 +66,63 @@ def compare_columns(source: DataFrame, target: DataFrame, key: str = KEY) -> lis
     return [c for c in source.columns if c in target.columns and c != key]
 
 
-def _canon_side(df: DataFrame, key: str, cols: list[str], opts: dict) -> DataFrame:
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    return df.select(canon(F.col(f"`{key}`"), fields[key], **opts).alias(KEY),
-                     *canon_columns(df, cols, **opts))
+# Types whose canonical text is a one-to-one image of the value (NULL -> '' is
+# no value's text), so two sides of the *same* such type compare equal as text
+# exactly when they compare equal as values.  Those columns are grouped in
+# their own type - cheaper to hash and shuffle than text - and printed only in
+# the output rows.  Not here: strings (trimmed, null tokens), floating point
+# (NaN reads as ''), timestamps with time zone (a repeated local hour prints
+# twice the same).
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_NATIVE = (*_INTEGRAL, T.BooleanType, T.DateType, T.TimestampNTZType, T.DecimalType)
 
 
-def _side_counts(source: DataFrame, target: DataFrame, key: str, cols: list[str],
-                 opts: dict) -> tuple[DataFrame, DataFrame, dict]:
-    """Step 1: per side, ``key_col, __v*, __cs|__ct`` per distinct (key, value tuple)."""
-    inner = {c: f"__v{i}" for i, c in enumerate(cols)}
-    s = _canon_side(source, key, cols, opts).toDF(KEY, *inner.values())
-    t = _canon_side(target, key, cols, opts).toDF(KEY, *inner.values())
-    group = [KEY, *inner.values()]
-    sa = s.groupBy(*group).agg(F.count(F.lit(1)).alias("__cs"))
-    ta = t.groupBy(*group).agg(F.count(F.lit(1)).alias("__ct"))
-    return sa, ta, inner
+def _shared_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
+    """The type both sides are compared in, or None to compare canonical text."""
+    if isinstance(a, _INTEGRAL) and isinstance(b, _INTEGRAL):
+        return T.LongType()
+    if a == b and isinstance(a, _NATIVE):
+        return a
+    return None
+
+
+def _plan_columns(source: DataFrame, target: DataFrame, names: list[str]) -> dict:
+    """``{column: (source type, target type, shared type or None)}``."""
+    fs = {f.name: f.dataType for f in source.schema.fields}
+    ft = {f.name: f.dataType for f in target.schema.fields}
+    return {n: (fs[n], ft[n], _shared_type(fs[n], ft[n])) for n in names}
+
+
+def _side(df: DataFrame, key: str, inner: dict, plan: dict, which: int, opts: dict) -> DataFrame:
+    """``key_col, __v*`` (native or canonical text) plus the side flag ``__src``."""
+    def value(name):
+        dt, shared = plan[name][which], plan[name][2]
+        c = F.col(f"`{name}`")
+        return c.cast(shared) if shared is not None else canon(c, dt, **opts)
+    return df.select(value(key).alias(KEY), *[value(c).alias(v) for c, v in inner.items()],
+                     F.lit(which == 0).alias("__src"))
 
 
 def _tuple_counts(source: DataFrame, target: DataFrame, key: str, cols: list[str],
-                  opts: dict) -> tuple[DataFrame, dict]:
-    """Steps 1-2: ``key_col, __v*, __cs, __ct`` per distinct (key, value tuple)."""
-    sa, ta, inner = _side_counts(source, target, key, cols, opts)
-    group = [KEY, *inner.values()]
-    j = sa.join(ta, group, "full_outer").select(
-        *group, F.coalesce(F.col("__cs"), F.lit(0)).alias("__cs"),
-        F.coalesce(F.col("__ct"), F.lit(0)).alias("__ct"))
-    return j, inner
+                  opts: dict) -> tuple[DataFrame, dict, dict]:
+    """Steps 1-2: ``key_col, __v*, __cs, __ct`` per distinct (key, value tuple).
+
+    One aggregation over the union of both sides replaces two aggregates and
+    their full outer join: the same result with one exchange per side, no
+    sort-merge join, and NULL grouped with NULL without null-safe join keys.
+    """
+    inner = {c: f"__v{i}" for i, c in enumerate(cols)}
+    plan = _plan_columns(source, target, [key, *cols])
+    u = _side(source, key, inner, plan, 0, opts).unionByName(_side(target, key, inner, plan, 1, opts))
+    j = u.groupBy(KEY, *inner.values()).agg(
+        F.count_if(F.col("__src")).alias("__cs"), F.count_if(~F.col("__src")).alias("__ct"))
+    return j, inner, plan
+
+
+def _text(c, key_or_col: str, plan: dict, opts: dict):
+    """Canonical text of a grouped column (already text unless it kept its type)."""
+    shared = plan[key_or_col][2]
+    return canon(c, shared, **opts) if shared is not None else c
 
 
 def _resolve(source, target, key, columns):
@@ -99,17 +132,14 @@ def _resolve(source, target, key, columns):
     return cols
 
 
-def _classify(k: DataFrame) -> DataFrame:
-    n_s, n_t = F.col("n_source"), F.col("n_target")
-    pairs = (F.when(n_t == 0, n_s).when(n_s == 0, n_t)
-             .otherwise(n_s * n_t - F.col("matched_pairs")))
+def _pairs_and_kind(n_s, n_t, matched):
+    pairs = (F.when(n_t == 0, n_s).when(n_s == 0, n_t).otherwise(n_s * n_t - matched))
     kind = (F.when(pairs == 0, F.lit(None).cast("string"))
             .when(n_t == 0, F.lit(MISSING))
             .when(n_s == 0, F.lit(EXTRA))
             .when((n_s == 1) & (n_t == 1), F.lit(CHANGED))
             .otherwise(F.lit(DUPLICATE)))
-    return k.select(KEY, "n_source", "n_target", "matched_pairs",
-                    pairs.alias("mismatch_pairs"), kind.alias("mismatch_type"))
+    return pairs, kind
 
 
 def key_stats(source: DataFrame, target: DataFrame, key: str = KEY,
@@ -123,15 +153,13 @@ def key_stats(source: DataFrame, target: DataFrame, key: str = KEY,
     """
     cols = _resolve(source, target, key, columns)
     opts = dict(strict=strict, strip_dot_zero_strings=strip_dot_zero_strings)
-    j, _ = _tuple_counts(source, target, key, cols, opts)
-    return _classify(_key_counts(j))
-
-
-def _key_counts(j: DataFrame) -> DataFrame:
+    j, _, plan = _tuple_counts(source, target, key, cols, opts)
     cs, ct = F.col("__cs"), F.col("__ct")
-    return j.groupBy(KEY).agg(
-        F.sum(cs).alias("n_source"), F.sum(ct).alias("n_target"),
-        F.sum(cs * ct).alias("matched_pairs"))
+    k = j.groupBy(KEY).agg(F.sum(cs).alias("n_source"), F.sum(ct).alias("n_target"),
+                           F.sum(cs * ct).alias("matched_pairs"))
+    pairs, kind = _pairs_and_kind(F.col("n_source"), F.col("n_target"), F.col("matched_pairs"))
+    return k.select(_text(F.col(KEY), key, plan, opts).alias(KEY), "n_source", "n_target",
+                    "matched_pairs", pairs.alias("mismatch_pairs"), kind.alias("mismatch_type"))
 
 
 def _key_rows(source: DataFrame, target: DataFrame, key: str, columns: list[str] | None,
@@ -142,10 +170,12 @@ def _key_rows(source: DataFrame, target: DataFrame, key: str, columns: list[str]
     it is shown when the side holds exactly one row for a ``missing``,
     ``extra`` or ``value_mismatch`` key.  Carrying a struct makes step 3 a
     sort-based aggregate (one external sort by key, map-side combining
-    kept), which is cheaper than joining the values back afterwards.
+    kept), which is cheaper than joining the values back afterwards.  Keys
+    and values that kept their own type are printed as canonical text here,
+    after the comparison.
     """
     cols = _resolve(source, target, key, columns)
-    j, inner = _tuple_counts(source, target, key, cols, opts)
+    j, inner, plan = _tuple_counts(source, target, key, cols, opts)
     cs, ct = F.col("__cs"), F.col("__ct")
     tup = F.struct(*[F.col(v) for v in inner.values()])
     k = j.groupBy(KEY).agg(
@@ -154,25 +184,22 @@ def _key_rows(source: DataFrame, target: DataFrame, key: str, columns: list[str]
         F.min(F.when((cs > 0) & (ct == 0), tup)).alias("__ts"),
         F.min(F.when((ct > 0) & (cs == 0), tup)).alias("__tt"))
     n_s, n_t = F.col("n_source"), F.col("n_target")
-    pairs = (F.when(n_t == 0, n_s).when(n_s == 0, n_t)
-             .otherwise(n_s * n_t - F.col("matched_pairs")))
-    kind = (F.when(pairs == 0, F.lit(None).cast("string"))
-            .when(n_t == 0, F.lit(MISSING))
-            .when(n_s == 0, F.lit(EXTRA))
-            .when((n_s == 1) & (n_t == 1), F.lit(CHANGED))
-            .otherwise(F.lit(DUPLICATE)))
-    k = k.select(KEY, "n_source", "n_target", "matched_pairs", pairs.alias("mismatch_pairs"),
-                 kind.alias("mismatch_type"), "__ts", "__tt")
+    pairs, kind = _pairs_and_kind(n_s, n_t, F.col("matched_pairs"))
+    k = k.select(_text(F.col(KEY), key, plan, opts).alias(KEY), "n_source", "n_target",
+                 "matched_pairs", pairs.alias("mismatch_pairs"), kind.alias("mismatch_type"),
+                 "__ts", "__tt")
     kind = F.col("mismatch_type")
-    ts = F.when(kind.isin(MISSING, CHANGED) & (n_s == 1), F.col("__ts"))
-    tt = F.when(kind.isin(EXTRA, CHANGED) & (n_t == 1), F.col("__tt"))
+    show_s = kind.isin(MISSING, CHANGED) & (n_s == 1)
+    show_t = kind.isin(EXTRA, CHANGED) & (n_t == 1)
     value_cols = []
     for c, v in inner.items():
-        value_cols += [ts[v].alias(f"{c}_source"), tt[v].alias(f"{c}_target")]
+        value_cols += [F.when(show_s, _text(F.col("__ts")[v], c, plan, opts)).alias(f"{c}_source"),
+                       F.when(show_t, _text(F.col("__tt")[v], c, plan, opts)).alias(f"{c}_target")]
+    k = k.select(KEY, "n_source", "n_target", "matched_pairs", "mismatch_pairs", "mismatch_type",
+                 *value_cols)
     changed = F.array_join(F.array_compact(F.array(*[
-        F.when(ts[v] != tt[v], F.lit(c)) for c, v in inner.items()])), ",")
-    return k.select(KEY, "n_source", "n_target", "matched_pairs", "mismatch_pairs", "mismatch_type",
-                    *value_cols, F.when(kind == CHANGED, changed).alias("changed_columns"))
+        F.when(F.col(f"{c}_source") != F.col(f"{c}_target"), F.lit(c)) for c in inner])), ",")
+    return k.withColumn("changed_columns", F.when(kind == CHANGED, changed))
 
 
 def keyed_diff(source: DataFrame, target: DataFrame, key: str = KEY,

@@ -51,6 +51,39 @@ def test_numeric_text_across_types(spark):
     assert [(r["key_col"], r["changed_columns"]) for r in d] == [("a", "y")]
 
 
+def test_typed_keys_match_text_semantics(spark):
+    """Integral keys of both sides group in their own type; the result equals
+    the canonical-text comparison (NULL key with NULL key, int with bigint)."""
+    s = spark.createDataFrame([(1, "a"), (None, "n"), (3, "c"), (5, "x"), (5, "y")], "key_col int, val string")
+    t = spark.createDataFrame([(1, "a"), (None, "n"), (4, "d"), (5, "x")], "key_col bigint, val string")
+    got = {r["key_col"]: (r["mismatch_type"], r["mismatch_pairs"]) for r in rows(diff.keyed_diff(s, t))}
+    assert got == {"3": ("missing_in_target", 1), "4": ("extra_in_target", 1), "5": ("duplicate_key", 1)}
+    # a text key on one side: NULL (int) meets '' (text), both canonical ''
+    t2 = spark.createDataFrame([("1", "a"), ("", "n"), ("3", "c"), ("5", "x"), ("5", "y")],
+                               "key_col string, val string")
+    as_text = s.selectExpr("CAST(key_col AS STRING) AS key_col", "val")
+    assert rows(diff.keyed_diff(s, t2)) == rows(diff.keyed_diff(as_text, t2))
+    assert [r["key_col"] for r in rows(diff.keyed_diff(s, t2))] == ["5"]
+    r = diff.keyed_diff_result("k", s, t).collect()[0]
+    assert r.mismatch_count == 3
+    assert [x["key_col"] for x in json.loads(r.mismatch_sample)] == ["3", "4", "5"]
+
+
+def test_typed_values_print_canonical_text(spark):
+    s = spark.sql("SELECT 1L AS key_col, CAST(95.40 AS DECIMAL(10,2)) AS v, DATE'2024-01-31' AS d, true AS b, "
+                  "CAST(NULL AS INT) AS m")
+    t = spark.sql("SELECT 1L AS key_col, CAST(95.41 AS DECIMAL(10,2)) AS v, DATE'2024-01-31' AS d, false AS b, "
+                  "7 AS m")
+    (r,) = rows(diff.keyed_diff(s, t))
+    assert (r["v_source"], r["v_target"], r["d_source"], r["b_source"], r["b_target"]) == \
+        ("95.4", "95.41", "2024-01-31", "true", "false")
+    assert (r["m_source"], r["m_target"]) == ("", "7")
+    assert r["changed_columns"] == "v,b,m"
+    # strict keeps the decimal scale in the printed text
+    (r,) = rows(diff.keyed_diff(s, t, strict=True))
+    assert r["v_source"] == "95.40"
+
+
 def test_decimal_scale_strict_and_default(spark):
     s = spark.sql("SELECT 'a' AS key_col, CAST(95.40 AS DECIMAL(10,2)) AS v")
     t = spark.sql("SELECT 'a' AS key_col, CAST(95.4 AS DECIMAL(10,1)) AS v")
