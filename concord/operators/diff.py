@@ -269,24 +269,23 @@ def column_breakdown(diff_rows: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- CMP-3 set diff
 
-def _distinct_side(df: DataFrame, col: str, marker: str, opts: dict) -> DataFrame:
-    dtype = df.schema[col].dataType
-    return (df.select(canon(F.col(f"`{col}`"), dtype, **opts).alias(VAL)).distinct()
-            .withColumn(marker, F.lit(True)))
-
-
 def set_membership(source: DataFrame, target: DataFrame, col: str = VAL, **opts) -> DataFrame:
     """Every distinct normalised value with side flags ``in_source`` / ``in_target``.
 
-    ``distinct`` hash-partitions each side by value, so the full outer join on
-    the value adds no exchange; a hot value collapses in the partial
-    aggregation before any shuffle.
+    Both sides are stacked and grouped by value once: partial aggregation
+    collapses repeated (and hot) values before the one exchange, and no join
+    is needed to line the two sides up.  Values of one shared type whose text
+    is one-to-one (see ``_shared_type``) are grouped in that type and printed
+    afterwards.
     """
-    s = _distinct_side(source, col, "in_source", opts)
-    t = _distinct_side(target, col, "in_target", opts)
-    return s.join(t, VAL, "full_outer").select(
-        VAL, F.coalesce("in_source", F.lit(False)).alias("in_source"),
-        F.coalesce("in_target", F.lit(False)).alias("in_target"))
+    plan = _plan_columns(source, target, [col])
+    inner = {}
+    s = _side(source, col, inner, plan, 0, opts)
+    t = _side(target, col, inner, plan, 1, opts)
+    g = s.unionByName(t).groupBy(KEY).agg(
+        (F.count_if(F.col("__src")) > 0).alias("in_source"),
+        (F.count_if(~F.col("__src")) > 0).alias("in_target"))
+    return g.select(_text(F.col(KEY), col, plan, opts).alias(VAL), "in_source", "in_target")
 
 
 def set_diff(source: DataFrame, target: DataFrame, col: str = VAL, **opts) -> DataFrame:
@@ -341,20 +340,20 @@ def row_set_membership(source: DataFrame, target: DataFrame) -> DataFrame:
 
     Sides with different column counts share no tuple, as in the reference.
     NULL is kept apart from every text (the reference prints it as ``None``).
+    One aggregation over both sides stacked, as in ``set_membership``.
     """
     width = max(len(source.columns), len(target.columns))
-    s = _positional_text(source, width).distinct().withColumn("in_source", F.lit(True))
-    t = _positional_text(target, width).distinct().withColumn("in_target", F.lit(True))
-    if len(source.columns) != len(target.columns):
-        s = s.withColumn("in_target", F.lit(False))
-        t = t.withColumn("in_source", F.lit(False))
-        m = s.unionByName(t)
-    else:
-        keys = [x for i in range(width) for x in (f"c{i}", f"n{i}")]
-        m = s.join(t, keys, "full_outer")
+    same_width = len(source.columns) == len(target.columns)
+    s = _positional_text(source, width).withColumn("__side", F.lit(0))
+    t = _positional_text(target, width).withColumn("__side", F.lit(1))
+    keys = [x for i in range(width) for x in (f"c{i}", f"n{i}")]
+    # Sides of different widths must not meet: the side joins the grouping key.
+    group = keys if same_width else [*keys, "__side"]
+    m = s.unionByName(t).groupBy(*group).agg(
+        (F.count_if(F.col("__side") == 0) > 0).alias("in_source"),
+        (F.count_if(F.col("__side") == 1) > 0).alias("in_target"))
     out = [F.when(~F.col(f"n{i}"), F.col(f"c{i}")).alias(f"c{i}") for i in range(width)]
-    return m.select(*out, F.coalesce("in_source", F.lit(False)).alias("in_source"),
-                    F.coalesce("in_target", F.lit(False)).alias("in_target"))
+    return m.select(*out, "in_source", "in_target")
 
 
 def row_set_diff(source: DataFrame, target: DataFrame) -> DataFrame:
