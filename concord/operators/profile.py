@@ -184,13 +184,62 @@ def inclusion_test(tables: dict[str, DataFrame], pairs: list[tuple[str, str, str
     return res.withColumn("is_fk", (F.col("orphan_values") == 0) & (F.col("child_distinct") > 0))
 
 
+def parent_candidate_columns(tables: dict[str, DataFrame]) -> dict[str, list[str]]:
+    """Columns ``fk_candidates`` could ever pick as a parent, from names and types
+    alone: a key-like stem shared with a column of the same type family in
+    another table.  Only these need the uniqueness profile for FK discovery,
+    so the profile skips measures, names and dates - exactly, since a column
+    outside this set is never a candidate whatever its data."""
+    fields = [(t, f.name, f.dataType) for t, df in tables.items() for f in df.schema.fields]
+    owners: dict[tuple[str, str], set[str]] = {}
+    for t, c, dt in fields:
+        owners.setdefault((_stem(c), _type_family(dt)), set()).add(t)
+    out: dict[str, list[str]] = {}
+    for t, c, dt in fields:
+        stem = _stem(c)
+        if re.match(KEY_STEM_PATTERN, stem) and owners[(stem, _type_family(dt))] - {t}:
+            out.setdefault(t, []).append(c)
+    return out
+
+
+def _profile_subset(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> list:
+    """Per-column profile rows of the named columns only (one job, one row per column)."""
+    chosen = {t: tables[t] for t, cols in columns.items() if cols}
+    return column_profile(chosen, columns).collect() if chosen else []
+
+
 def discover_foreign_keys(tables: dict[str, DataFrame], profile_rows: list | None = None) -> DataFrame:
     """PRF-2 then PRF-3: profile, pick candidate pairs, test inclusion.
 
-    Two Spark jobs; the per-column profile (one row per column) is the only
-    thing collected.  Pass ``profile_rows`` to reuse a profile already taken."""
-    prof = profile_rows if profile_rows is not None else column_profile(tables).collect()
-    return inclusion_test(tables, fk_candidates(tables, [r for r in prof if r["is_key_candidate"]]))
+    Two Spark jobs.  The profile covers only the possible parents
+    (``parent_candidate_columns``) and is the only thing collected, one row
+    per column.  Pass ``profile_rows`` to reuse a profile already taken."""
+    if profile_rows is None:
+        profile_rows = _profile_subset(tables, parent_candidate_columns(tables))
+    return inclusion_test(tables, fk_candidates(tables, [r for r in profile_rows if r["is_key_candidate"]]))
+
+
+def discover_related(tables: dict[str, DataFrame], seeds: list[str], *, cap: int | None = None) -> DataFrame:
+    """DIS-1 .. DIS-4 end to end: profile the seeds' columns and the possible
+    FK parents (one job), test the candidate pairs by inclusion (one job),
+    then pick related tables (``related_tables``).
+
+    The profile and the relationships are one row per column and per
+    candidate pair - schema-sized - and are brought back as small frames so
+    the four discovery phases do not re-run the scans."""
+    spark = next(iter(tables.values())).sparkSession
+    wanted = parent_candidate_columns(tables)
+    for t in seeds:
+        if t in tables:
+            wanted[t] = list(tables[t].columns)
+    prof = _profile_subset(tables, wanted)
+    fk = discover_foreign_keys(tables, prof)
+    rel = spark.createDataFrame(fk.collect(), fk.schema)
+    key_cols = {(r["table_name"], r["column_name"]) for r in prof if r["is_key_candidate"]}
+    cols = spark.createDataFrame(
+        [(t, c, (t, c) in key_cols) for t, df in tables.items() for c in df.columns],
+        "table_name string, column_name string, is_key_candidate boolean")
+    return related_tables(spark, seeds, rel, cols, cap=cap)
 
 
 # ---------------------------------------------------------------- DIS-1 .. DIS-4

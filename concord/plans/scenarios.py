@@ -337,15 +337,7 @@ def fk_discovery(spark, sf_dir):
 
 
 def bridge_discovery(spark, sf_dir):
-    t = tables(spark, sf_dir, TPCH_TABLES)
-    prof = profile.column_profile(t).collect()  # one row per column
-    # One row per candidate column pair: schema-sized, so it is collected once
-    # and the discovery phases run on the small frame.
-    fk = profile.discover_foreign_keys(t, prof)
-    rel = spark.createDataFrame(fk.collect(), fk.schema)
-    cols = spark.createDataFrame([(r["table_name"], r["column_name"], r["is_key_candidate"]) for r in prof],
-                                 "table_name string, column_name string, is_key_candidate boolean")
-    return profile.related_tables(spark, ["orders", "part"], rel, cols)
+    return profile.discover_related(tables(spark, sf_dir, TPCH_TABLES), ["orders", "part"])
 
 
 def schema_columns(spark, sf_dir):

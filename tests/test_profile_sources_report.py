@@ -45,6 +45,23 @@ def test_foreign_keys_and_related_tables(spark, star):
     got = {(r["table_name"], r["reason"]) for r in
            profile.related_tables(spark, ["orders", "region"], rel, cols).collect()}
     assert ("customer", "outbound_fk") in got
+    # the one-call pipeline equals the step-by-step one
+    assert {(r["table_name"], r["reason"]) for r in profile.discover_related(star, ["orders", "region"]).collect()} \
+        == got
+
+
+def test_parent_candidates_are_exact_for_fk_discovery(star):
+    cand = profile.parent_candidate_columns(star)
+    # names, measures and keys without a same-stem partner are never profiled
+    assert cand == {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"],
+                    "customer": ["c_custkey", "c_nationkey"], "orders": ["o_custkey"]}
+    full = profile.column_profile(star).collect()
+    a = sorted(tuple(r) for r in profile.discover_foreign_keys(star, full).collect())
+    b = sorted(tuple(r) for r in profile.discover_foreign_keys(star).collect())
+    assert a == b
+
+
+def test_schema_listing(spark, star):
     schema = profile.schema_listing(spark, star).where("table_name = 'orders'").collect()
     assert [(r["column_name"], r["data_type"]) for r in schema] == [("o_orderkey", "bigint"),
                                                                     ("o_custkey", "bigint")]
