@@ -38,55 +38,59 @@ def schema_listing(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFra
                                        "data_type string, nullable boolean")
 
 
-def _slots(c, dt: T.DataType) -> list:
-    """A value in one of three typed slots (long, double, text), so every
-    column fits one unpivoted layout without casting numbers to text."""
-    none_l, none_d, none_s = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
+def _typed_value(c, dt: T.DataType) -> tuple[str, object]:
+    """The value in one of three type families (long, double, text), so the
+    columns of a family share one unpivoted layout without casting numbers to
+    text."""
     if isinstance(dt, (*_INTEGRAL, T.BooleanType)):
-        return [c.cast("bigint"), none_d, none_s]
+        return "long", c.cast("bigint")
     if isinstance(dt, T.DateType):
-        return [F.unix_date(c).cast("bigint"), none_d, none_s]
+        return "long", F.unix_date(c).cast("bigint")
     if isinstance(dt, (T.DoubleType, T.FloatType)):
-        return [none_l, c.cast("double"), none_s]
+        return "double", c.cast("double")
     if isinstance(dt, T.StringType):
-        return [none_l, none_d, c]
-    return [none_l, none_d, c.cast("string")]
-
-
-def _long_values(df: DataFrame, columns: list[tuple[int, str]]) -> DataFrame:
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    rows = []
-    for cid, c in columns:
-        vl, vd, vs = _slots(F.col(f"`{c}`"), fields[c])
-        rows.append(F.struct(F.lit(cid).alias("cid"), vl.alias("vl"), vd.alias("vd"), vs.alias("vs")))
-    return df.select(F.inline(F.array(*rows)))
+        return "text", c
+    return "text", c.cast("string")
 
 
 def column_profile(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None) -> DataFrame:
     """PRF-2: one row per column: ``table_name, column_name, n_rows, n_nulls,
     n_distinct, max_repeat, is_unique, is_key_candidate``.
 
-    Exact counts, all tables in one job with two shuffles: every table is
-    unpivoted to (column id, typed value), counted per value with map-side
-    combining (a hot value collapses before the shuffle), then summed per
-    column.  Column names join back only at the end, on the per-column rows.
+    Exact counts, all tables in one job.  Columns are unpivoted to (column id,
+    value), one layout per type family (long, double, text), so each family is
+    grouped on two columns of one type; counts per value use map-side
+    combining (a hot value collapses before the shuffle) and are then summed
+    per column.  Column names join back only at the end, on the per-column
+    rows.
     """
     spark = next(iter(tables.values())).sparkSession
-    ids, parts = [], []
+    ids: list[tuple[int, str, str]] = []
+    families: dict[str, list[DataFrame]] = {}
     for t, df in tables.items():
-        cols = [(len(ids) + i, c) for i, c in enumerate((columns or {}).get(t) or df.columns)]
-        ids += [(cid, t, c) for cid, c in cols]
-        parts.append(_long_values(df, cols))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    per_value = long.groupBy("cid", "vl", "vd", "vs").agg(F.count(F.lit(1)).alias("cnt"))
-    is_null = F.col("vl").isNull() & F.col("vd").isNull() & F.col("vs").isNull()
-    prof = per_value.groupBy("cid").agg(
-        F.sum("cnt").alias("n_rows"),
-        F.coalesce(F.sum(F.when(is_null, F.col("cnt"))), F.lit(0)).cast("bigint").alias("n_nulls"),
-        F.count_if(~is_null).alias("n_distinct"),
-        F.coalesce(F.max(F.when(~is_null, F.col("cnt"))), F.lit(0)).cast("bigint").alias("max_repeat"))
+        fields = {f.name: f.dataType for f in df.schema.fields}
+        per: dict[str, list] = {}
+        for c in (columns or {}).get(t) or df.columns:
+            fam, v = _typed_value(F.col(f"`{c}`"), fields[c])
+            per.setdefault(fam, []).append(F.struct(F.lit(len(ids)).alias("cid"), v.alias("v")))
+            ids.append((len(ids), t, c))
+        for fam, structs in per.items():
+            families.setdefault(fam, []).append(df.select(F.inline(F.array(*structs))))
+    stats = []
+    for parts in families.values():
+        long = parts[0]
+        for p in parts[1:]:
+            long = long.unionByName(p)
+        per_value = long.groupBy("cid", "v").agg(F.count(F.lit(1)).alias("cnt"))
+        stats.append(per_value.groupBy("cid").agg(
+            F.sum("cnt").alias("n_rows"),
+            F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("cnt"))), F.lit(0)).cast("bigint").alias("n_nulls"),
+            F.count_if(F.col("v").isNotNull()).alias("n_distinct"),
+            F.coalesce(F.max(F.when(F.col("v").isNotNull(), F.col("cnt"))), F.lit(0)).cast("bigint")
+            .alias("max_repeat")))
+    prof = stats[0]
+    for x in stats[1:]:
+        prof = prof.unionByName(x)
     # One row per column: a metadata-sized frame, joined by id.
     names = spark.createDataFrame(ids, "cid int, table_name string, column_name string")
     unique = (F.col("max_repeat") <= 1) & (F.col("n_distinct") > 0)
