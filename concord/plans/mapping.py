@@ -58,6 +58,13 @@ def _clean_cell(c: Column) -> Column:
     return F.when(t.isin(*NULL_TOKENS), F.lit("")).otherwise(t)
 
 
+def clean_rows(rows: DataFrame) -> DataFrame:
+    """MAP-3 over a frame of mapping rows: every text column trimmed, null tokens -> ''."""
+    return rows.select(*[_clean_cell(F.col(f"`{f.name}`")).alias(f.name)
+                         if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
+                         for f in rows.schema.fields])
+
+
 def _from_cell_arrays(lines: DataFrame) -> DataFrame:
     """``document, cells`` (array of cleaned text) -> one row per mapping row.
 

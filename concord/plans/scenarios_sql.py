@@ -492,6 +492,90 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM s) AS n_runs,
        (SELECT CAST(coalesce(sum(passed_cases), 0) AS BIGINT) FROM recent) AS passed_latest,
        (SELECT CAST(coalesce(sum(failed_cases), 0) AS BIGINT) FROM recent) AS failed_latest"""
 
+# ---------------------------------------------------------------- mapping suite
+
+_FACT_ORDERS_BASE = """
+  SELECT md5(concat(CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR))) AS order_sk,
+         CASE WHEN o_orderkey % 71 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS cust_id,
+         CAST(CASE WHEN o_orderkey % 83 = 0 THEN year(o_orderdate) * 100 + 13
+                   ELSE year(o_orderdate) * 100 + month(o_orderdate) END AS INTEGER) AS period_key,
+         CAST(CASE WHEN o_orderkey % 53 = 0 THEN CAST(o_totalprice AS DECIMAL(12,2)) + 1
+                   ELSE CAST(o_totalprice AS DECIMAL(12,2)) END AS DECIMAL(12,2)) AS total_amt,
+         CAST(CASE WHEN o_orderkey % 89 = 0 THEN 4 WHEN o_orderstatus = 'F' THEN 1
+                   WHEN o_orderstatus = 'O' THEN 2 WHEN o_orderstatus = 'P' THEN 3 END AS INTEGER) AS status_code,
+         substr(o_orderpriority, 1, 8) AS priority,
+         CASE WHEN o_orderkey % 79 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS order_date,
+         o_orderkey AS k
+  FROM orders WHERE o_orderkey % 97 <> 0"""
+
+FACT_ORDERS = f"""
+  SELECT * EXCLUDE (k) FROM ({_FACT_ORDERS_BASE}) a
+  UNION ALL
+  SELECT * EXCLUDE (k) FROM ({_FACT_ORDERS_BASE}) b WHERE k % 101 = 0"""
+
+_ORDER_SK = "md5(concat(CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR)))"
+
+
+def _pairs_check(name: str, source_val: str, target_val: str) -> str:
+    """Keyed value check by brute force: every source/target row pair of a key
+    is formed and the unequal ones counted, plus the rows of one-sided keys."""
+    return f"""
+SELECT '{name}' AS check_name, 'value_match' AS check_type, mm = 0 AS passed,
+       CAST(cs AS VARCHAR) || ' rows' AS source_value, CAST(ct AS VARCHAR) || ' rows' AS target_value,
+       CAST(mm AS BIGINT) AS mismatch_count
+FROM (
+  WITH s AS (SELECT {canon_str(_ORDER_SK)} AS k, {source_val} AS v FROM orders),
+       t AS (SELECT {canon_str('order_sk')} AS k, {target_val} AS v FROM ({FACT_ORDERS}) f),
+       ks AS (SELECT DISTINCT k FROM s), kt AS (SELECT DISTINCT k FROM t)
+  SELECT (SELECT count(*) FROM s) AS cs, (SELECT count(*) FROM t) AS ct,
+         (SELECT count(*) FROM s JOIN t ON s.k = t.k WHERE s.v <> t.v)
+         + (SELECT count(*) FROM s WHERE k NOT IN (SELECT k FROM kt))
+         + (SELECT count(*) FROM t WHERE k NOT IN (SELECT k FROM ks)) AS mm) x"""
+
+
+def _target_count(name: str, ctype: str, where: str, frm: str = None) -> str:
+    return f"""
+SELECT '{name}' AS check_name, '{ctype}' AS check_type, cnt = 0 AS passed, CAST(NULL AS VARCHAR) AS source_value,
+       CAST(cnt AS VARCHAR) AS target_value, CAST(cnt AS BIGINT) AS mismatch_count
+FROM (SELECT count(*) AS cnt FROM {frm or f'({FACT_ORDERS}) f'} WHERE {where}) x"""
+
+
+MAPPING_SUITE = " UNION ALL ".join([
+    _pairs_check("M01 value_match fact_orders.order_sk", canon_str(_ORDER_SK), canon_str("order_sk")),
+    _target_count("M01 null_check fact_orders.order_sk", "null_check", "order_sk IS NULL"),
+    f"""
+SELECT 'M01 duplicate_check fact_orders.order_sk' AS check_name, 'duplicate_check' AS check_type,
+       n = 0 AS passed, CAST(NULL AS VARCHAR) AS source_value, CAST(n AS VARCHAR) AS target_value,
+       CAST(n AS BIGINT) AS mismatch_count
+FROM (SELECT count(*) AS n FROM (SELECT order_sk FROM ({FACT_ORDERS}) f GROUP BY order_sk
+                                 HAVING count(*) > 1) g) x""",
+    _pairs_check("M02 value_match fact_orders.cust_id", canon_int("o_custkey"), canon_int("cust_id")),
+    _target_count("M02 fk_check fact_orders.cust_id", "dq_check", "c.c_custkey IS NULL",
+                  f"({FACT_ORDERS}) f LEFT JOIN customer c ON f.cust_id = c.c_custkey"),
+    _pairs_check("M03 value_match fact_orders.period_key",
+                 canon_int("year(o_orderdate) * 100 + month(o_orderdate)"), canon_int("period_key")),
+    _target_count("M03 dq_check fact_orders.period_key", "dq_check",
+                  "NOT regexp_matches(CAST(period_key AS VARCHAR), '^[0-9]{4}(0[1-9]|1[0-2])$')"),
+    _pairs_check("M04 value_match fact_orders.total_amt", canon_float("o_totalprice"), canon_dec("total_amt")),
+    _target_count("M04 dq_check fact_orders.total_amt", "dq_check", "NOT (total_amt > 0)"),
+    _pairs_check("M05 value_match fact_orders.status_code",
+                 canon_int("CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 WHEN 'P' THEN 3 END"),
+                 canon_int("status_code")),
+    _target_count("M05 dq_check fact_orders.status_code", "dq_check", "NOT (status_code IN (1, 2, 3))"),
+    _pairs_check("M06 value_match fact_orders.priority", canon_str("substr(o_orderpriority, 1, 8)"),
+                 canon_str("priority")),
+    _target_count("M06 dq_check fact_orders.priority", "dq_check", "length(priority) > 8"),
+    _pairs_check("M07 value_match fact_orders.order_date", canon_ts("CAST(o_orderdate AS DATE)"),
+                 canon_ts("order_date")),
+    _target_count("M07 null_check fact_orders.order_date", "null_check", "order_date IS NULL"),
+    f"""
+SELECT 'row_count src_orders -> fact_orders' AS check_name, 'row_count' AS check_type, s = t AS passed,
+       CAST(s AS VARCHAR) AS source_value, CAST(t AS VARCHAR) AS target_value,
+       CAST(CASE WHEN s = t THEN 0 ELSE 1 END AS BIGINT) AS mismatch_count
+FROM (SELECT (SELECT count(*) FROM orders) AS s, (SELECT count(*) FROM ({FACT_ORDERS}) f) AS t) x""",
+])
+
+
 ORACLE_SQL = {
     "keyed_diff_orders": KEYED_DIFF_ORDERS,
     "keyed_diff_multi": KEYED_DIFF_MULTI,
@@ -529,6 +613,7 @@ ORACLE_SQL = {
     "profile_columns": PROFILE_COLUMNS,
     "fk_discovery": FK_DISCOVERY,
     "bridge_discovery": BRIDGE_DISCOVERY,
+    "mapping_suite": MAPPING_SUITE,
     "schema_columns": SCHEMA_COLUMNS,
     "fused_suite": FUSED_SUITE,
     "batch_results": BATCH_RESULTS,

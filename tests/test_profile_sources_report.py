@@ -104,6 +104,13 @@ def test_pipe_table_and_tab_documents(spark, tmp_path):
     assert (r["map_id"], r["target_column"], r["is_key"]) == ("X1", "d", False)
 
 
+def test_clean_rows_null_tokens(spark):
+    df = spark.createDataFrame([(" a ", "nan", None, 3), ("NULL", " None", "x", 4)],
+                               "p string, q string, r string, n int")
+    got = [tuple(r) for r in mapping.clean_rows(df).orderBy("n").collect()]
+    assert got == [("a", "", "", 3), ("", "", "x", 4)]
+
+
 def test_rule_translation():
     assert mapping.rule_to_sql("MD5(a+b)::CHAR(32)", "a") == \
         "md5(concat(CAST(a AS STRING), CAST(b AS STRING)))"
