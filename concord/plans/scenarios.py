@@ -442,8 +442,5 @@ def mapping_suite(spark, sf_dir):
                                         *[F.lit("").alias(c) for c in ("source_type", "test_notes")]))
     fields = [r.asDict() for r in mapping.field_mappings(raw).orderBy("map_id").collect()]  # one row per field
     cases = mapping.to_checks(fields, views)
-    frames = [suite.case_result(spark, c) for c in cases]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+    out = suite.suite_results(spark, cases)
     return out.select("check_name", "check_type", "passed", "source_value", "target_value", "mismatch_count")

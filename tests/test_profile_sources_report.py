@@ -150,6 +150,8 @@ def test_suite_runner_dispatch_and_errors(spark):
     assert res[6].error_message == suite.NO_SQL_ERROR
     assert not res[7].passed and res[7].error_message
     assert res[8].mismatch_count == 1
+    lazy = {r["test_case_id"]: r for r in suite.suite_results(spark, cases, params={"lo": 1}).collect()}
+    assert lazy == res
     gated = suite.case_result(spark, cases[8], use_checksum=True).collect()[0]
     assert gated.source_value == "Checksum Match" and gated.passed
     assert suite.validate_sql(spark, "SELECT * FROM nope")[0] == "invalid"
