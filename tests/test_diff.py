@@ -4,6 +4,7 @@ import json
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from concord.operators import diff
 
@@ -165,3 +166,26 @@ def test_injected_faults_are_counted_exactly(spark, ids, n_faults):
     assert r.mismatch_count == n
     r2 = diff.keyed_diff_result("f", t, s).collect()[0]
     assert r2.mismatch_count == n  # symmetric
+
+
+typed_rows = st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 12)), st.one_of(st.none(), st.integers(0, 3))),
+                      max_size=30)
+
+
+@settings(max_examples=6, deadline=None)
+@given(typed_rows, typed_rows)
+def test_typed_comparison_equals_text_comparison(spark, a, b):
+    """Integer keys and values grouped in their own type give exactly the rows
+    of the same comparison over their text (NULL, repeats and m x n pairs)."""
+    s = spark.createDataFrame(a, "key_col int, v bigint")
+    t = spark.createDataFrame(b, "key_col bigint, v int")
+    as_text = [x.selectExpr("CAST(key_col AS STRING) AS key_col", "CAST(v AS STRING) AS v") for x in (s, t)]
+    typed = sorted(tuple(r) for r in diff.keyed_diff(s, t).collect())
+    text = sorted(tuple(r) for r in diff.keyed_diff(*as_text).collect())
+    assert typed == text
+    assert diff.keyed_diff_result("t", s, t).collect()[0].mismatch_count == \
+        diff.keyed_diff_result("t", *as_text).collect()[0].mismatch_count
+    assert sorted(tuple(r) for r in diff.set_diff(s.select(F.col("v").alias("val")),
+                                                   t.select(F.col("v").alias("val"))).collect()) == \
+        sorted(tuple(r) for r in diff.set_diff(as_text[0].select(F.col("v").alias("val")),
+                                               as_text[1].select(F.col("v").alias("val"))).collect())
