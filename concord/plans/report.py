@@ -119,7 +119,13 @@ def report_rows(run: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFram
         line("Total:", F.col("total_cases")),
         line("Passed:", F.col("passed_cases")),
         line("Failed:", F.col("failed_cases")))))
-    table = results.select(
+    return header, report_table(results)
+
+
+def report_table(results: DataFrame) -> DataFrame:
+    """SNK-3 result table: one line per result of ``run_detail``, PASS/FAIL,
+    empty text for missing values (the CSV writer quotes)."""
+    return results.select(
         F.col("test_case_id").alias("Test Case ID"),
         F.coalesce("test_case_name", F.lit("")).alias("Test Name"),
         F.col("test_case_type").alias("Type"),
@@ -128,7 +134,6 @@ def report_rows(run: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFram
         F.coalesce("target_value", F.lit("")).alias("Target Value"),
         F.col("mismatch_count").alias("Mismatches"),
         F.coalesce("error_message", F.lit("")).alias("Error Message"))
-    return header, table
 
 
 def write_report_csv(run: DataFrame, results: DataFrame, path: str) -> None:

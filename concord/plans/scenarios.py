@@ -426,10 +426,8 @@ def orders_fact(spark, sf_dir) -> DataFrame:
     return base.unionByName(base.where(F.col("__k") % 101 == 0)).drop("__k")
 
 
-def mapping_suite(spark, sf_dir):
-    """A mapping document run end to end (MAP-3..5, CHKTYPE-1..7, suite runner):
-    the rows are cleaned and defaulted by Spark, turned into test cases, and
-    every case runs on the whole tables - all cases as one Spark job."""
+def _mapping_cases(spark, sf_dir) -> list[dict]:
+    """Register the load's views and turn the mapping rows into test cases."""
     views = {"src_orders": table(spark, sf_dir, "orders"), "fact_orders": orders_fact(spark, sf_dir),
              "dim_customer": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust_id"),
                                                                      F.col("c_name").alias("cust_name"))}
@@ -441,6 +439,20 @@ def mapping_suite(spark, sf_dir):
     raw = mapping.clean_rows(raw.select(F.lit("orders_load").alias("document"), *cols,
                                         *[F.lit("").alias(c) for c in ("source_type", "test_notes")]))
     fields = [r.asDict() for r in mapping.field_mappings(raw).orderBy("map_id").collect()]  # one row per field
-    cases = mapping.to_checks(fields, views)
-    out = suite.suite_results(spark, cases)
+    return mapping.to_checks(fields, views)
+
+
+def mapping_suite(spark, sf_dir):
+    """A mapping document run end to end (MAP-3..5, CHKTYPE-1..7, suite runner):
+    the rows are cleaned and defaulted by Spark, turned into test cases, and
+    every case runs on the whole tables - all cases as one Spark job."""
+    out = suite.suite_results(spark, _mapping_cases(spark, sf_dir))
     return out.select("check_name", "check_type", "passed", "source_value", "target_value", "mismatch_count")
+
+
+def run_report(spark, sf_dir):
+    """The run report's result table (SNK-3) of the mapping suite: results
+    joined to their test cases (RUN-3), PASS/FAIL per line."""
+    cases = _mapping_cases(spark, sf_dir)
+    detail = report.run_detail(suite.suite_results(spark, cases), mapping.checks_frame(spark, cases))
+    return report.report_table(detail)

@@ -576,6 +576,29 @@ FROM (SELECT (SELECT count(*) FROM orders) AS s, (SELECT count(*) FROM ({FACT_OR
 ])
 
 
+# Case ids in the order the mapping's checks are generated (per row: value check,
+# its rule check, the identity's duplicate check; the row count last).
+_MAPPING_CASE_IDS = [
+    "M01 value_match fact_orders.order_sk", "M01 null_check fact_orders.order_sk",
+    "M01 duplicate_check fact_orders.order_sk", "M02 value_match fact_orders.cust_id",
+    "M02 fk_check fact_orders.cust_id", "M03 value_match fact_orders.period_key",
+    "M03 dq_check fact_orders.period_key", "M04 value_match fact_orders.total_amt",
+    "M04 dq_check fact_orders.total_amt", "M05 value_match fact_orders.status_code",
+    "M05 dq_check fact_orders.status_code", "M06 value_match fact_orders.priority",
+    "M06 dq_check fact_orders.priority", "M07 value_match fact_orders.order_date",
+    "M07 null_check fact_orders.order_date", "row_count src_orders -> fact_orders",
+]
+
+RUN_REPORT = f"""
+SELECT CAST(v.id AS INTEGER) AS "Test Case ID", r.check_name AS "Test Name", r.check_type AS "Type",
+       CASE WHEN r.passed THEN 'PASS' ELSE 'FAIL' END AS "Status",
+       coalesce(r.source_value, '') AS "Source Value", coalesce(r.target_value, '') AS "Target Value",
+       r.mismatch_count AS "Mismatches", '' AS "Error Message"
+FROM ({MAPPING_SUITE}) r
+JOIN (VALUES {", ".join(f"('{n}', {k})" for k, n in enumerate(_MAPPING_CASE_IDS, 1))}) v(name, id)
+  ON r.check_name = v.name"""
+
+
 ORACLE_SQL = {
     "keyed_diff_orders": KEYED_DIFF_ORDERS,
     "keyed_diff_multi": KEYED_DIFF_MULTI,
@@ -614,6 +637,7 @@ ORACLE_SQL = {
     "fk_discovery": FK_DISCOVERY,
     "bridge_discovery": BRIDGE_DISCOVERY,
     "mapping_suite": MAPPING_SUITE,
+    "run_report": RUN_REPORT,
     "schema_columns": SCHEMA_COLUMNS,
     "fused_suite": FUSED_SUITE,
     "batch_results": BATCH_RESULTS,
