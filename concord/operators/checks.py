@@ -84,8 +84,11 @@ def orphan_values(child: DataFrame, fk: str | list[str], parent: DataFrame,
         F.count(F.lit(1)).alias("cnt"))
     # Parent keys are made distinct too: a repeated parent key cannot pile up
     # in one join task, and both sides arrive hash-partitioned on the keys.
-    p = parent.select(*[F.col(x).alias(k) for x, k in zip(pks, keys)]).distinct()
-    orphans = c.join(p, keys, "left_anti")
+    # A left join on a parent flag, not an anti join: Catalyst would push an
+    # anti join below the child's aggregate and shuffle raw child rows.
+    p = parent.select(*[F.col(x).alias(k) for x, k in zip(pks, keys)]).distinct() \
+        .withColumn("__parent", F.lit(True))
+    orphans = c.join(p, keys, "left").where(F.col("__parent").isNull())
     return orphans.select(*[F.col(k).alias(f) for k, f in zip(keys, fks)], "cnt")
 
 
