@@ -146,6 +146,14 @@ def keyed_diff_check(spark, sf_dir):
     return r.select("check_name", "check_type", "passed", "source_value", "target_value", "mismatch_count")
 
 
+def keyed_diff_sample(spark, sf_dir):
+    """SNK-2 and CMP-2a of the orders check: the JSON sample (first 100
+    mismatching keys in key order, all fields, explicit nulls) and the counts
+    per mismatch type and per compared column."""
+    r = diff.keyed_diff_result("value_match_orders", orders_source(spark, sf_dir), orders_target(spark, sf_dir))
+    return r.select("check_name", "mismatch_sample", "mismatch_breakdown")
+
+
 def _customers_with_orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("val"))
 
@@ -165,6 +173,13 @@ def set_diff_check(spark, sf_dir):
     return r.select("check_name", "check_type", "passed", "source_value", "target_value", "mismatch_count")
 
 
+def set_diff_sample(spark, sf_dir):
+    """SNK-2 of the set check: the first 50 missing and first 50 extra values as JSON."""
+    r = diff.set_diff_result("set_customers", _customers_with_orders(spark, sf_dir),
+                             _customer_dim_load(spark, sf_dir))
+    return r.select("check_name", "mismatch_sample")
+
+
 def row_set_diff_parts(spark, sf_dir):
     return diff.row_set_diff(part_source(spark, sf_dir), part_target(spark, sf_dir))
 

@@ -194,6 +194,32 @@ SELECT 'value_match_orders' AS check_name, 'value_match' AS check_type, mm = 0 A
        CAST(mm AS BIGINT) AS mismatch_count
 FROM n"""
 
+_ORDER_DIFF_FIELDS = ["key_col", "n_source", "n_target", "matched_pairs", "mismatch_pairs", "mismatch_type",
+                      "val_source", "val_target", "amount_source", "amount_target",
+                      "o_orderdate_source", "o_orderdate_target", "changed_columns"]
+
+KEYED_DIFF_SAMPLE = f"""
+WITH d AS ({KEYED_DIFF_ORDERS}),
+s AS (SELECT * FROM d ORDER BY key_col LIMIT 100),
+b AS (SELECT
+        CAST(count(*) FILTER (WHERE mismatch_type = 'missing_in_target') AS BIGINT) AS missing_in_target,
+        CAST(count(*) FILTER (WHERE mismatch_type = 'extra_in_target') AS BIGINT) AS extra_in_target,
+        CAST(count(*) FILTER (WHERE mismatch_type = 'value_mismatch') AS BIGINT) AS value_mismatch,
+        CAST(0 AS BIGINT) AS duplicate_key,
+        CAST(count(*) FILTER (WHERE val_source <> val_target) AS BIGINT) AS c_val,
+        CAST(count(*) FILTER (WHERE amount_source <> amount_target) AS BIGINT) AS c_amount,
+        CAST(count(*) FILTER (WHERE o_orderdate_source <> o_orderdate_target) AS BIGINT) AS c_date
+      FROM d)
+SELECT 'value_match_orders' AS check_name,
+       (SELECT CAST(to_json(list(struct_pack({", ".join(_ORDER_DIFF_FIELDS)}) ORDER BY key_col)) AS VARCHAR)
+        FROM s) AS mismatch_sample,
+       CAST(to_json(struct_pack(
+         by_type := struct_pack(missing_in_target := missing_in_target, extra_in_target := extra_in_target,
+                                value_mismatch := value_mismatch, duplicate_key := duplicate_key),
+         by_column := struct_pack(val := c_val, amount := c_amount, o_orderdate := c_date))) AS VARCHAR)
+         AS mismatch_breakdown
+FROM b"""
+
 _SET_S = f"SELECT DISTINCT {canon_int('o_custkey')} AS val FROM orders"
 _SET_T = f"SELECT DISTINCT {canon_int('c_custkey')} AS val FROM customer WHERE c_mktsegment <> 'MACHINERY'"
 
@@ -213,6 +239,17 @@ SELECT 'set_customers' AS check_name, 'value_match' AS check_type, mm = 0 AS pas
 FROM n"""
 
 
+SET_DIFF_SAMPLE = f"""
+WITH d AS ({SET_DIFF_CUSTOMERS}),
+m AS (SELECT * FROM d WHERE mismatch_type = 'missing_in_target' ORDER BY val LIMIT 50),
+e AS (SELECT * FROM d WHERE mismatch_type = 'extra_in_target' ORDER BY val LIMIT 50),
+s AS (SELECT * FROM m UNION ALL SELECT * FROM e)
+SELECT 'set_customers' AS check_name,
+       CAST(to_json(list(struct_pack(mismatch_type, val) ORDER BY mismatch_type, val)) AS VARCHAR)
+         AS mismatch_sample
+FROM s"""
+
+
 def _rows_text(q: str) -> str:
     cols = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
     sel = ", ".join(f"CAST({c} AS VARCHAR) AS c{i}" for i, c in enumerate(cols))
@@ -636,6 +673,8 @@ ORACLE_SQL = {
     "profile_columns": PROFILE_COLUMNS,
     "fk_discovery": FK_DISCOVERY,
     "bridge_discovery": BRIDGE_DISCOVERY,
+    "keyed_diff_sample": KEYED_DIFF_SAMPLE,
+    "set_diff_sample": SET_DIFF_SAMPLE,
     "mapping_suite": MAPPING_SUITE,
     "run_report": RUN_REPORT,
     "schema_columns": SCHEMA_COLUMNS,
