@@ -28,6 +28,8 @@ ID_LIKE_PATTERN = r"(?i).*(_id|_key|_code|_cd|type|code)$"
 KEY_STEM_PATTERN = r"(?i).*(id|key|code|_cd|type)$"
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+# Reasons of the discovery phases, in phase order (ours).
+PHASE_REASONS = ["seed", "outbound_fk", "bridge_fk", "bridge_name", "inbound_fk"]
 
 
 def schema_listing(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
@@ -264,37 +266,36 @@ def related_tables(spark: SparkSession, seeds: list[str], relationships: DataFra
     Phases 3 and 4 need two seeds.  ``cap`` keeps the first tables by name
     (the reference caps at 15 for prompt size; default: no cap).
     """
-    seed_df = spark.createDataFrame([(s,) for s in seeds], "table_name string").distinct()
+    # Every phase's candidates depend on the seeds only, never on what an
+    # earlier phase chose; "each phase skips tables already chosen" is thus
+    # "each table takes the first phase it qualifies for": one union of
+    # candidates and one aggregate, instead of a chain of anti joins.
+    seed_df = spark.createDataFrame([(s,) for s in seeds], "table_name string")
     fk = relationships.where("is_fk")
-    chosen = seed_df.withColumn("reason", F.lit("seed"))
-
-    outbound = (fk.join(seed_df.withColumnRenamed("table_name", "child_table"), "child_table")
-                .select(F.col("parent_table").alias("table_name")).distinct()
-                .join(chosen, "table_name", "left_anti").withColumn("reason", F.lit("outbound_fk")))
-    chosen = chosen.unionByName(outbound)
-
+    to_seed = fk.join(seed_df.withColumnRenamed("table_name", "parent_table"), "parent_table")
+    phases = [
+        seed_df.withColumn("phase", F.lit(0)),
+        fk.join(seed_df.withColumnRenamed("table_name", "child_table"), "child_table")
+        .select(F.col("parent_table").alias("table_name"), F.lit(1).alias("phase")),
+    ]
     if len(set(seeds)) >= 2:
-        to_seed = fk.join(seed_df.withColumnRenamed("table_name", "parent_table"), "parent_table")
-        bridge_fk = (to_seed.groupBy(F.col("child_table").alias("table_name"))
-                     .agg(F.countDistinct("parent_table").alias("n"))
-                     .where("n >= 2").select("table_name")
-                     .join(chosen, "table_name", "left_anti").withColumn("reason", F.lit("bridge_fk")))
-        chosen = chosen.unionByName(bridge_fk)
-
+        phases.append(to_seed.groupBy(F.col("child_table").alias("table_name"))
+                      .agg(F.countDistinct("parent_table").alias("n")).where("n >= 2")
+                      .select("table_name", F.lit(2).alias("phase")))
         cols = columns.select("table_name", F.lower("column_name").alias("cname"), "is_key_candidate")
         seed_keys = (cols.join(seed_df, "table_name")
                      .where(F.col("is_key_candidate") | F.col("cname").rlike(ID_LIKE_PATTERN))
                      .select(F.col("table_name").alias("seed"), "cname"))
-        others = cols.select("table_name", "cname").join(chosen, "table_name", "left_anti")
-        bridge_name = (others.where(F.col("cname").rlike(ID_LIKE_PATTERN)).join(seed_keys, "cname")
-                       .groupBy("table_name").agg(F.countDistinct("seed").alias("n"))
-                       .where("n >= 2").select("table_name").withColumn("reason", F.lit("bridge_name")))
-        chosen = chosen.unionByName(bridge_name)
-
-    inbound = (fk.join(seed_df.withColumnRenamed("table_name", "parent_table"), "parent_table")
-               .select(F.col("child_table").alias("table_name")).distinct()
-               .join(chosen, "table_name", "left_anti").withColumn("reason", F.lit("inbound_fk")))
-    chosen = chosen.unionByName(inbound)
+        phases.append(cols.where(F.col("cname").rlike(ID_LIKE_PATTERN)).join(seed_keys, "cname")
+                      .groupBy("table_name").agg(F.countDistinct("seed").alias("n")).where("n >= 2")
+                      .select("table_name", F.lit(3).alias("phase")))
+    phases.append(to_seed.select(F.col("child_table").alias("table_name"), F.lit(4).alias("phase")))
+    cand = phases[0]
+    for p in phases[1:]:
+        cand = cand.unionByName(p)
+    reason = F.element_at(F.array(*[F.lit(r) for r in PHASE_REASONS]), F.col("phase") + 1)
+    chosen = cand.groupBy("table_name").agg(F.min("phase").alias("phase")) \
+        .select("table_name", reason.alias("reason"))
     if cap is not None:
         chosen = chosen.orderBy("table_name").limit(cap)
     return chosen
