@@ -40,6 +40,27 @@ def schema_listing(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFra
                                        "data_type string, nullable boolean")
 
 
+def schema_inventory(tables: dict[str, DataFrame]) -> DataFrame:
+    """PRF-1 measured: the schema listing plus ``n_rows`` of the table and
+    ``n_nulls`` of each column, so a column declared nullable can be told from
+    one that holds NULLs.  One aggregate per table (a scan, no shuffle); the
+    listing rows are literals of its projection, so nothing is joined."""
+    parts = []
+    for t, df in tables.items():
+        fields = df.schema.fields
+        wide = df.agg(F.count(F.lit(1)).alias("__n"),
+                      *[F.count_if(F.col(f"`{f.name}`").isNull()).alias(f"__z{i}") for i, f in enumerate(fields)])
+        rows = F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.lit(i).alias("position"),
+                                  F.lit(f.dataType.simpleString()).alias("data_type"),
+                                  F.lit(f.nullable).alias("nullable"), F.col(f"__z{i}").alias("n_nulls"))
+                         for i, f in enumerate(fields)])
+        parts.append(wide.select(F.lit(t).alias("table_name"), F.col("__n").alias("n_rows"), F.inline(rows)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("table_name", "column_name", "position", "data_type", "nullable", "n_rows", "n_nulls")
+
+
 def _typed_value(c, dt: T.DataType) -> tuple[str, object]:
     """The value in one of three type families (long, double, text), so the
     columns of a family share one unpivoted layout without casting numbers to

@@ -356,7 +356,7 @@ def bridge_discovery(spark, sf_dir):
 
 
 def schema_columns(spark, sf_dir):
-    return profile.schema_listing(spark, tables(spark, sf_dir, TPCH_TABLES))
+    return profile.schema_inventory(tables(spark, sf_dir, TPCH_TABLES))
 
 
 # ---------------------------------------------------------------- fused suite and run reports

@@ -475,13 +475,18 @@ SELECT * FROM c3 UNION ALL SELECT * FROM i"""
 _SPARK_TYPE = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double",
                "TIMESTAMP": "timestamp_ntz", "DATE": "date", "BOOLEAN": "boolean"}
 
+_NULLS = " UNION ALL ".join(
+    f"SELECT '{t}' AS t, '{c}' AS c, count(*) AS n_rows, count(*) - count({c}) AS n_nulls FROM {t}"
+    for t, cols in TPCH_COLUMNS.items() for c in cols)
+
 SCHEMA_COLUMNS = f"""
-SELECT table_name, column_name, CAST(ordinal_position - 1 AS INTEGER) AS position,
-       CASE data_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SPARK_TYPE.items())} ELSE lower(data_type) END
-         AS data_type,
-       is_nullable = 'YES' AS nullable
-FROM information_schema.columns
-WHERE table_name IN ({", ".join(f"'{t}'" for t in TPCH_COLUMNS)})"""
+SELECT i.table_name, i.column_name, CAST(i.ordinal_position - 1 AS INTEGER) AS position,
+       CASE i.data_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SPARK_TYPE.items())}
+            ELSE lower(i.data_type) END AS data_type,
+       i.is_nullable = 'YES' AS nullable,
+       CAST(z.n_rows AS BIGINT) AS n_rows, CAST(z.n_nulls AS BIGINT) AS n_nulls
+FROM information_schema.columns i JOIN ({_NULLS}) z ON z.t = i.table_name AND z.c = i.column_name
+WHERE i.table_name IN ({", ".join(f"'{t}'" for t in TPCH_COLUMNS)})"""
 
 # The lineitem load rules and their SQL predicates (violation = NOT cond).
 LINEITEM_RULE_SQL = [

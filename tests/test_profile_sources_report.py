@@ -65,6 +65,10 @@ def test_schema_listing(spark, star):
     schema = profile.schema_listing(spark, star).where("table_name = 'orders'").collect()
     assert [(r["column_name"], r["data_type"]) for r in schema] == [("o_orderkey", "bigint"),
                                                                     ("o_custkey", "bigint")]
+    inv = {(r["table_name"], r["column_name"]): r for r in profile.schema_inventory(star).collect()}
+    assert (inv[("customer", "c_type")]["n_rows"], inv[("customer", "c_type")]["n_nulls"]) == (3, 1)
+    assert inv[("customer", "c_type")]["nullable"] and inv[("customer", "c_type")]["position"] == 2
+    assert inv[("orders", "o_custkey")]["n_nulls"] == 0
 
 
 def test_file_sources(spark, tmp_path):
