@@ -228,7 +228,8 @@ def keyed_diff_result(name: str, source: DataFrame, target: DataFrame, key: str
     is the reference's count (see module docstring); ``mismatch_breakdown``
     counts mismatches per type and value mismatches per column; the sample
     holds the first ``sample_size`` mismatching keys in key order
-    (TakeOrderedAndProject: each task keeps its own top rows).
+    (TakeOrderedAndProject: each task keeps its own top rows); with
+    ``sample_size=0`` no sample is planned.
 
     Both branches read every column of the per-key table (the per-column
     counts use the values), so their plans coincide below the final
@@ -250,8 +251,10 @@ def keyed_diff_result(name: str, source: DataFrame, target: DataFrame, key: str
         F.struct(*[F.count_if((F.col("mismatch_type") == CHANGED)
                               & (F.col(f"{c}_source") != F.col(f"{c}_target"))).alias(c) for c in cols])
         .alias("__by_column"))
-    sample = sample_json(rows.where(F.col("mismatch_pairs") > 0), [KEY], sample_size)
-    out = one_row_join(totals, sample).select(
+    # sample_size=0: no sample, and no branch computing one
+    out = one_row_join(totals, sample_json(rows.where(F.col("mismatch_pairs") > 0), [KEY], sample_size)) \
+        if sample_size > 0 else totals.withColumn("mismatch_sample", F.lit(None).cast("string"))
+    out = out.select(
         "source_value", "target_value", "mismatch_count", "mismatch_sample",
         (F.col("mismatch_count") == 0).alias("passed"),
         F.to_json(F.struct(F.col("__by_type").alias("by_type"),
