@@ -108,8 +108,8 @@ def _tuple_counts(source: DataFrame, target: DataFrame, key: str, cols: list[str
     """Steps 1-2: ``key_col, __v*, __cs, __ct`` per distinct (key, value tuple).
 
     One aggregation over the union of both sides replaces two aggregates and
-    their full outer join: the same result with one exchange per side, no
-    sort-merge join, and NULL grouped with NULL without null-safe join keys.
+    their full outer join: the same result with one exchange for both sides,
+    no sort-merge join, and NULL grouped with NULL without null-safe join keys.
     """
     inner = {c: f"__v{i}" for i, c in enumerate(cols)}
     plan = _plan_columns(source, target, [key, *cols])
