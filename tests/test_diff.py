@@ -189,3 +189,13 @@ def test_typed_comparison_equals_text_comparison(spark, a, b):
                                                    t.select(F.col("v").alias("val"))).collect()) == \
         sorted(tuple(r) for r in diff.set_diff(as_text[0].select(F.col("v").alias("val")),
                                                as_text[1].select(F.col("v").alias("val"))).collect())
+
+
+def test_key_stats_and_column_breakdown(spark):
+    s = spark.createDataFrame([(1, "a", 10), (2, "b", 20), (3, "c", 30), (4, "d", 40)], "key_col int, x string, y int")
+    t = spark.createDataFrame([(1, "a", 10), (2, "B", 20), (3, "c", 31), (5, "e", 50)], "key_col int, x string, y int")
+    stats = {r["key_col"]: (r["mismatch_type"], r["mismatch_pairs"]) for r in diff.key_stats(s, t).collect()}
+    assert stats == {"1": (None, 0), "2": ("value_mismatch", 1), "3": ("value_mismatch", 1),
+                     "4": ("missing_in_target", 1), "5": ("extra_in_target", 1)}
+    (b,) = diff.column_breakdown(diff.keyed_diff(s, t)).collect()
+    assert (b["x"], b["y"]) == (1, 1)
