@@ -308,6 +308,22 @@ SELECT concat_ws(':', s.n_rows, s.sum_hash, s.xor_hash) AS source_checksum,
 FROM s, t"""
 
 
+_CUSTOMER_SOURCE = "SELECT c_custkey AS key_col, c_name, c_acctbal, c_mktsegment FROM customer"
+
+CHECKSUM_GATE_CHECK = f"""
+SELECT 'customers_reloaded' AS check_name, 'value_match' AS check_type,
+       d = 0 AS passed,
+       CASE WHEN d = 0 THEN 'Checksum Match' ELSE 'sides differ' END AS source_value,
+       CASE WHEN d = 0 THEN 'Checksum Match' ELSE 'sides differ' END AS target_value,
+       CAST(0 AS BIGINT) AS mismatch_count
+FROM (SELECT (SELECT count(*) FROM (({_CUSTOMER_SOURCE}) EXCEPT ALL
+                                    (SELECT * FROM ({_CUSTOMER_SOURCE}) a WHERE key_col % 2 = 1
+                                     UNION ALL SELECT * FROM ({_CUSTOMER_SOURCE}) b WHERE key_col % 2 = 0)) x) AS d) y
+UNION ALL
+SELECT 'orders_loaded' AS check_name, check_type, passed, source_value, target_value, mismatch_count
+FROM ({KEYED_DIFF_CHECK}) k"""
+
+
 def _count_check(name: str, ctype: str, count_sql: str) -> str:
     return f"""
 WITH v AS ({count_sql})
@@ -679,6 +695,7 @@ ORACLE_SQL = {
     "fk_discovery": FK_DISCOVERY,
     "bridge_discovery": BRIDGE_DISCOVERY,
     "keyed_diff_sample": KEYED_DIFF_SAMPLE,
+    "checksum_gate_check": CHECKSUM_GATE_CHECK,
     "set_diff_sample": SET_DIFF_SAMPLE,
     "mapping_suite": MAPPING_SUITE,
     "run_report": RUN_REPORT,

@@ -79,21 +79,29 @@ def case_result(spark: SparkSession, case: Mapping[str, Any], params: dict | Non
         if not src_sql:
             return _target_only(name, ctype, tgt)
         src = spark.sql(src_sql, args=params) if params else spark.sql(src_sql)
-        if use_checksum and checksum.checksum_gate(src, tgt):
-            return checksum.checksum_match_result(spark, name, ctype)
-        one_col = len(src.columns) == 1 and len(tgt.columns) == 1
-        if one_col and (ctype in SCALAR_TYPES or
-                        (dispatch == "shape" and _single_row(src) and _single_row(tgt))):
-            return diff.scalar_result(name, src, tgt, ctype)
-        if diff.KEY in src.columns and diff.KEY in tgt.columns:
-            return diff.keyed_diff_result(name, src, tgt, check_type=ctype)
-        if diff.VAL in src.columns and diff.VAL in tgt.columns:
-            return diff.set_diff_result(name, src, tgt, check_type=ctype)
-        return diff.row_set_diff_result(name, src, tgt, check_type=ctype)
+        return compare_result(spark, name, ctype, src, tgt, dispatch=dispatch, use_checksum=use_checksum)
     except Exception as e:  # analysis errors surface here, as in the reference
         return error_result(spark, name, ctype, str(e).strip().splitlines()[0])
 
 
+def compare_result(spark: SparkSession, name: str, ctype: str, src: DataFrame, tgt: DataFrame, *,
+                   dispatch: str = "explicit", use_checksum: bool = False, **opts) -> DataFrame:
+    """Both sides of a case -> its one-row result: the checksum short-circuit
+    (CHK-4) when asked, then scalar, keyed, value-set or row-set comparison by
+    the columns present.  ``opts`` go to the keyed comparison."""
+    if use_checksum and checksum.checksum_gate(src, tgt):
+        return checksum.checksum_match_result(spark, name, ctype)
+    one_col = len(src.columns) == 1 and len(tgt.columns) == 1
+    if one_col and (ctype in SCALAR_TYPES or
+                    (dispatch == "shape" and _single_row(src) and _single_row(tgt))):
+        return diff.scalar_result(name, src, tgt, ctype)
+    if diff.KEY in src.columns and diff.KEY in tgt.columns:
+        return diff.keyed_diff_result(name, src, tgt, check_type=ctype, **opts)
+    if diff.VAL in src.columns and diff.VAL in tgt.columns:
+        return diff.set_diff_result(name, src, tgt, check_type=ctype)
+    return diff.row_set_diff_result(name, src, tgt, check_type=ctype)
+
+
 def suite_results(spark: SparkSession, cases: list[Mapping[str, Any]], params: dict | None = None,
                   **opts) -> DataFrame:
     """The result rows of a suite as one lazy DataFrame (``test_case_id`` kept):
