@@ -11,11 +11,15 @@ lazy DataFrame; ``__spark_entry__`` registers them.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dq, transforms as xf
 from ..operators import checks, checksum, diff, lookups, profile
+from ..session import ensure_checkpoint_dir
+from ..sources import files
 from . import mapping, report, suite
 
 TPCH_TABLES = ["region", "nation", "supplier", "customer", "part", "orders", "lineitem"]
@@ -488,3 +492,30 @@ def run_report(spark, sf_dir):
     cases = _mapping_cases(spark, sf_dir)
     detail = report.run_detail(suite.suite_results(spark, cases), mapping.checks_frame(spark, cases))
     return report.report_table(detail)
+
+
+# ---------------------------------------------------------------- file sources
+
+def file_sources(spark, sf_dir):
+    """SRC-1..6 and SRC-10 over whole data: ``orders`` written by Spark as CSV,
+    TSV, JSON lines and parquet into one folder under the session's checkpoint
+    folder (shared on a cluster; one fixed path per scale, overwritten), the
+    folder registered as one view per file (delimiter sniffed, JSON lines
+    detected, types inferred), and one aggregate with a bound parameter run
+    on every view."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sources/{os.path.basename(sf_dir.rstrip('/'))}"
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", xf.to_decimal("o_totalprice", 12, 2).alias("o_totalprice"),
+        "o_orderpriority")
+    o.write.mode("overwrite").option("header", True).csv(f"{base}/orders.csv")
+    o.write.mode("overwrite").option("header", True).option("sep", "\t").csv(f"{base}/orders.tsv")
+    o.write.mode("overwrite").json(f"{base}/orders.json")
+    o.write.mode("overwrite").parquet(f"{base}/orders.parquet")
+    out = None
+    for name in files.register_path(spark, base):
+        q = (f"SELECT '{name}' AS source_file, o_orderstatus, count(*) AS n_orders, "
+             f"CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DECIMAL(38,2)) AS total_price "
+             f"FROM {files.view_name(name)} WHERE o_custkey > :lo GROUP BY o_orderstatus")
+        df = files.run_sql(spark, q, {"lo": 0})
+        out = df if out is None else out.unionByName(df)
+    return out

@@ -550,6 +550,14 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM s) AS n_runs,
        (SELECT CAST(coalesce(sum(passed_cases), 0) AS BIGINT) FROM recent) AS passed_latest,
        (SELECT CAST(coalesce(sum(failed_cases), 0) AS BIGINT) FROM recent) AS failed_latest"""
 
+FILE_SOURCES = """
+SELECT f.name AS source_file, o_orderstatus, count(*) AS n_orders,
+       CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DECIMAL(38,2)) AS total_price
+FROM orders, (VALUES ('orders.csv'), ('orders.json'), ('orders.parquet'), ('orders.tsv')) f(name)
+WHERE o_custkey > 0
+GROUP BY f.name, o_orderstatus"""
+
+
 # ---------------------------------------------------------------- mapping suite
 
 _FACT_ORDERS_BASE = """
@@ -698,6 +706,7 @@ ORACLE_SQL = {
     "checksum_gate_check": CHECKSUM_GATE_CHECK,
     "set_diff_sample": SET_DIFF_SAMPLE,
     "mapping_suite": MAPPING_SUITE,
+    "file_sources": FILE_SOURCES,
     "run_report": RUN_REPORT,
     "schema_columns": SCHEMA_COLUMNS,
     "fused_suite": FUSED_SUITE,
