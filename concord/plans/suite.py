@@ -102,6 +102,21 @@ def compare_result(spark: SparkSession, name: str, ctype: str, src: DataFrame, t
     return diff.row_set_diff_result(name, src, tgt, check_type=ctype)
 
 
+_SUITE_SCHEMA = T.StructType(RESULT_SCHEMA.fields + [T.StructField("test_case_id", T.IntegerType())])
+
+
+def _case_frames(spark: SparkSession, cases, params, opts) -> list[DataFrame]:
+    return [case_result(spark, c, params, **opts).withColumn("test_case_id", F.lit(c.get("id")).cast("int"))
+            for c in cases]
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def suite_results(spark: SparkSession, cases: list[Mapping[str, Any]], params: dict | None = None,
                   **opts) -> DataFrame:
     """The result rows of a suite as one lazy DataFrame (``test_case_id`` kept):
@@ -113,35 +128,24 @@ def suite_results(spark: SparkSession, cases: list[Mapping[str, Any]], params: d
     measured at three times the CPU of per-column checks, which keep
     integer, decimal and date values in their own types.
     """
-    frames = [case_result(spark, c, params, **opts).withColumn("test_case_id", F.lit(c.get("id")).cast("int"))
-              for c in cases]
-    if not frames:
-        schema = T.StructType(RESULT_SCHEMA.fields + [T.StructField("test_case_id", T.IntegerType())])
-        return spark.createDataFrame([], schema)
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    frames = _case_frames(spark, cases, params, opts)
+    return _union(frames) if frames else spark.createDataFrame([], _SUITE_SCHEMA)
 
 
 def run_cases(spark: SparkSession, cases: list[Mapping[str, Any]], params: dict | None = None,
               **opts) -> DataFrame:
     """Run a suite; returns its result rows (one per case, ``test_case_id`` kept).
 
-    All cases run in one job.  If that job fails (a runtime error in one case,
-    e.g. an ANSI overflow), the cases are re-run one by one so a failing case
-    fails alone with its error, as in the reference's per-case handling.
+    All cases run in one job (``suite_results``); only the result rows - one
+    per case, samples bounded - reach the driver.  If that job fails (a
+    runtime error in one case, e.g. an ANSI overflow), the cases are re-run
+    one by one so a failing case fails alone with its error, as in the
+    reference's per-case handling.
     """
-    frames = []
-    for c in cases:
-        r = case_result(spark, c, params, **opts)
-        frames.append(r.withColumn("test_case_id", F.lit(c.get("id")).cast("int")))
+    frames = _case_frames(spark, cases, params, opts)
     if not frames:
-        schema = T.StructType(RESULT_SCHEMA.fields + [T.StructField("test_case_id", T.IntegerType())])
-        return spark.createDataFrame([], schema)
-    suite = frames[0]
-    for f in frames[1:]:
-        suite = suite.unionByName(f)
+        return spark.createDataFrame([], _SUITE_SCHEMA)
+    suite = _union(frames)
     try:
         rows = suite.collect()
     except Exception:
