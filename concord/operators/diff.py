@@ -233,7 +233,10 @@ def keyed_diff_result(name: str, source: DataFrame, target: DataFrame, key: str
 
     Both branches read every column of the per-key table (the per-column
     counts use the values), so their plans coincide below the final
-    aggregates and Spark runs the comparison's shuffles once.
+    aggregates and Spark runs the comparison's shuffles once; the final
+    per-key aggregate after the last shuffle runs in each branch (sharing it
+    through another exchange was tried: the branches prune different columns,
+    so that exchange is not reused).
     """
     o = dict(strict=opts.get("strict", False), strip_dot_zero_strings=opts.get("strip_dot_zero_strings", False))
     try:
