@@ -199,3 +199,21 @@ def test_key_stats_and_column_breakdown(spark):
                      "4": ("missing_in_target", 1), "5": ("extra_in_target", 1)}
     (b,) = diff.column_breakdown(diff.keyed_diff(s, t)).collect()
     assert (b["x"], b["y"]) == (1, 1)
+
+
+def test_named_key_column_subset_and_empty_sides(spark):
+    s = spark.createDataFrame([(1, "a", 1.5), (2, "b", 2.5)], "id int, x string, y double")
+    t = spark.createDataFrame([(1, "a", 9.0), (2, "c", 2.5)], "id bigint, x string, y double")
+    # key given by name; only x compared, so the differing y is ignored
+    d = diff.keyed_diff(s, t, key="id", columns=["x"])
+    assert [(r["key_col"], r["x_source"], r["x_target"]) for r in d.collect()] == [("2", "b", "c")]
+    assert diff.keyed_diff_result("k", s, t, key="id", columns=["x"]).collect()[0].mismatch_count == 1
+    empty_s, empty_t = s.limit(0), t.limit(0)
+    r = diff.keyed_diff_result("e", empty_s, empty_t, key="id").collect()[0]
+    assert (r.passed, r.source_value, r.target_value, r.mismatch_count, r.mismatch_sample) == \
+        (True, "0 rows", "0 rows", 0, None)
+    r = diff.keyed_diff_result("one", s, empty_t, key="id").collect()[0]
+    assert (r.passed, r.mismatch_count) == (False, 2)
+    # no value column on both sides: the reference's error, no job
+    r = diff.keyed_diff_result("n", s.select("id"), t.select("id"), key="id").collect()[0]
+    assert (r.passed, r.error_message) == (False, diff.NO_VALUE_COLUMN_ERROR)
