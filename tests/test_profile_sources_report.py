@@ -202,3 +202,24 @@ def test_reports_and_sinks(spark, tmp_path):
         [("valid",), ("invalid",), ("valid",)], "validation_status string")).collect()[0]
     assert (summary.field_mappings_count, summary.valid_tests, summary.invalid_tests) == (3, 2, 1)
     assert json.dumps(1)
+
+
+def test_compare_result_dispatch(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "key_col int, val string")
+    b = spark.createDataFrame([(2, "y"), (1, "x")], "key_col int, val string")
+    c = spark.createDataFrame([(1, "x"), (2, "z")], "key_col int, val string")
+    # equal multisets: the checksum short-circuit answers without comparing
+    r = suite.compare_result(spark, "g", "value_match", a, b, use_checksum=True).collect()[0]
+    assert (r.passed, r.source_value) == (True, "Checksum Match")
+    # different: keyed comparison (key_col present)
+    r = suite.compare_result(spark, "k", "value_match", a, c, use_checksum=True).collect()[0]
+    assert (r.passed, r.mismatch_count, r.source_value) == (False, 1, "2 rows")
+    # one value each side: scalar compare by shape
+    one = spark.sql("SELECT 5 AS n")
+    r = suite.compare_result(spark, "s", "custom", one, spark.sql("SELECT 5 AS n"), dispatch="shape").collect()[0]
+    assert (r.passed, r.source_value) == (True, "5")
+    # val only: value set; neither: row set
+    r = suite.compare_result(spark, "v", "value_match", a.select("val"), c.select("val")).collect()[0]
+    assert (r.mismatch_count, r.source_value) == (2, "2 distinct values")
+    r = suite.compare_result(spark, "r", "value_match", a.toDF("p", "q"), c.toDF("p", "q")).collect()[0]
+    assert r.mismatch_count == 2
