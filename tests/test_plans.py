@@ -49,3 +49,15 @@ def test_orphans_move_distinct_keys(spark):
     plan = _plan(checks.orphan_values(child, "fk", parent, "pk"))
     assert "LeftAnti" not in plan and "LeftOuter" in plan
     assert plan.index("LeftOuter") < plan.index("partial_count")
+
+
+def test_hot_value_in_set_diff_and_profile(spark):
+    # value 0 holds a third of the rows on both sides
+    s = spark.range(9000).select(F.when(F.col("id") < 3000, F.lit(0)).otherwise(F.col("id")).alias("val"))
+    t = spark.range(9000).select(F.when(F.col("id") < 3000, F.lit(0)).otherwise(F.col("id") + 1).alias("val"))
+    r = diff.set_diff_result("hot", s, t).collect()[0]
+    # distinct values: 0 and 3000..8999 vs 0 and 3001..9000 -> one missing, one extra
+    assert (r.mismatch_count, r.source_value, r.target_value) == (2, "6001 distinct values", "6001 distinct values")
+    p = {x["column_name"]: x for x in profile.column_profile({"s": s}).collect()}
+    assert (p["val"]["n_distinct"], p["val"]["max_repeat"], p["val"]["is_unique"]) == (6001, 3000, False)
+    assert not any(j in _plan(diff.set_diff(s, t)) for j in PAIRING_JOINS)
