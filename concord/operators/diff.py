@@ -323,7 +323,8 @@ def set_diff_result(name: str, source: DataFrame, target: DataFrame, col: str =
         F.count_if(F.col("in_source") != F.col("in_target")).alias("mismatch_count"))
     diff = m.where(F.col("in_source") != F.col("in_target")).select(
         VAL, F.when(F.col("in_source"), F.lit(MISSING)).otherwise(F.lit(EXTRA)).alias("mismatch_type"))
-    out = one_row_join(totals, _two_sided_sample(diff, [VAL], sample_each))
+    # sample_each=0: no sample, and no branches computing one
+    out = one_row_join(totals, _two_sided_sample(diff, [VAL], sample_each)) if sample_each > 0 else totals
     return result_frame(out.withColumn("passed", F.col("mismatch_count") == 0), name, check_type)
 
 
@@ -381,7 +382,7 @@ def row_set_diff_result(name: str, source: DataFrame, target: DataFrame,
         F.count_if(F.col("in_source") != F.col("in_target")).alias("mismatch_count"))
     diff = m.where(F.col("in_source") != F.col("in_target")).select(
         *cols, F.when(F.col("in_source"), F.lit(MISSING)).otherwise(F.lit(EXTRA)).alias("mismatch_type"))
-    out = one_row_join(totals, _two_sided_sample(diff, cols, sample_each))
+    out = one_row_join(totals, _two_sided_sample(diff, cols, sample_each)) if sample_each > 0 else totals
     return result_frame(out.withColumn("passed", F.col("mismatch_count") == 0), name, check_type)
 
 
