@@ -36,7 +36,10 @@ def rows_check_result(name: str, rows: DataFrame, check_type: str = "dq_check",
     """TGT-2: every row of ``rows`` is a violation; passes iff there is none."""
     n = rows.agg(F.count(F.lit(1)).alias("mismatch_count"))
     order = order_by or rows.columns
-    out = one_row_join(n, sample_json(rows, order, sample_size)).select(
+    # sample_size=0: no sample branch
+    with_sample = one_row_join(n, sample_json(rows, order, sample_size)) if sample_size > 0 else \
+        n.withColumn("mismatch_sample", F.lit(None).cast("string"))
+    out = with_sample.select(
         (F.col("mismatch_count") == 0).alias("passed"),
         F.col("mismatch_count").cast("string").alias("target_value"),
         "mismatch_count", "mismatch_sample")

@@ -483,7 +483,8 @@ def mapping_suite(spark, sf_dir):
     """A mapping document run end to end (MAP-3..5, CHKTYPE-1..7, suite runner):
     the rows are cleaned and defaulted by Spark, turned into test cases, and
     every case runs on the whole tables - all cases as one Spark job."""
-    out = suite.suite_results(spark, _mapping_cases(spark, sf_dir))
+    # counts only (no sample is output, so none is planned)
+    out = suite.suite_results(spark, _mapping_cases(spark, sf_dir), samples=False)
     return out.select("check_name", "check_type", "passed", "source_value", "target_value", "mismatch_count")
 
 
@@ -491,7 +492,7 @@ def run_report(spark, sf_dir):
     """The run report's result table (SNK-3) of the mapping suite: results
     joined to their test cases (RUN-3), PASS/FAIL per line."""
     cases = _mapping_cases(spark, sf_dir)
-    detail = report.run_detail(suite.suite_results(spark, cases), mapping.checks_frame(spark, cases))
+    detail = report.run_detail(suite.suite_results(spark, cases, samples=False), mapping.checks_frame(spark, cases))
     return report.report_table(detail)
 
 

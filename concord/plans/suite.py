@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import checks, checksum, diff
-from ..operators.result import (RESULT_SCHEMA, TARGET_SAMPLE, error_result, one_row_join,
-                                result_frame, sample_json)
+from ..operators.result import (RESULT_SCHEMA, SET_SAMPLE_EACH_SIDE, TARGET_SAMPLE, error_result,
+                                one_row_join, result_frame, sample_json)
 
 NO_SQL_ERROR = "No SQL queries defined for this test case"
 SCALAR_TYPES = {"row_count", "scalar"}
@@ -44,15 +44,17 @@ def batch_check_results(df: DataFrame, batch_col: str, predicates: Mapping[str,
                     (F.col("violations") == 0).alias("passed"))
 
 
-def _target_only(name: str, check_type: str, tgt: DataFrame) -> DataFrame:
+def _target_only(name: str, check_type: str, tgt: DataFrame, samples: bool = True) -> DataFrame:
     if len(tgt.columns) != 1:
-        return checks.rows_check_result(name, tgt, check_type)
+        return checks.rows_check_result(name, tgt, check_type, sample_size=TARGET_SAMPLE if samples else 0)
     # One column: a single row is a violation count, anything else is rows.
     v = tgt.columns[0]
     stats = tgt.agg(F.count(F.lit(1)).alias("__n"), F.min(F.col(f"`{v}`")).alias("__v"))
     value = F.col("__v").cast("string").try_cast("bigint")
     one = F.col("__n") == 1
-    out = one_row_join(stats, sample_json(tgt, [v], TARGET_SAMPLE)).select(
+    with_sample = one_row_join(stats, sample_json(tgt, [v], TARGET_SAMPLE)) if samples else \
+        stats.withColumn("mismatch_sample", F.lit(None).cast("string"))
+    out = with_sample.select(
         F.when(one, F.coalesce(value == 0, F.lit(False))).otherwise(F.col("__n") == 0).alias("passed"),
         F.when(one, F.col("__v").cast("string")).otherwise(F.col("__n").cast("string")).alias("target_value"),
         F.when(one, value).otherwise(F.col("__n")).alias("mismatch_count"),
@@ -66,9 +68,10 @@ def _single_row(df: DataFrame) -> bool:
 
 
 def case_result(spark: SparkSession, case: Mapping[str, Any], params: dict | None = None, *,
-                dispatch: str = "explicit", use_checksum: bool = False) -> DataFrame:
+                dispatch: str = "explicit", use_checksum: bool = False, samples: bool = True) -> DataFrame:
     """One test case -> one-row result frame (lazy unless ``dispatch='shape'`` or
-    ``use_checksum``, which run small jobs to decide)."""
+    ``use_checksum``, which run small jobs to decide).  ``samples=False``
+    leaves ``mismatch_sample`` empty and plans no sample branch."""
     name = case.get("name") or "Unnamed Test"
     ctype = case.get("type") or "value_match"
     src_sql, tgt_sql = case.get("source_sql"), case.get("target_sql")
@@ -77,18 +80,23 @@ def case_result(spark: SparkSession, case: Mapping[str, Any], params: dict | Non
             return error_result(spark, name, ctype, NO_SQL_ERROR)
         tgt = spark.sql(tgt_sql, args=params) if params else spark.sql(tgt_sql)
         if not src_sql:
-            return _target_only(name, ctype, tgt)
+            return _target_only(name, ctype, tgt, samples)
         src = spark.sql(src_sql, args=params) if params else spark.sql(src_sql)
-        return compare_result(spark, name, ctype, src, tgt, dispatch=dispatch, use_checksum=use_checksum)
+        return compare_result(spark, name, ctype, src, tgt, dispatch=dispatch, use_checksum=use_checksum,
+                              samples=samples)
     except Exception as e:  # analysis errors surface here, as in the reference
         return error_result(spark, name, ctype, str(e).strip().splitlines()[0])
 
 
 def compare_result(spark: SparkSession, name: str, ctype: str, src: DataFrame, tgt: DataFrame, *,
-                   dispatch: str = "explicit", use_checksum: bool = False, **opts) -> DataFrame:
+                   dispatch: str = "explicit", use_checksum: bool = False, samples: bool = True,
+                   **opts) -> DataFrame:
     """Both sides of a case -> its one-row result: the checksum short-circuit
     (CHK-4) when asked, then scalar, keyed, value-set or row-set comparison by
-    the columns present.  ``opts`` go to the keyed comparison."""
+    the columns present.  ``opts`` go to the keyed comparison; ``samples=False``
+    plans no sample branch."""
+    if not samples:
+        opts["sample_size"] = 0
     if use_checksum and checksum.checksum_gate(src, tgt):
         return checksum.checksum_match_result(spark, name, ctype)
     one_col = len(src.columns) == 1 and len(tgt.columns) == 1
@@ -97,9 +105,10 @@ def compare_result(spark: SparkSession, name: str, ctype: str, src: DataFrame, t
         return diff.scalar_result(name, src, tgt, ctype)
     if diff.KEY in src.columns and diff.KEY in tgt.columns:
         return diff.keyed_diff_result(name, src, tgt, check_type=ctype, **opts)
+    each = SET_SAMPLE_EACH_SIDE if samples else 0
     if diff.VAL in src.columns and diff.VAL in tgt.columns:
-        return diff.set_diff_result(name, src, tgt, check_type=ctype)
-    return diff.row_set_diff_result(name, src, tgt, check_type=ctype)
+        return diff.set_diff_result(name, src, tgt, check_type=ctype, sample_each=each)
+    return diff.row_set_diff_result(name, src, tgt, check_type=ctype, sample_each=each)
 
 
 _SUITE_SCHEMA = T.StructType(RESULT_SCHEMA.fields + [T.StructField("test_case_id", T.IntegerType())])

@@ -156,6 +156,12 @@ def test_suite_runner_dispatch_and_errors(spark):
     assert res[8].mismatch_count == 1
     lazy = {r["test_case_id"]: r for r in suite.suite_results(spark, cases, params={"lo": 1}).collect()}
     assert lazy == res
+    # without samples: the same counts and values, no sample planned
+    bare = {r["test_case_id"]: r for r in suite.suite_results(spark, cases, params={"lo": 1}, samples=False).collect()}
+    assert all(b.mismatch_sample is None for b in bare.values())
+    strip = ("check_name", "passed", "source_value", "target_value", "mismatch_count", "error_message")
+    assert {k: tuple(v[c] for c in strip) for k, v in bare.items()} == \
+        {k: tuple(v[c] for c in strip) for k, v in res.items()}
     gated = suite.case_result(spark, cases[8], use_checksum=True).collect()[0]
     assert gated.source_value == "Checksum Match" and gated.passed
     assert suite.validate_sql(spark, "SELECT * FROM nope")[0] == "invalid"
