@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import oracle, quality_llr
+from concord.llm import oracle, quality_llr, toxicity_cnn
 from concord.llm.common import table
 
 
@@ -16,8 +16,13 @@ def op2_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.quality_verdicts(table(spark, sf_dir, "documents"), quality_llr.trusted_from_labels(labels))
 
 
+def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_cnn.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_llr": op2_quality_llr,
+    "op4_toxicity_cnn": op4_toxicity_cnn,
 }
 
 ORACLE_SQL: dict[str, str] = {
