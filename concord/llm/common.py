@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +47,30 @@ def spaced(text: Column) -> Column:
     return flat
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors (once per application), whose Python
+    workers import it: they need not share the driver's path."""
+    if spark.sparkContext.applicationId not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="concord-code-"), "concord-code"), "zip", root, "concord")
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(spark.sparkContext.applicationId)
+
+
+def with_code(f: Callable) -> Callable:
+    """f(spark, ...) with the package sent first."""
+
+    @functools.wraps(f)
+    def g(spark: SparkSession, *args):
+        ship(spark)
+        return f(spark, *args)
+
+    return g
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text in order; null or blank: none.
     (Splitting at one character takes no regular expression.)"""

@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import oracle, quality_llr, toxicity_cnn
-from concord.llm.common import table
+from concord.llm import chat_tree, decontam_lsa, oracle, packing, quality_llr, repair, simhash_vptree, toxicity_cnn
+from concord.llm.common import table, with_code
 
 
 def op2_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,11 +21,38 @@ def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_cnn.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_quality_llr": op2_quality_llr,
-    "op4_toxicity_cnn": op4_toxicity_cnn,
-}
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_vptree.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (repair.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+            .select("doc_id", "start", "n_tokens", "ids_crc32"))
+
+
+def op10_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tree.round_trip(chat_tree.injected(table(spark, sf_dir, "conversations")), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam_lsa.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: with_code(f) for f in (
+    op2_quality_llr,
+    op4_toxicity_cnn,
+    op5_best_fit_packing,
+    op6_simhash_vptree,
+    op8_latent_decontamination,
+    op7_repair_token_files,
+    op10_chat_prefix_tree,
+)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_llr": oracle.OP2,
+    "op10_chat_prefix_tree": oracle.OP10,
 }
