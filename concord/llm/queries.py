@@ -8,15 +8,35 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import chat_tree, decontam_lsa, oracle, packing, quality_llr, repair, simhash_vptree, toxicity_cnn
+from concord.llm import (
+    chat_tree,
+    decontam_lsa,
+    oracle,
+    packing,
+    quality_llr,
+    quality_mil,
+    repair,
+    simhash_vptree,
+    toxicity_cnn,
+    trie_counts,
+    warc,
+)
 from concord.llm.common import table, with_code
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_derivatives(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     return quality_llr.quality_verdicts(table(spark, sf_dir, "documents"), quality_llr.trusted_from_labels(labels))
 
 
+def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_cnn.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,6 +54,10 @@ def op7_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "start", "n_tokens", "ids_crc32"))
 
 
+def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tree.round_trip(chat_tree.injected(table(spark, sf_dir, "conversations")), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -43,12 +67,15 @@ def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: with_code(f) for f in (
+    op1_warc_derivatives,
     op2_quality_llr,
+    op3_quality_mil,
     op4_toxicity_cnn,
     op5_best_fit_packing,
     op6_simhash_vptree,
-    op8_latent_decontamination,
     op7_repair_token_files,
+    op8_latent_decontamination,
+    op9_trie_token_counts,
     op10_chat_prefix_tree,
 )}
 
