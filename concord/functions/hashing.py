@@ -1,15 +1,17 @@
 """Row text and row hashes used by the checksum operators (CHK-*).
 
-A row's text joins the engine-independent text of every column with a unit
-separator, NULL written as ``\\N``: unlike the reference, ``('a','bc')`` and
-``('ab','c')`` hash differently and NULL differs from ``''``.
-
-Two hash flavours:
-
-* ``md5_prefix`` - the first 12 hex digits of MD5 as a BIGINT.  The same
-  number is produced by DuckDB (``CAST('0x'||substr(md5(x),1,12) AS BIGINT)``),
-  which lets an independent engine verify a checksum.
-* ``xxhash64`` - Spark's native 64-bit hash; faster, Spark-only.
+A row's text names no column but takes them in the order of their names, so
+both sides of a comparison are read alike whatever their column order.  Every
+value is written with its length (``V3:abc``), NULL as ``N``: no value can
+run into the next one or pass for NULL.
+
+A row has two 64-bit hashes, so a checksum rests on 128 bits a row:
+
+* ``md5`` - the two halves of the MD5 digest, as unsigned numbers.  DuckDB
+  gives the same (``CAST('0x' || substr(md5(x), 1, 16) AS UBIGINT)``), which
+  lets an independent engine verify a checksum.
+* ``xxhash64`` - Spark's native hash of the text and of the marked text;
+  faster, Spark-only.
 """
 
 from __future__ import annotations
@@ -19,29 +21,29 @@ from pyspark.sql import functions as F
 
 from .canon import value_text
 
-# Column separator and NULL marker inside row text.
-SEPARATOR = "\u001f"
-NULL_MARK = "\\N"
+UNSIGNED = "decimal(20,0)"
 
 
 def row_text(df: DataFrame, columns: list[str] | None = None) -> Column:
     fields = {f.name: f.dataType for f in df.schema.fields}
-    names = list(fields) if columns is None else columns
-    parts = [F.coalesce(value_text(F.col(f"`{n}`"), fields[n]), F.lit(NULL_MARK)) for n in names]
-    return F.concat_ws(SEPARATOR, *parts)
+    names = sorted(fields if columns is None else columns, key=lambda n: (n.lower(), n))
+    parts = []
+    for n in names:
+        text = value_text(F.col(f"`{n}`"), fields[n])
+        parts.append(F.coalesce(F.concat(F.lit("V"), F.length(text).cast("string"), F.lit(":"), text), F.lit("N")))
+    return F.concat(*parts) if parts else F.lit("")
 
 
-def md5_prefix(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
+def _hex_number(digest: Column, start: int, digits: int) -> Column:
+    return F.conv(F.substring(digest, start, digits), 16, 10).cast(UNSIGNED)
 
 
-def row_hash(df: DataFrame, columns: list[str] | None = None, flavour: str = "md5") -> Column:
+def row_hashes(df: DataFrame, columns: list[str] | None = None, flavour: str = "md5") -> tuple[Column, Column]:
+    """Two 64-bit hashes of each row."""
+    text = row_text(df, columns)
     if flavour == "md5":
-        return md5_prefix(row_text(df, columns))
+        digest = F.md5(text)
+        return _hex_number(digest, 1, 16), _hex_number(digest, 17, 16)
     if flavour == "xxhash64":
-        fields = {f.name: f.dataType for f in df.schema.fields}
-        names = list(fields) if columns is None else columns
-        # xxhash64 skips NULL arguments, so NULL is replaced by a marker first.
-        parts = [F.coalesce(value_text(F.col(f"`{n}`"), fields[n]), F.lit(NULL_MARK)) for n in names]
-        return F.xxhash64(*parts)
+        return F.xxhash64(text).cast(UNSIGNED), F.xxhash64(F.concat(F.lit("second "), text)).cast(UNSIGNED)
     raise ValueError(f"unknown hash flavour {flavour!r}")

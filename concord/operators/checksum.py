@@ -5,8 +5,8 @@ their xor.  Sum and xor are order-independent, so the checksum of a table
 does not depend on how it is partitioned; the sum is a DECIMAL(38,0) (a
 BIGINT sum overflows under ANSI mode) and the xor of zero rows is 0.
 
-Differences from the reference, on purpose: columns are separated and NULL is
-kept apart from ``''`` inside the row text (see ``concord.functions.hashing``);
+Differences from the reference, on purpose: columns are taken by name, values are
+separated and NULL is kept apart inside the row text (see ``concord.functions.hashing``);
 the count is part of the checksum, so duplicated rows - which cancel in a
 xor - still change it; one hash definition serves every source, so two
 stores can actually agree.
@@ -17,26 +17,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import row_hash
+from ..functions.hashing import row_hashes
 from .result import one_row_join, result_frame
 
-EMPTY = "empty"
+# Fixed value: the text of a matching checksum in a result row.
 MATCH_TEXT = "Checksum Match"
 
 
 def checksum(df: DataFrame, columns: list[str] | None = None, flavour: str = "md5") -> DataFrame:
-    """CHK-1/2/3: one row ``n_rows, sum_hash, xor_hash`` (``md5`` or ``xxhash64``)."""
-    h = row_hash(df, columns, flavour)
-    return df.select(h.alias("__h")).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.sum(F.col("__h").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
-        .cast("decimal(38,0)").alias("sum_hash"),
-        F.coalesce(F.bit_xor("__h"), F.lit(0).cast("bigint")).alias("xor_hash"))
+    """CHK-1/2/3: one row ``n_rows, sum_hash, sum_hash_2, xor_hash`` (``md5`` or ``xxhash64``):
+    the sums of both hashes of every row, and the xor of the second one's low 60 bits."""
+    first, second = row_hashes(df, columns, flavour)
+    total = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)")
+    low = (F.col("__h2") % F.lit(1 << 60).cast("decimal(20,0)")).cast("bigint")
+    return df.select(first.alias("__h1"), second.alias("__h2")).agg(
+        F.count(F.lit(1)).alias("n_rows"), total("__h1").alias("sum_hash"), total("__h2").alias("sum_hash_2"),
+        F.coalesce(F.bit_xor(low), F.lit(0).cast("bigint")).alias("xor_hash"))
 
 
 def checksum_text(cs: DataFrame) -> DataFrame:
-    """The checksum as one text value ``n:sum:xor`` (``empty`` for a table without columns)."""
-    return cs.select(F.concat_ws(":", "n_rows", "sum_hash", "xor_hash").alias("checksum"))
+    """The checksum as one text value ``n:sum:sum:xor``."""
+    return cs.select(F.concat_ws(":", "n_rows", "sum_hash", "sum_hash_2", "xor_hash").alias("checksum"))
 
 
 def checksum_pair(source: DataFrame, target: DataFrame, columns: list[str] | None = None,
@@ -49,13 +50,19 @@ def checksum_pair(source: DataFrame, target: DataFrame, columns: list[str] | Non
 
 def checksum_gate(source: DataFrame, target: DataFrame, columns: list[str] | None = None,
                   flavour: str = "md5") -> bool:
-    """CHK-4 short-circuit: True when both sides are provably equal as multisets of rows.
+    """CHK-4 short-circuit: True when both sides have the same column names and
+    their checksums agree, i.e. they hold the same rows but for a collision of
+    128 bits in every row hash's sum.  Columns are matched by name, never by place.
 
     Runs one small job (two aggregating scans, one row back to the driver).
-    A table without columns never matches (``empty``), as in the reference.
+    A table without columns never matches, as in the reference.  Equal sides
+    whose key repeats pass here, as in the reference, though a keyed
+    comparison would count the unequal pairs among a key's own rows.
     """
     if not source.columns or not target.columns:
         return False
+    if columns is None and sorted(c.lower() for c in source.columns) != sorted(c.lower() for c in target.columns):
+        return False
     row = checksum_pair(source, target, columns, flavour).first()
     return bool(row["checksum_match"])
 

@@ -167,8 +167,8 @@ def _key_rows(source: DataFrame, target: DataFrame, key: str, columns: list[str]
     """Every key with its counts, classification and shown values (steps 1-3).
 
     Step 3 also carries, per side, the smallest tuple found on that side only;
-    it is shown when the side holds exactly one row for a ``missing``,
-    ``extra`` or ``value_mismatch`` key.  Carrying a struct makes step 3 a
+    it is shown for a ``missing`` or ``extra`` key (all its rows:
+    ``one_sided_rows``) and for a ``value_mismatch``.  Carrying a struct makes step 3 a
     sort-based aggregate (one external sort by key, map-side combining
     kept), which is cheaper than joining the values back afterwards.  Keys
     and values that kept their own type are printed as canonical text here,
@@ -189,8 +189,8 @@ def _key_rows(source: DataFrame, target: DataFrame, key: str, columns: list[str]
                  "matched_pairs", pairs.alias("mismatch_pairs"), kind.alias("mismatch_type"),
                  "__ts", "__tt")
     kind = F.col("mismatch_type")
-    show_s = kind.isin(MISSING, CHANGED) & (n_s == 1)
-    show_t = kind.isin(EXTRA, CHANGED) & (n_t == 1)
+    show_s = (kind == MISSING) | (kind == CHANGED) & (n_s == 1)
+    show_t = (kind == EXTRA) | (kind == CHANGED) & (n_t == 1)
     value_cols = []
     for c, v in inner.items():
         value_cols += [F.when(show_s, _text(F.col("__ts")[v], c, plan, opts)).alias(f"{c}_source"),
@@ -212,13 +212,35 @@ def keyed_diff(source: DataFrame, target: DataFrame, key: str = KEY,
     lists the differing columns) or ``duplicate_key`` (the key repeats on a
     side; ``mismatch_pairs`` is the number of unequal source/target row pairs,
     exactly the reference's row count for that key).  ``<c>_source`` /
-    ``<c>_target`` hold the normalised values of a side with exactly one row
-    for the key (not for ``duplicate_key``).
+    ``<c>_target`` hold the normalised values: of a one-sided key its smallest
+    row (``one_sided_rows`` lists them all), of a ``value_mismatch`` the row
+    of each side; a ``duplicate_key`` shows none.
     """
     opts = dict(strict=strict, strip_dot_zero_strings=strip_dot_zero_strings)
     return _key_rows(source, target, key, columns, opts).where(F.col("mismatch_pairs") > 0)
 
 
+def one_sided_rows(source: DataFrame, target: DataFrame, key: str = KEY, columns: list[str] | None = None, *,
+                   strict: bool = False, strip_dot_zero_strings: bool = False) -> DataFrame:
+    """CMP-2b detail: every distinct row of the keys that one side lacks, with how
+    often it occurs: ``key_col, mismatch_type, <columns>, n_rows``.
+
+    The distinct rows of the comparison meet the keys' totals in one join; a
+    key that repeats gives a row per distinct tuple, and no pairs are formed.
+    """
+    cols = _resolve(source, target, key, columns)
+    opts = dict(strict=strict, strip_dot_zero_strings=strip_dot_zero_strings)
+    rows, inner, plan = _tuple_counts(source, target, key, cols, opts)
+    totals = rows.groupBy(F.col(KEY).alias("__k")).agg(F.sum("__cs").alias("__ns"), F.sum("__ct").alias("__nt"))
+    one_sided = totals.where((F.col("__ns") == 0) | (F.col("__nt") == 0))
+    found = rows.join(one_sided, rows[KEY].eqNullSafe(one_sided["__k"]))
+    return found.select(
+        _text(F.col(KEY), key, plan, opts).alias(KEY),
+        F.when(F.col("__nt") == 0, F.lit(MISSING)).otherwise(F.lit(EXTRA)).alias("mismatch_type"),
+        *[_text(F.col(v), c, plan, opts).alias(c) for c, v in inner.items()],
+        (F.col("__cs") + F.col("__ct")).alias("n_rows"))
+
+
 def keyed_diff_result(name: str, source: DataFrame, target: DataFrame, key: str = KEY,
                       columns: list[str] | None = None, check_type: str = "value_match",
                       sample_size: int = KEYED_SAMPLE, **opts) -> DataFrame:
@@ -388,15 +410,34 @@ def row_set_diff_result(name: str, source: DataFrame, target: DataFrame,
 
 # ---------------------------------------------------------------- CMP-1 scalar
 
+SCALAR_SHAPE_ERROR = "a scalar comparison needs one row and one column on each side"
+SCALAR_COLUMNS = ["source_value", "target_value", "passed", "mismatch_count", "error_message"]
+
+
+def _scalar_side(df: DataFrame, side: str) -> DataFrame:
+    """One row: how many rows the side holds, and its value (the only one if it is one row)."""
+    return df.select(df[0].cast("string").alias("__v")).agg(
+        F.count(F.lit(1)).alias(f"__n_{side}"), F.min("__v").alias(f"{side}_value"))
+
+
 def scalar_compare(source: DataFrame, target: DataFrame) -> DataFrame:
-    """CMP-1: both inputs hold one row and one column; raw text equality, no
-    normalisation (``10.00`` differs from ``10.0``, as in the reference)."""
-    s = source.select(source[0].cast("string").alias("source_value"))
-    t = target.select(target[0].cast("string").alias("target_value"))
-    out = one_row_join(s, t)
+    """CMP-1: one row and one column on each side, compared as raw text without
+    normalisation (``10.00`` differs from ``10.0``, as in the reference).
+
+    ``source_value, target_value, passed, mismatch_count, error_message``.  A side
+    of another shape is an error, never a comparison of some row of it.
+    """
+    if len(source.columns) != 1 or len(target.columns) != 1:
+        return error_result(source.sparkSession, "", "", f"{SCALAR_SHAPE_ERROR}: {len(source.columns)} and "
+                            f"{len(target.columns)} columns").select(*SCALAR_COLUMNS)
+    out = one_row_join(_scalar_side(source, "source"), _scalar_side(target, "target"))
+    single = (F.col("__n_source") == 1) & (F.col("__n_target") == 1)
     eq = F.col("source_value").eqNullSafe(F.col("target_value"))
-    return out.select("source_value", "target_value", eq.alias("passed"),
-                      F.when(eq, F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("mismatch_count"))
+    shape = F.concat(F.lit(f"{SCALAR_SHAPE_ERROR}: "), F.col("__n_source"), F.lit(" and "), F.col("__n_target"), F.lit(" rows"))
+    return out.select(F.when(single, F.col("source_value")).alias("source_value"),
+                      F.when(single, F.col("target_value")).alias("target_value"), (single & eq).alias("passed"),
+                      F.when(single, F.when(eq, 0).otherwise(1)).cast("bigint").alias("mismatch_count"),
+                      F.when(~single, shape).alias("error_message"))
 
 
 def scalar_result(name: str, source: DataFrame, target: DataFrame,

@@ -228,6 +228,65 @@ def checksum_gate_check(spark, sf_dir):
                                              "target_value", "mismatch_count")
 
 
+def checksum_gate_swapped(spark, sf_dir):
+    """CHK-4 goes by column name: the same texts under swapped names are compared
+    (and differ), other column order alone agrees, NULL is no text."""
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("key_col"), F.coalesce("o_orderstatus", F.lit("")).alias("a"),
+        F.coalesce("o_orderpriority", F.lit("")).alias("b"))
+    gone = F.col("key_col") % 5 == 0
+    with_null = o.withColumn("a", F.when(~gone, F.col("a")))
+    with_mark = o.withColumn("a", F.when(~gone, F.col("a")).otherwise(F.lit("\\N")))
+    sides = {"columns_swapped": (o, o.select("key_col", F.col("a").alias("b"), F.col("b").alias("a"))),
+             "columns_reordered": (o, o.select("b", "a", "key_col")), "null_or_text": (with_null, with_mark)}
+    return _stacked([suite.compare_result(spark, n, "value_match", s, t, use_checksum=True, samples=False)
+                     for n, (s, t) in sides.items()]).select("check_name", "passed", "source_value", "mismatch_count")
+
+
+def _stacked(frames) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def scalar_shape_check(spark, sf_dir):
+    """CMP-1 on sides that are not one row and one column: errors, never a PASS."""
+    n = table(spark, sf_dir, "nation")
+    o = table(spark, sf_dir, "orders")
+    ids, count = n.select("n_nationkey"), o.agg(F.count(F.lit(1)).alias("n"))
+    null = o.agg(F.max(F.when(F.lit(False), F.col("o_orderkey"))).alias("n"))
+    sides = {"many_rows": (ids, ids), "no_row_and_null": (ids.where("n_nationkey < 0"), null),
+             "two_columns": (n.select("n_nationkey", "n_name"), count), "both_null": (null, null), "equal": (count, count),
+             "unequal": (count, count.select((F.col("n") + 1).alias("n")))}
+    return _stacked([diff.scalar_result(k, s, t, "scalar") for k, (s, t) in sides.items()]).select(
+        "check_name", "passed", "mismatch_count", "error_message")
+
+
+def target_rows_check(spark, sf_dir):
+    """TGT-1 / TGT-2 through the suite: one column of violating rows is rows, also
+    when it is a single row with id 0; a global aggregate is a count; an
+    explicit kind decides alone."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders_to_check")
+    bad = "FROM orders_to_check WHERE o_totalprice < 2000"
+    low = "(SELECT min(o_orderkey) FROM orders_to_check)"
+    cases = [("one_row_with_id_0", f"SELECT o_orderkey - {low} AS id FROM orders_to_check WHERE o_orderkey = {low}", None),
+             ("many_rows", f"SELECT o_orderkey AS id {bad}", None), ("no_row", "SELECT o_orderkey AS id FROM orders_to_check WHERE o_orderkey IS NULL", None),
+             ("a_count", f"SELECT count(*) AS cnt {bad}", None), ("a_count_named_rows", f"SELECT count(*) AS cnt {bad}", "rows")]
+    out = suite.suite_results(spark, [{"id": i, "name": n, "type": "dq_check", "target_sql": q, "target_kind": k}
+                                      for i, (n, q, k) in enumerate(cases)])
+    return out.select("check_name", "passed", "target_value", "mismatch_count", "mismatch_sample")
+
+
+def keyed_diff_repeated_missing(spark, sf_dir):
+    """CMP-2b: the rows of orders lost as a whole (divisible by 29) and of orders
+    added (negated keys of those divisible by 31), whose keys repeat."""
+    s = lineitem_source(spark, sf_dir)
+    k = F.col("key_col")
+    t = s.where(k % 29 != 0).unionByName(s.where(k % 31 == 0).withColumn("key_col", -k))
+    return diff.one_sided_rows(s, t)
+
+
 # ---------------------------------------------------------------- target-only checks
 
 def _count_result(name, counted, check_type):

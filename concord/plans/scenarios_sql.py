@@ -282,30 +282,30 @@ SCALAR_SUM = _scalar(
     f"SELECT * FROM ({LINEITEM_TARGET_BASE}) b WHERE key_col % 113 = 0) t")
 
 
-def _row_hash(parts: list[str]) -> str:
-    text = ", ".join(f"coalesce({p}, '\\N')" for p in parts)
-    return f"CAST('0x' || substr(md5(concat_ws(chr(31), {text})), 1, 12) AS BIGINT)"
+def _row_text(parts: list[str]) -> str:
+    """Row text with the columns in the order of their names."""
+    return " || ".join(f"coalesce('V' || length({p}) || ':' || {p}, 'N')" for p in parts)
 
 
 def _checksum(q: str, parts: list[str]) -> str:
     return f"""
-SELECT count(*) AS n_rows, CAST(coalesce(sum(h), 0) AS DECIMAL(38,0)) AS sum_hash,
-       coalesce(bit_xor(h), 0) AS xor_hash
-FROM (SELECT {_row_hash(parts)} AS h FROM ({q}) q) x"""
+SELECT count(*) AS n_rows, CAST(coalesce(sum(h1), 0) AS DECIMAL(38,0)) AS sum_hash,
+       CAST(coalesce(sum(h2), 0) AS DECIMAL(38,0)) AS sum_hash_2,
+       CAST(coalesce(bit_xor(h2 % 1152921504606846976), 0) AS BIGINT) AS xor_hash
+FROM (SELECT CAST('0x' || substr(m, 1, 16) AS UBIGINT) AS h1, CAST('0x' || substr(m, 17, 16) AS UBIGINT) AS h2
+      FROM (SELECT md5({_row_text(parts)}) AS m FROM ({q}) q) d) x"""
 
 
 CHECKSUM_TABLE = _checksum("SELECT * FROM customer", [
-    text_int("c_custkey"), "c_name", text_int("c_nationkey"), text_float("c_acctbal"), "c_mktsegment"])
+    text_float("c_acctbal"), text_int("c_custkey"), "c_mktsegment", "c_name", text_int("c_nationkey")])
 
-_ORDER_PARTS = [text_int("key_col"), "val", text_dec("amount"), text_ts("o_orderdate")]
+_ORDER_PARTS = [text_dec("amount"), text_int("key_col"), text_ts("o_orderdate"), "val"]
 
 CHECKSUM_MATCH = f"""
-WITH s AS ({_checksum(ORDERS_SOURCE, _ORDER_PARTS)}), t AS ({_checksum(ORDERS_TARGET, _ORDER_PARTS)})
-SELECT concat_ws(':', s.n_rows, s.sum_hash, s.xor_hash) AS source_checksum,
-       concat_ws(':', t.n_rows, t.sum_hash, t.xor_hash) AS target_checksum,
-       concat_ws(':', s.n_rows, s.sum_hash, s.xor_hash) = concat_ws(':', t.n_rows, t.sum_hash, t.xor_hash)
-         AS checksum_match
-FROM s, t"""
+WITH s AS ({_checksum(ORDERS_SOURCE, _ORDER_PARTS)}), t AS ({_checksum(ORDERS_TARGET, _ORDER_PARTS)}),
+c AS (SELECT concat_ws(':', s.n_rows, s.sum_hash, s.sum_hash_2, s.xor_hash) AS source_checksum,
+             concat_ws(':', t.n_rows, t.sum_hash, t.sum_hash_2, t.xor_hash) AS target_checksum FROM s, t)
+SELECT source_checksum, target_checksum, source_checksum = target_checksum AS checksum_match FROM c"""
 
 
 _CUSTOMER_SOURCE = "SELECT c_custkey AS key_col, c_name, c_acctbal, c_mktsegment FROM customer"
@@ -504,6 +504,47 @@ SELECT i.table_name, i.column_name, CAST(i.ordinal_position - 1 AS INTEGER) AS p
 FROM information_schema.columns i JOIN ({_NULLS}) z ON z.t = i.table_name AND z.c = i.column_name
 WHERE i.table_name IN ({", ".join(f"'{t}'" for t in TPCH_COLUMNS)})"""
 
+# ---------------------------------------------------------------- verdicts of the suite layer
+
+CHECKSUM_GATE_SWAPPED = """
+WITH s AS (SELECT o_orderkey AS k, coalesce(o_orderstatus, '') AS a, coalesce(o_orderpriority, '') AS b FROM orders)
+SELECT 'columns_swapped' AS check_name, false AS passed, (SELECT count(*) || ' rows' FROM s) AS source_value,
+       (SELECT count(*) FROM s WHERE a <> b)::BIGINT AS mismatch_count
+UNION ALL SELECT 'columns_reordered', true, 'Checksum Match', 0
+UNION ALL SELECT 'null_or_text', (SELECT count(*) FROM s WHERE k % 5 = 0) = 0, (SELECT count(*) || ' rows' FROM s),
+       (SELECT count(*) FROM s WHERE k % 5 = 0)::BIGINT"""
+
+SCALAR_SHAPE_CHECK = """
+WITH n AS (SELECT count(*) AS n FROM nation), e AS (SELECT 'a scalar comparison needs one row and one column on each side: ' AS e)
+SELECT 'many_rows' AS check_name, false AS passed, NULL::BIGINT AS mismatch_count,
+       e || n || ' and ' || n || ' rows' AS error_message FROM n, e
+UNION ALL SELECT 'no_row_and_null', false, NULL, e || '0 and 1 rows' FROM e
+UNION ALL SELECT 'two_columns', false, NULL, e || '2 and 1 columns' FROM e
+UNION ALL SELECT 'both_null', true, 0, NULL
+UNION ALL SELECT 'equal', true, 0, NULL
+UNION ALL SELECT 'unequal', false, 1, NULL"""
+
+TARGET_ROWS_CHECK = """
+WITH v AS (SELECT o_orderkey AS id FROM orders WHERE o_totalprice < 2000),
+first AS (SELECT id FROM v ORDER BY id LIMIT 50)
+SELECT 'one_row_with_id_0' AS check_name, false AS passed, '1' AS target_value, 1::BIGINT AS mismatch_count,
+       '[{"id":0}]' AS mismatch_sample
+UNION ALL SELECT 'many_rows', (SELECT count(*) FROM v) = 0, (SELECT count(*)::VARCHAR FROM v), (SELECT count(*) FROM v),
+       (SELECT '[' || string_agg('{"id":' || id || '}', ',' ORDER BY id) || ']' FROM first)
+UNION ALL SELECT 'no_row', true, '0', 0, NULL
+UNION ALL SELECT 'a_count', (SELECT count(*) FROM v) = 0, (SELECT count(*)::VARCHAR FROM v), (SELECT count(*) FROM v), NULL
+UNION ALL SELECT 'a_count_named_rows', false, '1', 1,
+       (SELECT '[{"cnt":' || count(*) || '}]' FROM v)"""
+
+KEYED_DIFF_REPEATED_MISSING = f"""
+WITH s AS (SELECT l_orderkey AS k, l_linenumber AS ln, CAST(l_quantity AS DECIMAL(12,2)) AS qty FROM lineitem),
+t AS (SELECT * FROM s WHERE k % 29 <> 0 UNION ALL SELECT -k, ln, qty FROM s WHERE k % 31 = 0)
+SELECT {canon_int('k')} AS key_col, 'missing_in_target' AS mismatch_type, {canon_int('ln')} AS l_linenumber,
+       {canon_dec('qty')} AS qty, count(*) AS n_rows FROM s WHERE k NOT IN (SELECT k FROM t) GROUP BY ALL
+UNION ALL
+SELECT {canon_int('k')}, 'extra_in_target', {canon_int('ln')}, {canon_dec('qty')}, count(*)
+FROM t WHERE k NOT IN (SELECT k FROM s) GROUP BY ALL"""
+
 # The lineitem load rules and their SQL predicates (violation = NOT cond).
 LINEITEM_RULE_SQL = [
     ("l_quantity: >0", "NOT (l_quantity > 0)"),
@@ -666,6 +707,10 @@ JOIN (VALUES {", ".join(f"('{n}', {k})" for k, n in enumerate(_MAPPING_CASE_IDS,
 
 
 ORACLE_SQL = {
+    "checksum_gate_swapped": CHECKSUM_GATE_SWAPPED,
+    "scalar_shape_check": SCALAR_SHAPE_CHECK,
+    "target_rows_check": TARGET_ROWS_CHECK,
+    "keyed_diff_repeated_missing": KEYED_DIFF_REPEATED_MISSING,
     "keyed_diff_orders": KEYED_DIFF_ORDERS,
     "keyed_diff_multi": KEYED_DIFF_MULTI,
     "keyed_diff_dup_keys": DUP_KEY_PAIRS,

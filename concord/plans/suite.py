@@ -6,16 +6,19 @@ frame and the suite is their union: one Spark job evaluates all cases, and
 identical scans and shuffles shared between cases are computed once.  Only
 the result rows (one per case, samples bounded) come back to the driver.
 
-Case dispatch (explicit by default, the reference's shape rule as option):
-
-* both SQL texts: ``row_count``/``scalar`` type or one column on both sides
-  with ``dispatch="shape"`` and one row each -> scalar compare (CMP-1);
-  ``key_col`` on both sides -> keyed diff (CMP-2); ``val`` on both sides ->
-  value-set diff (CMP-3); otherwise -> row-set diff (CMP-4);
-* target SQL only: one column -> violation count when it returns one row,
-  violating rows otherwise (TGT-1 / TGT-2), decided inside the job;
-  several columns -> violating rows (TGT-2);
+Which comparison a case gets depends on its type, its columns and the shape of
+its statements, never on how many rows they return:
+
+* both SQL texts: type ``row_count`` / ``scalar``, or one global aggregate of
+  one column on each side -> scalar compare (CMP-1); ``key_col`` on both
+  sides -> keyed diff (CMP-2); ``val`` on both -> value-set diff (CMP-3);
+  otherwise -> row-set diff (CMP-4);
+* target SQL only: a count of violations (TGT-1) if the case's ``target_kind``
+  is ``count`` or the statement is a global aggregate; otherwise every row
+  is a violation (TGT-2);
 * no target SQL -> failed with the reference's message.
+
+Inactive cases (``is_active`` false) are left out of a run.
 """
 
 from __future__ import annotations
@@ -28,8 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import checks, checksum, diff
-from ..operators.result import (RESULT_SCHEMA, SET_SAMPLE_EACH_SIDE, TARGET_SAMPLE, error_result,
-                                one_row_join, result_frame, sample_json)
+from ..operators.result import KEYED_SAMPLE, RESULT_SCHEMA, SET_SAMPLE_EACH_SIDE, TARGET_SAMPLE, error_result
 
 NO_SQL_ERROR = "No SQL queries defined for this test case"
 SCALAR_TYPES = {"row_count", "scalar"}
@@ -44,34 +46,34 @@ def batch_check_results(df: DataFrame, batch_col: str, predicates: Mapping[str,
                     (F.col("violations") == 0).alias("passed"))
 
 
-def _target_only(name: str, check_type: str, tgt: DataFrame, samples: bool = True) -> DataFrame:
+def _is_count(case: Mapping[str, Any], tgt: DataFrame) -> bool:
+    """Whether a target-only case returns a number of violations rather than the
+    violating rows: its ``target_kind`` (``count`` / ``rows``) if given, else
+    whether the statement is a global aggregate of one column - one row by
+    construction, whatever the data - and never how many rows came back."""
+    kind = case.get("target_kind")
+    if kind:
+        return kind == "count"
     if len(tgt.columns) != 1:
-        return checks.rows_check_result(name, tgt, check_type, sample_size=TARGET_SAMPLE if samples else 0)
-    # One column: a single row is a violation count, anything else is rows.
-    v = tgt.columns[0]
-    stats = tgt.agg(F.count(F.lit(1)).alias("__n"), F.min(F.col(f"`{v}`")).alias("__v"))
-    value = F.col("__v").cast("string").try_cast("bigint")
-    one = F.col("__n") == 1
-    with_sample = one_row_join(stats, sample_json(tgt, [v], TARGET_SAMPLE)) if samples else \
-        stats.withColumn("mismatch_sample", F.lit(None).cast("string"))
-    out = with_sample.select(
-        F.when(one, F.coalesce(value == 0, F.lit(False))).otherwise(F.col("__n") == 0).alias("passed"),
-        F.when(one, F.col("__v").cast("string")).otherwise(F.col("__n").cast("string")).alias("target_value"),
-        F.when(one, value).otherwise(F.col("__n")).alias("mismatch_count"),
-        F.when(~one, F.col("mismatch_sample")).alias("mismatch_sample"),
-        F.when(one & value.isNull(), F.lit("violation count is not a number")).alias("error_message"))
-    return result_frame(out, name, check_type)
-
-
-def _single_row(df: DataFrame) -> bool:
-    return df.limit(2).count() == 1
+        return False
+    node = tgt._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "SubqueryAlias", "View"):
+        node = node.children().head()
+    return node.nodeName() == "Aggregate" and node.groupingExpressions().isEmpty()
+
+
+def _target_only(case: Mapping[str, Any], name: str, check_type: str, tgt: DataFrame, sample_size: int) -> DataFrame:
+    if _is_count(case, tgt):
+        return checks.count_check_result(name, tgt, check_type)
+    return checks.rows_check_result(name, tgt, check_type, sample_size=sample_size)
 
 
 def case_result(spark: SparkSession, case: Mapping[str, Any], params: dict | None = None, *,
-                dispatch: str = "explicit", use_checksum: bool = False, samples: bool = True) -> DataFrame:
-    """One test case -> one-row result frame (lazy unless ``dispatch='shape'`` or
-    ``use_checksum``, which run small jobs to decide).  ``samples=False``
-    leaves ``mismatch_sample`` empty and plans no sample branch."""
+                use_checksum: bool = False, samples: bool = True, target_sample: int = TARGET_SAMPLE,
+                set_sample: int = SET_SAMPLE_EACH_SIDE, keyed_sample: int = KEYED_SAMPLE) -> DataFrame:
+    """One test case -> one-row result frame (lazy unless ``use_checksum``, which
+    runs a small job to decide).  ``samples=False`` leaves ``mismatch_sample``
+    empty and plans no sample branch; the three sizes bound what it holds."""
     name = case.get("name") or "Unnamed Test"
     ctype = case.get("type") or "value_match"
     src_sql, tgt_sql = case.get("source_sql"), case.get("target_sql")
@@ -80,16 +82,16 @@ def case_result(spark: SparkSession, case: Mapping[str, Any], params: dict | Non
             return error_result(spark, name, ctype, NO_SQL_ERROR)
         tgt = spark.sql(tgt_sql, args=params) if params else spark.sql(tgt_sql)
         if not src_sql:
-            return _target_only(name, ctype, tgt, samples)
+            return _target_only(case, name, ctype, tgt, target_sample if samples else 0)
         src = spark.sql(src_sql, args=params) if params else spark.sql(src_sql)
-        return compare_result(spark, name, ctype, src, tgt, dispatch=dispatch, use_checksum=use_checksum,
-                              samples=samples)
+        return compare_result(spark, name, ctype, src, tgt, use_checksum=use_checksum, samples=samples,
+                              set_sample=set_sample, sample_size=keyed_sample)
     except Exception as e:  # analysis errors surface here, as in the reference
-        return error_result(spark, name, ctype, str(e).strip().splitlines()[0])
+        return error_result(spark, name, ctype, str(e))
 
 
 def compare_result(spark: SparkSession, name: str, ctype: str, src: DataFrame, tgt: DataFrame, *,
-                   dispatch: str = "explicit", use_checksum: bool = False, samples: bool = True,
+                   use_checksum: bool = False, samples: bool = True, set_sample: int = SET_SAMPLE_EACH_SIDE,
                    **opts) -> DataFrame:
     """Both sides of a case -> its one-row result: the checksum short-circuit
     (CHK-4) when asked, then scalar, keyed, value-set or row-set comparison by
@@ -100,12 +102,11 @@ def compare_result(spark: SparkSession, name: str, ctype: str, src: DataFrame, t
     if use_checksum and checksum.checksum_gate(src, tgt):
         return checksum.checksum_match_result(spark, name, ctype)
     one_col = len(src.columns) == 1 and len(tgt.columns) == 1
-    if one_col and (ctype in SCALAR_TYPES or
-                    (dispatch == "shape" and _single_row(src) and _single_row(tgt))):
+    if ctype in SCALAR_TYPES or one_col and _is_count({}, src) and _is_count({}, tgt):
         return diff.scalar_result(name, src, tgt, ctype)
     if diff.KEY in src.columns and diff.KEY in tgt.columns:
         return diff.keyed_diff_result(name, src, tgt, check_type=ctype, **opts)
-    each = SET_SAMPLE_EACH_SIDE if samples else 0
+    each = set_sample if samples else 0
     if diff.VAL in src.columns and diff.VAL in tgt.columns:
         return diff.set_diff_result(name, src, tgt, check_type=ctype, sample_each=each)
     return diff.row_set_diff_result(name, src, tgt, check_type=ctype, sample_each=each)
@@ -116,7 +117,7 @@ _SUITE_SCHEMA = T.StructType(RESULT_SCHEMA.fields + [T.StructField("test_case_id
 
 def _case_frames(spark: SparkSession, cases, params, opts) -> list[DataFrame]:
     return [case_result(spark, c, params, **opts).withColumn("test_case_id", F.lit(c.get("id")).cast("int"))
-            for c in cases]
+            for c in cases if c.get("is_active", True) is not False]
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -151,6 +152,7 @@ def run_cases(spark: SparkSession, cases: list[Mapping[str, Any]], params: dict
     one by one so a failing case fails alone with its error, as in the
     reference's per-case handling.
     """
+    cases = [c for c in cases if c.get("is_active", True) is not False]
     frames = _case_frames(spark, cases, params, opts)
     if not frames:
         return spark.createDataFrame([], _SUITE_SCHEMA)
@@ -164,7 +166,7 @@ def run_cases(spark: SparkSession, cases: list[Mapping[str, Any]], params: dict
                 rows += f.collect()
             except Exception as e:
                 err = error_result(spark, c.get("name") or "Unnamed Test", c.get("type") or "value_match",
-                                   str(e).strip().splitlines()[0])
+                                   str(e))
                 rows += err.withColumn("test_case_id", F.lit(c.get("id")).cast("int")).collect()
     return spark.createDataFrame(rows, suite.schema)
 
@@ -180,4 +182,4 @@ def validate_sql(spark: SparkSession, sql: str | None) -> tuple[str, str | None]
         spark.sql(sql)
         return "valid", None
     except Exception as e:
-        return "invalid", str(e).strip().splitlines()[0]
+        return "invalid", str(e)
