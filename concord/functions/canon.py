@@ -104,12 +104,3 @@ def canon(c: Column | str, dtype: T.DataType, *, strict: bool = False,
     else:
         text = _drop_dot_zero(F.btrim(text, F.lit(WHITESPACE)))
     return F.when(text.isin(*NULL_TOKENS), F.lit("")).otherwise(text)
-
-
-def canon_columns(df, columns: list[str] | None = None, *, strict: bool = False,
-                  strip_dot_zero_strings: bool = False) -> list[Column]:
-    """``canon`` of each named column of ``df``, aliased to its own name."""
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    names = list(fields) if columns is None else columns
-    return [canon(F.col(f"`{n}`"), fields[n], strict=strict,
-                  strip_dot_zero_strings=strip_dot_zero_strings).alias(n) for n in names]

@@ -23,38 +23,6 @@ from pyspark.sql import functions as F
 YYYYMM_PATTERN = r"^[0-9]{4}(0[1-9]|1[0-2])$"
 
 
-def _c(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def not_null(c) -> Column:
-    return _c(c).isNull()
-
-
-def positive(c) -> Column:
-    return ~(_c(c) > 0)
-
-
-def yyyymm(c) -> Column:
-    return ~_c(c).cast("string").rlike(YYYYMM_PATTERN)
-
-
-def in_range(c, low, high) -> Column:
-    return ~_c(c).between(low, high)
-
-
-def in_set(c, values) -> Column:
-    return ~_c(c).isin(list(values))
-
-
-def max_length(c, n: int) -> Column:
-    return F.char_length(_c(c).cast("string")) > n
-
-
-def matches(c, pattern: str) -> Column:
-    return ~_c(c).cast("string").rlike(pattern)
-
-
 def _number(text: str):
     return float(text) if "." in text else int(text)
 
@@ -66,17 +34,19 @@ def _sql_literal(v) -> str:
 
 
 def _enum_values(body: str):
-    body = body.strip()
-    m = re.fullmatch(r"(-?\d+)\s*-\s*(-?\d+)", body)
-    if m:
-        lo, hi = int(m.group(1)), int(m.group(2))
-        return list(range(lo, hi + 1))
     items = [x.strip().strip("'\"") for x in re.split(r"[,;/]", body) if x.strip()]
     return [_number(x) if re.fullmatch(r"-?\d+(\.\d+)?", x) else x for x in items]
 
 
-def _in_list(body: str) -> str:
-    return ", ".join(_sql_literal(v) for v in _enum_values(body))
+def _in_list(body: str) -> str | None:
+    """Violation of "one of these": an integer range ``1-5`` as bounds and a test for
+    whole numbers, else the listed values; None for a range of anything else."""
+    m = re.fullmatch(r"\s*(-?\d+)\s*-\s*(-?\d+)\s*", body)
+    if m:
+        return f"NOT ({{c}} BETWEEN {m.group(1)} AND {m.group(2)} AND {{c}} = floor({{c}}))"
+    if re.fullmatch(r"\s*\w+\s*-\s*\w+\s*", body):
+        return None
+    return f"NOT ({{c}} IN ({', '.join(_sql_literal(v) for v in _enum_values(body))}))"
 
 
 _NUM = r"(-?\d+(?:\.\d+)?)"
@@ -92,8 +62,9 @@ _RULES: list[tuple[str, Callable]] = [
      lambda m: f"NOT ({{c}} BETWEEN {m.group(1)} AND {m.group(2)})"),
     (rf"^(?:between\s+)?{_NUM}\s+(?:and|to)\s+{_NUM}$",
      lambda m: f"NOT ({{c}} BETWEEN {m.group(1)} AND {m.group(2)})"),
-    (r"^enum\s+(.+)$", lambda m: f"NOT ({{c}} IN ({_in_list(m.group(1))}))"),
-    (r"^values?\s+(.+)$", lambda m: f"NOT ({{c}} IN ({_in_list(m.group(1))}))"),
+    (r"^in\s*\((.+)\)$", lambda m: _in_list(m.group(1))),
+    (r"^enum\s+(.+)$", lambda m: _in_list(m.group(1))),
+    (r"^values?\s+(.+)$", lambda m: _in_list(m.group(1))),
     (r"^(?:len|length)\s*(?:≤|<=)\s*(\d+)$", lambda m: f"char_length(CAST({{c}} AS STRING)) > {m.group(1)}"),
     (r"^max\s+length\s+(\d+)$", lambda m: f"char_length(CAST({{c}} AS STRING)) > {m.group(1)}"),
     (rf"^(?:>=|≥)\s*{_NUM}$", lambda m: f"NOT ({{c}} >= {m.group(1)})"),
@@ -105,23 +76,53 @@ _RULES: list[tuple[str, Callable]] = [
 FK_RULE = re.compile(r"^(fk\s+exists|must\s+exist\s+in\s+(?P<table>[\w.]+))$", re.IGNORECASE)
 
 
+UNIQUE_RULE = re.compile(r"^(unique|no\s+duplicates?|must\s+be\s+unique)$", re.IGNORECASE)
+
+
 def rule_kind(text: str | None) -> str | None:
-    """'fk', 'predicate' or None (empty / not understood)."""
+    """'fk', 'unique', 'predicate' or None (empty / not understood)."""
     if not text or not text.strip():
         return None
     t = text.strip()
     if FK_RULE.match(t):
         return "fk"
+    if UNIQUE_RULE.match(t):
+        return "unique"
     return "predicate" if rule_sql(t, "x") is not None else None
 
 
+def _cut(text: str, mark: str) -> list[str]:
+    """Split at ``mark`` (a pattern) outside brackets and quotes."""
+    held = re.findall(r"\([^()]*\)|'[^']*'", text)
+    for i, x in enumerate(held):
+        text = text.replace(x, f"\x00{i}\x00", 1)
+    parts = re.split(mark, text, flags=re.IGNORECASE)
+    return [re.sub(r"\x00(\d+)\x00", lambda m: held[int(m.group(1))], x).strip() for x in parts]
+
+
+def rule_parts(text: str | None) -> list[tuple[str, str]]:
+    """(kind, rule) of every rule in a cell: the whole cell if it is one rule, else
+    its parts at ``;``, then ``and``, then ``,``.  A part that is no rule is
+    ``unknown``; nothing of the cell is left out."""
+    if not text or not text.strip():
+        return []
+    if whole := rule_kind(text):
+        return [(whole, text.strip())]
+    for mark in (";", r"\band\b", ","):
+        parts = [x for x in _cut(text, mark) if x]
+        if len(parts) > 1:
+            return [y for x in parts for y in rule_parts(x)]
+    return [("unknown", text.strip())]
+
+
 def rule_sql(text: str, column: str) -> str | None:
     """Violation predicate of a rule text as Spark SQL over ``column``, or None."""
     t = re.sub(r"\s+", " ", text.strip())
     for pattern, factory in _RULES:
         m = re.match(pattern, t, re.IGNORECASE)
         if m:
-            return factory(m).replace("{c}", column)
+            found = factory(m)
+            return found.replace("{c}", column) if found else None
     return None
 
 

@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .result import TARGET_SAMPLE, error_result, one_row_join, result_frame, sample_json
+from .result import TARGET_SAMPLE, one_row_join, result_frame, sample_json
 
 
 def count_check_result(name: str, counted: DataFrame, check_type: str = "dq_check") -> DataFrame:
@@ -125,7 +125,3 @@ def grouped_violation_counts(df: DataFrame, group: list[str] | str,
     pairs = F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(f"__p{i}").alias("violations"))
                       for i, n in enumerate(names)])
     return wide.select(*g, "rows", F.inline(pairs))
-
-
-def check_error(df: DataFrame, name: str, check_type: str, message: str) -> DataFrame:
-    return error_result(df.sparkSession, name, check_type, message)

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dq
-from ..sources.files import DELIMITER_CANDIDATES, sniff_delimiter
+from ..sources.files import DELIMITER_CANDIDATES
+from .suite import validate_sql
 
 # Mapping-document header names and the field each one fills.
 HEADER_ALIASES = {
@@ -49,6 +50,7 @@ DASH_ROW = r"^[ \-|]+$"
 SINGLE_PIPE = r"(?<!\|)\|(?!\|)"
 TRUE_KEYS = ["y", "yes", "true", "1"]
 DIRECT = "DIRECT"
+NO_HEADER_ERROR = "no line of the document holds two known header names"
 DIMENSION_NAME = r"(?i)(^dim_|_dim$|^d_|dimension)"
 
 
@@ -69,53 +71,90 @@ def _from_cell_arrays(lines: DataFrame) -> DataFrame:
     """``document, cells`` (array of cleaned text) -> one row per mapping row.
 
     The header line of a document is the line with the most known header
-    names; cells of the other lines are picked by the header's positions.
+    names; cells of the other lines are picked by the header's positions.  A
+    document without a line of two known names gives one row with ``error``.
     """
     known = F.array(*[F.lit(k) for k in HEADER_ALIASES])
     lower = F.transform("cells", lambda x: F.lower(x))
     hits = F.size(F.array_intersect(lower, known))
     scored = lines.withColumn("__hits", hits)
-    header = (scored.where(F.col("__hits") >= 2).groupBy("document")
-              .agg(F.max_by("cells", "__hits").alias("__header"), F.max("__hits").alias("__h")))
-    rows = scored.join(header, "document").where(F.col("cells") != F.col("__header"))
+    header = scored.groupBy("document").agg(F.max_by("cells", "__hits").alias("__header"), F.max("__hits").alias("__h"))
+    known_header = F.col("__h") >= 2
+    rows = scored.join(header, "document").where(known_header & (F.col("cells") != F.col("__header")))
     hdr_lower = F.transform("__header", lambda x: F.lower(x))
     out = [F.col("document")]
     for field in FIELDS:
         names = [k for k, v in HEADER_ALIASES.items() if v == field]
         found = [F.array_position(hdr_lower, F.lit(n)) for n in names]
         pos = F.greatest(*found) if len(found) > 1 else found[0]
-        out.append(F.when(pos > 0, F.element_at("cells", pos.cast("int"))).alias(field))
-    return rows.select(*out)
+        out.append(F.when(pos > 0, F.get("cells", pos.cast("int") - 1)).alias(field))
+    unknown = header.where(~known_header).select(
+        "document", *[F.lit(None).cast("string").alias(f) for f in FIELDS], F.lit(NO_HEADER_ERROR).alias("error"))
+    return rows.select(*out, F.lit(None).cast("string").alias("error")).unionByName(unknown)
+
+
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    """``document, text`` of every file (mapping documents are written by hand: small)."""
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("document"), F.col("value").alias("text"))
+
+
+def _document_shapes(docs: DataFrame) -> list:
+    """(document, delimiter, most cells of a line) of each document, from its own
+    first line that is not blank."""
+    first = F.get(F.filter(F.split("text", "\r\n|\r|\n"), lambda x: F.trim(x) != ""), F.lit(0))
+    n = {d: F.length("first") - F.length(F.replace(F.col("first"), F.lit(d), F.lit(""))) for d in DELIMITER_CANDIDATES}
+    best, most = F.lit(DELIMITER_CANDIDATES[0]), F.coalesce(n[DELIMITER_CANDIDATES[0]], F.lit(0))
+    for d in DELIMITER_CANDIDATES[1:]:
+        best, most = F.when(n[d] > most, F.lit(d)).otherwise(best), F.greatest(most, n[d])
+    shaped = docs.select("document", "text", first.alias("first")).select("document", "text", best.alias("sep"))
+    cells = F.array_max(F.transform(F.split("text", "\r\n|\r|\n"), lambda x: F.length(x) - F.length(F.replace(x, F.col("sep"), F.lit("")))))
+    return shaped.select("document", "sep", (cells + 1).alias("width")).collect()  # one small row a document
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """MAP-1: CSV / TSV mapping documents (a file or a folder), delimiter
-    sniffed from the first line unless given; quoted cells may hold the
-    delimiter and non-ASCII text."""
-    sep = delimiter or sniff_delimiter(_first_line(spark, path))
-    raw = spark.read.option("sep", sep).option("quote", '"').option("escape", '"') \
-        .option("header", False).option("encoding", "UTF-8").csv(path)
-    cells = F.array(*[_clean_cell(F.col(c)) for c in raw.columns])
-    lines = raw.select(F.col("_metadata.file_path").alias("document"), cells.alias("cells"))
-    lines = lines.where(F.exists("cells", lambda x: x != F.lit("")))
-    return field_mappings(_from_cell_arrays(lines))
+    """MAP-1: CSV / TSV mapping documents (a file or a folder).  Every document is
+    read with its own delimiter (its first line decides, unless given), its own
+    header and as many cells as its longest line has; quoted cells may hold
+    the delimiter, line breaks and non-ASCII text.  Documents without a known
+    header come back as rows with ``error``."""
+    by_shape: dict[str, list] = {}
+    for r in _document_shapes(_documents(spark, path)):
+        by_shape.setdefault(delimiter or r["sep"], []).append(r)
+    lines = spark.createDataFrame([], "document string, cells array<string>")
+    for sep, docs in sorted(by_shape.items()):
+        width = max(r["width"] for r in docs)
+        names = [f"c{i}" for i in range(width)]
+        raw = (spark.read.schema(", ".join(f"{n} string" for n in names)).option("sep", sep).option("quote", '"').option("escape", '"')
+               .option("header", False).option("multiLine", True).option("encoding", "UTF-8").csv([r["document"] for r in docs]))
+        cells = F.array(*[_clean_cell(F.col(c)) for c in names])
+        lines = lines.unionByName(raw.select(F.col("_metadata.file_path").alias("document"), cells.alias("cells")))
+    return field_mappings(_from_cell_arrays(lines.where(F.exists("cells", lambda x: x != F.lit("")))))
 
 
 def read_pipe_tables(spark: SparkSession, path: str) -> DataFrame:
     """MAP-2: pipe-table documents (markdown style).  Blank and dash rows are
     dropped, outer pipes stripped, cells split on single pipes only, so a
     ``||`` inside a rule stays in its cell."""
-    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("document"),
-                                        F.trim("value").alias("line"))
+    text = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("document"),
+                                                                  F.trim("value").alias("line"))
     text = text.where((F.col("line") != "") & ~F.col("line").rlike(DASH_ROW))
     inner = F.regexp_replace("line", r"^\|+|\|+$", "")
     cells = F.transform(F.split(inner, SINGLE_PIPE), lambda x: _clean_cell(x))
     return field_mappings(_from_cell_arrays(text.select("document", cells.alias("cells"))))
 
 
-def _first_line(spark: SparkSession, path: str) -> str:
-    rows = spark.read.text(path).limit(1).collect()
-    return rows[0][0] if rows else ""
+def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``.txt`` documents: pipe tables where the first line starts with a pipe,
+    else delimited - each document by itself."""
+    docs = _documents(spark, path).select("document", F.ltrim("text").startswith("|").alias("pipe")).collect()
+    out = None
+    for reader, pipe in ((read_pipe_tables, True), (read_delimited, False)):
+        paths = [r["document"] for r in docs if r["pipe"] == pipe]
+        for one in paths:  # one small file each
+            got = reader(spark, one)
+            out = got if out is None else out.unionByName(got)
+    return out if out is not None else read_delimited(spark, path)
 
 
 def field_mappings(rows: DataFrame) -> DataFrame:
@@ -137,6 +176,7 @@ def field_mappings(rows: DataFrame) -> DataFrame:
         txt("dq_rule").alias("dq_rule"),
         txt("test_notes").alias("test_notes"),
         txt("target_column").alias("target_sql_expr"),
+        *([F.col("error")] if "error" in rows.columns else []),
     )
 
 
@@ -201,29 +241,61 @@ def _lookup_join(fm: dict, tables: Mapping[str, DataFrame]) -> tuple[str, str] |
     source table (start inclusive, end exclusive)."""
     cols = _columns_of(tables)
     src, sc, tc = fm["source_table"], fm["source_column"].lower(), fm["target_column"].lower()
-    for t, names in sorted(cols.items()):
+    named = [t for t in sorted(cols, key=len, reverse=True) if re.search(rf"\b{re.escape(t)}\b", fm["transformation"] or "", re.I)]
+    for t in [*named, *(t for t in sorted(cols) if t not in named)]:  # a table named in the rule goes first
+        names = cols[t]
         if t == src or sc not in names or tc not in names:
             continue
         on = f"s.{sc} = d.{sc}"
         if {"valid_from", "valid_to"} <= names:
-            dates = [f.name for f in tables[src].schema.fields if isinstance(f.dataType, T.DateType)]
-            if dates:
-                on += (f" AND s.{dates[0]} >= d.valid_from"
-                       f" AND (d.valid_to IS NULL OR s.{dates[0]} < d.valid_to)")
+            dates = [f.name for f in tables[src].schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
+            told = [d for d in dates if re.search(rf"\b{re.escape(d)}\b", fm["transformation"] or "", re.I)] or dates
+            if told:
+                on += (f" AND s.{told[0]} >= d.valid_from"
+                       f" AND (d.valid_to IS NULL OR s.{told[0]} < d.valid_to)")
         return f"{src} s LEFT JOIN {t} d ON {on}", f"d.{tc}"
     return None
 
 
-def _parent_of(table: str, column: str, tables: Mapping[str, DataFrame]) -> str | None:
-    """FK EXISTS without a named parent: another table with the same column name."""
-    for t, names in sorted(_columns_of(tables).items()):
-        if t != table and column.lower() in names:
-            return t
-    return None
+def _parent_of(rule: str, row: Mapping, tables: Mapping[str, DataFrame], keys: Mapping[str, str],
+               foreign_keys: Mapping[tuple[str, str], tuple[str, str]]) -> tuple[str, str] | None:
+    """(parent table, its key column) of a referential rule: the table named in the
+    rule with the column of the child's name or its declared key; else the
+    discovered foreign key; else the one other table, not the mapping's own
+    source, with a column of that name.  None if that does not decide it."""
+    tt, tc = row["target_table"], row["target_column"]
+    cols = _columns_of(tables)
+    named = dq.FK_RULE.match(rule.strip()).group("table")
+    if named:
+        t = next((x for x in tables if x.lower() == named.lower()), None)
+        if t is None:
+            return None
+        return (t, tc) if tc.lower() in cols[t] else (t, keys[t]) if t in keys else None
+    if (tt, tc) in foreign_keys:
+        return foreign_keys[tt, tc]
+    found = [t for t in cols if t not in (tt, row["source_table"]) and tc.lower() in cols[t]]
+    return (found[0], tc) if len(found) == 1 else None
+
+
+def _orphan_sql(child: str, column: str, parent: str, key: str) -> str:
+    """Rows without a parent, counted over distinct child values (a hot key is one
+    row before it meets the parent); NULL has no parent."""
+    return (f"SELECT coalesce(sum(c.cnt), 0) AS cnt FROM (SELECT {column} AS k, count(*) AS cnt FROM {child} GROUP BY {column}) c "
+            f"LEFT JOIN (SELECT DISTINCT {key} AS k, true AS present FROM {parent}) p ON c.k = p.k WHERE p.present IS NULL")
+
+
+def _to_target(expr: str, target_type: str | None) -> str:
+    """The source value in the target's type, so both sides are compared alike."""
+    t = (target_type or "").strip().lower()
+    m = re.match(r"(decimal|numeric)\s*\(\s*(\d+)\s*,\s*(\d+)\s*\)", t)
+    kind = (f"DECIMAL({m.group(2)},{m.group(3)})" if m else "BIGINT" if re.match(r"(tiny|small|big)?int(eger)?\b", t)
+            else "DATE" if t == "date" else None)
+    return f"TRY_CAST({expr} AS {kind})" if kind else expr
 
 
 def to_checks(field_rows: list[Mapping], tables: Mapping[str, DataFrame],
-              identity: Mapping[str, str] | None = None) -> list[dict]:
+              identity: Mapping[str, str] | None = None, keys: Mapping[str, str] | None = None,
+              foreign_keys: Mapping[tuple[str, str], tuple[str, str]] | None = None) -> list[dict]:
     """MAP-5: field mappings (rows of ``field_mappings``, metadata-sized) ->
     test cases ``{id, name, type, source_sql, target_sql, description,
     validation_status}``.
@@ -233,11 +305,22 @@ def to_checks(field_rows: list[Mapping], tables: Mapping[str, DataFrame],
       dimension and the row reads the identity row's source table; otherwise a
       DISTINCT value-set comparison;
     * one ``row_count`` per source/target table pair;
-    * ``null_check`` for NOT NULL, ``duplicate_check`` for the identity
-      column only (other Key=Y columns are foreign keys and may repeat),
-      ``dq_check`` for predicate rules, an FK check for ``FK EXISTS``.
+    * for every rule of the DQ cell: ``null_check`` for NOT NULL, ``dq_check`` for
+      a predicate, ``duplicate_check`` for a unique rule, an FK check for a
+      referential one (parents from the rule, ``foreign_keys`` - such as
+      PRF-3 finds - or ``keys``, the key column of a parent);
+    * ``duplicate_check`` for the identity column (other Key=Y columns are
+      foreign keys and may repeat).
+
+    Nothing of a document is left out: a rule or a document that is not
+    understood gives an inactive case with status ``manual``.  Statements are
+    analysed against the session's views; one that fails is ``invalid`` with
+    the error in its description.
     """
-    rows = [dict(r) for r in field_rows]
+    unread = [dict(r) for r in field_rows if r.get("error")]
+    rows = [dict(r) for r in field_rows if not r.get("error")]
+    keys, foreign_keys = keys or {}, foreign_keys or {}
+    spark = next(iter(tables.values())).sparkSession if tables else None
     ident: dict[str, dict] = {}
     for r in rows:
         if r.get("is_key") and r["target_table"] not in ident:
@@ -253,9 +336,16 @@ def to_checks(field_rows: list[Mapping], tables: Mapping[str, DataFrame],
             computed.setdefault(r["target_table"], {})[r["target_column"]] = e
     cases: list[dict] = []
 
-    def add(name, ctype, src, tgt, desc, status="valid"):
-        cases.append({"id": len(cases) + 1, "name": name, "type": ctype, "source_sql": src,
-                      "target_sql": tgt, "description": desc, "validation_status": status})
+    def add(name, ctype, src, tgt, desc, status="valid", kind=None):
+        for sql in (src, tgt) if status == "valid" and spark is not None else ():
+            told, error = validate_sql(spark, sql)
+            if told != "valid":
+                status, desc = told, f"{desc}: {error}"
+        cases.append({"id": len(cases) + 1, "name": name, "type": ctype, "source_sql": src, "target_sql": tgt,
+                      "target_kind": kind, "description": desc, "validation_status": status, "is_active": status != "manual"})
+
+    for r in unread:
+        add(f"document {r['document']}", "custom", None, None, r["error"], "manual")
 
     pairs = []
     for r in rows:
@@ -264,6 +354,7 @@ def to_checks(field_rows: list[Mapping], tables: Mapping[str, DataFrame],
             pairs.append((st, tt))
         lookup = _lookup_join(r, tables) if r["__expr"] is None else None
         src_from, val = (lookup if lookup else (st, r["__expr"] or r["source_column"]))
+        val = _to_target(val, r.get("target_type"))
         status = "valid" if (r["__expr"] is not None or lookup) else "manual"
         idr = ident.get(tt)
         keyed = (idr is not None and idr["source_table"] == st and not re.search(DIMENSION_NAME, tt)
@@ -283,27 +374,29 @@ def to_checks(field_rows: list[Mapping], tables: Mapping[str, DataFrame],
                 f"SELECT DISTINCT {val} AS val FROM {src_from} WHERE {r['source_column']} IS NOT NULL"
                 if not lookup else f"SELECT DISTINCT {val} AS val FROM {src_from}",
                 f"SELECT DISTINCT {tc} AS val FROM {tt}", "value-set comparison", status)
-        rule = r.get("dq_rule")
-        kind = dq.rule_kind(rule)
-        if kind == "predicate":
-            pred = dq.rule_sql(rule, tc)
+        rules = dq.rule_parts(r.get("dq_rule"))
+        for kind, rule in rules:
+            told = f" ({rule})" if len(rules) > 1 else ""
+            pred = dq.rule_sql(rule, tc) if kind == "predicate" else None
+            parent = _parent_of(rule, r, tables, keys, foreign_keys) if kind == "fk" else None
             if pred == f"{tc} IS NULL":
                 add(f"{mid} null_check {tt}.{tc}", "null_check", None,
-                    f"SELECT COUNT(*) AS cnt FROM {tt} WHERE {tc} IS NULL", "NOT NULL")
-            else:
-                add(f"{mid} dq_check {tt}.{tc}", "dq_check", None,
-                    f"SELECT COUNT(*) AS cnt FROM {tt} WHERE {pred}", f"rule: {rule}")
-        elif kind == "fk":
-            m = dq.FK_RULE.match(rule.strip())
-            parent = m.group("table") or _parent_of(tt, tc, tables)
-            if parent:
-                add(f"{mid} fk_check {tt}.{tc}", "dq_check", None,
-                    f"SELECT COUNT(*) AS cnt FROM {tt} f LEFT JOIN {parent} d ON f.{tc} = d.{tc} "
-                    f"WHERE d.{tc} IS NULL", f"referential integrity to {parent}")
+                    f"SELECT COUNT(*) AS cnt FROM {tt} WHERE {tc} IS NULL", "NOT NULL", kind="count")
+            elif pred:
+                add(f"{mid} dq_check {tt}.{tc}{told}", "dq_check", None,
+                    f"SELECT COUNT(*) AS cnt FROM {tt} WHERE {pred}", f"rule: {rule}", kind="count")
+            elif parent:
+                add(f"{mid} fk_check {tt}.{tc}", "dq_check", None, _orphan_sql(tt, tc, *parent),
+                    f"referential integrity to {parent[0]}.{parent[1]}", kind="count")
+            elif kind != "unique":
+                add(f"{mid} {kind} {tt}.{tc}{told}", "dq_check", None, None, f"rule not understood: {rule}", "manual")
+            elif idr is not r:
+                add(f"{mid} duplicate_check {tt}.{tc}", "duplicate_check", None,
+                    f"SELECT {tc}, COUNT(*) AS cnt FROM {tt} GROUP BY {tc} HAVING COUNT(*) > 1", "must be unique", kind="rows")
         if idr is r:
             add(f"{mid} duplicate_check {tt}.{tc}", "duplicate_check", None,
                 f"SELECT {tc}, COUNT(*) AS cnt FROM {tt} GROUP BY {tc} HAVING COUNT(*) > 1",
-                "identity column must be unique")
+                "identity column must be unique", kind="rows")
     for st, tt in pairs:
         add(f"row_count {st} -> {tt}", "row_count", f"SELECT COUNT(*) AS cnt FROM {st}",
             f"SELECT COUNT(*) AS cnt FROM {tt}", "row counts of the table pair")
@@ -313,9 +406,7 @@ def to_checks(field_rows: list[Mapping], tables: Mapping[str, DataFrame],
 def checks_frame(spark: SparkSession, cases: list[dict]) -> DataFrame:
     """Test cases as a DataFrame (the reference's test-case table)."""
     schema = ("id int, name string, type string, source_sql string, target_sql string, "
-              "description string, validation_status string")
-    return spark.createDataFrame([(c["id"], c["name"], c["type"], c["source_sql"], c["target_sql"],
-                                   c["description"], c["validation_status"]) for c in cases], schema)
-
+              "description string, validation_status string, is_active boolean")
+    return spark.createDataFrame([(c["id"], c["name"], c["type"], c["source_sql"], c["target_sql"], c["description"],
+                                   c["validation_status"], c.get("is_active", True)) for c in cases], schema)
 
-DELIMITERS = DELIMITER_CANDIDATES

@@ -70,7 +70,12 @@ def test_checksum_is_order_independent_and_separates_columns(spark):
     assert ca == cb and ca != cc
     assert checksum.checksum_gate(a, b) and not checksum.checksum_gate(a, c)
     e = spark.createDataFrame([], "p string")
-    assert tuple(checksum.checksum(e).collect()[0]) == (0, D(0), 0)
+    assert tuple(checksum.checksum(e).collect()[0]) == (0, D(0), D(0), 0)
+    # columns go by name: another order agrees, swapped texts do not; NULL is no text
+    assert checksum.checksum_gate(a, a.select("q", "p"))
+    assert not checksum.checksum_gate(a, a.selectExpr("q AS p", "p AS q")) and not checksum.checksum_gate(a, a.withColumnRenamed("q", "r"))
+    n, m = (spark.createDataFrame([(v, "N")], "p string, q string") for v in (None, "N"))
+    assert not checksum.checksum_gate(n, m)
     x1 = checksum.checksum(a, flavour="xxhash64").collect()[0]
     x2 = checksum.checksum(b, flavour="xxhash64").collect()[0]
     assert x1 == x2
