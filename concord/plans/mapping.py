@@ -93,7 +93,7 @@ def _from_cell_arrays(lines: DataFrame) -> DataFrame:
     return rows.select(*out, F.lit(None).cast("string").alias("error")).unionByName(unknown)
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
+def _documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``document, text`` of every file (mapping documents are written by hand: small)."""
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("document"), F.col("value").alias("text"))
@@ -112,7 +112,7 @@ def _document_shapes(docs: DataFrame) -> list:
     return shaped.select("document", "sep", (cells + 1).alias("width")).collect()  # one small row a document
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str | list[str], delimiter: str | None = None) -> DataFrame:
     """MAP-1: CSV / TSV mapping documents (a file or a folder).  Every document is
     read with its own delimiter (its first line decides, unless given), its own
     header and as many cells as its longest line has; quoted cells may hold
@@ -132,7 +132,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None)
     return field_mappings(_from_cell_arrays(lines.where(F.exists("cells", lambda x: x != F.lit("")))))
 
 
-def read_pipe_tables(spark: SparkSession, path: str) -> DataFrame:
+def read_pipe_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """MAP-2: pipe-table documents (markdown style).  Blank and dash rows are
     dropped, outer pipes stripped, cells split on single pipes only, so a
     ``||`` inside a rule stays in its cell."""
@@ -148,13 +148,10 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     """``.txt`` documents: pipe tables where the first line starts with a pipe,
     else delimited - each document by itself."""
     docs = _documents(spark, path).select("document", F.ltrim("text").startswith("|").alias("pipe")).collect()
-    out = None
-    for reader, pipe in ((read_pipe_tables, True), (read_delimited, False)):
-        paths = [r["document"] for r in docs if r["pipe"] == pipe]
-        for one in paths:  # one small file each
-            got = reader(spark, one)
-            out = got if out is None else out.unionByName(got)
-    return out if out is not None else read_delimited(spark, path)
+    pipes, others = ([r["document"] for r in docs if r["pipe"] == x] for x in (True, False))
+    if not pipes:
+        return read_delimited(spark, path)
+    return read_pipe_tables(spark, pipes).unionByName(read_delimited(spark, others)) if others else read_pipe_tables(spark, pipes)
 
 
 def field_mappings(rows: DataFrame) -> DataFrame:

@@ -11,14 +11,12 @@ lazy DataFrame; ``__spark_entry__`` registers them.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dq, transforms as xf
 from ..operators import checks, checksum, diff, lookups, profile
-from ..session import ensure_checkpoint_dir
+from ..session import run_folder
 from ..sources import files
 from . import mapping, report, suite
 
@@ -295,8 +293,7 @@ def _count_result(name, counted, check_type):
 
 
 def null_check(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return _count_result("null_o_orderdate", checks.null_check(o, "o_orderdate"), "null_check")
+    return _count_result("null_order_date", checks.null_check(orders_fact(spark, sf_dir), "order_date"), "null_check")
 
 
 def duplicate_check(spark, sf_dir):
@@ -305,7 +302,7 @@ def duplicate_check(spark, sf_dir):
 
 def fk_check(spark, sf_dir):
     counted = checks.fk_violation_count(table(spark, sf_dir, "labels"), "doc_id",
-                                        table(spark, sf_dir, "documents"), "doc_id")
+                                        table(spark, sf_dir, "documents").where(F.col("doc_id") % 11 != 0), "doc_id")
     return _count_result("fk_labels_doc_id", counted, "dq_check")
 
 
@@ -323,7 +320,8 @@ def _rule_check(spark, sf_dir, tbl, column, rule, name):
 
 
 def dq_positive(spark, sf_dir):
-    return _rule_check(spark, sf_dir, "lineitem", "l_quantity", ">0", "dq_l_quantity_positive")
+    pred = dq.rule_predicate(">0")("l_quantity")
+    return _count_result("dq_l_quantity_positive", checks.dq_check(lineitem_load(spark, sf_dir), pred), "dq_check")
 
 
 def dq_range(spark, sf_dir):
@@ -339,9 +337,8 @@ def dq_len(spark, sf_dir):
 
 
 def dq_yyyymm(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(xf.period_key("o_orderdate").alias("period_key"))
     pred = dq.rule_predicate("YYYYMM")("period_key")
-    return _count_result("dq_period_key_yyyymm", checks.dq_check(o, pred), "dq_check")
+    return _count_result("dq_period_key_yyyymm", checks.dq_check(orders_fact(spark, sf_dir), pred), "dq_check")
 
 
 # ---------------------------------------------------------------- transforms
@@ -442,6 +439,17 @@ def schema_columns(spark, sf_dir):
 
 # ---------------------------------------------------------------- fused suite and run reports
 
+def lineitem_load(spark, sf_dir) -> DataFrame:
+    """A load of ``lineitem`` whose faults grow over the year: each later month
+    breaks more of the rules below.  ``batch``: the month of the shipment."""
+    li = table(spark, sf_dir, "lineitem").withColumn("batch", xf.period_key("l_shipdate"))
+    m, k = F.col("batch") % 100, F.col("l_orderkey") % 7
+    faults = {"l_quantity": (3, -F.col("l_quantity")), "l_discount": (5, F.col("l_discount") + 1.5), "l_tax": (6, F.col("l_tax") + 0.1),
+              "l_returnflag": (8, F.lit("X")), "l_linestatus": (9, F.lit("Q")), "l_shipdate": (10, F.lit(None)),
+              "l_extendedprice": (11, F.col("l_extendedprice") + 200000)}
+    return li.withColumns({c: F.when((m >= month) & (k == i), wrong).otherwise(F.col(c)) for i, (c, (month, wrong)) in enumerate(faults.items())})
+
+
 def lineitem_rules():
     """Rules of the lineitem load, as rule text per column (mapping-document style)."""
     return [("l_quantity", ">0"), ("l_discount", "0-1 range"), ("l_tax", "0-0.08 range"),
@@ -454,13 +462,12 @@ def _rule_predicates():
 
 
 def fused_suite(spark, sf_dir):
-    return checks.violation_counts(table(spark, sf_dir, "lineitem"), _rule_predicates())
+    return checks.violation_counts(lineitem_load(spark, sf_dir), _rule_predicates())
 
 
 def batch_results(spark, sf_dir):
     """Every rule checked per monthly load batch of lineitem (run id = yyyymm)."""
-    li = table(spark, sf_dir, "lineitem").withColumn("run_id", xf.period_key("l_shipdate"))
-    return suite.batch_check_results(li, "run_id", _rule_predicates())
+    return suite.batch_check_results(lineitem_load(spark, sf_dir).withColumnRenamed("batch", "run_id"), "run_id", _rule_predicates())
 
 
 def run_summary(spark, sf_dir):
@@ -559,24 +566,94 @@ def run_report(spark, sf_dir):
 
 def file_sources(spark, sf_dir):
     """SRC-1..6 and SRC-10 over whole data: ``orders`` written by Spark as CSV,
-    TSV, JSON lines and parquet into one folder under the session's checkpoint
-    folder (shared on a cluster; one fixed path per scale, overwritten), the
+    TSV, JSON lines and parquet into one new folder under the shared one, the
     folder registered as one view per file (delimiter sniffed, JSON lines
-    detected, types inferred), and one aggregate with a bound parameter run
+    detected, schemas given), and one aggregate with a bound parameter run
     on every view."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sources/{os.path.basename(sf_dir.rstrip('/'))}"
+    base = run_folder(spark, "sources")
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", xf.to_decimal("o_totalprice", 12, 2).alias("o_totalprice"),
         "o_orderpriority")
-    o.write.mode("overwrite").option("header", True).csv(f"{base}/orders.csv")
-    o.write.mode("overwrite").option("header", True).option("sep", "\t").csv(f"{base}/orders.tsv")
-    o.write.mode("overwrite").json(f"{base}/orders.json")
-    o.write.mode("overwrite").parquet(f"{base}/orders.parquet")
+    o.write.option("header", True).csv(f"{base}/orders.csv")
+    o.write.option("header", True).option("sep", "\t").csv(f"{base}/orders.tsv")
+    o.write.json(f"{base}/orders.json")
+    o.write.parquet(f"{base}/orders.parquet")
     out = None
-    for name in files.register_path(spark, base):
+    for name in files.register_path(spark, base, {f"orders.{x}": o.schema for x in ("csv", "tsv", "json")}):
         q = (f"SELECT '{name}' AS source_file, o_orderstatus, count(*) AS n_orders, "
              f"CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DECIMAL(38,2)) AS total_price "
              f"FROM {files.view_name(name)} WHERE o_custkey > :lo GROUP BY o_orderstatus")
         df = files.run_sql(spark, q, {"lo": 0})
         out = df if out is None else out.unionByName(df)
     return out
+
+
+def file_sources_single(spark, sf_dir):
+    """SRC-6 and SRC-4 with an array of objects: the single file ``orders`` gives its own
+    view and ``data``; a folder holds ``nation`` as one JSON array (25 rows)."""
+    base = run_folder(spark, "array")
+    n = table(spark, sf_dir, "nation")
+    n.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(f"{base}/nations.json")
+    by_view = {v: "o_orderstatus" for v in files.register_path(spark, f"{sf_dir}/orders.parquet")}
+    by_view |= {v: "CAST(n_regionkey AS STRING)" for v in files.register_path(spark, base)}
+    return _stacked([files.run_sql(spark, f"SELECT '{v}' AS source_file, {group} AS grp, count(*) AS n "
+                                          f"FROM {files.view_name(v)} GROUP BY ALL") for v, group in by_view.items()])
+
+
+# ---------------------------------------------------------------- mapping documents
+
+# Header cells of the documents below.
+_HEADER = ["MapID", "Src Table", "Src Field", "Rule/Transform", "Tgt Table", "Tgt Field", "Key", "DQ Rule"]
+
+
+def _document(spark, sf_dir, name, cells) -> str:
+    """A mapping document of a table's columns, one line a column, as text: ``cells``
+    turns the list of cells into a line."""
+    lines = [cells(_HEADER)]
+    for i, f in enumerate(table(spark, sf_dir, name).schema.fields):
+        rule = "NOT NULL" if i == 0 else ">0, <1000000" if f.dataType.typeName() == "double" else ""
+        lines.append(cells([f"{name}{i}", name, f.name, "DIRECT" if i % 2 else "nan", f"dim_{name}", f.name, "Y" if i == 0 else "N", rule]))
+    return "\n".join(lines)
+
+
+def mapping_docs_mixed(spark, sf_dir):
+    """MAP-1 / MAP-2 over a folder of documents that differ in delimiter, header, width
+    and quoting, written from the columns of the given tables: what each gives,
+    the one without a known header as an error."""
+    base = run_folder(spark, "documents")
+    quoted = lambda sep: lambda c: sep.join(f'"{x}"' for x in c)
+    texts = {
+        "customer.csv": _document(spark, sf_dir, "customer", quoted(",")),
+        "orders.tsv": _document(spark, sf_dir, "orders", "\t".join),
+        "lineitem.csv": _document(spark, sf_dir, "lineitem", lambda c: ";".join(c[:6] + c[7:])),  # a column less
+        "part.csv": _document(spark, sf_dir, "part", lambda c: ",".join(f'"{x}\nnote"' if x == "DIRECT" else f'"{x}"' for x in c)),
+        "supplier.txt": _document(spark, sf_dir, "supplier", lambda c: "| " + " | ".join(c) + " |"),
+        "region.csv": "some,other,header\n1,2,3",
+    }
+    for name, text in texts.items():
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{base}/{name}")
+    found = mapping.read_text_documents(spark, base)
+    name = F.element_at(F.split("document", "/"), -2).alias("document")
+    sizes = _stacked([table(spark, sf_dir, t).agg(F.lit(n).alias("document"), F.count(F.lit(1)).alias("source_rows"))
+                      for n, t in ((n, n.split(".")[0]) for n in texts)])
+    return found.groupBy(name).agg(
+        F.count("map_id").alias("fields"), F.count_if(F.col("is_key")).alias("keys"), F.count("dq_rule").alias("rules"),
+        F.count_if(F.col("transformation").contains("note")).alias("with_line_break"), F.max("error").alias("error")).join(sizes, "document")
+
+
+def mapping_rule_checks(spark, sf_dir):
+    """MAP-5 on rule cells of every kind, run on the faulty orders load: combined rules, lists,
+    unique, parents under another key name; what is not understood is listed as manual."""
+    views = {"src_orders": table(spark, sf_dir, "orders"), "fact_orders": orders_fact(spark, sf_dir),
+             "dim_party": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("party_key"), "c_name")}
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    # Fixed values: (target column, DQ rule) of this scenario.
+    rules = [("order_sk", "NOT NULL, unique"), ("cust_id", "must exist in dim_party"), ("total_amt", ">1000 and <200000"),
+             ("status_code", "IN (1, 2, 3); NOT NULL"), ("period_key", "email format"), ("priority", "ENUM A-C"), ("order_date", "FK EXISTS")]
+    rows = [{"map_id": f"R{i}", "source_table": "src_orders", "source_column": "o_orderkey", "transformation": "DIRECT", "target_table": "fact_orders",
+             "target_column": c, "target_type": None, "is_key": False, "dq_rule": r} for i, (c, r) in enumerate(rules)]
+    cases = [c for c in mapping.to_checks(rows, views, keys={"dim_party": "party_key"}) if c["type"] not in ("value_match", "row_count")]
+    told = mapping.checks_frame(spark, cases).select(F.col("id").alias("test_case_id"), F.col("name").alias("check_name"), "validation_status", "is_active")
+    ran = suite.suite_results(spark, cases, samples=False).select("test_case_id", "passed", "mismatch_count")
+    return told.join(ran, "test_case_id", "left").drop("test_case_id")

@@ -331,15 +331,17 @@ SELECT '{name}' AS check_name, '{ctype}' AS check_type, cnt = 0 AS passed,
        CAST(cnt AS VARCHAR) AS target_value, CAST(cnt AS BIGINT) AS mismatch_count FROM v"""
 
 
-NULL_CHECK = _count_check("null_o_orderdate", "null_check",
-                          "SELECT count(*) AS cnt FROM orders WHERE o_orderdate IS NULL")
+NULL_CHECK = _count_check("null_order_date", "null_check", """
+  SELECT count(*) FILTER (WHERE o_orderkey % 79 = 0)
+         + count(*) FILTER (WHERE o_orderkey % 79 = 0 AND o_orderkey % 101 = 0) AS cnt
+  FROM orders WHERE o_orderkey % 97 <> 0""")
 
 DUPLICATE_CHECK = """
 SELECT l_orderkey, l_linenumber, count(*) AS cnt FROM lineitem
 GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
 
 FK_CHECK = _count_check("fk_labels_doc_id", "dq_check", """
-SELECT count(*) AS cnt FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id WHERE d.doc_id IS NULL""")
+  SELECT count(*) AS cnt FROM labels WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 11 <> 0)""")
 
 FK_ORPHANS = """
 SELECT o.o_custkey, count(*) AS cnt
@@ -347,8 +349,9 @@ FROM orders o LEFT JOIN (SELECT DISTINCT c_custkey FROM customer WHERE c_mktsegm
   ON o.o_custkey = c.c_custkey
 WHERE c.c_custkey IS NULL GROUP BY o.o_custkey"""
 
-DQ_POSITIVE = _count_check("dq_l_quantity_positive", "dq_check",
-                           "SELECT count(*) FILTER (WHERE NOT (l_quantity > 0)) AS cnt FROM lineitem")
+DQ_POSITIVE = _count_check("dq_l_quantity_positive", "dq_check", """
+  SELECT count(*) AS cnt FROM lineitem WHERE month(l_shipdate) >= 3 AND l_orderkey % 7 = 0 AND l_quantity >= 0
+     OR NOT (month(l_shipdate) >= 3 AND l_orderkey % 7 = 0) AND l_quantity <= 0""")
 DQ_RANGE = _count_check("dq_l_extendedprice_range", "dq_check",
                         "SELECT count(*) FILTER (WHERE NOT (l_extendedprice BETWEEN 0 AND 104000)) AS cnt "
                         "FROM lineitem")
@@ -357,8 +360,9 @@ DQ_ENUM = _count_check("dq_o_orderstatus_enum", "dq_check",
 DQ_LEN = _count_check("dq_p_name_len", "dq_check",
                       "SELECT count(*) FILTER (WHERE length(p_name) > 10) AS cnt FROM part")
 DQ_YYYYMM = _count_check("dq_period_key_yyyymm", "dq_check", """
-SELECT count(*) FILTER (WHERE NOT regexp_matches(CAST(year(o_orderdate) * 100 + month(o_orderdate) AS VARCHAR),
-                                                 '^[0-9]{4}(0[1-9]|1[0-2])$')) AS cnt FROM orders""")
+  SELECT count(*) FILTER (WHERE o_orderkey % 83 = 0)
+         + count(*) FILTER (WHERE o_orderkey % 83 = 0 AND o_orderkey % 101 = 0) AS cnt
+  FROM orders WHERE o_orderkey % 97 <> 0""")
 
 XF_MD5_KEY = ("SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR) || CAST(o_custkey AS VARCHAR)) AS order_sk "
               "FROM orders")
@@ -556,15 +560,27 @@ LINEITEM_RULE_SQL = [
     ("l_extendedprice: 0-104000 range", "NOT (l_extendedprice BETWEEN 0 AND 104000)"),
 ]
 
+_MONTH = "month(l_shipdate)"
+LINEITEM_LOAD = f"""
+SELECT CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INTEGER) AS batch,
+  CASE WHEN {_MONTH} >= 3 AND l_orderkey % 7 = 0 THEN -l_quantity ELSE l_quantity END AS l_quantity,
+  CASE WHEN {_MONTH} >= 5 AND l_orderkey % 7 = 1 THEN l_discount + 1.5 ELSE l_discount END AS l_discount,
+  CASE WHEN {_MONTH} >= 6 AND l_orderkey % 7 = 2 THEN l_tax + 0.1 ELSE l_tax END AS l_tax,
+  CASE WHEN {_MONTH} >= 8 AND l_orderkey % 7 = 3 THEN 'X' ELSE l_returnflag END AS l_returnflag,
+  CASE WHEN {_MONTH} >= 9 AND l_orderkey % 7 = 4 THEN 'Q' ELSE l_linestatus END AS l_linestatus,
+  CASE WHEN {_MONTH} >= 10 AND l_orderkey % 7 = 5 THEN NULL ELSE l_shipdate END AS l_shipdate,
+  CASE WHEN {_MONTH} >= 11 AND l_orderkey % 7 = 6 THEN l_extendedprice + 200000 ELSE l_extendedprice END AS l_extendedprice
+FROM lineitem"""
+
 FUSED_SUITE = " UNION ALL ".join(
-    f"SELECT '{n}' AS check_name, CAST(count(*) FILTER (WHERE {p}) AS BIGINT) AS violations FROM lineitem"
+    f"SELECT '{n}' AS check_name, CAST(count(*) FILTER (WHERE {p}) AS BIGINT) AS violations FROM ({LINEITEM_LOAD}) l"
     for n, p in LINEITEM_RULE_SQL)
 
 BATCH_RESULTS = " UNION ALL ".join(f"""
-SELECT CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INTEGER) AS run_id, '{n}' AS check_name,
+SELECT batch AS run_id, '{n}' AS check_name,
        CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (WHERE {p}) AS BIGINT) AS mismatch_count,
        count(*) FILTER (WHERE {p}) = 0 AS passed
-FROM lineitem GROUP BY 1""" for n, p in LINEITEM_RULE_SQL)
+FROM ({LINEITEM_LOAD}) l GROUP BY 1""" for n, p in LINEITEM_RULE_SQL)
 
 RUN_SUMMARY = f"""
 SELECT run_id, CAST(count(*) AS BIGINT) AS total_cases, CAST(count(*) FILTER (WHERE passed) AS BIGINT) AS passed_cases,
@@ -706,7 +722,41 @@ JOIN (VALUES {", ".join(f"('{n}', {k})" for k, n in enumerate(_MAPPING_CASE_IDS,
   ON r.check_name = v.name"""
 
 
+FILE_SOURCES_SINGLE = """
+SELECT f.name AS source_file, o_orderstatus AS grp, count(*) AS n
+FROM orders, (VALUES ('orders.parquet'), ('data')) f(name) GROUP BY f.name, o_orderstatus
+UNION ALL SELECT 'nations.json', CAST(n_regionkey AS VARCHAR), count(*) FROM nation GROUP BY n_regionkey"""
+
+_DOCUMENTS = [("customer.csv", "customer", True, False), ("orders.tsv", "orders", True, False), ("lineitem.csv", "lineitem", False, False),
+              ("part.csv", "part", True, True), ("supplier.txt", "supplier", True, False)]
+
+MAPPING_DOCS_MIXED = " UNION ALL ".join(f"""
+SELECT '{d}' AS document, count(*) AS fields, {"1" if keys else "0"}::BIGINT AS keys,
+       (1 + count(*) FILTER (WHERE data_type = 'DOUBLE'))::BIGINT AS rules,
+       {"count(*) // 2" if note else "0"}::BIGINT AS with_line_break, NULL::VARCHAR AS error,
+       (SELECT count(*) FROM {t}) AS source_rows
+FROM information_schema.columns WHERE table_name = '{t}'""" for d, t, keys, note in _DOCUMENTS) + """
+UNION ALL SELECT 'region.csv', 0, 0, 0, 0, 'no line of the document holds two known header names', (SELECT count(*) FROM region)"""
+
+_RULE_CHECKS = [
+    ("R0 null_check fact_orders.order_sk", "order_sk IS NULL"), ("R2 dq_check fact_orders.total_amt (>1000)", "NOT (total_amt > 1000)"),
+    ("R2 dq_check fact_orders.total_amt (<200000)", "NOT (total_amt < 200000)"),
+    ("R3 dq_check fact_orders.status_code (IN (1, 2, 3))", "status_code NOT IN (1, 2, 3)"), ("R3 null_check fact_orders.status_code", "status_code IS NULL"),
+    ("R1 fk_check fact_orders.cust_id", "cust_id IS NULL OR cust_id NOT IN (SELECT c_custkey FROM customer)")]
+
+MAPPING_RULE_CHECKS = f"""
+WITH f AS ({FACT_ORDERS}),
+r AS ({" UNION ALL ".join(f"SELECT '{n}' AS check_name, count(*) FILTER (WHERE {p}) AS n FROM f" for n, p in _RULE_CHECKS)}
+  UNION ALL SELECT 'R0 duplicate_check fact_orders.order_sk', (SELECT count(*) FROM (SELECT order_sk FROM f GROUP BY 1 HAVING count(*) > 1) d))
+SELECT check_name, 'valid' AS validation_status, true AS is_active, n = 0 AS passed, n::BIGINT AS mismatch_count FROM r
+UNION ALL SELECT * FROM (VALUES
+  ('R4 unknown fact_orders.period_key', 'manual', false, NULL::BOOLEAN, NULL::BIGINT),
+  ('R5 unknown fact_orders.priority', 'manual', false, NULL, NULL), ('R6 fk fact_orders.order_date', 'manual', false, NULL, NULL)) v"""
+
 ORACLE_SQL = {
+    "file_sources_single": FILE_SOURCES_SINGLE,
+    "mapping_docs_mixed": MAPPING_DOCS_MIXED,
+    "mapping_rule_checks": MAPPING_RULE_CHECKS,
     "checksum_gate_swapped": CHECKSUM_GATE_SWAPPED,
     "scalar_shape_check": SCALAR_SHAPE_CHECK,
     "target_rows_check": TARGET_ROWS_CHECK,

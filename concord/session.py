@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,16 +47,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a scratch one only if unset.
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    unchanged; a private temporary folder is only chosen for local runs.
+    Only on one machine, and only where it is unset, a scratch folder is chosen;
+    a cluster without the setting is refused, as its machines share no local folder.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="concord-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, different on every call."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/concord-{name}-{uuid.uuid4().hex}"

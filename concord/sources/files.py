@@ -75,8 +75,9 @@ def view_name(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def register_path(spark: SparkSession, path: str) -> list[str]:
-    """SRC-5 / SRC-6: one temp view per supported file.
+def register_path(spark: SparkSession, path: str, schemas: dict[str, Any] | None = None) -> list[str]:
+    """SRC-5 / SRC-6: one temp view per supported file; ``schemas`` by file name
+    save the pass over the data that inferring one takes.
 
     A folder gives one view per file (unsupported suffixes skipped); a single
     file gives its own view plus the alias ``data``.  Returns the view names.
@@ -85,14 +86,14 @@ def register_path(spark: SparkSession, path: str) -> list[str]:
     names = []
     if files is None:
         name = os.path.basename(path.rstrip("/"))
-        df = read_file(spark, path)
+        df = read_file(spark, path, schema=(schemas or {}).get(name))
         df.createOrReplaceTempView(view_name(name))
         df.createOrReplaceTempView(DEFAULT_ALIAS)
         return [name, DEFAULT_ALIAS]
     for f in files:
         name = os.path.basename(f.rstrip("/"))
         if os.path.splitext(name)[1].lower() in SUPPORTED_SUFFIXES:
-            read_file(spark, f).createOrReplaceTempView(view_name(name))
+            read_file(spark, f, schema=(schemas or {}).get(name)).createOrReplaceTempView(view_name(name))
             names.append(name)
     return names
 
@@ -119,9 +120,10 @@ def sample_rows(df: DataFrame, n: int = 5) -> list[dict[str, str | None]]:
 
 
 def list_tables(spark: SparkSession) -> DataFrame:
-    """SRC-13: tables and views visible to the session, system schemas excluded."""
-    rows = [(t.catalog, t.namespace[0] if t.namespace else None, t.name, t.tableType, t.isTemporary)
-            for t in spark.catalog.listTables()]
+    """SRC-13: tables and views of every schema of the session, system schemas excluded."""
+    found = {(t.catalog, t.namespace[0] if t.namespace else None, t.name, t.tableType, t.isTemporary)
+             for db in spark.catalog.listDatabases() for t in spark.catalog.listTables(db.name)}
+    rows = sorted(found, key=str)  # temporary views are listed in every schema, once here
     df = spark.createDataFrame(rows, "catalog string, namespace string, name string, "
                                      "table_type string, is_temporary boolean")
     return df.where(F.col("namespace").isNull() | ~F.lower("namespace").isin(*SYSTEM_SCHEMAS))
