@@ -333,12 +333,13 @@ def to_checks(field_rows: list[Mapping], tables: Mapping[str, DataFrame],
             computed.setdefault(r["target_table"], {})[r["target_column"]] = e
     cases: list[dict] = []
 
-    def add(name, ctype, src, tgt, desc, status="valid", kind=None):
+    def add(name, ctype, src, tgt, desc, status="valid", kind=None, violation=None):
         for sql in (src, tgt) if status == "valid" and spark is not None else ():
             told, error = validate_sql(spark, sql)
             if told != "valid":
                 status, desc = told, f"{desc}: {error}"
         cases.append({"id": len(cases) + 1, "name": name, "type": ctype, "source_sql": src, "target_sql": tgt,
+                      "violation": violation if status == "valid" else None,
                       "target_kind": kind, "description": desc, "validation_status": status, "is_active": status != "manual"})
 
     for r in unread:
@@ -378,10 +379,10 @@ def to_checks(field_rows: list[Mapping], tables: Mapping[str, DataFrame],
             parent = _parent_of(rule, r, tables, keys, foreign_keys) if kind == "fk" else None
             if pred == f"{tc} IS NULL":
                 add(f"{mid} null_check {tt}.{tc}", "null_check", None,
-                    f"SELECT COUNT(*) AS cnt FROM {tt} WHERE {tc} IS NULL", "NOT NULL", kind="count")
+                    f"SELECT COUNT(*) AS cnt FROM {tt} WHERE {tc} IS NULL", "NOT NULL", kind="count", violation=(tt, pred))
             elif pred:
                 add(f"{mid} dq_check {tt}.{tc}{told}", "dq_check", None,
-                    f"SELECT COUNT(*) AS cnt FROM {tt} WHERE {pred}", f"rule: {rule}", kind="count")
+                    f"SELECT COUNT(*) AS cnt FROM {tt} WHERE {pred}", f"rule: {rule}", kind="count", violation=(tt, pred))
             elif parent:
                 add(f"{mid} fk_check {tt}.{tc}", "dq_check", None, _orphan_sql(tt, tc, *parent),
                     f"referential integrity to {parent[0]}.{parent[1]}", kind="count")
