@@ -53,6 +53,7 @@ EXTRA = "extra_in_target"
 CHANGED = "value_mismatch"
 DUPLICATE = "duplicate_key"
 
+# Fixed value: the error text of a comparison without a value column.
 NO_VALUE_COLUMN_ERROR = ("Key-based comparison requires at least one value column "
                          "(e.g., 'val') present in both source and target.")
 

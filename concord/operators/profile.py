@@ -246,7 +246,7 @@ def discover_foreign_keys(tables: dict[str, DataFrame], profile_rows: list | Non
     return inclusion_test(tables, fk_candidates(tables, [r for r in profile_rows if r["is_key_candidate"]]))
 
 
-def discover_related(tables: dict[str, DataFrame], seeds: list[str], *, cap: int | None = None) -> DataFrame:
+def discover_related(tables: dict[str, DataFrame], seeds: list[str]) -> DataFrame:
     """DIS-1 .. DIS-4 end to end: profile the seeds' columns and the possible
     FK parents (one job), test the candidate pairs by inclusion (one job),
     then pick related tables (``related_tables``).
@@ -266,13 +266,13 @@ def discover_related(tables: dict[str, DataFrame], seeds: list[str], *, cap: int
     cols = spark.createDataFrame(
         [(t, c, (t, c) in key_cols) for t, df in tables.items() for c in df.columns],
         "table_name string, column_name string, is_key_candidate boolean")
-    return related_tables(spark, seeds, rel, cols, cap=cap)
+    return related_tables(spark, seeds, rel, cols)
 
 
 # ---------------------------------------------------------------- DIS-1 .. DIS-4
 
 def related_tables(spark: SparkSession, seeds: list[str], relationships: DataFrame,
-                   columns: DataFrame, *, cap: int | None = None) -> DataFrame:
+                   columns: DataFrame) -> DataFrame:
     """Tables related to ``seeds``: ``table_name, reason`` in the reference's order
     of phases, each phase skipping tables already chosen.
 
@@ -284,8 +284,7 @@ def related_tables(spark: SparkSession, seeds: list[str], relationships: DataFra
     1. seed (DIS-0) 2. outbound: parents of seed FKs (DIS-1); 3. bridges whose
     FKs reach >= 2 seeds (DIS-2); 4. bridges sharing an id-like column name
     with >= 2 seeds (DIS-3); 5. inbound: tables with an FK into a seed (DIS-4).
-    Phases 3 and 4 need two seeds.  ``cap`` keeps the first tables by name
-    (the reference caps at 15 for prompt size; default: no cap).
+    Phases 3 and 4 need two seeds.  No table is left out (the reference caps at 15 for prompt size).
     """
     # Every phase's candidates depend on the seeds only, never on what an
     # earlier phase chose; "each phase skips tables already chosen" is thus
@@ -317,6 +316,4 @@ def related_tables(spark: SparkSession, seeds: list[str], relationships: DataFra
     reason = F.element_at(F.array(*[F.lit(r) for r in PHASE_REASONS]), F.col("phase") + 1)
     chosen = cand.groupBy("table_name").agg(F.min("phase").alias("phase")) \
         .select("table_name", reason.alias("reason"))
-    if cap is not None:
-        chosen = chosen.orderBy("table_name").limit(cap)
     return chosen

@@ -85,12 +85,5 @@ def one_row_join(*frames: DataFrame) -> DataFrame:
     return stacked.agg(*[F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for c in cols])
 
 
-def with_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
-    """Add the columns of a one-row frame to every row of ``df`` (a small
-    page), through a broadcast equi-join on a constant."""
-    k = "__one"
-    return df.withColumn(k, F.lit(1)).join(F.broadcast(one.withColumn(k, F.lit(1))), k).drop(k)
-
-
 def count_text(n: Column, unit: str) -> Column:
     return F.concat(n.cast("string"), F.lit(f" {unit}"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.result import one_row_join, with_one_row
+from ..operators.result import one_row_join
 
 # Pass-rate bands of the reference's report page and its defaults.
 GOOD_BAND = 80
@@ -44,7 +44,8 @@ def run_page(runs: DataFrame, offset: int = 0, limit: int = DEFAULT_PAGE_SIZE,
                                           F.col("name").alias("mapping_name")),
                          "mapping_document_id", "left") \
             .withColumn("mapping_name", F.coalesce("mapping_name", F.lit(UNKNOWN_MAPPING)))
-    return with_one_row(page, total)
+    # the total as a scalar subquery: no join with a one-row frame
+    return page.select("*", total.scalar().alias("total"))
 
 
 def pass_rate(runs: DataFrame) -> DataFrame:
@@ -109,6 +110,7 @@ def append_results(results: DataFrame, path: str, run_col: str = "run_id") -> No
 def report_rows(run: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SNK-3 content: the run header (7 label/value lines) and the result table
     with PASS/FAIL (quoting is done by the CSV writer)."""
+    # The report's labels, here and in report_table.
     def line(label, value):
         return F.struct(F.lit(label).alias("label"), value.cast("string").alias("value"))
     header = run.select(F.inline(F.array(

@@ -8,6 +8,7 @@ m x n row pairs and counts them, the keyed diff is a plain full outer join.
 
 from __future__ import annotations
 
+# Texts read as "no value".
 NULL_TOKENS_SQL = "('nan', 'NaN', 'None', 'null', 'NULL')"
 
 

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from ..operators import checks, checksum, diff
 from ..operators.result import KEYED_SAMPLE, RESULT_SCHEMA, SET_SAMPLE_EACH_SIDE, TARGET_SAMPLE, error_result
 
+# Fixed value: the error text of a case without SQL.
 NO_SQL_ERROR = "No SQL queries defined for this test case"
 SCALAR_TYPES = {"row_count", "scalar"}
 

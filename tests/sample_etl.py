@@ -7,6 +7,7 @@ from decimal import Decimal as D
 
 D1 = dt.date
 
+# The rows of the sample tables, and below the mapping document.
 CUSTOMERS = [(1, None, "SR", None), (2, None, "SR", None), (3, None, "NR", None), (4, None, "ER", None),
              (5, None, "SR", None), (6, None, "SR", None), (7, None, "SR", None), (8, None, "SR", None),
              (9, None, "SR", None), (10, None, "SR", None)]
@@ -49,6 +50,7 @@ CUSTOMERS_DIM = [
     (12, 12, "Acme Corp", "NR", D1(2025, 12, 1), D1(2026, 2, 1), 0),
 ]
 
+# The mapping document.
 MAPPING_CSV = '''"MapID","Src Table","Src Field","PG Type","Rule/Transform","Tgt Table","Tgt Field","MySQL Type","Key","DQ Rule"
 "S001","sales","sale_id","BIGINT","MD5(sale_id+cust_id)::CHAR(32)","sale_fact","sale_sk","CHAR(32)","Y","NOT NULL"
 "S002","sales","cust_id","INT","SCD2 lookup customers_dim","sale_fact","cust_sk","BIGINT","Y","FK EXISTS"

@@ -48,8 +48,8 @@ def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
     sql = E.oracle_sql().get(name)
-    if sql is None:
-        assert len(rows) >= 0
+    if sql is None:  # a model or a file format: its own tests hold it against brute force
+        assert rows and df.columns
         return
     res = duck.execute(sql)
     cols = [d[0] for d in res.description]
