@@ -183,31 +183,54 @@ def inclusion_test(tables: dict[str, DataFrame], pairs: list[tuple[str, str, str
     """PRF-3: for every candidate pair, distinct non-null child values and how
     many of them have no parent.
 
-    Per pair both sides are reduced to distinct typed values (partial
-    aggregation), so the anti join moves one row per distinct value and both
-    inputs arrive hash-partitioned on it; the per-pair rows are unioned into
-    one job.
+    All pairs are tested by one aggregation and no join.  A parent column is a
+    domain; its own values and those of all its child columns are stacked as
+    (domain, child bit or 0 for the parent, value), each table unpivoted in one scan,
+    and grouped by (domain, value) with map-side combining: a value's bits
+    say which children hold it and whether the parent does.  Counts per
+    (domain, child) follow from that.
     """
     spark = next(iter(tables.values())).sparkSession
     schema = ("child_table string, child_column string, parent_table string, parent_column string, "
               "child_distinct bigint, orphan_values bigint, is_fk boolean")
     if not pairs:
         return spark.createDataFrame([], schema)
-    parts = []
+    domains: dict[tuple, list] = {}  # (parent, type, part) -> its children; at most 62 bits a part
     for ct, cc, pt, pc in pairs:
         typ = _common_type(tables[ct].schema[cc].dataType, tables[pt].schema[pc].dataType)
-        child = tables[ct].select(F.col(f"`{cc}`").cast(typ).alias("v")).where(F.col("v").isNotNull()).distinct()
-        parent = tables[pt].select(F.col(f"`{pc}`").cast(typ).alias("v")).distinct()
-        flagged = child.join(parent.withColumn("__p", F.lit(True)), "v", "left")
-        parts.append(flagged.agg(
-            F.count(F.lit(1)).alias("child_distinct"),
-            F.count_if(F.col("__p").isNull()).alias("orphan_values"),
-        ).select(F.lit(ct).alias("child_table"), F.lit(cc).alias("child_column"),
-                 F.lit(pt).alias("parent_table"), F.lit(pc).alias("parent_column"),
-                 "child_distinct", "orphan_values"))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
+        part = 0
+        while len(domains.setdefault((pt, pc, typ, part), [])) >= 62:
+            part += 1
+        domains[pt, pc, typ, part].append((ct, cc))
+    stacked: dict[str, dict[str, list]] = {}  # by type and table
+    names = []
+    for d, ((pt, pc, typ, _), children) in enumerate(domains.items()):
+        for bit, (t, c) in enumerate([(pt, pc), *children]):
+            value = F.col(f"`{c}`").cast(typ)
+            stacked.setdefault(typ, {}).setdefault(t, []).append(
+                F.struct(F.lit(d).alias("d"), F.lit(1 << bit).cast("bigint").alias("bit"), value.alias("v")))
+            if bit:
+                names.append((d, bit, t, c, pt, pc))
+    counts = []
+    for by_table in stacked.values():
+        rows = None
+        for t, structs in by_table.items():
+            one = tables[t].select(F.inline(F.array(*structs)))
+            rows = one if rows is None else rows.unionByName(one)
+        bits = rows.where("v IS NOT NULL").groupBy("d", "v").agg(F.bit_or("bit").alias("bits"))
+        last = F.lit(1)  # of a domain's children
+        for d, children in enumerate(domains.values()):
+            last = F.when(F.col("d") == d, F.lit(len(children))).otherwise(last) if len(children) > 1 else last
+        each = F.filter(F.sequence(F.lit(1), last), lambda b: F.getbit("bits", b) == 1)
+        counts.append(bits.select("d", F.explode(each).alias("b"), (F.getbit("bits", F.lit(0)) == 0).alias("orphan"))
+                      .groupBy("d", "b").agg(F.count(F.lit(1)).alias("child_distinct"), F.count_if("orphan").alias("orphan_values")))
+    found = counts[0]
+    for x in counts[1:]:
+        found = found.unionByName(x)
+    told = spark.createDataFrame(names, "d int, b int, child_table string, child_column string, parent_table string, parent_column string")
+    res = told.join(found, ["d", "b"], "left").select(  # one row a pair on either side
+        "child_table", "child_column", "parent_table", "parent_column",
+        F.coalesce("child_distinct", F.lit(0)).alias("child_distinct"), F.coalesce("orphan_values", F.lit(0)).alias("orphan_values"))
     return res.withColumn("is_fk", (F.col("orphan_values") == 0) & (F.col("child_distinct") > 0))
 
 
