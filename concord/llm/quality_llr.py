@@ -85,11 +85,17 @@ def _same_window(w: Column, a: Column, b: Column) -> Column:
     return ((F.get(w, a) == F.get(w, b)) & (F.get(w, a + 1) == F.get(w, b + 1)) & (F.get(w, a + 2) == F.get(w, b + 2)))
 
 
+def _triples(w: Column) -> Column:
+    """The 3-word windows as structs x, y, z. (No lambda here reads a column of the row:
+    were its expression written into the lambda, it would run for every element.)"""
+    n = F.greatest(F.size(w) - 2, F.lit(0))
+    return F.arrays_zip(*[F.slice(w, F.lit(k), n).alias(c) for k, c in ((1, "x"), (2, "y"), (3, "z"))])
+
+
 def _windows(w: Column) -> Column:
     """One sorted long per 3-word window: 41 bits of its hash, then 23 of its place."""
-    n = F.greatest(F.size(w) - 2, F.lit(0))
-    return F.sort_array(F.transform(F.slice(w, F.lit(1), n), lambda x, i: F.shiftleft(
-        F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)), PLACE_BITS).bitwiseOR(i.cast("long"))))
+    return F.sort_array(F.transform(_triples(w), lambda t, i: F.shiftleft(
+        F.xxhash64(t["x"], t["y"], t["z"]), PLACE_BITS).bitwiseOR(i.cast("long"))))
 
 
 def _equal_neighbours(keys: Column) -> Column:
@@ -110,9 +116,8 @@ def _covered(pairs: Column) -> Column:
 def _covered_by_text(w: Column) -> Column:
     """The same from the windows' own words, for texts in which hashes meet or
     which are too long for PLACE_BITS."""
-    n = F.greatest(F.size(w) - 2, F.lit(0))
-    at = F.sort_array(F.transform(F.slice(w, F.lit(1), n), lambda x, i: F.struct(
-        x.alias("x"), F.get(w, i + 1).alias("y"), F.get(w, i + 2).alias("z"), i.alias("i"))))
+    at = F.sort_array(F.transform(_triples(w), lambda t, i: F.struct(
+        t["x"].alias("x"), t["y"].alias("y"), t["z"].alias("z"), i.alias("i"))))
     pairs = F.zip_with(F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0))), F.slice(at, F.lit(2), F.size(at)),
                        lambda p, q: F.when((p["x"] == q["x"]) & (p["y"] == q["y"]) & (p["z"] == q["z"]),
                                            F.struct(p["i"].alias("a"), q["i"].alias("b"))))
@@ -148,8 +153,8 @@ def with_verdict(docs: DataFrame, weights: DataFrame, text: str = "text") -> Dat
     d = d.select("row", "w", "word_chars", "n_symbols", "n_words", "n_dup_lines",
                  _places(F.col("equal")).alias("pairs"), total.alias("total"),
                  F.greatest(2 * F.col("n_words") - 1, F.lit(0)).alias("n_grams"))
-    by_hash = (F.col("n_words") < (1 << PLACE_BITS)) & F.forall(
-        "pairs", lambda p: _same_window(F.col("w"), p["a"], p["b"]))
+    by_hash = (F.col("n_words") < (1 << PLACE_BITS)) & F.transform(F.array("w"), lambda w: F.forall(
+        F.col("pairs"), lambda p: _same_window(w, p["a"], p["b"])))[0]
     repeats = F.when(F.size("pairs") == 0, F.lit(0)).when(by_hash, _covered(F.col("pairs"))).otherwise(_covered_by_text(F.col("w")))
     d = d.select("row", "word_chars", "n_symbols", "n_words", "n_dup_lines", "n_grams", "total",
                  repeats.alias("n_repeat_words"))
@@ -170,9 +175,15 @@ def quality_verdicts(docs: DataFrame, trusted_ids: DataFrame, text: str = "text"
 
 
 def keep_likely(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The input rows that pass, with the input's columns."""
+    """The input rows that pass, with the input's columns.
+
+    The verdict is computed below a column that is not deterministic: else the optimiser
+    would move the filter down, writing the verdict's expressions into one another,
+    and split the text again for each of its words.
+    """
     judged = with_verdict(docs, fit_weights(docs, trusted_ids, text, doc_id), text)
-    return judged.where("verdict.kept").select("row.*")
+    place = F.monotonically_increasing_id().alias("place")
+    return judged.select("row", "verdict", place).where("verdict.kept AND place >= 0").select("row.*")
 
 
 def trusted_from_labels(labels: DataFrame) -> DataFrame:
