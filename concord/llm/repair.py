@@ -222,7 +222,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, text:
 
         for batch in batches:
             owner = batch.column(0).to_pylist()
-            for lo, hi, data, off in ta.blocks(batch.column(1), 1 << 20):
+            for lo, hi, data, off in ta.blocks(batch.column(1), min(1 << 20, 4 * shard_tokens)):
                 got, size = encoder.encode(data, off)
                 # The end id follows each document's ids.
                 where = np.cumsum(size)

@@ -127,7 +127,7 @@ def derive(record: dict) -> list[dict]:
                  ("WARC-Source-Payload-Digest", claimed or digest(payload)), ("Content-Type", content), ("WARC-Block-Digest", digest(body))]
         if kind == "conversion":
             named.append(("WARC-Payload-Digest", digest(body)))
-        out.append({"type": kind, "id": ids[kind], "target": target, "date": date, "block": body,
+        out.append({"type": kind, "id": ids[kind], "target": target or None, "date": date or None, "block": body,
                     "headers": [{"name": k, "value": v} for k, v in named if v]})
     return out
 
