@@ -93,7 +93,9 @@ def blocks(texts: pa.Array, max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED, fold: np.ndarray | None = None) -> Words:
+def find_words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED, fold: np.ndarray | None = None,
+               cuts: np.ndarray | None = None) -> Words:
+    """The words of a block; ``fold`` maps bytes first; before each place in ``cuts`` a word ends too."""
     if fold is not None:
         data = fold[data]
     inside = kind[data]
@@ -101,6 +103,8 @@ def find_words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED,
     before[1:], after[:-1] = inside[:-1], inside[1:]
     edges = offsets[(offsets > 0) & (offsets < len(data))]  # a word ends with its text
     before[edges], after[edges - 1] = False, False
+    if cuts is not None:
+        before[cuts], after[cuts - 1] = False, False
     start = np.flatnonzero(inside & ~before)
     return Words(data, start, np.flatnonzero(inside & ~after) + 1, np.searchsorted(start, offsets))
 
