@@ -141,7 +141,8 @@ def _document_frequency(texts: DataFrame) -> tuple[np.ndarray, float]:
                 s = _starts(first, PASSAGE)
                 n += len(s)
                 own = np.repeat(np.arange(len(s)), np.diff(np.append(s, len(h))))
-                df += np.bincount(np.unique(own * TERMS + _term(h)) % TERMS, minlength=TERMS)
+                each = np.sort(own * TERMS + _term(h))  # a term counts once in a passage
+                df += np.bincount(each[np.diff(each, prepend=-1) != 0] % TERMS, minlength=TERMS)
         yield _blocks_of(np.concatenate([df, np.full(SUM_BLOCKS, n)]).reshape(-1)[_with_count()])
 
     got = _summed(texts.mapInArrow(count, "block int, data binary"), "f8")
