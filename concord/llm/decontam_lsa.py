@@ -21,11 +21,18 @@ longest common subsequence, each word weighing its IDF, as a share of the
 item's weight.  ``LEAK`` or more is a leak; from ``PARAPHRASE`` on it is one if also
 the answer (the item's last sentence) stands there with half its weight.
 
+The latent space does not see items whose words are all common terms (an item
+leaked by many documents makes its own words common) and blurs short ones.  So
+all items are also sought exactly, by their key words: the heaviest ones that
+hold ``KEYS`` of an item's weight.  A region without enough of them cannot reach
+``PARAPHRASE``; each place with enough is a candidate and is aligned the same way.
+
 The benchmark is the stated query set: it goes to the tasks in blocks of
 ``ITEMS`` items, each block a pass over the documents.
 
 Edge cases: null, empty and blank texts have no passage and no leak; such items,
-null item texts and items of common terms alone match nothing; equal items are reported each; repeated
+null item texts match nothing; items of common terms alone are found by their key words, with
+cosine 0; equal items are reported each; repeated
 document rows are judged each; empty tables give empty results; extra columns
 never clash.  Texts shorter than a window are one window.
 """
@@ -56,6 +63,9 @@ LONG = 60
 COSINE = 0.4
 LEAK = 0.8
 PARAPHRASE = 0.5
+KEYS = 0.8
+GROUP = 1024
+HITS_AT_ONCE = 1 << 21
 ITEMS = 20_000
 SUM_BLOCKS = 16
 SLOTS = 1024
@@ -275,7 +285,7 @@ def weighted_lcs(item: np.ndarray, region: np.ndarray, weight: np.ndarray) -> fl
     return float(best[-1] / max(weight.sum(), 1e-9))
 
 
-def _search(h: np.ndarray, first: np.ndarray, space: Space, sides: list[Side]) -> dict[int, list]:
+def _search(h: np.ndarray, first: np.ndarray, space: Space, sides: list[Side], exacts: list[Exact]) -> dict[int, list]:
     """text: [(item, cosine, lcs, answer)] of the block's texts."""
     found: dict[int, dict] = {}
     if not len(h):
@@ -305,9 +315,97 @@ def _search(h: np.ndarray, first: np.ndarray, space: Space, sides: list[Side]) -
             bound = np.bincount(which, side.slots[p[which], rare_slot[at]], minlength=len(n))
             for i in np.flatnonzero(bound >= side.need[p] - 1e-4):
                 _align(found.setdefault(int(owner[lo + w[i]]), {}), side.pieces[p[i]], h[a[i]: b[i]], float(cos[i]), space)
+    for exact in exacts:
+        _search_exact(h, first, space, exact, step, s, owner, found)
     return {d: [v for _, v in sorted(x.items())] for d, x in found.items() if x}
 
 
+@dataclass
+class Exact:
+    """Pieces sought by their words, without the latent space. The key words of a piece are its
+    heaviest ones with ``KEYS`` of its weight; a text with less than ``need`` of it in key
+    words cannot reach PARAPHRASE, whatever else it says."""
+
+    pieces: list[dict]
+    unit: np.ndarray  # their directions in the latent space, 0 for a piece of common terms
+    terms: np.ndarray  # of each term: is it one of a key word
+    words: np.ndarray  # the key words, sorted
+    first: np.ndarray  # word w is a key of the pieces piece[first[w]: first[w + 1]]
+    piece: np.ndarray
+    weight: np.ndarray
+    need: np.ndarray
+    reach: np.ndarray
+    n_steps: np.ndarray
+
+
+def exact_of(pieces: list[dict], space: Space) -> Exact:
+    words, piece, weight, need = [], [], [], []
+    for i, p in enumerate(pieces):
+        idf = space.idf[_term(p["known"])].astype(float)
+        order = np.argsort(-idf, kind="stable")
+        total = np.cumsum(p["known_weight"][order])
+        n = int(np.searchsorted(total, KEYS * total[-1])) + 1
+        words.append(p["known"][order[:n]])
+        weight.append(idf[order[:n]])
+        piece.append(np.full(len(words[-1]), i))
+        need.append(PARAPHRASE * total[-1] - (total[-1] - total[min(n, len(total)) - 1]))
+    word = np.concatenate(words)
+    order = np.argsort(word, kind="stable")
+    known, first = np.unique(word[order], return_index=True)
+    terms = np.zeros(TERMS, bool)
+    terms[_term(known)] = True
+    return Exact(pieces, _unit(np.array([p["vector"] for p in pieces])), terms, known, np.append(first, len(word)), np.concatenate(piece)[order],
+                 np.concatenate(weight)[order], np.array(need), np.array([len(p["h"]) for p in pieces]), np.array([2 if p["short"] else 4 for p in pieces]))
+
+
+def _anchors(h: np.ndarray, first: np.ndarray, exact: Exact):
+    """(words, pieces): where a leak of the piece may have its first key word, one place in a step.
+    Of the words up to a piece's length and its window behind that place, enough are keys."""
+    some = np.flatnonzero(exact.terms[_term(h)])
+    at = np.minimum(np.searchsorted(exact.words, h[some]), len(exact.words) - 1)
+    same = exact.words[at] == h[some]
+    some, at = some[same], at[same]
+    n = exact.first[at + 1] - exact.first[at]
+    owner = np.searchsorted(first, some, "right") - 1
+    # Whole texts go together, as many as give HITS_AT_ONCE pairs of a word and a piece.
+    before = np.append(0, np.cumsum(n))
+    begins = np.flatnonzero(np.diff(owner, prepend=-1))
+    part = before[begins] // HITS_AT_ONCE
+    cuts = np.append(begins[np.flatnonzero(np.diff(part, prepend=-1))], len(some))
+    for lo, hi in zip(cuts, cuts[1:]):
+        m = n[lo:hi]
+        which = np.repeat(np.arange(lo, hi), m)
+        post = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(exact.first[at[lo:hi]], m)
+        size = len(h) + 1
+        key = exact.piece[post] * size + some[which]
+        order = np.argsort(key, kind="stable")
+        key, which, post = key[order], which[order], post[order]
+        x, p = some[which], exact.piece[post]
+        total = np.append(0, np.cumsum(exact.weight[post]))
+        end = np.minimum(first[owner[which] + 1], x + exact.reach[p] + exact.n_steps[p] * STEP)
+        bound = total[np.searchsorted(key, p * size + end)] - total[:-1]
+        enough = np.flatnonzero(bound >= exact.need[p] - 1e-4)
+        x, p, d = x[enough], p[enough], owner[which[enough]]
+        new = (np.diff(p, prepend=-1) != 0) | (np.diff(d, prepend=-1) != 0) | (np.diff((x - first[d]) // STEP, prepend=-1) != 0)
+        yield x[new], p[new]
+
+
+def _search_exact(h: np.ndarray, first: np.ndarray, space: Space, exact: Exact, step: np.ndarray, s: np.ndarray, owner: np.ndarray, found: dict) -> None:
+    for x, p in _anchors(h, first, exact):
+        d = np.searchsorted(first, x, "right") - 1
+        at = np.searchsorted(s, x, "right") - 1
+        window = np.zeros((len(x), step.shape[1]), np.float32)
+        for k in range(4):
+            there = np.minimum(at + k, len(s) - 1)
+            same = (at + k < len(s)) & (owner[there] == d) & (k < exact.n_steps[p])
+            window[same] += step[there[same]]
+        cosine = (_unit(window) * exact.unit[p]).sum(1)
+        a = np.maximum(first[d], x - exact.reach[p])
+        b = np.minimum(first[d + 1], x + exact.n_steps[p] * STEP + exact.reach[p])
+        for i in range(len(x)):
+            _align(found.setdefault(int(d[i]), {}), exact.pieces[p[i]], h[a[i]: b[i]], float(cosine[i]), space)
+
+
 def _align(found: dict, piece: dict, region: np.ndarray, cosine: float, space: Space) -> None:
     """Puts (item, cosine, lcs, answer) into ``found`` if the region leaks the piece better than before."""
     have = found.get(piece["item"], (0, 0, 0, 0))
@@ -332,10 +430,11 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, hits: str, text: str = "tex
     for block in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == block).collect()
         pieces = pieces_of(sorted({(r["id"], r["text"]) for r in rows if r["id"] is not None and r["text"]}), space)
+        exacts = [exact_of(pieces[i: i + GROUP], space) for i in range(0, len(pieces), GROUP)]
         pieces = [p for p in pieces if p["vector"].any()]
         sides = [side_of(2, [p for p in pieces if p["short"]], space), side_of(4, [p for p in pieces if not p["short"]], space)]
         sides = [x for x in sides if x]
-        shared = spark.sparkContext.broadcast((space, sides))
+        shared = spark.sparkContext.broadcast((space, sides, exacts))
 
         def make(shared=shared):
             def f(texts: pa.Array) -> list[pa.Array]:

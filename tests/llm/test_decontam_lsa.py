@@ -69,6 +69,26 @@ def test_finds_every_planted_passage_and_no_other(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {d for d, _ in truth}
 
 
+def test_item_in_a_third_of_all_documents(spark):
+    """Its leaks make its own words common terms; a neighbour of few leaks is found as before."""
+    rows, truth = [], set()
+    for i in range(300):
+        w = text(i, 60 + i).split()
+        at = random.Random(i).randint(0, len(w))
+        here = [k for k, share in ((1, 3), (3, 3), (6, 4), (2, 30)) if i % share == 0]
+        truth |= {(i, item) for item in here}
+        rows.append((i, " ".join([*w[:at], *[ITEMS[item][1] for item in here], *w[at:]]), "en", "s", 1))
+    paraphrase = " ".join("quux" if k % 3 == 1 and k < 22 else x for k, x in enumerate(ITEMS[3][1].split()))
+    rows.append((900, text(77, 50) + " " + paraphrase + " " + text(78, 50), "en", "s", 1))
+    truth.add((900, 3))
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(ITEMS, "item_id long, text string")
+    space = m.fit(docs)
+    common = [p["item"] for p in m.pieces_of(ITEMS, space) if not p["vector"].any()]
+    assert {1, 3} <= set(common)
+    assert {(r["doc_id"], r["item_id"]) for r in m.leaks(docs, bench).collect()} == truth
+    assert {r["doc_id"] for r in m.drop_leaking(docs, bench).collect()} == {r[0] for r in rows} - {d for d, _ in truth}
+
+
 def test_items_in_blocks_find_the_same(spark, monkeypatch):
     rows, _ = planted()
     docs, bench = spark.createDataFrame(rows[:120], DOCS), spark.createDataFrame(ITEMS, "item_id long, text string")
