@@ -89,6 +89,20 @@ def test_item_in_a_third_of_all_documents(spark):
     assert {r["doc_id"] for r in m.drop_leaking(docs, bench).collect()} == {r[0] for r in rows} - {d for d, _ in truth}
 
 
+def test_short_items_are_found_wherever_they_stand(spark):
+    r = random.Random(11)
+    pool = [word(r) + word(r) for _ in range(110)]
+    items = [(i, " ".join(r.sample(pool, (4, 5, 8)[i % 3]))) for i in range(60)]
+    rows, truth = [], set()
+    for i in range(240):
+        w = [word(r) + word(r) for _ in range(80)]  # rarer than the items' words
+        at = r.randint(0, len(w))
+        rows.append((i, " ".join([*w[:at], items[i % 60][1], *w[at:]]), "en", "s", 1))
+        truth.add((i, i % 60))
+    got = m.leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got if x["lcs"] > 0.999} == truth
+
+
 def test_items_in_blocks_find_the_same(spark, monkeypatch):
     rows, _ = planted()
     docs, bench = spark.createDataFrame(rows[:120], DOCS), spark.createDataFrame(ITEMS, "item_id long, text string")
