@@ -6,8 +6,9 @@ documents in order.  In each shard frequent pairs of neighbouring symbols are
 replaced by nonterminals, again and again: a round counts all pairs by sorting,
 takes every pair whose count reaches a sixteenth of the highest (and
 ``MIN_COUNT``), and replaces it from left to right without overlap.  Pairs never
-span two documents.  Rounds end when no pair is frequent enough or symbols no
-longer fit in 16 bits (32 for larger vocabularies).
+span two documents.  Rounds end when none of the pairs that a round takes is replaced
+``MIN_COUNT`` times, or when symbols no longer fit in 16 bits (32 for larger
+vocabularies): frequent pairs can be left then, which costs compression only.
 
 A shard is one file (little-endian): the magic ``RPZ1``; u32 first nonterminal,
 rules, bytes of a symbol, documents; u64 symbols, ids; then per document i64 id
@@ -46,7 +47,6 @@ from concord.llm.common import run_folder
 
 SHARD_TOKENS = 1 << 21
 MIN_COUNT = 8
-MAX_ROUNDS = 16
 FIRST_NONTERMINAL = 49_408  # above all ids of word_bpe_49k
 HEAD = struct.Struct("<4sIIIIQQ")
 SLOTS = 1 << 20
@@ -72,9 +72,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int = FIRST_NONTERMINAL) -
     last[ends[np.diff(ends, prepend=0) > 0] - 1] = True
     rules: list[np.ndarray] = []
     n_rules = 0
-    for _ in range(MAX_ROUNDS):
-        if len(sym) < 2 or n_rules >= most:
-            break
+    while len(sym) > 1 and n_rules < most:
         key = (sym[:-1] << pair_type(shift)) | sym[1:]
         inside = ~last[:-1]
         chosen = _frequent(key[inside], min(most - n_rules, SLOTS // 8))

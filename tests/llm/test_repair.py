@@ -39,6 +39,12 @@ def test_frequent_pairs_become_rules():
     assert len(s.rules) and len(s.sym) < len(ids) / 4 and int(s.size[s.sym].sum()) == len(ids)
 
 
+def test_rounds_go_on_until_no_pair_is_frequent():
+    ids = np.zeros(1 << 22, np.uint32)  # halves in each round
+    s = repair.Shard.open(repair.to_bytes([0], ids, np.array([len(ids)])))
+    assert len(s.sym) <= 2 * repair.MIN_COUNT and (s.all_ids() == ids).all()
+
+
 def test_word_by_word_encoding_is_the_librarys(monkeypatch):
     texts = ["it's <|endoftext|>x  y", "Ünï É é x́ ́a", "a \x1c b c d", "", None, "日本 語 ΣΑΣ ſ", " \t\n", "a" * 5000]
     e = tokens.WordEncoder(PATH)
