@@ -65,3 +65,50 @@ SELECT conv_id, count(*) AS n_turns,
   sum(length(er) + length(et) + 24)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+OP11 = "WITH RECURSIVE " + _CRC32 + r"""
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+keys AS (SELECT k, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(range(strlen(k)), lambda j: ('0x' || substr(hex(k), 2 * j + 1, 2))::BIGINT)),
+      lambda a, b: xor(a >> 8, tab[1 + (xor(a, b) & 255)])), 4294967295) % 20 AS d
+  FROM (SELECT DISTINCT k FROM src), crc_table),
+damaged AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN d = 1 THEN '' WHEN d = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN d = 0 THEN [] WHEN d = 3 THEN [1, 2] ELSE [1] END) AS copy FROM src JOIN keys USING (k)),
+numbered AS (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS nth FROM numbered),
+faults AS (SELECT *, left(role, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) || left(role, 1) AS two FROM ordered),
+insertions(q, q1, fee, letters, lines) AS (VALUES
+  ('', '', 0, '', ''), ('', 'u', 3, 'I', '\nuser:'), ('', 'a', 6, 'II', '\nuser:\nassistant:'),
+  ('s', 's', 0, '', ''), ('s', 'u', 3, 'I', '\nuser:'), ('s', 'a', 6, 'II', '\nuser:\nassistant:'),
+  ('u', 'u', 0, '', ''), ('u', 'a', 3, 'I', '\nassistant:'), ('u', 'u', 6, 'II', '\nassistant:\nuser:'),
+  ('a', 'a', 0, '', ''), ('a', 'u', 3, 'I', '\nuser:'), ('a', 'a', 6, 'II', '\nuser:\nassistant:')),
+edits(q1, ini, q2, fee2, letter, who) AS (VALUES
+  ('', 's', 's', 0, 'K', NULL), ('', 'u', 'u', 0, 'K', NULL), ('s', 'u', 'u', 0, 'K', NULL), ('u', 'a', 'a', 0, 'K', NULL), ('a', 'u', 'u', 0, 'K', NULL),
+  ('', NULL, 'u', 3, 'R', 'user'), ('s', NULL, 'u', 3, 'R', 'user'), ('u', NULL, 'a', 3, 'R', 'assistant'), ('a', NULL, 'u', 3, 'R', 'user'),
+  ('', NULL, '', 4, 'D', NULL), ('s', NULL, 's', 4, 'D', NULL), ('u', NULL, 'u', 4, 'D', NULL), ('a', NULL, 'a', 4, 'D', NULL)),
+paths AS (
+  SELECT DISTINCT c, 0::BIGINT AS i, '' AS q, 0 AS cost, '' AS audit, '' AS lines FROM faults
+  UNION ALL
+  SELECT c, i, q, cost, audit, lines FROM (
+    SELECT f.c, f.i, e.q2 AS q, p.cost + n.fee + e.fee2 + CASE WHEN f.fault = 'truncated' AND e.letter <> 'D' THEN 3 ELSE 0 END AS cost,
+      p.audit || n.letters || e.letter AS audit,
+      p.lines || replace(n.lines, '\n', chr(10)) || CASE WHEN e.letter = 'D' THEN '' ELSE chr(10) || coalesce(e.who, f.role) || ':' || f.text END AS lines
+    FROM paths p JOIN faults f ON f.c = p.c AND f.i = p.i + 1 JOIN insertions n ON n.q = p.q
+      JOIN edits e ON e.q1 = n.q1 AND (e.ini IS NULL OR e.ini = f.ini) AND (e.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate')))
+  QUALIFY row_number() OVER (PARTITION BY c, q ORDER BY cost, audit) = 1),
+ends AS (SELECT p.c, p.cost + n.fee AS cost, p.audit || n.letters AS audit, p.lines || replace(n.lines, '\n', chr(10)) AS lines
+  FROM paths p JOIN insertions n USING (q) WHERE n.q1 IN ('a', '') AND p.i = (SELECT max(i) FROM faults f WHERE f.c = p.c)
+  QUALIFY row_number() OVER (PARTITION BY p.c ORDER BY p.cost + n.fee, p.audit || n.letters) = 1),
+counts AS (SELECT c, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (two IS NOT NULL AND two NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY c)
+SELECT s.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(substr(lines, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) s LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN ends USING (c)
+"""

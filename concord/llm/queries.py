@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from concord.llm import (
     chat_tree,
+    conversation_repair,
     decontam_lsa,
     oracle,
     packing,
@@ -66,6 +67,10 @@ def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam_lsa.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_reports(conversation_repair.damaged(table(spark, sf_dir, "conversations")), present="present")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: with_code(f) for f in (
     op1_warc_derivatives,
     op2_quality_llr,
@@ -77,9 +82,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: with
     op8_latent_decontamination,
     op9_trie_token_counts,
     op10_chat_prefix_tree,
+    op11_conversation_repair,
 )}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_llr": oracle.OP2,
     "op10_chat_prefix_tree": oracle.OP10,
+    "op11_conversation_repair": oracle.OP11,
 }
