@@ -112,3 +112,26 @@ SELECT s.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank
   sha256(coalesce(substr(lines, 2), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) s LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN ends USING (c)
 """
+
+OP12 = "WITH " + _CRC32 + r"""
+low(side, rid, doc_id, w) AS (
+  SELECT side, rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+  FROM (SELECT 's' AS side, row_number() OVER () AS rid, doc_id, text FROM documents
+    UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark)),
+occ AS (SELECT side, rid, unnest(w) AS word FROM low),
+hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(range(strlen(word)), lambda k: ('0x' || substr(hex(word), 2 * k + 1, 2))::BIGINT)),
+      lambda a, b: xor(a >> 8, tab[1 + (xor(a, b) & 255)])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM occ), crc_table),
+n AS (SELECT bucket, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM occ JOIN hashed USING (word) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE / ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE)) AS gain FROM n),
+weighed AS (SELECT rid, floor(sum(gain) / count(*))::BIGINT AS weight FROM occ JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 's' GROUP BY rid),
+scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score
+  FROM low LEFT JOIN weighed USING (rid) WHERE side = 's'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place,
+    count(*) FILTER (n_features >= 20) OVER () AS fit FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * fit // 100 THEN place END AS rank FROM placed
+"""

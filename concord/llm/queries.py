@@ -12,11 +12,13 @@ from concord.llm import (
     chat_tree,
     conversation_repair,
     decontam_lsa,
+    importance_resampling,
     oracle,
     packing,
     quality_llr,
     quality_mil,
     repair,
+    secret_scan,
     simhash_vptree,
     toxicity_cnn,
     trie_counts,
@@ -71,6 +73,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_reports(conversation_repair.damaged(table(spark, sf_dir, "conversations")), present="present")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = importance_resampling.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return importance_resampling.ranked(scored).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return secret_scan.digest(found)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: with_code(f) for f in (
     op1_warc_derivatives,
     op2_quality_llr,
@@ -83,10 +95,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: with
     op9_trie_token_counts,
     op10_chat_prefix_tree,
     op11_conversation_repair,
+    op12_importance_resampling,
+    op13_secret_scan,
 )}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_llr": oracle.OP2,
     "op10_chat_prefix_tree": oracle.OP10,
     "op11_conversation_repair": oracle.OP11,
+    "op12_importance_resampling": oracle.OP12,
 }
