@@ -12,9 +12,9 @@ ten of guesses, every segment adds ``SEGMENT``.  A value of ``HARD`` or more is
 ``guess`` span; an everyday word, a date or ``********`` is not.  Values inside a base
 span are left to it.
 
-The table is cut in one division, with the value's length: a position looks back at
-words of ``LONGEST_WORD`` characters at most, and repeats and walks are followed as
-runs.  The search ends as soon as no segment can bring the cost under ``HARD`` again,
+The table grows with the value's length: a position looks back at words of
+``LONGEST_WORD`` characters at most, and repeats and walks are followed as runs.  The
+search ends as soon as no segment can bring the cost under ``HARD`` again,
 so a long key costs what its first dozen characters do.  Texts are scanned row
 by row, whole, with no shuffle; only the vocabulary is read by the tasks.
 
@@ -59,7 +59,7 @@ YEARS = range(1900, 2060)
 DATE = math.log10(365 * len(YEARS))
 LEET = str.maketrans("@430$571!", "aaeossti" + "i")
 KEYS = ["`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./"]
-UNSHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\;',./")
+UNSHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
 PLACE = {c: (x, y) for y, row in enumerate(KEYS) for x, c in enumerate(row)}
 
 
@@ -161,10 +161,6 @@ class _Runs:
             out.append((self.order, math.log10(2 * 26 * (i + 1 - self.order))))
         return out
 
-    def live(self, i: int) -> int:
-        """The start of the longest run that the next character could go on with."""
-        return min([self.walk, self.order, *(start for u, start in self.repeat.items() if i + 1 - start > u)])
-
 
 def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> float:
     """log10 of the guesses of the cheapest segmentation; from ``enough`` on, some number of
@@ -182,9 +178,10 @@ def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> f
             if cost is not None:
                 now = min(now, best[start] + SEGMENT + cost)
         best.append(now)
-        reach = max(0, min(i + 1 - LONGEST_WORD, runs.live(i)))
-        if now >= enough and brute >= enough and min(best[reach:]) >= enough:
-            return now  # whatever follows starts from one of these
+        # A later segment starts at one of these places, or goes on with a run or span
+        # that costs ``now`` or more already and gets no cheaper.
+        if now >= enough and min(best[max(0, i + 1 - LONGEST_WORD):]) >= enough:
+            return now
     return best[-1]
 
 
