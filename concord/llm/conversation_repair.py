@@ -112,35 +112,36 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class _Rows:
-    """A conversation's rows in order: in memory, or beyond HELD_BYTES in a file."""
+    """A conversation's rows (turn, no_turn, role, text) in order: in memory, or beyond
+    HELD_BYTES in a file."""
 
     def __init__(self, folder: str):
         self.folder, self.held, self.size, self.sink = folder, [], 0, None
 
-    def add(self, rows: pd.DataFrame, size: int) -> None:
+    def add(self, rows: list[tuple], size: int) -> None:
         self.held.append(rows)
         self.size += size
         if self.size > HELD_BYTES:
             self._spill()
 
     def _spill(self) -> None:
-        batch = pa.RecordBatch.from_pandas(pd.concat(self.held), preserve_index=False, schema=ROW_SCHEMA)
+        columns = zip(*[row for rows in self.held for row in rows])
         if self.sink is None:
             fs, path = _open(self.folder)
             fs.create_dir(path, recursive=True)
             self.fs, self.path = fs, f"{path}/rows-{uuid.uuid4().hex}"
             self.file = fs.open_output_stream(self.path)
             self.sink = pa.ipc.new_stream(self.file, ROW_SCHEMA)
-        self.sink.write_batch(batch)
+        self.sink.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ROW_SCHEMA)], schema=ROW_SCHEMA))
         self.held, self.size = [], 0
 
-    def again(self) -> Iterator[pd.DataFrame]:
+    def again(self) -> Iterator[list[tuple]]:
         if self.sink is not None:
             self.sink.close()
             self.file.close()
             with self.fs.open_input_stream(self.path) as f, pa.ipc.open_stream(f) as batches:
                 for batch in batches:
-                    yield batch.to_pandas()
+                    yield list(zip(*[c.to_pylist() for c in batch.columns]))
             self.fs.delete_file(self.path)
         yield from self.held
 
@@ -176,32 +177,28 @@ class _Conversation:
         self.conv, self.no_conv = conv, no_conv
         self.rows, self.pointers = _Rows(folder), _Pointers(folder)
         self.states, self.cost = START, 0
-        self.faults, self.illegal, self.last_role = np.zeros(4, np.int64), 0, None
+        self.faults, self.illegal, self.last_role = [0] * 4, 0, None
         self.first_turn = self.last_turn = None
         self.turns = 0
 
-    def add(self, rows: pd.DataFrame) -> None:
-        rows = rows[rows["present"].to_numpy()]
-        if not len(rows):
-            return
-        kinds = rows["kind"].to_numpy()
-        for kind in kinds.tolist():
-            self.states, more, pointers = _step(self.states, kind)
+    def add(self, kinds: list[int], rows: list[tuple], size: int) -> None:
+        states, pointers, last = self.states, self.pointers.held, self.last_role
+        for kind in kinds:
+            states, more, back = _step(states, kind)
             self.cost += more
-            self.pointers.held += pointers
-        if len(self.pointers.held) > POINTER_BYTES:
+            pointers += back
+            self.faults[kind >> 2] += 1
+            role = kind & 3
+            self.illegal += last is not None and (last, role) not in LEGAL
+            last = role
+        self.states, self.last_role = states, last
+        if len(pointers) > POINTER_BYTES:
             self.pointers.spill()
-        self.faults += np.bincount(kinds // 4, minlength=4)
-        roles = (kinds % 4).tolist()
-        before = [self.last_role, *roles[:-1]]
-        self.illegal += sum(p is not None and (p, r) not in LEGAL for p, r in zip(before, roles))
-        self.last_role = roles[-1]
-        turns = rows["turn"].to_numpy()[~rows["no_turn"].to_numpy()]
-        if len(turns):
-            self.turns += int((turns[1:] != turns[:-1]).sum()) + (self.last_turn is None or int(turns[0]) != self.last_turn)
-            self.first_turn = int(turns[0]) if self.first_turn is None else self.first_turn
-            self.last_turn = int(turns[-1])
-        self.rows.add(rows[ROW_SCHEMA.names], int(rows["size"].sum()))
+        for turn, no_turn, _, _ in rows:
+            if not no_turn and turn != self.last_turn:
+                self.first_turn = turn if self.first_turn is None else self.first_turn
+                self.turns, self.last_turn = self.turns + 1, turn
+        self.rows.add(rows, size)
 
     def decide(self) -> None:
         """The cheapest edits: ``edits`` per row, ``tail`` after the last one."""
@@ -219,7 +216,7 @@ class _Conversation:
 
     def report(self, digest: str) -> tuple:
         gaps = 0 if self.first_turn is None else min(MAX_LONG, self.last_turn - self.first_turn + 1 - self.turns)
-        _, blank, duplicate, truncated = self.faults.tolist()
+        _, blank, duplicate, truncated = self.faults
         audit = "".join([EDITS[e] for e in self.edits]) + self.tail
         return self.conv, self.no_conv, gaps, blank, duplicate, truncated, self.illegal, self.cost, audit, digest
 
@@ -228,8 +225,7 @@ class _Conversation:
         at, n = NOTHING, 0
         for rows in self.rows.again():
             out = []
-            for edits, turn, no_turn, role, text in zip(self.edits[n: n + len(rows)], rows["turn"].tolist(), rows["no_turn"].tolist(),
-                                                        rows["role"].tolist(), rows["text"].tolist()):
+            for edits, (turn, no_turn, role, text) in zip(self.edits[n: n + len(rows)], rows):
                 edits = EDITS[edits]
                 for _ in edits[:-1]:
                     at, new = GROWS[at]
@@ -260,12 +256,19 @@ def _conversations(frames: Iterator[pd.DataFrame], folder: str) -> Iterator[_Con
             continue
         conv, none = frame["conv"].to_numpy(), frame["no_conv"].to_numpy()
         cuts = np.flatnonzero((conv[1:] != conv[:-1]) | (none[1:] != none[:-1])) + 1
+        conv, none = conv.tolist(), none.tolist()
+        present, kinds, sizes = frame["present"].tolist(), frame["kind"].tolist(), frame["size"].tolist()
+        rows = list(zip(*[frame[name].tolist() for name in ROW_SCHEMA.names]))
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(frame)]):
             if now is None or (now.conv, now.no_conv) != (conv[lo], none[lo]):
                 if now is not None:
                     yield now
-                now = _Conversation(int(conv[lo]), bool(none[lo]), folder)
-            now.add(frame.iloc[lo:hi])
+                now = _Conversation(conv[lo], none[lo], folder)
+            if all(present[lo:hi]):
+                now.add(kinds[lo:hi], rows[lo:hi], sum(sizes[lo:hi]))
+            else:
+                at = [i for i in range(lo, hi) if present[i]]
+                now.add([kinds[i] for i in at], [rows[i] for i in at], sum(sizes[i] for i in at))
     if now is not None:
         yield now
 
