@@ -6,6 +6,8 @@ and work on whole blocks of texts at once; no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Texts are handled in blocks of about so many bytes (a longer text is a block of its own).
-BLOCK_BYTES = 2 << 20
+#: A block's arrays take some hundred times its bytes, the hash tables kept 32 times.
+BLOCK_BYTES = 1 << 19
 
 #: Which bytes belong to a word. SPACED: all but 0x20 and 0x09-0x0D.
 #: ALNUM: ASCII letters and digits and every byte of other characters.
@@ -109,6 +112,22 @@ def find_words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED,
     return Words(data, start, np.flatnonzero(inside & ~after) + 1, np.searchsorted(start, offsets))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system. Python workers outlive their tasks and wait
+    for those of later stages, which may run in other workers beside them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # another C library: it has no such call
+    _libc = None
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
@@ -127,5 +146,6 @@ def append(df: DataFrame, text: str, fields: list[T.StructField], make: Callable
         f = make()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *f(batch.column(at))], names=names)
+        trim()
 
     return df.mapInArrow(run, schema)

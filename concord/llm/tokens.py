@@ -18,7 +18,7 @@ import pyarrow as pa
 from concord.llm import textarrays as ta
 
 #: Distinct words that a worker remembers; beyond it starts afresh.
-REMEMBERED = 1_500_000
+REMEMBERED = 400_000
 
 _encoders: dict[str, "WordEncoder"] = {}
 
