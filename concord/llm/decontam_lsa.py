@@ -8,7 +8,7 @@ their IDF, folded by a second hash into ``COLUMNS`` columns: that is the TF-IDF
 matrix A.  A second pass does a randomised SVD: every task adds up Y'A and Y'Y,
 with Y = A * Omega for a fixed Gaussian Omega of ``SKETCH`` columns, and the sums
 give the ``RANK`` leading right singular vectors.  Tasks send sums of fixed size,
-added up in blocks of columns; only COLUMNS x SKETCH numbers reach the driver.
+added up in blocks of columns, lanes of tasks first; only COLUMNS x SKETCH numbers reach the driver.
 All passages of all documents take part.
 
 A third pass slides windows over every whole text, maps them into the latent
@@ -16,22 +16,23 @@ space (singular values divided out, so that rare and common topics weigh
 alike), and compares them by cosine with the benchmark's items.  Items of up to
 ``SHORT`` words are sought with windows of 2 steps, others with 4 steps (a step is
 ``STEP`` words); items over ``LONG`` words are sought piece by piece.  A window
-at ``COSINE`` or more is a candidate, and its surroundings are aligned with the item: the
+at ``COSINE`` (of short items ``COSINE_SHORT``) or more is a candidate, and its surroundings are aligned with the item: the
 longest common subsequence, each word weighing its IDF, as a share of the
 item's weight.  ``LEAK`` or more is a leak; from ``PARAPHRASE`` on it is one if also
 the answer (the item's last sentence) stands there with half its weight.
 
 The latent space does not see items whose words are all common terms (an item
-leaked by many documents makes its own words common) and blurs short ones.  So
-all items are also sought exactly, by their key words: the heaviest ones that
-hold ``KEYS`` of an item's weight.  A region without enough of them cannot reach
-``PARAPHRASE``; each place with enough is a candidate and is aligned the same way.
+leaked by many documents makes its own words common) and blurs short ones.  Items
+with less than ``VISIBLE`` of their weight in the space, or of fewer than ``BRIEF`` words, are
+sought by their key words instead: the heaviest ones that hold ``KEYS`` of an
+item's weight.  A region without enough of them cannot reach ``PARAPHRASE``; each place
+with enough is a candidate and is aligned the same way.
 
 The benchmark is the stated query set: it goes to the tasks in blocks of
 ``ITEMS`` items, each block a pass over the documents.
 
 Edge cases: null, empty and blank texts have no passage and no leak; such items,
-null item texts match nothing; items of common terms alone are found by their key words, with
+items of a null id or text match nothing; items of common terms alone are found by their key words, with
 cosine 0; equal items are reported each; repeated
 document rows are judged each; empty tables give empty results; extra columns
 never clash.  Texts shorter than a window are one window.
@@ -39,6 +40,7 @@ never clash.  Texts shorter than a window are one window.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -60,13 +62,17 @@ RANK = 96
 STEP = 10
 SHORT = 28
 LONG = 60
-COSINE = 0.4
+COSINE = 0.3  # of items over SHORT words
+COSINE_SHORT = 0.2
+VISIBLE = 0.5
+BRIEF = 16
 LEAK = 0.8
 PARAPHRASE = 0.5
 KEYS = 0.8
 GROUP = 1024
 HITS_AT_ONCE = 1 << 21
-ITEMS = 20_000
+ITEMS = 8192
+COSINES = 1 << 23  # windows times items compared at once
 SUM_BLOCKS = 16
 SLOTS = 1024
 SEED = 11
@@ -124,18 +130,22 @@ def _starts(first: np.ndarray, width: int) -> np.ndarray:
     return base + width * (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs))
 
 
-def _summed(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
-    """Adds up rows (block, data) of equal blocks, streaming, SUM_BLOCKS tasks side by side."""
+def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Adds up rows (block, data) of equal blocks, streaming, in two steps: within lanes of
+    about as many tasks as there are lanes, then the lanes' sums."""
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = np.frombuffer(data.as_buffer(), dtype)
+                x = np.frombuffer(data.as_buffer(), "f8")
                 sums[block] = sums[block] + x if block in sums else x.astype("f8")
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "data"])
 
-    rows = parts.repartition(SUM_BLOCKS, "block").mapInArrow(add, "block int, data binary").collect()
+    lanes = max(1, math.isqrt(parts.rdd.getNumPartitions()))
+    dealt = parts.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(lanes))).repartition(SUM_BLOCKS * lanes, "block", "lane")
+    first = dealt.drop("lane").mapInArrow(add, "block int, data binary")
+    rows = first.repartition(2 * SUM_BLOCKS, "block").mapInArrow(add, "block int, data binary").collect()
     return {r["block"]: np.frombuffer(r["data"], "f8") for r in rows}
 
 
@@ -155,7 +165,7 @@ def _document_frequency(texts: DataFrame) -> tuple[np.ndarray, float]:
                 df += np.bincount(each[np.diff(each, prepend=-1) != 0] % TERMS, minlength=TERMS)
         yield _blocks_of(np.concatenate([df, np.full(SUM_BLOCKS, n)]).reshape(-1)[_with_count()])
 
-    got = _summed(texts.mapInArrow(count, "block int, data binary"), "f8")
+    got = _summed(texts.mapInArrow(count, "block int, data binary"))
     if not got:
         return np.zeros(TERMS), 0.0
     each = [got[b] for b in range(SUM_BLOCKS)]
@@ -192,10 +202,10 @@ def _gram_sums(texts: DataFrame, space: Space) -> tuple[np.ndarray, np.ndarray]:
                 own = np.searchsorted(s, some, "right") - 1
                 # (reduceat is several times faster along the rows of the transpose)
                 ya[seen] += np.add.reduceat(np.ascontiguousarray((w[some[order], None] * y[own[order]]).T), at, axis=1).T
-        yield _blocks_of(ya)
-        yield pa.RecordBatch.from_arrays([pa.array([SUM_BLOCKS], pa.int32()), pa.array([yy.astype("f4").tobytes()], pa.binary())], names=["block", "data"])
+        yield _blocks_of(ya.astype("f8"))
+        yield pa.RecordBatch.from_arrays([pa.array([SUM_BLOCKS], pa.int32()), pa.array([yy.tobytes()], pa.binary())], names=["block", "data"])
 
-    got = _summed(texts.mapInArrow(add, "block int, data binary"), "f4")
+    got = _summed(texts.mapInArrow(add, "block int, data binary"))
     return (np.concatenate([got[b] for b in range(SUM_BLOCKS)]).reshape(COLUMNS, SKETCH), got[SUM_BLOCKS].reshape(SKETCH, SKETCH))
 
 
@@ -248,6 +258,12 @@ def pieces_of(items: list[tuple[int, str]], space: Space) -> list[dict]:
     return out
 
 
+def latent_shows(piece: dict, space: Space) -> bool:
+    """Whether a piece is long enough and has words enough in the latent space to be sought there."""
+    seen = piece["weight"][space.weight[_term(piece["h"])] > 0].sum()
+    return len(piece["h"]) >= BRIEF and bool(piece["vector"].any()) and seen >= VISIBLE * piece["weight"].sum()
+
+
 def _slot(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(40)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
@@ -262,6 +278,7 @@ class Side:
     slots: np.ndarray  # (pieces, SLOTS): the weight of a piece's uncommon words
     need: np.ndarray  # the weight of uncommon words without which PARAPHRASE cannot be reached
     reach: np.ndarray
+    cosine: float
 
 
 def side_of(n_steps: int, pieces: list[dict], space: Space) -> Side | None:
@@ -272,7 +289,8 @@ def side_of(n_steps: int, pieces: list[dict], space: Space) -> Side | None:
         rare = space.weight[_term(p["h"])] > 0
         np.add.at(slots[i], _slot(p["h"][rare]), p["weight"][rare])
         need.append(PARAPHRASE * p["weight"].sum() - p["weight"][~rare].sum())
-    return Side(n_steps, pieces, _unit(np.array([p["vector"] for p in pieces])), slots, np.array(need), np.array([len(p["h"]) for p in pieces]))
+    return Side(n_steps, pieces, _unit(np.array([p["vector"] for p in pieces])), slots, np.array(need), np.array([len(p["h"]) for p in pieces]),
+                COSINE_SHORT if pieces[0]["short"] else COSINE)
 
 
 def weighted_lcs(item: np.ndarray, region: np.ndarray, weight: np.ndarray) -> float:
@@ -301,9 +319,10 @@ def _search(h: np.ndarray, first: np.ndarray, space: Space, sides: list[Side], e
             same = owner[k:] == owner[:-k]
             window[:-k][same] += step[k:][same]
         window = _unit(window)
-        for lo in range(0, len(window), 8192):
-            cosine = window[lo: lo + 8192] @ side.unit.T
-            w, p = np.nonzero(cosine >= COSINE)
+        some = max(64, COSINES // len(side.pieces))
+        for lo in range(0, len(window), some):
+            cosine = window[lo: lo + some] @ side.unit.T
+            w, p = np.nonzero(cosine >= side.cosine)
             cos = cosine[w, p]
             a = np.maximum(first[owner[lo + w]], s[lo + w] - side.reach[p])
             b = np.minimum(first[owner[lo + w] + 1], s[lo + w] + side.n_steps * STEP + side.reach[p])
@@ -430,8 +449,9 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, hits: str, text: str = "tex
     for block in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == block).collect()
         pieces = pieces_of(sorted({(r["id"], r["text"]) for r in rows if r["id"] is not None and r["text"]}), space)
-        exacts = [exact_of(pieces[i: i + GROUP], space) for i in range(0, len(pieces), GROUP)]
-        pieces = [p for p in pieces if p["vector"].any()]
+        dim = [p for p in pieces if not latent_shows(p, space)]
+        exacts = [exact_of(dim[i: i + GROUP], space) for i in range(0, len(dim), GROUP)]
+        pieces = [p for p in pieces if latent_shows(p, space)]
         sides = [side_of(2, [p for p in pieces if p["short"]], space), side_of(4, [p for p in pieces if not p["short"]], space)]
         sides = [x for x in sides if x]
         shared = spark.sparkContext.broadcast((space, sides, exacts))

@@ -118,3 +118,32 @@ def test_edge_rows_and_empty_tables(spark):
     assert got == [(1, 1), (2, 1), (2, 1)]
     assert m.leaks(docs.limit(0), bench).count() == 0 and m.leaks(docs, bench.limit(0)).count() == 0
     assert m.drop_leaking(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_the_latent_search_finds_paraphrases_and_carries_the_result(spark):
+    """Against an exhaustive search by key words under the same acceptance rule: recall of
+    0.9 or more at every share of replaced words; without the cosine nearly all is lost."""
+    sf = "/root/testdata/sf0.01"
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r["text"]]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    space = m.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    pieces = m.pieces_of(items, space)
+    shown, dim = [[p for p in pieces if m.latent_shows(p, space) == yes] for yes in (True, False)]
+    assert len(shown) > 0.8 * len(pieces)
+    sides = [x for short in (True, False) if (x := m.side_of(2 if short else 4, [p for p in shown if p["short"] == short], space))]
+    exact = lambda ps: [m.exact_of(ps, space)] if ps else []
+    r = random.Random(3)
+    for share in (0, 0.2, 0.35, 0.45):
+        rows = []
+        for _ in range(250):
+            body = [r.choice(r.choice(texts).split()) if r.random() < share else x for x in r.choice(items)[1].split()]
+            d = r.choice(texts).split()
+            at = r.randint(0, len(d))
+            rows.append(" ".join([*d[:at], *body, *d[at:]]))
+
+        def found(*how):
+            return {(lo + d, x[0]) for lo, h, first in m._terms(m.pa.array(rows)) for d, f in m._search(h, first, space, *how).items() for x in f}
+
+        want, got = found([], exact(pieces)), found(sides, exact(dim))
+        assert len(got & want) >= 0.9 * len(want) and len(want) > 100
+        assert len(found([], exact(dim))) < 0.3 * len(want)
