@@ -72,7 +72,7 @@ KEYS = 0.8
 GROUP = 1024
 HITS_AT_ONCE = 1 << 21
 ITEMS = 8192
-COSINES = 1 << 23  # windows times items compared at once
+COSINES = 1 << 19  # windows times items compared at once
 SUM_BLOCKS = 16
 SLOTS = 1024
 SEED = 11
@@ -429,7 +429,11 @@ def _align(found: dict, piece: dict, region: np.ndarray, cosine: float, space: S
     """Puts (item, cosine, lcs, answer) into ``found`` if the region leaks the piece better than before."""
     have = found.get(piece["item"], (0, 0, 0, 0))
     weight = piece["weight"]
-    there = np.isin(piece["known"], region)
+    known = piece["known"]  # sorted
+    at = known.searchsorted(region)
+    at[at == len(known)] = 0
+    there = np.zeros(len(known), bool)
+    there[at[known[at] == region]] = True
     if have[2] >= 0.999 or piece["known_weight"][there].sum() < PARAPHRASE * weight.sum():
         return  # not even its words are there, in whatever order
     lcs = weighted_lcs(piece["h"], region, weight)
