@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dq, transforms as xf
-from ..operators import checks, checksum, diff, lookups, profile
+from ..operators import checks, checksum, diff, keys, lookups, profile
 from ..session import run_folder
 from ..sources import files
 from . import mapping, report, suite
@@ -433,6 +433,28 @@ def bridge_discovery(spark, sf_dir):
     return profile.discover_related(tables(spark, sf_dir, TPCH_TABLES), ["orders", "part"])
 
 
+def composite_keys(spark, sf_dir):
+    return keys.composite_keys(spark, tables(spark, sf_dir, TPCH_TABLES))
+
+
+def renamed_references(spark, sf_dir) -> dict[str, DataFrame]:
+    """Tables whose references have other names than the keys: the returned parcels of
+    ``lineitem`` point at a supplier, and by two columns at an order's lines."""
+    t = tables(spark, sf_dir, ["customer", "nation", "supplier", "lineitem"])
+    li = t["lineitem"]
+    return {
+        "customer": t["customer"].select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"),
+        "nation": t["nation"], "supplier": t["supplier"].select("s_suppkey", "s_name", "s_nationkey"),
+        "order_line": li.select(F.col("l_orderkey").alias("order_no"), F.col("l_linenumber").alias("line_no")).distinct(),
+        "parcel": li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("ref_a"), F.col("l_linenumber").alias("ref_b"),
+                                                        F.col("l_suppkey").alias("maker")),
+    }
+
+
+def inclusion_pairs(spark, sf_dir):
+    return keys.inclusion_dependencies(spark, renamed_references(spark, sf_dir))
+
+
 def schema_columns(spark, sf_dir):
     return profile.schema_inventory(tables(spark, sf_dir, TPCH_TABLES))
 

@@ -8,6 +8,8 @@ m x n row pairs and counts them, the keyed diff is a plain full outer join.
 
 from __future__ import annotations
 
+import itertools
+
 # Texts read as "no value".
 NULL_TOKENS_SQL = "('nan', 'NaN', 'None', 'null', 'NULL')"
 
@@ -754,6 +756,66 @@ UNION ALL SELECT * FROM (VALUES
   ('R4 unknown fact_orders.period_key', 'manual', false, NULL::BOOLEAN, NULL::BIGINT),
   ('R5 unknown fact_orders.priority', 'manual', false, NULL, NULL), ('R6 fk fact_orders.order_date', 'manual', false, NULL, NULL)) v"""
 
+# ---------------------------------------------------------------- keys and references of several columns
+
+_COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+}
+
+
+def _every_combination() -> str:
+    parts = []
+    for t, names in _COLUMNS.items():
+        for size in (1, 2, 3):
+            for cols in itertools.combinations(names.split(), size):
+                tup = f"({', '.join(cols)})" if size > 1 else cols[0]
+                null = " OR ".join(f"{c} IS NULL" for c in cols)
+                parts.append(f"SELECT '{t}' AS table_name, {list(cols)} AS cols, {size} AS key_size, count(*) AS n_rows, "
+                             f"count(*) > 0 AND count(DISTINCT {tup}) = count(*) AND count(*) FILTER ({null}) = 0 AS uniq FROM {t}")
+    return " UNION ALL ".join(parts)
+
+
+COMPOSITE_KEYS = f"""
+WITH u AS MATERIALIZED ({_every_combination()}), k AS (SELECT * FROM u WHERE uniq)
+SELECT table_name, array_to_string(cols, ',') AS key_columns, key_size, n_rows FROM k
+WHERE NOT EXISTS (SELECT 1 FROM k s WHERE s.table_name = k.table_name AND s.key_size < k.key_size AND list_has_all(k.cols, s.cols))
+"""
+
+_REFERENCES = {  # table: columns with their kind (integer or text)
+    "customer": "c_custkey:i c_name:t c_nationkey:i c_mktsegment:t", "nation": "n_nationkey:i n_name:t n_regionkey:i",
+    "supplier": "s_suppkey:i s_name:t s_nationkey:i", "order_line": "order_no:i line_no:i", "parcel": "ref_a:i ref_b:i maker:i",
+}
+
+
+def _every_pair() -> str:
+    cols = {t: [tuple(x.split(":")) for x in names.split()] for t, names in _REFERENCES.items()}
+    parts = []
+    for ct, pt in itertools.product(cols, repeat=2):
+        for size in (1, 2) if ct != pt else (1,):
+            for child in itertools.combinations(cols[ct], size):
+                for parent in itertools.permutations(cols[pt], size):
+                    if [k for _, k in child] != [k for _, k in parent] or (ct == pt and child == parent):
+                        continue
+                    c, p = ([x for x, _ in side] for side in (child, parent))
+                    parts.append(
+                        f"SELECT '{ct}' AS child_table, '{','.join(c)}' AS child_columns, '{pt}' AS parent_table, '{','.join(p)}' AS parent_columns, "
+                        f"{size} AS n_columns, (SELECT count(DISTINCT ({', '.join(c)})) FROM {ct}) AS child_distinct, "
+                        f"(SELECT count(*) = count(DISTINCT ({', '.join(p)})) FROM {pt}) AS parent_unique, "
+                        f"(SELECT count(*) FROM (SELECT {', '.join(c)} FROM {ct} EXCEPT SELECT {', '.join(p)} FROM {pt})) AS orphans")
+    return " UNION ALL ".join(parts)
+
+
+INCLUSION_PAIRS = f"""
+WITH order_line AS MATERIALIZED (SELECT DISTINCT l_orderkey AS order_no, l_linenumber AS line_no FROM lineitem),
+parcel AS MATERIALIZED (SELECT l_orderkey AS ref_a, l_linenumber AS ref_b, l_suppkey AS maker FROM lineitem WHERE l_returnflag = 'R')
+SELECT * EXCLUDE (orphans) FROM ({_every_pair()}) WHERE orphans = 0 AND child_distinct > 0
+"""
+
 ORACLE_SQL = {
     "file_sources_single": FILE_SOURCES_SINGLE,
     "mapping_docs_mixed": MAPPING_DOCS_MIXED,
@@ -797,6 +859,8 @@ ORACLE_SQL = {
     "xf_bridge_join": XF_BRIDGE_JOIN,
     "profile_columns": PROFILE_COLUMNS,
     "fk_discovery": FK_DISCOVERY,
+    "composite_keys": COMPOSITE_KEYS,
+    "inclusion_pairs": INCLUSION_PAIRS,
     "bridge_discovery": BRIDGE_DISCOVERY,
     "keyed_diff_sample": KEYED_DIFF_SAMPLE,
     "checksum_gate_check": CHECKSUM_GATE_CHECK,
