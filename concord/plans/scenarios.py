@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dq, transforms as xf
-from ..operators import checks, checksum, diff, keys, lookups, profile
+from ..operators import alignment, checks, checksum, checktree, diff, keys, lookups, profile, tolerance
 from ..session import run_folder
 from ..sources import files
 from . import mapping, report, suite
@@ -107,6 +107,26 @@ def part_target(spark, sf_dir) -> DataFrame:
         .cast("decimal(12,2)"))
 
 
+def extended_price_source(spark, sf_dir) -> DataFrame:
+    """Line prices by order (keys repeat), with the numbers that comparisons trip over:
+    NULL, NaN, 1e30 and 1e-13 in place of some."""
+    p = F.col("l_partkey")
+    price = (F.when(p % 83 == 0, F.lit(None).cast("double")).when(p % 89 == 0, F.lit(float("nan"))).when(p % 97 == 0, F.lit(1e30))
+             .when(p % 101 == 0, F.lit(1e-13)).otherwise(F.col("l_extendedprice")))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key_col"), "l_linenumber", "l_partkey", "l_returnflag", price.alias("price"))
+
+
+def extended_price_target(spark, sf_dir) -> DataFrame:
+    """The load: prices off by a ten-millionth where (order + line) is divisible by 3, by half a
+    cent where divisible by 5, by 7 where divisible by 37, 1e-13 read as 0; lines of
+    parts divisible by 91 lost, those of orders divisible by 113 loaded twice."""
+    src = extended_price_source(spark, sf_dir)
+    k, v = F.col("key_col") + F.col("l_linenumber"), F.col("price")
+    base = src.where(F.col("l_partkey") % 91 != 0).withColumn(
+        "price", F.when(F.col("l_partkey") % 101 == 0, F.lit(0.0)).when(k % 37 == 0, v + 7).when(k % 5 == 0, v + 0.005).when(k % 3 == 0, v * (1 + 1e-7)).otherwise(v))
+    return base.unionByName(base.where(F.col("key_col") % 113 == 0))
+
+
 def customer_history(spark, sf_dir) -> DataFrame:
     """SCD2 customer dimension derived from ``customer``: two versions per
     customer, the first closed at a per-customer date, the second open and
@@ -122,6 +142,15 @@ def customer_history(spark, sf_dir) -> DataFrame:
     return v1.unionByName(v2)
 
 
+def customer_history_faulty(spark, sf_dir) -> DataFrame:
+    """The history with gaps (first version ends 90 days early where the key is divisible by 11)
+    and overlaps (200 days late where divisible by 13)."""
+    k = F.col("cust_id")
+    first = F.col("is_current") == 0
+    to = F.when(first & (k % 11 == 0), F.date_sub("valid_to", 90)).when(first & (k % 13 == 0), F.date_add("valid_to", 200)).otherwise(F.col("valid_to"))
+    return customer_history(spark, sf_dir).withColumn("valid_to", to)
+
+
 # ---------------------------------------------------------------- comparison queries
 
 def keyed_diff_orders(spark, sf_dir):
@@ -137,6 +166,19 @@ def keyed_diff_dup_keys(spark, sf_dir):
     return d.select("key_col", "n_source", "n_target", "matched_pairs", "mismatch_pairs", "mismatch_type")
 
 
+def keyed_diff_dup_alignment(spark, sf_dir):
+    return alignment.aligned_rows(lineitem_source(spark, sf_dir), lineitem_target(spark, sf_dir))
+
+
+def keyed_diff_tolerance(spark, sf_dir):
+    return tolerance.tolerance_diff(extended_price_source(spark, sf_dir), extended_price_target(spark, sf_dir), "price", same=["l_returnflag"],
+                                    absolute=0.01, relative=1e-6)
+
+
+def checksum_tree_diff(spark, sf_dir):
+    return checktree.tree_diff(orders_source(spark, sf_dir), orders_target(spark, sf_dir))
+
+
 def diff_class_counts(spark, sf_dir):
     d = diff.keyed_diff(lineitem_source(spark, sf_dir), lineitem_target(spark, sf_dir))
     return d.groupBy("mismatch_type").agg(F.count(F.lit(1)).alias("n_keys"),
@@ -397,6 +439,16 @@ def xf_scd2_lookup(spark, sf_dir):
     return out.select("o_orderkey", "cust_sk")
 
 
+def xf_scd2_asof(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    out = lookups.scd2_asof(o, customer_history_faulty(spark, sf_dir), "o_custkey", "cust_id", "o_orderdate", "cust_sk")
+    return out.select("o_orderkey", "cust_sk")
+
+
+def scd2_faults(spark, sf_dir):
+    return lookups.scd2_faults(customer_history_faulty(spark, sf_dir), "cust_id")
+
+
 def xf_scd2_current(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     out = lookups.scd2_lookup(o, customer_history(spark, sf_dir), "o_custkey", "cust_id", "o_orderdate",

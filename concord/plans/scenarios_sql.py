@@ -756,6 +756,73 @@ UNION ALL SELECT * FROM (VALUES
   ('R4 unknown fact_orders.period_key', 'manual', false, NULL::BOOLEAN, NULL::BIGINT),
   ('R5 unknown fact_orders.priority', 'manual', false, NULL, NULL), ('R6 fk fact_orders.order_date', 'manual', false, NULL, NULL)) v"""
 
+# ---------------------------------------------------------------- as-of, tolerance, alignment
+
+CUSTOMER_HISTORY_FAULTY = f"""
+SELECT cust_sk, cust_id, valid_from, CASE WHEN is_current = 0 AND cust_id % 11 = 0 THEN CAST(valid_to - INTERVAL 90 DAY AS DATE)
+    WHEN is_current = 0 AND cust_id % 13 = 0 THEN CAST(valid_to + INTERVAL 200 DAY AS DATE) ELSE valid_to END AS valid_to, is_current
+FROM ({CUSTOMER_HISTORY})"""
+XF_SCD2_ASOF = f"""
+WITH d AS ({CUSTOMER_HISTORY_FAULTY}),
+started AS (SELECT o.o_orderkey, o.o_orderdate, d.cust_sk, d.valid_to FROM orders o LEFT JOIN d ON o.o_custkey = d.cust_id AND o.o_orderdate >= d.valid_from
+  QUALIFY row_number() OVER (PARTITION BY o.o_orderkey ORDER BY d.valid_from DESC NULLS LAST) = 1)
+SELECT o_orderkey, CASE WHEN valid_to IS NULL OR o_orderdate < valid_to THEN cust_sk END AS cust_sk FROM started"""
+SCD2_FAULTS = f"""
+WITH d AS ({CUSTOMER_HISTORY_FAULTY}), n AS (SELECT cust_id, valid_from, valid_to, lead(valid_from) OVER (PARTITION BY cust_id ORDER BY valid_from, valid_to) AS next_from FROM d)
+SELECT *, CASE WHEN valid_to <= valid_from THEN 'empty' WHEN valid_to IS NULL OR next_from < valid_to THEN 'overlap' ELSE 'gap' END AS fault
+FROM n WHERE valid_to <= valid_from OR (next_from IS NOT NULL AND valid_to IS DISTINCT FROM next_from)"""
+
+_PRICES = """
+SELECT l_orderkey AS key_col, l_linenumber, l_partkey, l_returnflag, CASE WHEN l_partkey % 83 = 0 THEN NULL WHEN l_partkey % 89 = 0 THEN 'nan'::DOUBLE
+  WHEN l_partkey % 97 = 0 THEN 1e30 WHEN l_partkey % 101 = 0 THEN 1e-13 ELSE l_extendedprice END AS price FROM lineitem"""
+_NEAR = """(s[i] = t[j] OR (isfinite(s[i]) AND isfinite(t[j]) AND abs(s[i] - t[j]) <= greatest(0.01::DOUBLE, 1e-6::DOUBLE * greatest(abs(s[i]), abs(t[j])))))"""
+# Two sorted lists a key, walked by two pointers.
+KEYED_DIFF_TOLERANCE = f"""
+WITH RECURSIVE src AS ({_PRICES}),
+base AS (SELECT key_col, l_linenumber, l_partkey, l_returnflag, CASE WHEN l_partkey % 101 = 0 THEN 0.0::DOUBLE WHEN (key_col + l_linenumber) % 37 = 0 THEN price + 7
+    WHEN (key_col + l_linenumber) % 5 = 0 THEN price + 0.005::DOUBLE WHEN (key_col + l_linenumber) % 3 = 0 THEN price * (1 + 1e-7::DOUBLE) ELSE price END AS price
+  FROM src WHERE l_partkey % 91 <> 0),
+tgt AS (SELECT * FROM base UNION ALL SELECT * FROM base WHERE key_col % 113 = 0),
+both_sides AS (SELECT 1 AS side, * FROM src UNION ALL SELECT 2, * FROM tgt),
+lists AS (SELECT key_col, l_returnflag, price IS NULL AS no_price, list_sort(coalesce(list(coalesce(price, 0)) FILTER (side = 1), [])) AS s,
+    list_sort(coalesce(list(coalesce(price, 0)) FILTER (side = 2), [])) AS t FROM both_sides GROUP BY ALL),
+walk AS (SELECT key_col, s, t, 1 AS i, 1 AS j, 0 AS matched FROM lists
+  UNION ALL
+  SELECT key_col, s, t, CASE WHEN {_NEAR} OR s[i] < t[j] THEN i + 1 ELSE i END, CASE WHEN {_NEAR} OR s[i] >= t[j] THEN j + 1 ELSE j END,
+    CASE WHEN {_NEAR} THEN matched + 1 ELSE matched END FROM walk WHERE i <= len(s) AND j <= len(t)),
+k AS (SELECT key_col, sum(len(s))::BIGINT AS n_source, sum(len(t))::BIGINT AS n_target, sum(matched)::BIGINT AS n_matched
+  FROM walk WHERE i > len(s) OR j > len(t) GROUP BY key_col)
+SELECT key_col::VARCHAR AS key_col, n_source, n_target, n_matched, n_source - n_matched AS unmatched_source, n_target - n_matched AS unmatched_target,
+  CASE WHEN n_target = 0 THEN 'missing_in_target' WHEN n_source = 0 THEN 'extra_in_target' ELSE 'value_mismatch' END AS mismatch_type
+FROM k WHERE n_matched < n_source OR n_matched < n_target"""
+
+
+def _alignment_round(i: int, agreed: str) -> str:
+    """Numbers the rows that are left within the agreed values and pairs equal numbers."""
+    by = f"PARTITION BY side, key_col{agreed}"
+    on = "".join(f" AND a.{c} = b.{c}" for c in agreed.replace(",", " ").split())
+    return f"""
+n{i} AS (SELECT *, row_number() OVER ({by} ORDER BY l_linenumber, qty) AS r FROM left{i}),
+p{i} AS (SELECT a.key_col, a.l_linenumber AS l1, a.qty AS q1, b.l_linenumber AS l2, b.qty AS q2, a.id AS ida, b.id AS idb
+  FROM (FROM n{i} WHERE side = 1) a JOIN (FROM n{i} WHERE side = 2) b ON a.key_col = b.key_col AND a.r = b.r{on}),
+left{i + 1} AS (SELECT id, side, key_col, l_linenumber, qty FROM left{i} WHERE id NOT IN (SELECT ida FROM p{i}) AND id NOT IN (SELECT idb FROM p{i})),"""
+
+
+KEYED_DIFF_DUP_ALIGNMENT = f"""
+WITH src AS (SELECT l_orderkey AS key_col, l_linenumber, CAST(l_quantity AS DECIMAL(12,2)) AS qty FROM lineitem),
+tgt AS ({LINEITEM_TARGET_BASE} UNION ALL SELECT * FROM ({LINEITEM_TARGET_BASE}) b WHERE key_col % 113 = 0),
+numbered AS (SELECT 1 AS side, *, row_number() OVER (PARTITION BY key_col, l_linenumber, qty) AS c FROM src
+  UNION ALL SELECT 2, *, row_number() OVER (PARTITION BY key_col, l_linenumber, qty) FROM tgt),
+left0 AS MATERIALIZED (SELECT row_number() OVER () AS id, * EXCLUDE (c) FROM numbered QUALIFY count(*) OVER (PARTITION BY key_col, l_linenumber, qty, c) = 1),
+{_alignment_round(0, ", l_linenumber")}{_alignment_round(1, ", qty")}{_alignment_round(2, "")}
+lines AS (SELECT key_col, l1, q1, l2, q2 FROM p0 UNION ALL SELECT key_col, l1, q1, l2, q2 FROM p1 UNION ALL SELECT key_col, l1, q1, l2, q2 FROM p2
+  UNION ALL SELECT key_col, CASE WHEN side = 1 THEN l_linenumber END, CASE WHEN side = 1 THEN qty END, CASE WHEN side = 2 THEN l_linenumber END,
+    CASE WHEN side = 2 THEN qty END FROM left3)
+SELECT CAST(key_col AS VARCHAR) AS key_col, CASE WHEN l2 IS NULL THEN 'missing_in_target' WHEN l1 IS NULL THEN 'extra_in_target' ELSE 'value_mismatch' END AS row_type,
+  CASE WHEN l1 IS NOT NULL AND l2 IS NOT NULL THEN concat_ws(',', CASE WHEN l1 <> l2 THEN 'l_linenumber' END, CASE WHEN q1 <> q2 THEN 'qty' END) END AS changed_columns,
+  CAST(l1 AS VARCHAR) AS l_linenumber_source, CAST(l2 AS VARCHAR) AS l_linenumber_target, {text_dec('q1')} AS qty_source, {text_dec('q2')} AS qty_target,
+  count(*) AS n_rows FROM lines GROUP BY key_col, l1, q1, l2, q2"""
+
 # ---------------------------------------------------------------- keys and references of several columns
 
 _COLUMNS = {
@@ -855,6 +922,11 @@ ORACLE_SQL = {
     "xf_cast": XF_CAST,
     "xf_scd2_lookup": XF_SCD2_LOOKUP,
     "xf_scd2_current": XF_SCD2_CURRENT,
+    "xf_scd2_asof": XF_SCD2_ASOF,
+    "scd2_faults": SCD2_FAULTS,
+    "checksum_tree_diff": KEYED_DIFF_ORDERS,
+    "keyed_diff_tolerance": KEYED_DIFF_TOLERANCE,
+    "keyed_diff_dup_alignment": KEYED_DIFF_DUP_ALIGNMENT,
     "xf_dim_lookup": XF_DIM_LOOKUP,
     "xf_bridge_join": XF_BRIDGE_JOIN,
     "profile_columns": PROFILE_COLUMNS,
