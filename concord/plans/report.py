@@ -6,8 +6,12 @@ every function here is a DataFrame -> DataFrame step (the sinks write).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from urllib.parse import quote
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.result import one_row_join
 
@@ -107,6 +111,47 @@ def append_results(results: DataFrame, path: str, run_col: str = "run_id") -> No
     results.write.mode("append").partitionBy(run_col).parquet(path)
 
 
+# Committed runs: <path>/results/run=<run>/attempt=<attempt>/... and <path>/commits/run=<run>/...
+
+def write_run(results: DataFrame, path: str, run: str, *, commit: bool = True) -> str:
+    """SNK-1, once: stores the results of one run and commits them; returns the attempt.
+
+    An attempt writes its rows into a folder of its own; the commit marker, one row
+    that names the attempt, replaces the run's marker in one partition overwrite.
+    Readers follow the markers, so a run written twice counts once (the last
+    committed attempt), and one that broke half-way, or was never committed, is not
+    seen, whatever files it left.  Executors may be lost meanwhile: rows go through
+    Spark's committer, and the marker is written after them."""
+    attempt = uuid.uuid4().hex
+    results.write.parquet(f"{path}/results/run={quote(run, safe='')}/attempt={attempt}")
+    if commit:
+        commit_run(results.sparkSession, path, run, attempt)
+    return attempt
+
+
+def commit_run(spark: SparkSession, path: str, run: str, attempt: str) -> None:
+    marker = spark.createDataFrame([(attempt, run)], "committed string, run string")
+    (marker.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{path}/commits"))
+
+
+def read_runs(spark: SparkSession, path: str, runs: list[str] | None = None) -> DataFrame:
+    """The results of the committed runs, with the column ``run``: one folder a run is read, the
+    markers (a row a run) say which."""
+    marked = spark.read.schema("committed string, run string").option("basePath", f"{path}/commits").parquet(f"{path}/commits")
+    folders = [f"{path}/results/run={quote(r['run'], safe='')}/attempt={r['committed']}" for r in marked.collect() if runs is None or r["run"] in runs]
+    if not folders:
+        raise FileNotFoundError(f"no committed run in {path}")
+    out = spark.read.option("basePath", f"{path}/results").option("mergeSchema", True).schema(_merged(spark, folders)).parquet(*folders)
+    return out.drop("attempt")
+
+
+def _merged(spark: SparkSession, folders: list[str]):
+    """The columns of all runs, then run and attempt as text (Spark would read a run 007 as 7)."""
+    own = spark.read.option("mergeSchema", True).parquet(*folders).schema
+    fields = [f for f in own.fields if f.name not in ("run", "attempt")]
+    return T.StructType([*fields, T.StructField("run", T.StringType()), T.StructField("attempt", T.StringType())])
+
+
 def report_rows(run: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SNK-3 content: the run header (7 label/value lines) and the result table
     with PASS/FAIL (quoting is done by the CSV writer)."""

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import dq, transforms as xf
 from ..operators import alignment, checks, checksum, checktree, diff, keys, lookups, profile, tolerance
 from ..session import run_folder
-from ..sources import files
+from ..sources import drift, files
 from . import mapping, report, suite
 
 TPCH_TABLES = ["region", "nation", "supplier", "customer", "part", "orders", "lineitem"]
@@ -674,6 +674,45 @@ def file_sources_single(spark, sf_dir):
                                           f"FROM {files.view_name(v)} GROUP BY ALL") for v, group in by_view.items()])
 
 
+def _drifting_orders(spark, sf_dir, base) -> None:
+    """``orders`` by status as three kinds of CSV: whole prices; prices and a status, "n/a" for some;
+    dates with semicolons, "soon" for some."""
+    o = table(spark, sf_dir, "orders")
+    price = F.col("o_totalprice").cast("string")
+    parts = {
+        "F": (",", o.select("o_orderstatus", "o_orderkey", "o_custkey", F.round("o_totalprice").cast("bigint").alias("o_totalprice"))),
+        "O": (",", o.select("o_orderstatus", "o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 97 == 0, "n/a").otherwise(price).alias("o_totalprice"),
+                            F.col("o_orderstatus").alias("status"))),
+        "P": (";", o.select("o_orderstatus", "o_orderkey", F.when(F.col("o_orderkey") % 89 == 0, "soon").otherwise(F.col("o_orderdate").cast("date").cast("string"))
+                            .alias("o_orderdate"), price.alias("o_totalprice"))),
+    }
+    for status, (sep, df) in parts.items():
+        df.where(F.col("o_orderstatus") == status).drop("o_orderstatus").write.options(header=True, sep=sep).csv(f"{base}/{status}")
+
+
+def typed_folder(spark, sf_dir):
+    base = run_folder(spark, "drift")
+    _drifting_orders(spark, sf_dir, base)
+    got = drift.read_folder(spark, base)
+    part = F.element_at(F.split("source_file", "/"), -2).alias("part")
+    columns = ["o_orderkey", "o_custkey", "o_totalprice", "status", "o_orderdate"]
+    rejected = [F.get_json_object("record", "$.o_orderkey").cast("bigint").alias("o_orderkey")]
+    rejected += [F.lit(None).cast(got.types[c]).alias(c) for c in columns[1:]]
+    return got.rows.select(part, *columns, F.lit(None).cast("string").alias("reason")).unionByName(got.rejects.select(part, *rejected, "reason"))
+
+
+def idempotent_append(spark, sf_dir):
+    """The batch results as one run stored twice, its failures as another, and a third run that breaks
+    before its commit: read back, each committed run is there once."""
+    path = run_folder(spark, "runs")
+    results = batch_results(spark, sf_dir)
+    report.write_run(results, path, "all batches")
+    report.write_run(results, path, "all batches")
+    report.write_run(results.where("NOT passed"), path, "failed/only")
+    report.write_run(results, path, "broken", commit=False)
+    return report.read_runs(spark, path)
+
+
 # ---------------------------------------------------------------- mapping documents
 
 # Header cells of the documents below.

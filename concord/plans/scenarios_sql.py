@@ -756,6 +756,21 @@ UNION ALL SELECT * FROM (VALUES
   ('R4 unknown fact_orders.period_key', 'manual', false, NULL::BOOLEAN, NULL::BIGINT),
   ('R5 unknown fact_orders.priority', 'manual', false, NULL, NULL), ('R6 fk fact_orders.order_date', 'manual', false, NULL, NULL)) v"""
 
+# ---------------------------------------------------------------- drifting files, runs stored once
+
+TYPED_FOLDER = """
+SELECT o_orderstatus AS part, o_orderkey,
+  CASE WHEN reason IS NULL AND o_orderstatus <> 'P' THEN o_custkey END AS o_custkey,
+  CASE WHEN reason IS NULL THEN CASE WHEN o_orderstatus = 'F' THEN round(o_totalprice) ELSE o_totalprice END END AS o_totalprice,
+  CASE WHEN reason IS NULL AND o_orderstatus = 'O' THEN o_orderstatus END AS status,
+  CASE WHEN reason IS NULL AND o_orderstatus = 'P' THEN CAST(o_orderdate AS DATE) END AS o_orderdate, reason
+FROM (SELECT *, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 97 = 0 THEN 'o_totalprice: not double: n/a'
+                     WHEN o_orderstatus = 'P' AND o_orderkey % 89 = 0 THEN 'o_orderdate: not date: soon' END AS reason FROM orders)
+WHERE o_orderstatus IN ('F', 'O', 'P')"""
+IDEMPOTENT_APPEND = f"""
+WITH r AS ({BATCH_RESULTS})
+SELECT *, 'all batches' AS run FROM r UNION ALL SELECT *, 'failed/only' FROM r WHERE NOT passed"""
+
 # ---------------------------------------------------------------- as-of, tolerance, alignment
 
 CUSTOMER_HISTORY_FAULTY = f"""
@@ -939,6 +954,8 @@ ORACLE_SQL = {
     "set_diff_sample": SET_DIFF_SAMPLE,
     "mapping_suite": MAPPING_SUITE,
     "file_sources": FILE_SOURCES,
+    "typed_folder": TYPED_FOLDER,
+    "idempotent_append": IDEMPOTENT_APPEND,
     "run_report": RUN_REPORT,
     "schema_columns": SCHEMA_COLUMNS,
     "fused_suite": FUSED_SUITE,
