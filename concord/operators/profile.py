@@ -137,6 +137,97 @@ def approx_column_profile(name: str, df: DataFrame, rsd: float = 0.02) -> DataFr
     return wide.select(F.lit(name).alias("table_name"), F.col("__n").alias("n_rows"), F.inline(rows))
 
 
+# ---------------------------------------------------------------- profiles that are kept
+
+LOG_K = 12
+#: Slack of a sketch's count: five standard errors (1.04 / sqrt(2 ** LOG_K)) and small counts' rounding.
+SKETCH_SLACK = 5 * 1.04 / 64
+
+
+def batch_sketches(name: str, df: DataFrame, batch: str) -> DataFrame:
+    """PRF-2 state: ``batch, table_name, column_name, n_rows, n_nulls, sketch``, one row per load
+    batch and column, from one aggregation with map-side combining.
+
+    The sketches (HyperLogLog, ``2 ** LOG_K`` registers) of batches add up to that of
+    all their rows, so these rows can be stored as batches arrive; a profile reads
+    them, not the data.  Numbers and times are sketched as their text."""
+    cols = [c for c in df.columns if c != batch]
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(cols):
+        aggs += [F.count_if(F.col(f"`{c}`").isNull()).alias(f"z{i}"), F.hll_sketch_agg(text(c), LOG_K).alias(f"s{i}")]
+    each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"z{i}").alias("n_nulls"), F.col(f"s{i}").alias("sketch")) for i, c in enumerate(cols)])
+    return (df.groupBy(F.col(f"`{batch}`").alias("batch")).agg(*aggs)
+            .select("batch", F.lit(name).alias("table_name"), F.col("n").alias("n_rows"), F.inline(each))
+            .select("batch", "table_name", "column_name", "n_rows", "n_nulls", "sketch"))
+
+
+def merged_profile(sketches: DataFrame) -> DataFrame:
+    """``table_name, column_name, n_rows, n_nulls, approx_distinct`` of all batches, from their sketches."""
+    return sketches.groupBy("table_name", "column_name").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_nulls").alias("n_nulls"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("approx_distinct"))
+
+
+def key_profile(tables: dict[str, DataFrame], sketches: DataFrame) -> DataFrame:
+    """``merged_profile`` with ``is_key_candidate``, exact: only columns without NULLs whose sketch
+    leaves it possible that they are unique are counted on their values; the
+    sketches (a row a batch and column) rule the others out."""
+    merged = merged_profile(sketches)
+    rows = merged.collect()  # a row a column
+    wanted: dict[str, list[str]] = {}
+    for r in rows:
+        if not r["n_nulls"] and r["n_rows"] and r["approx_distinct"] * (1 + SKETCH_SLACK) + 2 >= r["n_rows"]:
+            wanted.setdefault(r["table_name"], []).append(r["column_name"])
+    keys = {(r["table_name"], r["column_name"]) for r in _profile_subset(tables, wanted) if r["is_key_candidate"]}
+    return sketches.sparkSession.createDataFrame([(*r, (r["table_name"], r["column_name"]) in keys) for r in rows],
+                                                 T.StructType([*merged.schema.fields, T.StructField("is_key_candidate", T.BooleanType())]))
+
+
+# ---------------------------------------------------------------- PRF-1 from file statistics
+
+def footer_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """``column_name, n_rows, n_values, min_value, max_value`` (as text) of a parquet table, from
+    the files' footers where they hold it: Spark's aggregate push-down answers
+    count, min and max of numbers, dates and booleans without reading a column.
+    Minimum and maximum of other types are NULL (footers cut texts short); a column of
+    a nested type is left out.  Where a file lacks statistics Spark reads the column.
+
+    The push-down needs the other parquet reader, so this runs in a session of its
+    own beside the caller's."""
+    own = footer_session(spark)
+    df = own.read.parquet(path)
+    rows = footer_aggregate(df).first()
+    names = _footer_columns(df)
+    out = [(c, rows["n"], rows[f"v{i}"], rows[f"lo{i}"] if whole else None, rows[f"hi{i}"] if whole else None) for i, (c, whole) in enumerate(names)]
+    text = lambda v: None if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+    return spark.createDataFrame([(c, n, v, text(lo), text(hi)) for c, n, v, lo, hi in out],
+                                 "column_name string, n_rows bigint, n_values bigint, min_value string, max_value string")
+
+
+def footer_session(spark: SparkSession) -> SparkSession:
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own
+
+
+def _footer_columns(df: DataFrame) -> list[tuple[str, bool]]:
+    """(column, whether footers hold its exact minimum and maximum)."""
+    whole = (*_INTEGRAL, T.FloatType, T.DoubleType, T.BooleanType, T.DateType)
+    return [(f.name, isinstance(f.dataType, whole)) for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+
+
+def footer_aggregate(df: DataFrame) -> DataFrame:
+    """One row: n, and per column v (values), lo and hi."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, (c, whole) in enumerate(_footer_columns(df)):
+        aggs.append(F.count(F.col(f"`{c}`")).alias(f"v{i}"))
+        if whole:
+            aggs += [F.min(F.col(f"`{c}`")).alias(f"lo{i}"), F.max(F.col(f"`{c}`")).alias(f"hi{i}")]
+    return df.agg(*aggs)
+
+
 def _stem(column: str) -> str:
     """Column name without a short table prefix: ``c_custkey`` -> ``custkey``."""
     m = re.match(r"^[A-Za-z]{1,3}_(.+)$", column)

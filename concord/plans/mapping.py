@@ -227,6 +227,9 @@ def rule_to_sql(rule: str | None, source_column: str, target_type: str | None =
 
 # ---------------------------------------------------------------- MAP-5 checks
 
+CIRCLE = ": its rule and those it uses wait for one another"
+
+
 def _columns_of(tables: Mapping[str, DataFrame]) -> dict[str, set[str]]:
     return {t: {c.lower() for c in df.columns} for t, df in tables.items()}
 
@@ -290,6 +293,35 @@ def _to_target(expr: str, target_type: str | None) -> str:
     return f"TRY_CAST({expr} AS {kind})" if kind else expr
 
 
+def _dependencies(rows: list[dict], tables: Mapping[str, DataFrame]) -> dict[int, set[int]]:
+    """Of each row the rows whose target column its rule names: columns of the same target
+    table, but for its own and those that the source table has itself."""
+    made: dict[str, dict[str, int]] = {}
+    for i, r in enumerate(rows):
+        made.setdefault(r["target_table"], {}).setdefault(r["target_column"].lower(), i)
+    cols = _columns_of(tables)
+    out = {}
+    for i, r in enumerate(rows):
+        words = {w.lower() for w in re.findall(r"[A-Za-z_]\w*", r["transformation"] or "")}
+        words -= cols.get(r["source_table"], set()) | {r["target_column"].lower()}
+        out[i] = {made[r["target_table"]][w] for w in words if w in made[r["target_table"]]}
+    return out
+
+
+def in_rule_order(rows: list[dict], tables: Mapping[str, DataFrame]) -> tuple[list[int], set[int]]:
+    """(row numbers, each after the rows whose columns its rule uses; rows that wait for
+    one another in a circle, or for such rows).  Rows that could go next keep the document's order."""
+    waits = _dependencies(rows, tables)
+    order: list[int] = []
+    done: set[int] = set()
+    while True:
+        free = next((i for i in waits if i not in done and waits[i] <= done), None)
+        if free is None:
+            return order, waits.keys() - done
+        order.append(free)
+        done.add(free)
+
+
 def to_checks(field_rows: list[Mapping], tables: Mapping[str, DataFrame],
               identity: Mapping[str, str] | None = None, keys: Mapping[str, str] | None = None,
               foreign_keys: Mapping[tuple[str, str], tuple[str, str]] | None = None) -> list[dict]:
@@ -309,6 +341,8 @@ def to_checks(field_rows: list[Mapping], tables: Mapping[str, DataFrame],
     * ``duplicate_check`` for the identity column (other Key=Y columns are
       foreign keys and may repeat).
 
+    A rule may use columns that other rows compute, wherever they stand in the
+    document; rules that wait for one another in a circle are ``manual``.
     Nothing of a document is left out: a rule or a document that is not
     understood gives an inactive case with status ``manual``.  Statements are
     analysed against the session's views; one that fails is ``invalid`` with
@@ -325,7 +359,10 @@ def to_checks(field_rows: list[Mapping], tables: Mapping[str, DataFrame],
     for t, c in (identity or {}).items():
         ident[t] = next(r for r in rows if r["target_table"] == t and r["target_column"] == c)
     computed: dict[str, dict[str, str]] = {}
-    for r in rows:
+    order, circular = in_rule_order(rows, tables)
+    for i in circular:
+        rows[i]["__expr"], rows[i]["__circle"] = None, True
+    for r in (rows[i] for i in order):
         e = rule_to_sql(r["transformation"], r["source_column"], r.get("target_type"),
                         computed.get(r["target_table"]))
         r["__expr"] = e
@@ -350,7 +387,8 @@ def to_checks(field_rows: list[Mapping], tables: Mapping[str, DataFrame],
         st, tt, tc = r["source_table"], r["target_table"], r["target_column"]
         if (st, tt) not in pairs:
             pairs.append((st, tt))
-        lookup = _lookup_join(r, tables) if r["__expr"] is None else None
+        circle = r.get("__circle", False)
+        lookup = _lookup_join(r, tables) if r["__expr"] is None and not circle else None
         src_from, val = (lookup if lookup else (st, r["__expr"] or r["source_column"]))
         val = _to_target(val, r.get("target_type"))
         status = "valid" if (r["__expr"] is not None or lookup) else "manual"
@@ -366,12 +404,12 @@ def to_checks(field_rows: list[Mapping], tables: Mapping[str, DataFrame],
             add(f"{mid} value_match {tt}.{tc}", "value_match",
                 f"SELECT {key_expr} AS key_col, {val} AS val FROM {src_from}",
                 f"SELECT {idr['target_column']} AS key_col, {tc} AS val FROM {tt}",
-                f"keyed comparison on {tt}.{idr['target_column']}{' via ' + alias if lookup else ''}", status)
+                f"keyed comparison on {tt}.{idr['target_column']}{' via ' + alias if lookup else ''}" + CIRCLE * circle, status)
         else:
             add(f"{mid} value_match {tt}.{tc}", "value_match",
                 f"SELECT DISTINCT {val} AS val FROM {src_from} WHERE {r['source_column']} IS NOT NULL"
                 if not lookup else f"SELECT DISTINCT {val} AS val FROM {src_from}",
-                f"SELECT DISTINCT {tc} AS val FROM {tt}", "value-set comparison", status)
+                f"SELECT DISTINCT {tc} AS val FROM {tt}", "value-set comparison" + CIRCLE * circle, status)
         rules = dq.rule_parts(r.get("dq_rule"))
         for kind, rule in rules:
             told = f" ({rule})" if len(rules) > 1 else ""

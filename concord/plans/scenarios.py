@@ -485,6 +485,28 @@ def bridge_discovery(spark, sf_dir):
     return profile.discover_related(tables(spark, sf_dir, TPCH_TABLES), ["orders", "part"])
 
 
+def _by_month(spark, sf_dir) -> dict[str, DataFrame]:
+    t = tables(spark, sf_dir, ["orders", "lineitem"])
+    return {"orders": t["orders"].withColumn("batch", F.date_format("o_orderdate", "yyyyMM")),
+            "lineitem": t["lineitem"].withColumn("batch", F.date_format("l_shipdate", "yyyyMM"))}
+
+
+def sketched_profile(spark, sf_dir):
+    """Monthly batches of orders and lineitem leave sketches; the profile merges them and counts
+    only possible keys on the data."""
+    loads = _by_month(spark, sf_dir)
+    path = run_folder(spark, "sketches")
+    for name, df in loads.items():
+        profile.batch_sketches(name, df, "batch").write.mode("append").parquet(path)
+    got = profile.key_profile({t: df.drop("batch") for t, df in loads.items()}, spark.read.parquet(path))
+    return got.drop("approx_distinct")
+
+
+def footer_statistics(spark, sf_dir):
+    return _stacked([profile.footer_statistics(spark, f"{sf_dir}/{t}.parquet").select(F.lit(t).alias("table_name"), "column_name", "n_rows", "n_values",
+                     F.col("min_value").cast("double").alias("min_value"), F.col("max_value").cast("double").alias("max_value")) for t in TPCH_TABLES])
+
+
 def composite_keys(spark, sf_dir):
     return keys.composite_keys(spark, tables(spark, sf_dir, TPCH_TABLES))
 

@@ -862,6 +862,15 @@ def _every_combination() -> str:
     return " UNION ALL ".join(parts)
 
 
+SKETCHED_PROFILE = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, "
+    f"count(*) > 0 AND count(DISTINCT {c}) = count(*) AS is_key_candidate FROM {t}" for t in ("orders", "lineitem") for c in _COLUMNS[t].split())
+_TEXTS = "name brand type segment status priority flag linestatus date".split()
+FOOTER_STATISTICS = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count({c}) AS n_values, "
+    + ("NULL::DOUBLE AS min_value, NULL::DOUBLE AS max_value" if c.endswith(tuple(_TEXTS)) else f"min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value")
+    + f" FROM {t}" for t, names in _COLUMNS.items() for c in names.split())
+
 COMPOSITE_KEYS = f"""
 WITH u AS MATERIALIZED ({_every_combination()}), k AS (SELECT * FROM u WHERE uniq)
 SELECT table_name, array_to_string(cols, ',') AS key_columns, key_size, n_rows FROM k
@@ -946,6 +955,8 @@ ORACLE_SQL = {
     "xf_bridge_join": XF_BRIDGE_JOIN,
     "profile_columns": PROFILE_COLUMNS,
     "fk_discovery": FK_DISCOVERY,
+    "sketched_profile": SKETCHED_PROFILE,
+    "footer_statistics": FOOTER_STATISTICS,
     "composite_keys": COMPOSITE_KEYS,
     "inclusion_pairs": INCLUSION_PAIRS,
     "bridge_discovery": BRIDGE_DISCOVERY,
