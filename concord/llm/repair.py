@@ -23,7 +23,8 @@ writes the same file.  One shard is in memory at a time.  The manifest (one row
 shard) is a Parquet table beside the files; only it is read to place shards.
 
 Edge cases: a null or empty text is the end id alone; null ids sort first;
-repeated rows are written each, equal ids ordered by text; an empty table
+repeated rows are written each, equal ids ordered by a hash of their text, then the
+text; an id at or above the first nonterminal is refused (ValueError); an empty table
 writes no shard and reads back empty; extra columns never clash.
 """
 
@@ -65,6 +66,8 @@ def _frequent(key: np.ndarray, limit: int) -> np.ndarray:
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int = FIRST_NONTERMINAL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules (n, 2), symbols, documents' ends in symbols) for ids with the documents' ends in ids."""
+    if len(ids) and int(ids.max()) >= base:
+        raise ValueError(f"id {int(ids.max())} would be taken for a rule: ids must be below {base}")
     wide = base + 4096 > 1 << 16  # symbols of 32 bits, pairs of 64
     pair_type, shift, most = (np.uint64, 32, (1 << 32) - base) if wide else (np.uint32, 16, (1 << 16) - base)
     sym = ids.astype(pair_type)
@@ -234,7 +237,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, text:
             yield flush()
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ranged = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The text's hash parts the rows of one id (or of none), so that they too are spread.
+    ranged = (d.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+              .select("doc_id", "text"))
     ranged.mapInArrow(run, "file string, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
 
 

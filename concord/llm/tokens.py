@@ -11,6 +11,7 @@ the two disagree, the block's texts are encoded whole instead.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import pyarrow as pa
 from concord.llm import textarrays as ta
 
 #: Distinct words that a worker remembers; beyond it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -36,12 +37,25 @@ def units(data: np.ndarray, off: np.ndarray) -> ta.Words:
     return ta.find_words(data, off, fold=None if special else ta.LOWER, cuts=cuts)
 
 
+#: Words of the small letters a-z, ß-ö, ø-ÿ, which no normaliser changes.
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+#: How byte-level vocabularies spell bytes: printable ones as themselves, the others from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_PROBES = ["a", "the", "étoile", "straße", "zq", "ñandú", "extraordinary", "ÿ", "qxqxqx", "über"]
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Only if this vocabulary does treat such words like that.
+        self.direct = False
+        want = self._ids(_PROBES)
+        self.direct = True
+        self.direct = self._ids(_PROBES) == want
         self._forget()
 
     def _forget(self) -> None:
@@ -51,8 +65,24 @@ class WordEncoder:
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        """Words of small Latin letters go straight to the merges, spelt in the vocabulary's
+        byte letters; the library's normalising and splitting would leave them as they are."""
+        if not self.direct:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        tokenize, out, rest = self.tokenizer.model.tokenize, [], []
+        for i, w in enumerate(words):
+            if _LATIN(w):
+                out.append([x.id for x in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS))])
+            else:
+                out.append(None)
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
     def _learn(self, key: np.ndarray, check: np.ndarray, words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        got = self._ids(words)
         size = np.array([len(x) for x in got], np.int64)
         start = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.uint32)])

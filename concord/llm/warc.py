@@ -24,7 +24,8 @@ no shuffle, memory of one batch.
 Edge cases: a null, empty or blank payload gives an empty text and no links; a
 response without HTTP header block is taken as payload alone; a missing id is
 derived from target, date and payload; repeated responses are derived each and share
-ids; other record types give nothing; empty tables give empty results; extra columns never clash.
+ids; markup that never ends hides the rest (comments, hidden elements) or is text (tags), and
+takes time in proportion to its length; damaged files give their whole records; other record types give nothing; empty tables give empty results; extra columns never clash.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ import base64
 import gzip
 import hashlib
 import html
-import io
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -48,15 +49,79 @@ FILE_BYTES = 64 << 20
 VERSION = b"WARC/1.1"
 DERIVED = uuid.uuid5(uuid.NAMESPACE_URL, "urn:concord:warc:derived")
 
-_BLOCKS = ("address|article|aside|blockquote|body|br|caption|center|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|"
-           "header|hr|html|legend|li|main|menu|nav|ol|option|p|pre|section|summary|table|tbody|td|tfoot|th|thead|title|tr|ul")
-#: What is not text: comments, declarations, and elements whose contents are not shown.
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|template|noscript|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
-_BLOCK_TAG = re.compile(rf"</?(?:{_BLOCKS})\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements that end a line, and elements whose contents are not shown.
+_BLOCKS = frozenset(
+    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+_HIDDEN = {x: re.compile(rf"</{x}\s*>", re.I) for x in "script style head template noscript iframe svg".split()}
+_NAME = re.compile(r"/?([a-zA-Z]\w*)")
+_TITLE = re.compile(r"<title\b", re.I)
+_END_TITLE = re.compile(r"</title\s*>", re.I)
+_HTML = re.compile(r"<html\b", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_HREF = re.compile(r"[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+
+
+def scan(page: str) -> tuple[str, list[str]]:
+    """(shown text with block ends as line ends, character references unresolved; link targets).
+
+    One pass from ``<`` to ``>``, in time in proportion to the page: a comment or
+    hidden element that never ends hides the rest, and once no ``>`` follows, every
+    other ``<`` is text."""
+    out, links, at, n = [], [], 0, len(page)
+    while True:
+        lt = page.find("<", at)
+        if lt < 0:
+            out.append(page[at:])
+            return "".join(out), links
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            out += [page[at:lt], " "]
+            at = n if end < 0 else end + 3
+            continue
+        name = _NAME.match(page, lt + 1)
+        if not name and page[lt + 1: lt + 2] not in ("!", "?"):
+            out.append(page[at: lt + 1])
+            at = lt + 1
+            continue
+        gt = page.find(">", lt)
+        if gt < 0:
+            comment = page.find("<!--", lt)  # it hides the rest, as no --> can follow
+            out += [page[at:]] if comment < 0 else [page[at:comment], " "]
+            return "".join(out), links
+        out.append(page[at:lt])
+        at = gt + 1
+        kind = name[1].lower() if name else ""
+        closing = page[lt + 1] == "/"
+        if not name:
+            out.append(" ")
+        elif kind in _HIDDEN and not closing:
+            end = _HIDDEN[kind].search(page, at)
+            out.append(" ")
+            at = end.end() if end else n
+        elif kind in _BLOCKS:
+            out.append("\n")
+        elif kind == "a" and not closing and (found := _HREF.match(page, lt + 2)):
+            links.append(found[1] or found[2] or found[3] or "")
+
+
+def title_of(page: str) -> str:
+    """The contents of the first title element that ends."""
+    begin = _TITLE.search(page)
+    gt = page.find(">", begin.end()) if begin else -1
+    end = _END_TITLE.search(page, gt) if gt >= 0 else None
+    return page[gt + 1: end.start()] if end else ""
+
+
+def language_of(page: str) -> str:
+    """The first ``lang`` of an html element."""
+    at = 0
+    while (begin := _HTML.search(page, at)):
+        gt = page.find(">", begin.end())
+        at = len(page) if gt < 0 else gt
+        if found := _LANG.search(page, begin.end(), at):
+            return found[1]
+    return ""
 
 
 def digest(data: bytes) -> str:
@@ -65,8 +130,11 @@ def digest(data: bytes) -> str:
 
 def page_text(page: str) -> str:
     """The shown text, one line for each block, single spaces."""
-    bare = html.unescape(_TAG.sub("", _BLOCK_TAG.sub("\n", _HIDDEN.sub(" ", page))))
-    return "\n".join(x for x in (" ".join(line.split()) for line in bare.split("\n")) if x)
+    return _shown(scan(page)[0])
+
+
+def _shown(bare: str) -> str:
+    return "\n".join(x for x in (" ".join(line.split()) for line in html.unescape(bare).split("\n")) if x)
 
 
 def _one_line(text: str) -> str:
@@ -81,14 +149,14 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     if not gap:
         head, _, payload = block.partition(b"\n\n")
     lines = head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
-    headers: list[tuple[str, str]] = []
+    headers: list[tuple[str, list[str]]] = []
     for line in lines[1:]:
         if line[:1] in " \t" and headers:  # a folded header goes on
-            headers[-1] = (headers[-1][0], f"{headers[-1][1]} {line.strip()}")
+            headers[-1][1].append(line.strip())
         elif ":" in line:
             name, _, value = line.partition(":")
-            headers.append((name.strip(), value.strip()))
-    return lines[0], headers, payload
+            headers.append((name.strip(), [value.strip()]))
+    return lines[0], [(name, " ".join(parts)) for name, parts in headers], payload
 
 
 def _decoded(payload: bytes, http: list[tuple[str, str]]) -> str:
@@ -111,15 +179,15 @@ def derive(record: dict) -> list[dict]:
     source_id = record["id"] or f"<urn:uuid:{uuid.uuid5(DERIVED, f'{target} {date} {digest(payload)}')}>"
     ids = {kind: f"<urn:uuid:{uuid.uuid5(DERIVED, f'{source_id} {kind}')}>" for kind in ("metadata", "conversion")}
     page = _decoded(payload, http)
-    text = page_text(page).encode()
+    bare, links = scan(page)
+    text = _shown(bare).encode()
     claimed = source.get("warc-payload-digest")
-    title, lang = _TITLE.search(page), _LANG.search(page)
     fields = [("status", status), *[(f"http-{k}", v) for k, v in http], ("source-block-digest", source.get("warc-block-digest") or digest(block)),
               ("source-payload-digest", claimed or digest(payload))]
     if claimed and claimed.startswith("sha256:"):
         fields.append(("payload-digest-valid", str(claimed == digest(payload)).lower()))
-    fields += [("title", html.unescape(title[1]) if title else ""), ("language", lang[1] if lang else ""), ("conversion", ids["conversion"])]
-    fields += [("outlink", html.unescape(a or b or c)) for a, b, c in _LINK.findall(_HIDDEN.sub(" ", page))]
+    fields += [("title", html.unescape(title_of(page))), ("language", language_of(page)), ("conversion", ids["conversion"])]
+    fields += [("outlink", html.unescape(link)) for link in links]
     meta = "".join(f"{k}: {_one_line(v)}\r\n" for k, v in fields if v).encode()
     out = []
     for kind, content, body in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text)):
@@ -172,16 +240,40 @@ def to_bytes(record: dict) -> bytes:
     return VERSION + b"\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _unzipped(data: bytes) -> bytes:
+    """The contents of gzip members, up to the first that is cut short or damaged."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
 def from_bytes(data: bytes) -> list[dict]:
-    """The records of a file's bytes, plain or of gzip members."""
+    """The records of a file's bytes, plain or of gzip members.  A record without a
+    readable length is left out, and so is one that the file's end cuts short; those
+    before and after it are read."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
+        data = _unzipped(data)
     out, at = [], 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
-        head_end = data.index(b"\r\n\r\n", at)
+        head_end = data.find(b"\r\n\r\n", at)
+        if head_end < 0:
+            break
         headers = [tuple(x.strip() for x in line.split(":", 1)) for line in data[at:head_end].decode("utf-8", "replace").split("\r\n")[1:] if ":" in line]
         named = {k.lower(): v for k, v in headers}
-        begin, n = head_end + 4, int(named["content-length"])
+        begin, length = head_end + 4, named.get("content-length", "")
+        if not re.fullmatch("[0-9]{1,18}", length):
+            at += 1
+            continue
+        n = int(length)
+        if begin + n > len(data):
+            at += 1
+            continue
         own = ("warc-type", "warc-record-id", "warc-target-uri", "warc-date", "content-length")
         out.append({"type": named.get("warc-type"), "id": named.get("warc-record-id"), "target": named.get("warc-target-uri"), "date": named.get("warc-date"),
                     "headers": [{"name": k, "value": v} for k, v in headers if k.lower() not in own], "block": data[begin: begin + n]})

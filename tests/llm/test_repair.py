@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -39,6 +41,38 @@ def test_frequent_pairs_become_rules():
     assert len(s.rules) and len(s.sym) < len(ids) / 4 and int(s.size[s.sym].sum()) == len(ids)
 
 
+def test_ids_that_would_pass_for_rules_are_refused():
+    for base in (5, 49_408):
+        with pytest.raises(ValueError):
+            repair.to_bytes([1], np.array([1, base], np.uint32), np.array([2]), base)
+
+
+def test_words_that_skip_the_splitting_get_the_same_ids():
+    e = tokens.WordEncoder(PATH)
+    assert e.direct
+    r = np.random.default_rng(3)
+    letters = [*"abcdefghijklmnopqrstuvwxyz", *map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])]
+    words = ["".join(r.choice(letters, r.integers(1, 14))) for _ in range(3000)] + letters + ["It's", "don't", "A", "É", "ª", "x1", "日本", "ſ", "e\u0301", "ŉ", "<|endoftext|>"]
+    assert e._ids(words) == [x.ids for x in e.tokenizer.encode_batch(words, add_special_tokens=False)]
+    texts = [r2["text"] for r2 in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
+    got = [i for _, _, d, o in ta.blocks(pa.array(texts)) for i in e.encode(d, o)[0].tolist()]
+    assert got == [i for x in ids_of(texts) for i in x]
+
+
+def test_rows_of_one_id_are_spread(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    docs = spark.range(4000).selectExpr("if(id % 3 = 0, null, 7) AS doc_id", "concat('word ', id) AS text").repartition(6)
+    folder = run_folder(spark, "repair-spread")
+    repair.write(docs, folder, PATH, shard_tokens=4000)
+    got = repair.read(spark, folder)
+    assert got.count() == 4000 and got.select("shard").distinct().count() >= 4
+    starts = sorted((r["start"], r["n_tokens"]) for r in got.collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:])) and starts[0][0] == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    nulls = [r["start"] for r in got.where("doc_id IS NULL").collect()]
+    assert max(nulls) < min(r["start"] for r in got.where("doc_id = 7").collect())
+
+
 def test_rounds_go_on_until_no_pair_is_frequent():
     ids = np.zeros(1 << 22, np.uint32)  # halves in each round
     s = repair.Shard.open(repair.to_bytes([0], ids, np.array([len(ids)])))

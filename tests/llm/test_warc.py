@@ -1,5 +1,11 @@
 import base64
+import gzip
 import hashlib
+import random
+import re
+import time
+
+import pytest
 
 from concord.llm import warc
 from concord.llm.common import run_folder
@@ -15,6 +21,65 @@ def test_text_of_a_page():
     assert warc.page_text("<p>open<script>never closed") == "open"
 
 
+def plain_text_and_links(page):
+    """Character by character, by the rules of the docstrings."""
+    text, links, i, low = [], [], 0, page.lower()
+    while i < len(page):
+        if low.startswith("<!--", i):
+            j = low.find("-->", i + 4)
+            text.append(" ")
+            i = len(page) if j < 0 else j + 3
+        elif page[i] == "<" and i + 1 < len(page) and (page[i + 1] in "!?" or re.match("/?[a-z]", low[i + 1:i + 3])) and ">" in page[i:]:
+            j = page.index(">", i)
+            name = (re.match(r"/?([a-z]\w*)", low[i + 1:j]) or [None, ""])[1]
+            i2 = j + 1
+            if not name:
+                text.append(" ")
+            elif name in warc._HIDDEN and page[i + 1] != "/":
+                m = re.search(rf"</{name}\s*>", low[i2:])
+                text.append(" ")
+                i2 = i2 + m.end() if m else len(page)
+            elif name in warc._BLOCKS:
+                text.append("\n")
+            elif name == "a" and page[i + 1] != "/" and (m := re.match(r"[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", page[i + 2:], re.I)):
+                links.append(m[1] or m[2] or m[3] or "")
+            i = i2
+        else:
+            text.append(page[i])
+            i += 1
+    return "".join(text), links
+
+
+def test_the_scanner_equals_a_plain_reading():
+    r = random.Random(7)
+    bits = ["<p>", "</p>", "<a href=x>", "<A HREF='y z'>", "</a>", "<!-- ", "-->", "<script>", "</script >", "<style x", "<", ">", "text ", "&amp;", "<?php ", "<b>", "a<b",
+            "<title>t", "</title>", "<head>", "</head>", "\n", "<!DOCTYPE html>", "<pre-x>", "</", "<svg/>", 'href="', "<a\nhref=\"q>r\">"]
+    for _ in range(4000):
+        page = "".join(r.choice(bits) for _ in range(r.randint(0, 12)))
+        assert warc.scan(page) == plain_text_and_links(page), page
+
+
+@pytest.mark.parametrize("piece", ["<a", "<title>", "<script", "<script>", "<!--", "<html ", "<html lang", "</", "<a href=\"", "<a href='x>", "<p ", "&", "</script ", "<title>x</title "])
+def test_broken_markup_takes_time_in_proportion(piece):
+    page = piece * (10_000_000 // len(piece) // (1 if piece == "<a" else 4))
+    t = time.process_time()
+    warc.derive(record(page.encode()))
+    assert time.process_time() - t < 8
+
+
+def test_damaged_files_give_their_whole_records():
+    one = lambda i: warc.to_bytes(record(b"block %d" % i, id=f"<urn:{i}>"))
+    ids = lambda data: [r["id"] for r in warc.from_bytes(data)]
+    assert ids(one(1) + one(2)[:-12]) == ["<urn:1>"]  # cut within its block
+    assert ids(one(1) + one(2)[:20]) == ["<urn:1>"]  # cut within its header
+    assert ids(one(1).replace(b"Content-Length: 7", b"Content-Length: x") + one(2)) == ["<urn:2>"]
+    assert ids(one(1).replace(b"Content-Length: 7", b"X: 7") + one(2)) == ["<urn:2>"]
+    zipped = [gzip.compress(one(i)) for i in range(3)]
+    assert ids(b"".join(zipped)) == ["<urn:0>", "<urn:1>", "<urn:2>"]
+    assert ids(b"".join(zipped)[:-30]) == ["<urn:0>", "<urn:1>"] and ids(zipped[0] + b"junk") == ["<urn:0>"]
+    assert ids(b"") == ids(b"no records") == []
+
+
 def record(block, **more):
     return {"type": "response", "id": "<urn:uuid:1>", "target": "http://a/", "date": "2024-01-01T00:00:00Z", "headers": [], "block": block, **more}
 
