@@ -67,6 +67,8 @@ def formatted(turns: list[tuple[str, str]]) -> str:
     return "".join(f"{START_MARK}{escape_role(r)}\n{escape(t)}{END_MARK}\n" for r, t in turns)
 
 
+KEY_TURNS = 16
+
 _tokenizers: dict = {}
 
 
@@ -162,8 +164,11 @@ def packs(distinct_paths: DataFrame, vocabulary: str, pack_tokens: int = PACK_TO
         if pack.leaves:
             yield _rows([pack.row()])
 
-    ordered = distinct_paths.select("path", "turns").repartitionByRange("turns").sortWithinPartitions("turns")
-    return ordered.mapInArrow(run, PACKS)
+    # Shared turns come together by the turns' hashes; the range is cut by the first KEY_TURNS of
+    # them, so that sampled keys stay small however long conversations are.
+    keyed = distinct_paths.select("path", "turns", F.transform("turns", lambda x: F.xxhash64(x["role"], x["text"])).alias("h"))
+    keyed = keyed.withColumn("k", F.slice("h", 1, KEY_TURNS))
+    return keyed.repartitionByRange("k").sortWithinPartitions("h", "path").select("path", "turns").mapInArrow(run, PACKS)
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("stop", pa.int32())])

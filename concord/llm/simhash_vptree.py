@@ -20,6 +20,11 @@ same way in numpy, compares at leaves in blocks on all 64 bits, and returns a
 spanning forest of its links, never all pairs.  Whatever the sample missed only
 makes shards uneven; the result is exact.
 
+Fingerprints that share a half cannot be parted by any vantage point on it.  Of two
+that link, one 16-bit part of the other half differs in at most 1 bit: a dense
+shard is dealt on by these parts (a fingerprint lives in two buckets and asks in
+those within 1 bit), and a dense leaf inside a shard is searched by the same parts.
+
 The forest's components are found by star contraction (``components``), and a
 grouped minimum per component gives ``component_id``.  Copies meet as one
 distinct fingerprint before the search, so a large group of copies costs one
@@ -51,10 +56,14 @@ SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
 VIEWS = 2
-SAMPLE = 200_000  # fingerprints that shape the trees
+SAMPLE = 200_000  # fingerprints that shape the trees, or one in SAMPLED if that is more, up to MOST_SAMPLED
+SAMPLED = 500
+MOST_SAMPLED = 2_000_000
 SHARD = 4000  # fingerprints that a shard should hold
 LEAF = 256  # compared with each other without further splitting
 MIN_SAMPLED = 16  # sampled fingerprints of a shard, at least
+DENSE = 2048  # more than so many that nothing parts are sought by parts
+PAIRS = 1 << 20  # compared at once there
 BLOCK = 1 << 16  # shingles whose bits are counted at once
 
 
@@ -95,6 +104,7 @@ class Tree:
     near: list[int]
     far: list[int]
     shards: int
+    dense: list[int]  # shards that nothing parts
 
 
 def _distances(x: np.ndarray, point: int) -> np.ndarray:
@@ -116,11 +126,13 @@ def _best_split(x: np.ndarray, radius: int, rng: np.random.Generator) -> tuple[i
 
 
 def build(sample: np.ndarray, radius: int, capacity: int, seed: int = SEED) -> Tree:
-    rng, tree = np.random.default_rng(seed), Tree([], [], [], [], 0)
+    rng, tree = np.random.default_rng(seed), Tree([], [], [], [], 0, [])
 
     def add(x: np.ndarray) -> int:
         split = _best_split(x, radius, rng) if len(x) > capacity else None
         if split is None:
+            if len(x) > capacity:
+                tree.dense.append(tree.shards)
             tree.shards += 1
             return -tree.shards
         node = len(tree.point)
@@ -179,6 +191,50 @@ def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, a, b)
 
 
+FLIPS = np.array([0, *(1 << b for b in range(16))], np.uint32)
+
+
+def parts_of(fp: np.ndarray, view: int) -> list[np.ndarray]:
+    """The 16-bit parts of the half that the view does not look at."""
+    other = half(fp, 1 - view)
+    return [other & np.uint32(0xFFFF), other >> np.uint32(16)]
+
+
+def dense_buckets(fp: np.ndarray, home: np.ndarray, view: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into fp, bucket, whether it lives there): two buckets for each that is at home, and
+    for each all those within 1 bit."""
+    at, bucket, lives = [], [], []
+    every, own = np.arange(len(fp)), np.flatnonzero(home)
+    for p, part in enumerate(parts_of(fp, view)):
+        at.append(own)
+        bucket.append((p << 16) + part[own].astype(np.int64))
+        at.append(np.repeat(every, len(FLIPS)))
+        bucket.append((p << 16) + (part[:, None] ^ FLIPS).astype(np.int64).ravel())
+        lives += [np.ones(len(own), bool), np.zeros(len(fp) * len(FLIPS), bool)]
+    return np.concatenate(at), np.concatenate(bucket), np.concatenate(lives)
+
+
+def _meet_dense(parent: np.ndarray, every: np.ndarray, h: np.ndarray, q: np.ndarray, view: int, bits: int) -> None:
+    """Merges the links between h and q, which nothing parts, by the parts of their other half."""
+    for part in parts_of(every, view):
+        order = h[np.argsort(part[h], kind="stable")]
+        keys = part[order]
+        for flip in FLIPS:
+            want = part[q] ^ flip
+            lo, hi = np.searchsorted(keys, want), np.searchsorted(keys, want, "right")
+            n = hi - lo
+            before = np.append(0, np.cumsum(n))
+            cuts = [0]
+            while cuts[-1] < len(q):  # about so many pairs at once, whole queries
+                cuts.append(max(cuts[-1] + 1, int(np.searchsorted(before, before[cuts[-1]] + PAIRS, "right")) - 1))
+            for a, b in zip(cuts, cuts[1:]):
+                m = n[a:b]
+                which = np.repeat(np.arange(a, b), m)
+                i = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[a:b], m)
+                near = np.bitwise_count(every[q[which]] ^ every[order[i]]) <= bits
+                _merge(parent, q[which[near]], order[i[near]])
+
+
 def shard_forest(home: np.ndarray, asks: np.ndarray, view: int, radius: int, bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, smallest node of its part) that span all links between the
     shard's fingerprints ``home`` and the querying fingerprints ``asks``."""
@@ -195,6 +251,9 @@ def shard_forest(home: np.ndarray, asks: np.ndarray, view: int, radius: int, bit
             dh, dq = _distances(key[h], split[0]) - split[1], _distances(key[q], split[0]) - split[1]
             todo += [(h[dh <= 0], q[dq - radius <= 0]), (h[dh > 0], q[dq + radius > 0])]
             continue
+        if len(h) > DENSE:
+            _meet_dense(parent, every, h, q, view, bits)
+            continue
         for hb in range(0, len(h), 4096):
             hh = h[hb: hb + 4096]
             for lo in range(0, len(q), 256):
@@ -210,7 +269,8 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """Edges a, b that span all links between the distinct longs of column ``fp``."""
     spark, radius = fps.sparkSession, bits // VIEWS
     total = fps.count()
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    size = min(MOST_SAMPLED, max(SAMPLE, total // SAMPLED))
+    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp")).limit(size).collect()], np.int64).view(np.uint64)
     capacity = max(MIN_SAMPLED, SHARD * len(sample) // max(total, 1))
     trees = spark.sparkContext.broadcast([build(half(sample, v), radius, capacity) for v in range(VIEWS)])
 
@@ -219,16 +279,22 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for v, tree in enumerate(trees.value):
                 at, shard, home = route(tree, half(fp, v), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(shard * VIEWS + v, pa.int32()), pa.array(fp[at].view(np.int64)), pa.array(home)],
-                                                 names=["shard", "fp", "home"])
-
-    def search(key, rows: pd.DataFrame) -> pd.DataFrame:
+                bucket, dense = np.full(len(at), -1), np.isin(shard, tree.dense)
+                if dense.any():
+                    some = np.flatnonzero(dense)
+                    i, b, lives = dense_buckets(fp[at[some]], home[some], v)
+                    at, shard = np.append(at[~dense], at[some[i]]), np.append(shard[~dense], shard[some[i]])
+                    bucket, home = np.append(bucket[~dense], b), np.append(home[~dense], lives)
+                yield pa.RecordBatch.from_arrays([pa.array(shard * VIEWS + v, pa.int32()), pa.array(bucket, pa.int32()), pa.array(fp[at].view(np.int64)), pa.array(home)],
+                                                 names=["shard", "bucket", "fp", "home"])
+
+    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         fp, home = rows["fp"].to_numpy().view(np.uint64), rows["home"].to_numpy()
-        a, b = shard_forest(fp[home], fp, int(key[0]) % VIEWS, radius, bits)
+        a, b = shard_forest(fp[home], np.unique(fp), int(key[0]) % VIEWS, radius, bits)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    dealt = fps.mapInArrow(deal, "shard int, fp long, home boolean")
-    return dealt.groupBy("shard").applyInPandas(search, "a long, b long")
+    dealt = fps.mapInArrow(deal, "shard int, bucket int, fp long, home boolean")
+    return dealt.groupBy("shard", "bucket").applyInPandas(search, "a long, b long")
 
 
 def classes(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
@@ -262,6 +328,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
             .groupBy("part").agg(F.min(F.struct(F.col("r.id").isNull().alias("none"), F.col("r.id").alias("id"), "fp", F.col("r.rows").alias("rows"))).alias("k"))
             .select(F.col("k.id").alias("k_id"), F.col("k.fp").alias("k_fp"), F.col("k.rows").alias("k_rows")).checkpoint())
     keys = bounded_broadcast(best.select("k_id", "k_fp"))
+    if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")).where("n > 1 OR rows > 1").isEmpty():
+        # Every id is one row's: the texts need not be read for their fingerprints again.
+        return docs.join(keys, docs[doc_id].eqNullSafe(keys["k_id"]), "left_semi")
     kept = marked.join(keys, (marked[fp] == keys["k_fp"]) & marked[doc_id].eqNullSafe(keys["k_id"]), "left_semi")
     if not best.where("k_rows > 1").isEmpty():  # rows that share even the id
         kept = kept.dropDuplicates([fp])

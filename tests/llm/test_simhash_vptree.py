@@ -79,3 +79,47 @@ def test_components_of_chains_stars_and_loops(spark):
     got = dict(tuple(r) for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, **{j: 100 for j in range(100, 160)}, 200: 200, 201: 200}
     assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def dense_fps(seed, n):
+    """Fingerprints that share a half, in chains and clusters."""
+    rng = np.random.default_rng(seed)
+    fp = rng.integers(0, 2**32, n, dtype=np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 32, (3, n // 2)).astype(np.uint64), axis=0)
+    return np.unique(np.concatenate([fp, rng.choice(fp, n // 2) ^ flips, fp[: n // 4] ^ np.uint64(1 << 40)]))
+
+
+def test_a_dense_shard_is_searched_by_parts(monkeypatch):
+    for seed, shift in ((1, 0), (2, 32)):
+        fp = dense_fps(seed, 3000)
+        fp = np.unique((fp << np.uint64(shift)) | (fp >> np.uint64(64 - shift)) if shift else fp)
+        monkeypatch.setattr(m, "DENSE", 100)
+        assert forest(fp, 40).tolist() == list(plain_parts(fp.tolist()).values())
+
+
+def test_200_000_that_share_a_half_spread_over_buckets(spark):
+    rng = np.random.default_rng(5)
+    fp = np.unique(rng.integers(0, 2**32, 200_000, dtype=np.uint64)) | np.uint64(0xABCDEF01 << 32)
+    tree = m.build(m.half(fp, 1), 1, 4000)
+    assert tree.dense == [0]
+    at, bucket, lives = m.dense_buckets(fp[:5000], np.ones(5000, bool), 1)
+    assert np.bincount(bucket[lives]).max() < 20 and lives.sum() == 10_000
+    small = dense_fps(7, 900) | np.uint64(0xABCDEF01 << 32)
+    monkey = m.SHARD, m.LEAF
+    try:
+        m.SHARD, m.LEAF = 20, 10
+        df = spark.createDataFrame([(int(x),) for x in np.unique(small).view(np.int64)], "fp long")
+        got = {r["fp"]: r["part"] for r in m.classes(df).collect()}
+    finally:
+        m.SHARD, m.LEAF = monkey
+    want = plain_parts(small.tolist())
+    by = lambda d: sorted(sorted(k for k in d if d[k] == p) for p in set(d.values()))
+    assert by({int(np.int64(k).view(np.uint64)): v for k, v in got.items()}) == by(want)
+
+
+def test_keep_one_reads_no_text_twice_where_ids_are_single(spark):
+    base = prose(50, 300)
+    docs = spark.createDataFrame([(i, base if i % 3 else prose(i, 80), "en", "s", 1) for i in range(30)] + [(None, base, "en", "s", 1)], DOCS)
+    kept = m.keep_one(docs)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 0
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted([1, *range(0, 30, 3)])
