@@ -3,12 +3,17 @@
 Texts are cut into pieces of at most the largest permitted length and packed, in
 decreasing order, into sequences of several permitted lengths (``CAPACITIES``): a
 piece goes to the open bin with the least room that still holds it; where none
-does, a new bin is opened at the length with the least cost per token, over
-what it can come to hold: ``cost(c) / min(c, piece + pieces still to come)``, with
-``cost(c) = OVERHEAD + c + c * c / ATTENTION`` (a fixed share for each sequence, one
-unit per token, and attention, which grows with the square).  So all lengths are
-weighed against each other at every opening.  At last every bin is cut down to
-the smallest permitted length that holds its contents.
+does, a new bin is opened.  At last every bin is cut down to the smallest
+permitted length that holds its contents.  A sequence costs ``cost(c) = OVERHEAD + c
++ c * c / ATTENTION`` (a fixed share, one unit per token, and attention, which grows
+with the square).
+
+Which length is opened is chosen for all piece sizes jointly, run by run: pieces
+fall into classes by the smallest length that holds them, and a plan gives every class
+the length that its pieces open.  Plans are tried by packing the run: first every
+single length (where it fits) and the length of least cost per token, then, from
+the cheapest, every other length for one class after another, until no
+change makes the run cheaper.  The cheapest plan's packing is the result.
 
 Pieces are dealt by a hash of document and piece, so one very long document is
 spread; a task packs its pieces in runs of ``RUN`` rows, whatever it was dealt, and
@@ -43,16 +48,13 @@ def cost(capacity: int) -> float:
     return OVERHEAD + capacity + capacity * capacity / ATTENTION
 
 
-def pack(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bin, offset within it, the bin's final capacity) of every piece, in the given order."""
-    caps = sorted(capacities)
-    bins, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    room, held = [], []  # of each bin
+def _fill(sizes: list[int], opens: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """(bin, offset within it) of decreasing sizes, and what each bin holds; ``opens``: the
+    length that each size opens."""
+    bins, offset, room, held = [], [], [], []
     open_at: dict[int, list[int]] = {}  # bins by their room
     rooms = 0  # bit r is set if a bin with room r is open
-    rest = int(sizes.sum())
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        size = int(sizes[i])
+    for size, c in zip(sizes, opens):
         fits = rooms >> size
         if fits:
             r = size + (fits & -fits).bit_length() - 1
@@ -60,19 +62,61 @@ def pack(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> tuple[n
             if not open_at[r]:
                 rooms &= ~(1 << r)
         else:
-            r = min((c for c in caps if c >= size), key=lambda c: cost(c) / min(c, rest))
-            b = len(room)
+            r, b = c, len(room)
             room.append(r)
             held.append(0)
-        bins[i], offset[i] = b, held[b]
+        bins.append(b)
+        offset.append(held[b])
         held[b] += size
         room[b] = r - size
-        rest -= size
         if room[b]:
             open_at.setdefault(room[b], []).append(b)
             rooms |= 1 << room[b]
-    final = np.array(caps)[np.searchsorted(caps, np.array(held, np.int64))] if held else np.zeros(0, np.int64)
-    return bins, offset, final[bins] if held else final
+    return bins, offset, held
+
+
+def _final(held: list[int], caps: np.ndarray) -> np.ndarray:
+    """The smallest permitted length that holds each bin's contents."""
+    return caps[np.searchsorted(caps, np.array(held, np.int64))]
+
+
+def best_plan(sizes: np.ndarray, caps: np.ndarray) -> tuple[int, ...]:
+    """For each length the one that a piece of its class opens (see above), for decreasing sizes."""
+    kind = np.searchsorted(caps, sizes)
+    price = {int(c): cost(int(c)) for c in caps}
+    known: dict[tuple[int, ...], float] = {}
+    in_order = sizes.tolist()
+
+    def total(plan: tuple[int, ...]) -> float:
+        if plan not in known:
+            final = _final(_fill(in_order, np.array(plan)[kind].tolist())[2], caps)
+            known[plan] = sum(price[int(c)] * int(n) for c, n in zip(*np.unique(final, return_counts=True)))
+        return known[plan]
+
+    lengths = [int(c) for c in caps]
+    used = sorted(set(kind.tolist()))
+    starts = [tuple(max(c, x) if k in used else c for k, c in enumerate(lengths)) for x in lengths]
+    starts.append(tuple(min(lengths[k:], key=lambda x: price[x] / x) if k in used else c for k, c in enumerate(lengths)))
+    plan = min(starts, key=total)
+    while True:
+        before = plan
+        for k in used:
+            plan = min([plan, *[(*plan[:k], c, *plan[k + 1:]) for c in lengths[k:]]], key=total)
+        if plan == before:
+            return plan
+
+
+def pack(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, offset within it, the bin's final capacity) of every piece, in the given order."""
+    caps = np.array(sorted(capacities))
+    bins, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    if not len(sizes):
+        return bins, offset, np.zeros(0, np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    ordered = sizes[order]
+    plan = np.array(best_plan(ordered, caps))
+    bins[order], offset[order], held = _fill(ordered.tolist(), plan[np.searchsorted(caps, ordered)].tolist())
+    return bins, offset, _final(held, caps)[bins]
 
 
 def pieces(lengths: DataFrame, doc_id: str, n_tokens: str, largest: int) -> DataFrame:
