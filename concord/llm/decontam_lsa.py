@@ -53,6 +53,7 @@ from pyspark.sql import types as T
 
 from concord.llm import textarrays as ta
 
+TEXT_BYTES = 1 << 18  # of texts at once: every word takes a row of SKETCH numbers
 TERMS = 1 << 16
 COLUMNS = 4096
 COMMON = 0.005
@@ -83,7 +84,7 @@ HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.Struc
 
 def _terms(texts: pa.Array):
     """(first text, hashes, words of text d: first[d] to first[d + 1]) of each block."""
-    for lo, _, data, off in ta.blocks(pc.utf8_lower(texts)):
+    for lo, _, data, off in ta.blocks(pc.utf8_lower(texts), TEXT_BYTES):
         w = ta.find_words(data, off, ta.ALNUM)
         yield lo, w.hashes(), w.first
 
@@ -164,6 +165,7 @@ def _document_frequency(texts: DataFrame) -> tuple[np.ndarray, float]:
                 each = np.sort(own * TERMS + _term(h))  # a term counts once in a passage
                 df += np.bincount(each[np.diff(each, prepend=-1) != 0] % TERMS, minlength=TERMS)
         yield _blocks_of(np.concatenate([df, np.full(SUM_BLOCKS, n)]).reshape(-1)[_with_count()])
+        ta.trim()
 
     got = _summed(texts.mapInArrow(count, "block int, data binary"))
     if not got:
@@ -204,6 +206,7 @@ def _gram_sums(texts: DataFrame, space: Space) -> tuple[np.ndarray, np.ndarray]:
                 ya[seen] += np.add.reduceat(np.ascontiguousarray((w[some[order], None] * y[own[order]]).T), at, axis=1).T
         yield _blocks_of(ya.astype("f8"))
         yield pa.RecordBatch.from_arrays([pa.array([SUM_BLOCKS], pa.int32()), pa.array([yy.tobytes()], pa.binary())], names=["block", "data"])
+        ta.trim()
 
     got = _summed(texts.mapInArrow(add, "block int, data binary"))
     return (np.concatenate([got[b] for b in range(SUM_BLOCKS)]).reshape(COLUMNS, SKETCH), got[SUM_BLOCKS].reshape(SKETCH, SKETCH))
