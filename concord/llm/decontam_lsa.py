@@ -256,7 +256,7 @@ def pieces_of(items: list[tuple[int, str]], space: Space) -> list[dict]:
                 part = h[a:b]
                 weight = space.idf[_term(part)].astype(float)
                 known, back = np.unique(part, return_inverse=True)
-                out.append({"weight": weight, "known": known, "known_weight": np.bincount(back, weight), "item": item, "h": part, "answer": answer if len(h) <= LONG else part[-8:],
+                out.append({"weight": weight, "need": PARAPHRASE * weight.sum(), "known": known, "known_weight": np.bincount(back, weight), "item": item, "h": part, "answer": answer if len(h) <= LONG else part[-8:],
                             "short": b - a <= SHORT, "vector": space.sums(part, np.array([0]), space.latent)[0]})
     return out
 
@@ -322,7 +322,7 @@ def _search(h: np.ndarray, first: np.ndarray, space: Space, sides: list[Side], e
             same = owner[k:] == owner[:-k]
             window[:-k][same] += step[k:][same]
         window = _unit(window)
-        some = max(64, COSINES // len(side.pieces))
+        some, flat = max(64, COSINES // len(side.pieces)), side.slots.ravel()
         for lo in range(0, len(window), some):
             cosine = window[lo: lo + some] @ side.unit.T
             w, p = np.nonzero(cosine >= side.cosine)
@@ -333,8 +333,8 @@ def _search(h: np.ndarray, first: np.ndarray, space: Space, sides: list[Side], e
             ra, rb = np.searchsorted(rare, a), np.searchsorted(rare, b)
             n = rb - ra
             which = np.repeat(np.arange(len(n)), n)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ra, n)
-            bound = np.bincount(which, side.slots[p[which], rare_slot[at]], minlength=len(n))
+            at = np.arange(n.sum()) + np.repeat(ra - (np.cumsum(n) - n), n)
+            bound = np.bincount(which, flat.take(np.repeat(p * SLOTS, n) + rare_slot.take(at)), minlength=len(n))
             for i in np.flatnonzero(bound >= side.need[p] - 1e-4):
                 _align(found.setdefault(int(owner[lo + w[i]]), {}), side.pieces[p[i]], h[a[i]: b[i]], float(cos[i]), space)
     for exact in exacts:
@@ -431,13 +431,15 @@ def _search_exact(h: np.ndarray, first: np.ndarray, space: Space, exact: Exact,
 def _align(found: dict, piece: dict, region: np.ndarray, cosine: float, space: Space) -> None:
     """Puts (item, cosine, lcs, answer) into ``found`` if the region leaks the piece better than before."""
     have = found.get(piece["item"], (0, 0, 0, 0))
+    if have[2] >= 0.999:
+        return
     weight = piece["weight"]
     known = piece["known"]  # sorted
     at = known.searchsorted(region)
     at[at == len(known)] = 0
     there = np.zeros(len(known), bool)
     there[at[known[at] == region]] = True
-    if have[2] >= 0.999 or piece["known_weight"][there].sum() < PARAPHRASE * weight.sum():
+    if there @ piece["known_weight"] < piece["need"]:
         return  # not even its words are there, in whatever order
     lcs = weighted_lcs(piece["h"], region, weight)
     answer = space.idf[_term(piece["answer"])].astype(float)
