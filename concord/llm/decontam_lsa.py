@@ -82,9 +82,9 @@ HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.Struc
                                  T.StructField("lcs", T.DoubleType()), T.StructField("answer", T.DoubleType())]))
 
 
-def _terms(texts: pa.Array):
+def _terms(texts: pa.Array, size: int = TEXT_BYTES):
     """(first text, hashes, words of text d: first[d] to first[d + 1]) of each block."""
-    for lo, _, data, off in ta.blocks(pc.utf8_lower(texts), TEXT_BYTES):
+    for lo, _, data, off in ta.blocks(pc.utf8_lower(texts), size):
         w = ta.find_words(data, off, ta.ALNUM)
         yield lo, w.hashes(), w.first
 
@@ -188,7 +188,7 @@ def _gram_sums(texts: DataFrame, space: Space) -> tuple[np.ndarray, np.ndarray]:
         sp = shared.value
         ya, yy = np.zeros((COLUMNS, SKETCH), np.float32), np.zeros((SKETCH, SKETCH))
         for batch in batches:
-            for _, h, first in _terms(batch.column(0)):
+            for _, h, first in _terms(batch.column(0), 2 * TEXT_BYTES):  # more words of a column at once
                 if not len(h):
                     continue
                 s = _starts(first, PASSAGE)
@@ -202,8 +202,14 @@ def _gram_sums(texts: DataFrame, space: Space) -> tuple[np.ndarray, np.ndarray]:
                 order = np.argsort(column, kind="stable")
                 seen, at = np.unique(column[order], return_index=True)
                 own = np.searchsorted(s, some, "right") - 1
-                # (reduceat is several times faster along the rows of the transpose)
-                ya[seen] += np.add.reduceat(np.ascontiguousarray((w[some[order], None] * y[own[order]]).T), at, axis=1).T
+                # One sketch column after another: the arrays stay as small as the block's words.
+                own, weight = own[order], w[some][order]
+                added, each = np.empty((SKETCH, len(at)), np.float32), np.empty(len(some), np.float32)
+                for k, column_of_y in enumerate(np.ascontiguousarray(y.T)):
+                    np.take(column_of_y, own, out=each)
+                    np.multiply(each, weight, out=each)
+                    np.add.reduceat(each, at, out=added[k])
+                ya[seen] += added.T
         yield _blocks_of(ya.astype("f8"))
         yield pa.RecordBatch.from_arrays([pa.array([SUM_BLOCKS], pa.int32()), pa.array([yy.tobytes()], pa.binary())], names=["block", "data"])
         ta.trim()
