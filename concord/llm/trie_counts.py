@@ -148,7 +148,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: s
         c = counter(vocabulary)
 
         def f(texts: pa.Array) -> list[pa.Array]:
-            got = [c.block(data, off) for _, _, data, off in ta.blocks(texts)]
+            got = [c.block(data, off) for _, _, data, off in ta.blocks(texts, 4 * ta.BLOCK_BYTES)]
             return [pa.array(np.concatenate([x[k] for x in got]) if got else [], pa.int64()) for k in (0, 1)]
 
         return f
