@@ -288,6 +288,52 @@ def keyed_diff_result(name: str, source: DataFrame, target: DataFrame, key: str
     return result_frame(out, name, check_type)
 
 
+def column_results(source: DataFrame, target: DataFrame, key: str = KEY, columns: list[str] | None = None, *,
+                   strict: bool = False, strip_dot_zero_strings: bool = False) -> DataFrame:
+    """Every value column compared by itself, all in one comparison: per column
+    ``column_name, n_source, n_target, missing_in_target, extra_in_target,
+    value_mismatch, duplicate_key, mismatch_count`` - the counts that a keyed
+    comparison of that column alone gives.
+
+    Both sides are grouped once by (key, all values), each value in its own
+    type, so the key is computed, hashed and shuffled once for all columns.  A
+    key with one row a side is settled by comparing its two rows column by
+    column, a one-sided or wholly equal key by its counts.  What is left, keys
+    that repeat and differ somewhere, is taken apart by column and counted per
+    (key, column, value): only these rows are multiplied by the columns.
+    """
+    cols = _resolve(source, target, key, columns)
+    opts = dict(strict=strict, strip_dot_zero_strings=strip_dot_zero_strings)
+    rows, inner, plan = _tuple_counts(source, target, key, cols, opts)
+    cs, ct = F.col("__cs"), F.col("__ct")
+    tup = F.struct(*[F.col(v) for v in inner.values()])
+    keys = rows.groupBy(KEY).agg(
+        F.sum(cs).alias("n_s"), F.sum(ct).alias("n_t"), F.sum(cs * ct).alias("matched"),
+        F.min(F.when((cs > 0) & (ct == 0), tup)).alias("__ts"), F.min(F.when((ct > 0) & (cs == 0), tup)).alias("__tt"))
+    n_s, n_t = F.col("n_s"), F.col("n_t")
+    one_each = (n_s == 1) & (n_t == 1)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    totals = keys.agg(
+        total(n_s).alias("n_source"), total(n_t).alias("n_target"),
+        total(F.when(n_t == 0, n_s)).alias(MISSING), total(F.when(n_s == 0, n_t)).alias(EXTRA),
+        F.array(*[F.struct(F.lit(c).alias("column_name"),
+                           F.count_if(one_each & ~F.col("__ts")[v].eqNullSafe(F.col("__tt")[v])).alias(CHANGED))
+                  for c, v in inner.items()]).alias("each"))
+    by_column = totals.select("n_source", "n_target", MISSING, EXTRA, F.inline("each"))
+
+    repeated = keys.where((n_s > 0) & (n_t > 0) & ~one_each & (F.col("matched") < n_s * n_t)).select(F.col(KEY).alias("__k"))
+    apart = rows.join(repeated, F.col(KEY).eqNullSafe(F.col("__k")), "left_semi").select(
+        KEY, "__cs", "__ct", F.inline(F.array(*[F.struct(F.lit(c).alias("__c"), _text(F.col(v), c, plan, opts).alias("__v"))
+                                                for c, v in inner.items()])))
+    values = apart.groupBy(KEY, "__c", "__v").agg(F.sum(cs).alias("cs"), F.sum(ct).alias("ct"))
+    pairs = values.groupBy(KEY, "__c").agg((F.sum("cs") * F.sum("ct") - F.sum(F.col("cs") * F.col("ct"))).alias("pairs"))
+    duplicates = pairs.groupBy(F.col("__c").alias("column_name")).agg(F.sum("pairs").alias(DUPLICATE))
+
+    out = by_column.join(duplicates, "column_name", "left").withColumn(DUPLICATE, F.coalesce(DUPLICATE, F.lit(0)))
+    return out.select("column_name", "n_source", "n_target", MISSING, EXTRA, CHANGED, DUPLICATE,
+                      (F.col(MISSING) + F.col(EXTRA) + F.col(CHANGED) + F.col(DUPLICATE)).alias("mismatch_count"))
+
+
 def column_breakdown(diff_rows: DataFrame) -> DataFrame:
     """Number of ``value_mismatch`` keys per compared column, from ``keyed_diff`` rows."""
     cols = [c[:-len("_source")] for c in diff_rows.columns if c.endswith("_source") and c != "n_source"]

@@ -370,13 +370,13 @@ def to_checks(field_rows: list[Mapping], tables: Mapping[str, DataFrame],
             computed.setdefault(r["target_table"], {})[r["target_column"]] = e
     cases: list[dict] = []
 
-    def add(name, ctype, src, tgt, desc, status="valid", kind=None, violation=None):
+    def add(name, ctype, src, tgt, desc, status="valid", kind=None, violation=None, compared=None):
         for sql in (src, tgt) if status == "valid" and spark is not None else ():
             told, error = validate_sql(spark, sql)
             if told != "valid":
                 status, desc = told, f"{desc}: {error}"
         cases.append({"id": len(cases) + 1, "name": name, "type": ctype, "source_sql": src, "target_sql": tgt,
-                      "violation": violation if status == "valid" else None,
+                      "violation": violation if status == "valid" else None, "compared": compared if status == "valid" else None,
                       "target_kind": kind, "description": desc, "validation_status": status, "is_active": status != "manual"})
 
     for r in unread:
@@ -404,7 +404,8 @@ def to_checks(field_rows: list[Mapping], tables: Mapping[str, DataFrame],
             add(f"{mid} value_match {tt}.{tc}", "value_match",
                 f"SELECT {key_expr} AS key_col, {val} AS val FROM {src_from}",
                 f"SELECT {idr['target_column']} AS key_col, {tc} AS val FROM {tt}",
-                f"keyed comparison on {tt}.{idr['target_column']}{' via ' + alias if lookup else ''}" + CIRCLE * circle, status)
+                f"keyed comparison on {tt}.{idr['target_column']}{' via ' + alias if lookup else ''}" + CIRCLE * circle, status,
+                compared=(src_from, key_expr, tt, idr["target_column"], val, tc))
         else:
             add(f"{mid} value_match {tt}.{tc}", "value_match",
                 f"SELECT DISTINCT {val} AS val FROM {src_from} WHERE {r['source_column']} IS NOT NULL"

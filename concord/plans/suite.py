@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import checks, checksum, diff
-from ..operators.result import KEYED_SAMPLE, RESULT_SCHEMA, SET_SAMPLE_EACH_SIDE, TARGET_SAMPLE, error_result
+from ..operators.result import KEYED_SAMPLE, RESULT_SCHEMA, SET_SAMPLE_EACH_SIDE, TARGET_SAMPLE, count_text, error_result
 
 # Fixed value: the error text of a case without SQL.
 NO_SQL_ERROR = "No SQL queries defined for this test case"
@@ -129,21 +129,46 @@ def fused_counts(spark: SparkSession, cases: list[Mapping[str, Any]]) -> DataFra
                         for f in _SUITE_SCHEMA.fields])
 
 
+def fused_comparisons(spark: SparkSession, cases: list[Mapping[str, Any]]) -> DataFrame:
+    """All cases with a ``compared`` of the same two sides and keys in one comparison
+    (``diff.column_results``): the key is computed and shuffled once, each value
+    stays in its own type, and every compared column becomes a result row."""
+    src_from, src_key, tgt, tgt_key = cases[0]["compared"][:4]
+
+    def side(table, key, values):
+        return spark.sql(f"SELECT {key} AS {diff.KEY}, {', '.join(f'{v} AS c{i}' for i, v in enumerate(values))} FROM {table}")
+    got = diff.column_results(side(src_from, src_key, [c["compared"][4] for c in cases]), side(tgt, tgt_key, [c["compared"][5] for c in cases]))
+    told = {f"c{i}": (c.get("name") or "Unnamed Test", c.get("type") or "value_match", c.get("id")) for i, c in enumerate(cases)}
+
+    def of_case(n):
+        return F.create_map(*[F.lit(x) for name, row in told.items() for x in (name, row[n])])[F.col("column_name")]
+    kinds = [diff.MISSING, diff.EXTRA, diff.CHANGED, diff.DUPLICATE]
+    known = {"check_name": of_case(0), "check_type": of_case(1), "test_case_id": of_case(2),
+             "passed": F.col("mismatch_count") == 0, "mismatch_count": F.col("mismatch_count"),
+             "source_value": count_text(F.col("n_source"), "rows"), "target_value": count_text(F.col("n_target"), "rows"),
+             "mismatch_breakdown": F.to_json(F.struct(F.struct(*kinds).alias("by_type"), F.struct(F.col(diff.CHANGED).alias(diff.VAL)).alias("by_column")))}
+    return got.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in _SUITE_SCHEMA.fields])
+
+
 def _case_frames(spark: SparkSession, cases, params, opts) -> list[tuple[list, DataFrame]]:
-    """(cases, their result rows): target-only counts of one table together, each other case alone."""
-    groups: dict[str, list] = {}
+    """(cases, their result rows): target-only counts of one table together, and so, where no
+    sample is asked for, keyed comparisons of the same sides; each other case alone."""
+    groups: dict[tuple, list] = {}
     out = []
+    fuse_keyed = not opts.get("samples", True) and not opts.get("use_checksum")
     for c in cases:
         if c.get("is_active", True) is False:
             continue
         if c.get("violation"):
-            groups.setdefault(c["violation"][0], []).append(c)
+            groups.setdefault((fused_counts, c["violation"][0]), []).append(c)
+        elif c.get("compared") and fuse_keyed:
+            groups.setdefault((fused_comparisons, *c["compared"][:4]), []).append(c)
         else:
             out.append(([c], case_result(spark, c, params, **opts).withColumn("test_case_id", F.lit(c.get("id")).cast("int"))))
-    for together in groups.values():
+    for (fused, *_), together in groups.items():
         try:
-            out.append((together, fused_counts(spark, together)))
-        except Exception:  # one predicate cannot be analysed: each case alone, so that one fails alone
+            out.append((together, fused(spark, together)))
+        except Exception:  # one expression cannot be analysed: each case alone, so that one fails alone
             out += [([c], case_result(spark, c, params, **opts).withColumn("test_case_id", F.lit(c.get("id")).cast("int"))) for c in together]
     return out
 
@@ -160,12 +185,9 @@ def suite_results(spark: SparkSession, cases: list[Mapping[str, Any]], params: d
     """The result rows of a suite as one lazy DataFrame (``test_case_id`` kept), the
     union of its cases' frames, so one Spark job evaluates all cases.  The
     target-only counts of one table (null and DQ checks) share one scan and one
-    aggregate; every other case reads its own sides.
-
-    Keyed checks of one table pair stay separate checks on purpose: unpivoting
-    all mapped columns into one (key, column, value-as-text) comparison was
-    measured at three times the CPU of per-column checks, which keep
-    integer, decimal and date values in their own types.
+    aggregate; with ``samples=False`` the keyed checks of one table pair share
+    one comparison, which keeps every value in its own type; every other case
+    reads its own sides.
     """
     frames = [f for _, f in _case_frames(spark, cases, params, opts)]
     return _union(frames) if frames else spark.createDataFrame([], _SUITE_SCHEMA)
@@ -194,7 +216,7 @@ def run_cases(spark: SparkSession, cases: list[Mapping[str, Any]], params: dict
                 rows += frame.collect()
             except Exception as e:
                 if len(together) > 1:  # the fused cases one by one
-                    rows += run_cases(spark, [{**c, "violation": None} for c in together], params, **opts).collect()
+                    rows += run_cases(spark, [{**c, "violation": None, "compared": None} for c in together], params, **opts).collect()
                     continue
                 c = together[0]
                 err = error_result(spark, c.get("name") or "Unnamed Test", c.get("type") or "value_match", str(e))

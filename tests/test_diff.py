@@ -217,3 +217,25 @@ def test_named_key_column_subset_and_empty_sides(spark):
     # no value column on both sides: the reference's error, no job
     r = diff.keyed_diff_result("n", s.select("id"), t.select("id"), key="id").collect()[0]
     assert (r.passed, r.error_message) == (False, diff.NO_VALUE_COLUMN_ERROR)
+
+
+_CELL = st.one_of(st.none(), st.integers(0, 2))
+_ROWS = st.lists(st.tuples(_CELL, _CELL, _CELL, st.sampled_from([None, "", "a", " a", "NULL", "b"])), max_size=12)
+
+
+@settings(max_examples=12, deadline=None)
+@given(_ROWS, _ROWS)
+def test_column_results_equal_single_column_comparisons(spark, left, right):
+    """All columns in one comparison give the counts of each column compared alone:
+    repeated keys on either side, NULL keys, NULL cells, typed and text columns."""
+    schema = "key_col int, a int, b bigint, c string"
+    s, t = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    got = {r["column_name"]: r for r in diff.column_results(s, t).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for c, r in got.items():
+        want = diff.keyed_diff_result("x", s, t, columns=[c], sample_size=0).collect()[0]
+        by = json.loads(want["mismatch_breakdown"])
+        assert r["mismatch_count"] == want["mismatch_count"]
+        assert (f"{r['n_source']} rows", f"{r['n_target']} rows") == (want["source_value"], want["target_value"])
+        assert {k: r[k] for k in by["by_type"]} == by["by_type"]
+        assert r["value_mismatch"] == by["by_column"][c]
