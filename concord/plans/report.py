@@ -191,3 +191,11 @@ def write_report_csv(run: DataFrame, results: DataFrame, path: str) -> None:
     header.coalesce(1).write.mode("overwrite").options(**{**opts, "header": False}).csv(f"{path}/header")
     table.write.mode("overwrite").options(**opts).csv(f"{path}/results")
 
+
+
+def read_report_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The header lines (``label, value``) and the result lines of ``write_report_csv``, all text,
+    empty for what is missing."""
+    opts = dict(quote='"', escape='"', multiLine=True)
+    header = spark.read.schema("label string, value string").options(**opts).csv(f"{path}/header")
+    return header.na.fill(""), spark.read.options(header=True, **opts).csv(f"{path}/results").na.fill("")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dq, transforms as xf
 from ..operators import alignment, checks, checksum, checktree, diff, keys, lookups, profile, tolerance
+from ..operators.result import one_row_join
 from ..session import run_folder
 from ..sources import drift, files
 from . import mapping, report, suite
@@ -485,6 +486,30 @@ def bridge_discovery(spark, sf_dir):
     return profile.discover_related(tables(spark, sf_dir, TPCH_TABLES), ["orders", "part"])
 
 
+def named_warehouse(spark, sf_dir) -> dict[str, DataFrame]:
+    """A warehouse whose tables share plain column names, derived from the given tables:
+    every way in which a table can be related to ``sales`` and ``party``, and two
+    tables (``item``, ``maker``) that are not."""
+    t = tables(spark, sf_dir, ["customer", "orders", "lineitem", "nation", "part", "supplier"])
+    o = t["orders"].select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("cust_id"), "o_orderstatus",
+                           F.col("o_orderpriority").alias("priority_code"), F.year("o_orderdate").alias("visit_year"))
+    return {
+        "sales": o.select("order_id", "cust_id", "priority_code"),
+        "party": t["customer"].select(F.col("c_custkey").alias("cust_id"), F.col("c_name").alias("party_name"), F.col("c_nationkey").alias("nation_id")),
+        "country": t["nation"].select(F.col("n_nationkey").alias("nation_id"), F.col("n_name").alias("country_name")),
+        "invoice": o.where("o_orderstatus = 'F'").select("order_id", "cust_id"),
+        "visits": o.groupBy("cust_id", "visit_year").agg(F.count(F.lit(1)).alias("visits")),
+        "line": t["lineitem"].select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("part_id"), "l_quantity"),
+        "item": t["part"].select(F.col("p_partkey").alias("part_id"), F.col("p_type").alias("item_type")),
+        "maker": t["supplier"].select(F.col("s_suppkey").alias("supp_id"), F.col("s_nationkey").alias("nation_id")),
+    }
+
+
+def related_by_name(spark, sf_dir):
+    """DIS-1 .. DIS-4 with a row of every phase, found on the data."""
+    return profile.discover_related(named_warehouse(spark, sf_dir), ["sales", "party"])
+
+
 def _by_month(spark, sf_dir) -> dict[str, DataFrame]:
     t = tables(spark, sf_dir, ["orders", "lineitem"])
     return {"orders": t["orders"].withColumn("batch", F.date_format("o_orderdate", "yyyyMM")),
@@ -582,6 +607,48 @@ def dashboard(spark, sf_dir):
     return report.dashboard(report.run_counters(batch_results(spark, sf_dir)), latest=10)
 
 
+def report_csv(spark, sf_dir):
+    """SNK-3 written and read back: the run of all batch checks as its header lines and
+    its result lines; names and errors hold quotes, commas and line breaks."""
+    checked = batch_results(spark, sf_dir)
+    names = F.array(*[F.lit(n) for n in _rule_predicates()])
+    failed = ~F.col("passed")
+    results = checked.select(
+        (F.col("run_id") * 10 + F.array_position(names, F.col("check_name"))).alias("test_case_id"),
+        F.concat(F.col("run_id").cast("string"), F.lit(': "'), "check_name", F.lit('"')).alias("test_case_name"),
+        F.lit("dq_check").alias("test_case_type"), "passed", F.col("rows").cast("string").alias("source_value"),
+        F.when(failed, F.col("mismatch_count").cast("string")).alias("target_value"), "mismatch_count",
+        F.when(failed, F.concat(F.lit('broken, "'), "check_name", F.lit('"\nin '), F.col("run_id").cast("string"))).alias("error_message"))
+    run = one_row_join(report.run_counters(results.withColumn("run_id", F.lit(1))).withColumnRenamed("run_id", "id"),
+                       checked.agg(F.max("run_id").alias("started_at"))).withColumn("mapping_name", F.lit(None).cast("string"))
+    path = run_folder(spark, "report")
+    report.write_report_csv(run, results, path)
+    header, lines = report.read_report_csv(spark, path)
+    columns = ["case_id", "case_name", "case_type", "status", "source_value", "target_value", "mismatches", "error"]
+    head = header.select(F.lit("header").alias("section"), F.col("label").alias("case_id"), F.col("value").alias("case_name"),
+                         *[F.lit(None).cast("string").alias(c) for c in columns[2:]])
+    return head.unionByName(lines.select(F.lit("results").alias("section"), *[F.col(a).alias(b) for a, b in zip(lines.columns, columns)]))
+
+
+def parse_summary(spark, sf_dir):
+    """RUN-6 and RUN-7: the active test cases of a metadata table and their field mappings,
+    a case per order and a mapping per line."""
+    k = F.col("o_orderkey")
+    cases = table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.when(F.col("o_orderstatus") == "F", "valid").when(F.col("o_orderstatus") == "O", "invalid").alias("validation_status"),
+        (k % 10 != 0).alias("is_active"))
+    return report.parse_summary(table(spark, sf_dir, "lineitem"), report.active_only(cases))
+
+
+def connector_usage(spark, sf_dir):
+    """RUN-8 and RUN-7: the active documents of a metadata table, one per order, that use
+    connector 7, and how."""
+    documents = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), (F.col("o_custkey") % 25).alias("source_connector_id"),
+        (F.col("o_orderkey") % 25).alias("target_connector_id"), (F.col("o_orderstatus") != "P").alias("is_active"))
+    return report.connector_usage(documents, 7)
+
+
 # ---------------------------------------------------------------- mapping document -> suite
 
 # The field mapping of the orders load, as mapping-document rows
@@ -684,6 +751,27 @@ def file_sources(spark, sf_dir):
     return out
 
 
+def source_catalog(spark, sf_dir):
+    """SRC-11 .. SRC-13 over registered tables: each listed table of this query with its row
+    count by a scalar statement, and how many of its sampled rows, all text, are rows of it."""
+    prefix = "catalogued_"
+    for t in TPCH_TABLES:
+        table(spark, sf_dir, t).createOrReplaceTempView(prefix + t)
+    listed = files.list_tables(spark).where(F.col("name").startswith(prefix)).collect()  # one row a table
+    out = []
+    for r in listed:
+        df = spark.table(r["name"])
+        n = files.scalar(files.run_sql(spark, f"SELECT count(*) FROM {r['name']}"))
+        as_text = df.select(*[F.col(c).cast("string") for c in df.columns])
+        sample = files.sample_rows(df, 5)
+        seen = spark.createDataFrame([tuple(x[c] for c in df.columns) for x in sample], ", ".join(f"{c} string" for c in df.columns))
+        found = seen.intersect(as_text).agg(F.count(F.lit(1)).alias("sampled_found"))  # distinct rows, NULL equal to NULL
+        out.append(found.select(F.lit(r["name"][len(prefix):]).alias("table_name"), F.lit(r["is_temporary"]).alias("is_temporary"),
+                                F.lit(n).cast("bigint").alias("n_rows"), F.lit(len(sample)).alias("sampled"),
+                                (F.col("sampled_found") == F.lit(len({tuple(x.items()) for x in sample}))).alias("sample_is_of_table")))
+    return _stacked(out)
+
+
 def file_sources_single(spark, sf_dir):
     """SRC-6 and SRC-4 with an array of objects: the single file ``orders`` gives its own
     view and ``data``; a folder holds ``nation`` as one JSON array (25 rows)."""
@@ -739,41 +827,40 @@ def idempotent_append(spark, sf_dir):
 
 # Header cells of the documents below.
 _HEADER = ["MapID", "Src Table", "Src Field", "Rule/Transform", "Tgt Table", "Tgt Field", "Key", "DQ Rule"]
+DOCUMENT_LINES = 100_000  # of one document at most
 
 
-def _document(spark, sf_dir, name, cells) -> str:
-    """A mapping document of a table's columns, one line a column, as text: ``cells``
-    turns the list of cells into a line."""
-    lines = [cells(_HEADER)]
-    for i, f in enumerate(table(spark, sf_dir, name).schema.fields):
-        rule = "NOT NULL" if i == 0 else ">0, <1000000" if f.dataType.typeName() == "double" else ""
-        lines.append(cells([f"{name}{i}", name, f.name, "DIRECT" if i % 2 else "nan", f"dim_{name}", f.name, "Y" if i == 0 else "N", rule]))
-    return "\n".join(lines)
+def _mapping_lines(spark, sf_dir, name, note="") -> DataFrame:
+    """One line of a mapping document per row of a table, its cells from the row's key."""
+    t = table(spark, sf_dir, name)
+    key, other = t.columns[:2]
+    k = F.col(key)
+    cells = [F.concat(F.lit(f"{name}:"), k.cast("string")), F.lit(name), F.col(other).cast("string"),
+             F.when(k % 2 == 1, F.lit("DIRECT" + note)).otherwise(F.lit("nan")), F.lit(f"dim_{name}"), F.lit(key),
+             F.when(k % 7 == 0, "Y").otherwise("N"), F.when(k % 3 == 0, "NOT NULL").when(k % 3 == 1, ">0, <1000000")]
+    return t.select(*[c.alias(h) for c, h in zip(cells, _HEADER)])
 
 
 def mapping_docs_mixed(spark, sf_dir):
-    """MAP-1 / MAP-2 over a folder of documents that differ in delimiter, header, width
-    and quoting, written from the columns of the given tables: what each gives,
-    the one without a known header as an error."""
+    """MAP-1 / MAP-2 over folders of documents that differ in delimiter, header, width and
+    quoting, a line per row of the given tables, written by the executors: what each
+    folder gives, the documents without a known header as an error."""
     base = run_folder(spark, "documents")
-    quoted = lambda sep: lambda c: sep.join(f'"{x}"' for x in c)
-    texts = {
-        "customer.csv": _document(spark, sf_dir, "customer", quoted(",")),
-        "orders.tsv": _document(spark, sf_dir, "orders", "\t".join),
-        "lineitem.csv": _document(spark, sf_dir, "lineitem", lambda c: ";".join(c[:6] + c[7:])),  # a column less
-        "part.csv": _document(spark, sf_dir, "part", lambda c: ",".join(f'"{x}\nnote"' if x == "DIRECT" else f'"{x}"' for x in c)),
-        "supplier.txt": _document(spark, sf_dir, "supplier", lambda c: "| " + " | ".join(c) + " |"),
-        "region.csv": "some,other,header\n1,2,3",
-    }
-    for name, text in texts.items():
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{base}/{name}")
+
+    def write(name, lines, sep, **options):
+        lines.write.options(header=True, sep=sep, escape='"', emptyValue="", maxRecordsPerFile=DOCUMENT_LINES, **options).csv(f"{base}/{name}")
+    write("customer.csv", _mapping_lines(spark, sf_dir, "customer"), ",", quoteAll=True)
+    write("orders.tsv", _mapping_lines(spark, sf_dir, "orders"), "\t")
+    write("lineitem.csv", _mapping_lines(spark, sf_dir, "lineitem").drop("Key"), ";")  # a column less
+    write("part.csv", _mapping_lines(spark, sf_dir, "part", "\nnote"), ",")  # a line break in a cell
+    edge = F.lit(None).cast("string")  # the outer pipes: a cell without text at either end
+    write("supplier.txt", _mapping_lines(spark, sf_dir, "supplier").select(edge.alias(" "), "*", edge.alias("  ")), "|")
+    write("region.csv", table(spark, sf_dir, "region"), ",")  # no mapping document
     found = mapping.read_text_documents(spark, base)
-    name = F.element_at(F.split("document", "/"), -2).alias("document")
-    sizes = _stacked([table(spark, sf_dir, t).agg(F.lit(n).alias("document"), F.count(F.lit(1)).alias("source_rows"))
-                      for n, t in ((n, n.split(".")[0]) for n in texts)])
-    return found.groupBy(name).agg(
+    return found.groupBy(F.element_at(F.split("document", "/"), -2).alias("document")).agg(
         F.count("map_id").alias("fields"), F.count_if(F.col("is_key")).alias("keys"), F.count("dq_rule").alias("rules"),
-        F.count_if(F.col("transformation").contains("note")).alias("with_line_break"), F.max("error").alias("error")).join(sizes, "document")
+        F.count_if(F.col("error").isNull() & (F.col("transformation") == "DIRECT")).alias("direct"),
+        F.count_if(F.col("transformation").contains("\nnote")).alias("with_line_break"), F.max("error").alias("error"))
 
 
 def mapping_rule_checks(spark, sf_dir):

@@ -495,6 +495,32 @@ i AS (SELECT DISTINCT child_table AS table_name, 'inbound_fk' AS reason FROM fk
         AND child_table NOT IN (SELECT table_name FROM c3))
 SELECT * FROM c3 UNION ALL SELECT * FROM i"""
 
+_NAMED = {"sales": "SELECT o_orderkey AS order_id, o_custkey AS cust_id FROM orders",
+          "party": "SELECT c_custkey AS cust_id, c_nationkey AS nation_id FROM customer",
+          "country": "SELECT n_nationkey AS nation_id FROM nation",
+          "invoice": "SELECT o_orderkey AS order_id, o_custkey AS cust_id FROM orders WHERE o_orderstatus = 'F'",
+          "visits": "SELECT DISTINCT o_custkey AS cust_id, year(o_orderdate) AS y FROM orders",
+          "line": "SELECT l_orderkey AS order_id, l_partkey AS part_id FROM lineitem",
+          "item": "SELECT p_partkey AS part_id FROM part",
+          "maker": "SELECT s_suppkey AS supp_id, s_nationkey AS nation_id FROM supplier"}
+_NAMED_IDS = [(t, c) for t, q in _NAMED.items() for c in ("order_id", "cust_id", "nation_id", "part_id", "supp_id") if f"AS {c}" in q]
+
+RELATED_BY_NAME = f"""
+WITH v AS ({" UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, {c}::BIGINT AS x FROM ({_NAMED[t]}) q" for t, c in _NAMED_IDS)}),
+cols AS (SELECT DISTINCT t, c FROM v),
+keys AS (SELECT t, c FROM v GROUP BY 1, 2 HAVING count(*) = count(DISTINCT x)),
+pairs AS (SELECT a.t AS child, b.t AS parent, a.c FROM cols a JOIN keys b ON a.c = b.c AND a.t <> b.t),
+fk AS (SELECT child, parent FROM pairs p WHERE NOT EXISTS (
+  SELECT 1 FROM v WHERE v.t = p.child AND v.c = p.c AND v.x IS NOT NULL AND v.x NOT IN (SELECT x FROM v w WHERE w.t = p.parent AND w.c = p.c AND w.x IS NOT NULL))),
+seeds AS (SELECT * FROM (VALUES ('sales'), ('party')) s(t)),
+found AS (
+  SELECT t, 0 AS phase FROM seeds
+  UNION ALL SELECT parent, 1 FROM fk WHERE child IN (SELECT t FROM seeds)
+  UNION ALL SELECT child, 2 FROM fk WHERE parent IN (SELECT t FROM seeds) GROUP BY 1 HAVING count(DISTINCT parent) >= 2
+  UNION ALL SELECT a.t, 3 FROM cols a JOIN cols b ON a.c = b.c WHERE b.t IN (SELECT t FROM seeds) GROUP BY 1 HAVING count(DISTINCT b.t) >= 2
+  UNION ALL SELECT child, 4 FROM fk WHERE parent IN (SELECT t FROM seeds))
+SELECT t AS table_name, ['seed', 'outbound_fk', 'bridge_fk', 'bridge_name', 'inbound_fk'][min(phase) + 1] AS reason FROM found GROUP BY t"""
+
 _SPARK_TYPE = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double",
                "TIMESTAMP": "timestamp_ntz", "DATE": "date", "BOOLEAN": "boolean"}
 
@@ -585,6 +611,34 @@ SELECT batch AS run_id, '{n}' AS check_name,
        count(*) FILTER (WHERE {p}) = 0 AS passed
 FROM ({LINEITEM_LOAD}) l GROUP BY 1""" for n, p in LINEITEM_RULE_SQL)
 
+_RULE_NUMBER = "CASE check_name " + " ".join(f"WHEN '{n}' THEN {i}" for i, (n, _) in enumerate(LINEITEM_RULE_SQL, 1)) + " END"
+
+REPORT_CSV = f"""
+WITH b AS ({BATCH_RESULTS}),
+h AS (SELECT unnest([{{'l': 'Run ID:', 'v': '1'}}, {{'l': 'Mapping Document:', 'v': 'Unknown'}}, {{'l': 'Status:', 'v': 'completed'}},
+  {{'l': 'Date:', 'v': max(run_id)::VARCHAR}}, {{'l': 'Total:', 'v': count(*)::VARCHAR}}, {{'l': 'Passed:', 'v': (count(*) FILTER (WHERE passed))::VARCHAR}},
+  {{'l': 'Failed:', 'v': (count(*) FILTER (WHERE NOT passed))::VARCHAR}}]) AS x FROM b)
+SELECT 'header' AS section, x.l AS case_id, x.v AS case_name, NULL AS case_type, NULL AS status, NULL AS source_value, NULL AS target_value,
+       NULL AS mismatches, NULL AS error FROM h
+UNION ALL
+SELECT 'results', (run_id * 10 + {_RULE_NUMBER})::VARCHAR, run_id || ': "' || check_name || '"', 'dq_check', CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END,
+       rows::VARCHAR, CASE WHEN passed THEN '' ELSE mismatch_count::VARCHAR END, mismatch_count::VARCHAR,
+       CASE WHEN passed THEN '' ELSE 'broken, "' || check_name || '"' || chr(10) || 'in ' || run_id END FROM b"""
+
+PARSE_SUMMARY = """
+SELECT (SELECT count(*) FROM lineitem) AS field_mappings_count, count(*) AS test_cases_count,
+       count(*) FILTER (WHERE o_orderstatus = 'F') AS valid_tests, count(*) FILTER (WHERE o_orderstatus = 'O') AS invalid_tests
+FROM orders WHERE o_orderkey % 10 <> 0"""
+
+CONNECTOR_USAGE = """
+SELECT o_orderkey AS id, o_orderpriority AS name,
+       CASE WHEN o_custkey % 25 = 7 AND o_orderkey % 25 = 7 THEN 'source & target' WHEN o_custkey % 25 = 7 THEN 'source' ELSE 'target' END AS role
+FROM orders WHERE o_orderstatus <> 'P' AND 7 IN (o_custkey % 25, o_orderkey % 25)"""
+
+SOURCE_CATALOG = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, true AS is_temporary, count(*) AS n_rows, least(5, count(*))::INTEGER AS sampled, true AS sample_is_of_table FROM {t}"
+    for t in TPCH_COLUMNS)
+
 RUN_SUMMARY = f"""
 SELECT run_id, CAST(count(*) AS BIGINT) AS total_cases, CAST(count(*) FILTER (WHERE passed) AS BIGINT) AS passed_cases,
        CAST(count(*) FILTER (WHERE NOT passed) AS BIGINT) AS failed_cases, 'completed' AS status
@@ -730,16 +784,17 @@ SELECT f.name AS source_file, o_orderstatus AS grp, count(*) AS n
 FROM orders, (VALUES ('orders.parquet'), ('data')) f(name) GROUP BY f.name, o_orderstatus
 UNION ALL SELECT 'nations.json', CAST(n_regionkey AS VARCHAR), count(*) FROM nation GROUP BY n_regionkey"""
 
-_DOCUMENTS = [("customer.csv", "customer", True, False), ("orders.tsv", "orders", True, False), ("lineitem.csv", "lineitem", False, False),
-              ("part.csv", "part", True, True), ("supplier.txt", "supplier", True, False)]
+# document, its table, the table's key; whether the document has the key column, whether it has cells with line breaks
+_DOCUMENTS = [("customer.csv", "customer", "c_custkey", True, False), ("orders.tsv", "orders", "o_orderkey", True, False),
+              ("lineitem.csv", "lineitem", "l_orderkey", False, False), ("part.csv", "part", "p_partkey", True, True),
+              ("supplier.txt", "supplier", "s_suppkey", True, False)]
 
 MAPPING_DOCS_MIXED = " UNION ALL ".join(f"""
-SELECT '{d}' AS document, count(*) AS fields, {"1" if keys else "0"}::BIGINT AS keys,
-       (1 + count(*) FILTER (WHERE data_type = 'DOUBLE'))::BIGINT AS rules,
-       {"count(*) // 2" if note else "0"}::BIGINT AS with_line_break, NULL::VARCHAR AS error,
-       (SELECT count(*) FROM {t}) AS source_rows
-FROM information_schema.columns WHERE table_name = '{t}'""" for d, t, keys, note in _DOCUMENTS) + """
-UNION ALL SELECT 'region.csv', 0, 0, 0, 0, 'no line of the document holds two known header names', (SELECT count(*) FROM region)"""
+SELECT '{d}' AS document, count(*) AS fields, count(*) FILTER (WHERE {has_keys} AND {k} % 7 = 0) AS keys,
+       count(*) FILTER (WHERE {k} % 3 < 2) AS rules, count(*) FILTER (WHERE NOT {noted} OR {k} % 2 = 0) AS direct,
+       count(*) FILTER (WHERE {noted} AND {k} % 2 = 1) AS with_line_break, NULL::VARCHAR AS error
+FROM {t}""" for d, t, k, has_keys, noted in _DOCUMENTS) + """
+UNION ALL SELECT 'region.csv', 0, 0, 0, 0, 0, 'no line of the document holds two known header names'"""
 
 _RULE_CHECKS = [
     ("R0 null_check fact_orders.order_sk", "order_sk IS NULL"), ("R2 dq_check fact_orders.total_amt (>1000)", "NOT (total_amt > 1000)"),
@@ -975,4 +1030,9 @@ ORACLE_SQL = {
     "run_page": RUN_PAGE,
     "pass_rate": PASS_RATE,
     "dashboard": DASHBOARD,
+    "related_by_name": RELATED_BY_NAME,
+    "report_csv": REPORT_CSV,
+    "parse_summary": PARSE_SUMMARY,
+    "connector_usage": CONNECTOR_USAGE,
+    "source_catalog": SOURCE_CATALOG,
 }
