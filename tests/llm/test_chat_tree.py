@@ -81,3 +81,13 @@ def test_loss_mask_covers_only_assistant_text():
     ids, (a, b) = coded[1]
     assert coded[0][1] == (0, 0) and ids[0] == c.START and ids[b] == c.END and np.sum(np.array(ids) >= c.START) == 2
     assert c.unescape(c._tokenizer(VOCABULARY).decode(ids[a:b], skip_special_tokens=False)) == AWKWARD
+
+
+def test_very_long_conversations_and_many_copies(spark):
+    """3,000 turns, a text of 300,000 characters, and 500 copies of one conversation."""
+    long = [(("user", "assistant")[k % 2], f"turn {k}") for k in range(3_000)]
+    convs = {1: long, 2: long[:-1] + [("assistant", "other end")], 3: [("user", "x"), ("assistant", "so many words " * 21_000)]}
+    convs |= {100 + i: [("user", "same"), ("assistant", "again")] for i in range(500)}
+    df = spark.createDataFrame([(i, k, r, t) for i, turns in convs.items() for k, (r, t) in enumerate(turns)], SCHEMA)
+    got = {r["conv_id"]: tuple(r)[1:] for r in c.round_trip(df, VOCABULARY).collect()}
+    assert got == {i: want(t) for i, t in convs.items()}
