@@ -26,7 +26,10 @@ are not read.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.common import run_folder
+from concord.llm.textarrays import trim
 
 START_MARK, END_MARK = "<|im_start|>", "<|im_end|>"
 START, END = 50_257, 50_258
 ASSISTANT = "assistant"
 PACK_TOKENS = 32_768
 ROWS = 256  # paths that are encoded together
+CHARS = 1 << 18  # characters that are encoded together, or one longer text
 
 PACKS = """pack string, ids array<int>, positions array<int>, loss array<boolean>,
 nodes array<struct<parent: int, start: int, stop: int, attend: array<struct<start: int, stop: int>>>>,
@@ -75,6 +80,7 @@ _tokenizers: dict = {}
 
 def _tokenizer(path: str):
     if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work; threads would each keep memory
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
@@ -96,7 +102,7 @@ class _Pack:
     def __init__(self):
         self.ids, self.positions, self.loss, self.nodes, self.leaves, self.n = [], [], [], [], [], 0
 
-    def add(self, parent: int, ids: list[int], body: tuple[int, int]) -> int:
+    def add(self, parent: int, ids: array, body: tuple[int, int]) -> int:
         at = self.nodes[parent]["end_position"] if parent >= 0 else 0
         loss = np.zeros(len(ids), bool)
         loss[body[0]: body[1]] = True
@@ -118,14 +124,25 @@ class _Pack:
                 "loss": np.concatenate(self.loss), "nodes": nodes, "leaves": self.leaves}
 
 
-def _encode(tokenizer, turns: list[tuple[str, str]]) -> list[tuple[list[int], tuple[int, int]]]:
+def _ids(tokenizer, texts: list[str]) -> Iterator[array]:
+    """The ids of each text, encoded CHARS characters at a time: what the library notes of
+    each token besides its id is many times the text."""
+    lo, size = 0, 0
+    for hi, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= CHARS or hi == len(texts):
+            for e in tokenizer.encode_batch_fast(texts[lo:hi], add_special_tokens=False):
+                yield array("i", e.ids)
+            lo, size = hi, 0
+
+
+def _encode(tokenizer, turns: list[tuple[str, str]]) -> list[tuple[array, tuple[int, int]]]:
     """Each turn's ids, and where its loss lies in them."""
-    parts = [x for r, t in turns for x in (escape_role(r) + "\n", escape(t))]
-    got = [e.ids for e in tokenizer.encode_batch([*parts, "\n"], add_special_tokens=False)]
-    out = []
-    for i, (role, _) in enumerate(turns):
-        head, body = [START, *got[2 * i]], got[2 * i + 1]
-        out.append((head + body + [END, *got[-1]], (len(head), len(head) + len(body)) if role == ASSISTANT else (0, 0)))
+    got = _ids(tokenizer, ["\n", *(x for r, t in turns for x in (escape_role(r) + "\n", escape(t)))])
+    tail, out = array("i", [END]) + next(got), []
+    for role, _ in turns:
+        head, body = array("i", [START]) + next(got), next(got)
+        out.append((head + body + tail, (len(head), len(head) + len(body)) if role == ASSISTANT else (0, 0)))
     return out
 
 
@@ -164,6 +181,8 @@ def packs(distinct_paths: DataFrame, vocabulary: str, pack_tokens: int = PACK_TO
                     yield _rows(out)
         if pack.leaves:
             yield _rows([pack.row()])
+        del pack, before, stack
+        trim()
 
     # Shared turns come together by the turns' hashes; the range is cut by the first KEY_TURNS of
     # them, so that sampled keys stay small however long conversations are.
@@ -212,6 +231,7 @@ def read_paths(packs_: DataFrame, vocabulary: str) -> DataFrame:
                     got.append((leaf["path"], len(line), hashlib.sha256(b"".join(x[0] for x in line)).hexdigest(), len(learnt),
                                 hashlib.sha256(learnt.encode()).hexdigest(), sum(x[2] for x in line)))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got)], names=["path", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        trim()
 
     return packs_.mapInArrow(run, "path string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
