@@ -9,9 +9,10 @@ they have; files do not.  Two level-wise searches find them:
   first (HyperLogLog counts of single columns, ``SIGMAS`` standard errors of slack).
   The next sift takes the rows whose most distinct column has a hash below a limit that
   leaves about ``ROWS`` of them: equal tuples share it, so all copies of a tuple are
-  there or none, and most combinations show a repeat.  Only what is left is
-  tested on all rows: one aggregation of (combination, 128 bits of the tuple)
-  for all tables.
+  there or none, and most combinations show a repeat (tables of over ``WHOLE_ROWS``
+  rows: then of ``RESIFT`` times as many).  Only what is left is tested on all rows:
+  by an aggregation of (combination, 128 bits of the tuple), of large tables by
+  sorted blocks of 5 bytes a row; where such keys repeat, the 128 bits of those rows decide.
 * ``inclusion_dependencies`` - which columns, and which pairs of columns, hold
   only values of others, whatever their names.  Column pairs of one type family
   must pass bounds (minimum, maximum, distinct count) and a coordinated sample:
@@ -32,6 +33,8 @@ import itertools
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +47,12 @@ SAMPLE = 512
 ROWS = 20_000
 SKETCHES_AT_ONCE = 32  # HyperLogLog counts of one aggregate
 HASHES = 1 << 62
+WHOLE_ROWS = 1 << 20  # tables of more rows are tested by sorted blocks of keys
+RESIFT = 64  # times ROWS, of their second sample
+RANGE_ROWS = 1 << 17  # of a table in a range of keys, about
+REPEATS = 8  # repeated keys told of a range
+BLOCK_ENTRIES = 1 << 22  # rows times combinations of a block, and of a task that sorts ranges
+SCAN_COMBOS = 16  # combinations of one scan
 
 
 def _plain(df: DataFrame) -> list[str]:
@@ -95,20 +104,27 @@ def _distinct_estimates(tables: dict[str, DataFrame], combos: list[Combination])
     return {ids[r["id"]]: r["d"] for r in _union(parts).collect()} if parts else {}
 
 
-def _unique(tables: dict[str, DataFrame], combos: list[Combination], sample: dict[Combination, tuple[str, int]] | None = None) -> list[Combination]:
-    """The combinations that no two rows share: every row of every combination in one
-    aggregation with map-side combining, so a frequent tuple is a row a task.
-    ``sample`` gives a combination's column and limit: only rows with a lesser hash of
-    that column take part, and with them all rows that could repeat them."""
+Sample = dict[Combination, tuple[str, int]]
+
+
+def _drawn(df: DataFrame, column: str, below: int) -> DataFrame:
+    """The rows with a hash of ``column`` below the limit, and with them all rows that could
+    repeat them, and an eighth as many at random (they show frequent tuples)."""
+    if below >= HASHES:
+        return df
+    return df.where((F.pmod(F.xxhash64(_value(df, column)), F.lit(HASHES)) < below) | (F.rand(7) < below / HASHES / 8))
+
+
+def _tuples(tables: dict[str, DataFrame], combos: list[Combination], size: int, sample: Sample | None = None) -> list[DataFrame]:
+    """Every row of every combination as ``id`` (its place in ``combos``) and 128 bits of
+    the tuple, padded to ``size`` columns by its last one.  ``sample`` gives a combination's
+    column and limit: only the rows drawn by it take part."""
     parts = []
     ids = dict(enumerate(combos))
     drawn = lambda i: (sample or {}).get(ids[i], ("", HASHES))
     for (t, column, below), group in itertools.groupby(sorted(ids, key=lambda i: (ids[i][0], drawn(i))), key=lambda i: (ids[i][0], *drawn(i))):
-        group, df = list(group), tables[t]
-        if below < HASHES:
-            df = df.where(F.pmod(F.xxhash64(_value(df, column)), F.lit(HASHES)) < below)
+        group, df = list(group), _drawn(tables[t], column, below)
         names = sorted({c for i in group for c in ids[i][1]})
-        size = max(len(ids[i][1]) for i in group)
         # Columns are hashed once; a combination is a constant row of their places (the last
         # one repeated), so the code that is generated does not grow with the combinations.
         places = [[names.index(c) for c in ids[i][1]] for i in group]
@@ -117,11 +133,100 @@ def _unique(tables: dict[str, DataFrame], combos: list[Combination], sample: dic
         second = F.array(*[F.xxhash64(F.lit("second"), _value(df, c)) for c in names])
         rows = df.select(first.alias("f"), second.alias("s")).select("f", "s", F.inline(each))
         parts.append(rows.select("id", *[F.xxhash64(*[F.get(c, F.col(f"p{k}")) for k in range(size)]).alias(h) for c, h in (("f", "h1"), ("s", "h2"))]))
-    if not parts:
+    return parts
+
+
+def _shared(rows: DataFrame) -> set[int]:
+    """The ids of combinations with a tuple of two rows or more: one aggregation with
+    map-side combining, so a frequent tuple is a row a task."""
+    per = rows.groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    return {r["id"] for r in per.groupBy("id").agg(F.max("n").alias("n")).where("n > 1").collect()}
+
+
+def _unique(tables: dict[str, DataFrame], combos: list[Combination], sample: Sample | None = None) -> list[Combination]:
+    """The combinations that no two rows (of the sample) share."""
+    if not combos:
+        return []
+    shared = _shared(_union(_tuples(tables, combos, max(len(cols) for _, cols in combos), sample)))
+    return [x for i, x in enumerate(combos) if i not in shared]
+
+
+def _repeated_keys(df: DataFrame, combos: dict[int, tuple[str, ...]], size: int, n: int, bits: int) -> DataFrame:
+    """``id, key, more``: keys (the leading ``bits`` + 40 bits of the first hash of ``_tuples``) that
+    two rows or more of a combination have, at most ``REPEATS`` of each range of keys; ``more``: there
+    are others.  Tasks send sorted blocks of 5 bytes a row, which a row of the shuffle holds by
+    the thousand, and every range is sorted by itself."""
+    ids, ranges, entries, repeats = list(combos), 1 << bits, BLOCK_ENTRIES, REPEATS
+    places = {c: k for k, c in enumerate(sorted({c for cols in combos.values() for c in cols}))}
+    hashed = df.select(F.array(*[F.xxhash64(_value(df, c)) for c in places]).alias("f"))
+    wide = hashed.select(*[F.xxhash64(*[F.get("f", F.lit(places[cols[min(k, len(cols) - 1)]])) for k in range(size)]).alias(f"h{i}") for i, cols in combos.items()])
+
+    def pack(batches):
+        def block(held):
+            for k, i in enumerate(ids):
+                key = np.sort(np.concatenate([h[k] for h in held]).view(np.uint64) >> np.uint64(24 - bits))
+                key = key[np.append(np.ones(min(2, len(key)), bool), key[2:] != key[:-2])]  # two of a kind tell all
+                cuts = 5 * np.searchsorted(key >> np.uint64(40), np.arange(ranges + 1, dtype=np.uint64))
+                data = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+                some = np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i, np.int32)), pa.array(some.astype(np.int32)),
+                                                  pa.array([data[cuts[r]: cuts[r + 1]] for r in some], pa.binary())], names=["id", "part", "data"])
+
+        held, n_held = [], 0
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            n_held += batch.num_rows * len(ids)
+            if n_held >= entries:
+                yield from block(held)
+                held, n_held = [], 0
+        if n_held:
+            yield from block(held)
+
+    def find(batches):
+        held: dict[tuple[int, int], list[bytes]] = {}
+        for batch in batches:
+            for i, r, data in zip(*[c.to_pylist() for c in batch.columns]):
+                held.setdefault((i, r), []).append(data)
+        for (i, r), parts in held.items():
+            raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 5)
+            low = np.zeros((len(raw), 8), np.uint8)
+            low[:, :5] = raw
+            low = np.sort(low.view("<u8").ravel())
+            again = np.unique(low[1:][low[1:] == low[:-1]])
+            if len(again):
+                key = (again[:repeats] | np.uint64(r << 40)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(key), pa.array([len(again) > repeats] * len(key))], names=["id", "key", "more"])
+
+    tasks = max(1, n * len(ids) // BLOCK_ENTRIES)
+    blocks = wide.mapInArrow(pack, "id int, part int, data binary").repartition(tasks, "id", "part")
+    return blocks.mapInArrow(find, "id int, key bigint, more boolean")
+
+
+def _unique_whole(tables: dict[str, DataFrame], combos: list[Combination], rows: dict[str, int], sample: Sample | None = None) -> list[Combination]:
+    """As ``_unique``, for large tables with a fifth of the shuffle: rows without a repeated
+    key are unique; the few rows of a repeated one are compared by 128 bits."""
+    if not combos:
         return []
-    per = _union(parts).groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-    shared = {r["id"] for r in per.groupBy("id").agg(F.max("n").alias("n")).where("n > 1").collect()}
-    return [x for i, x in ids.items() if i not in shared]
+    size = max(len(cols) for _, cols in combos)
+    out = set(_unique(tables, [x for x in combos if rows[x[0]] <= WHOLE_ROWS], sample))
+    drawn = lambda x: (x[0], *(sample or {}).get(x, ("", HASHES)))
+    for (t, column, below), group in itertools.groupby(sorted((x for x in combos if rows[x[0]] > WHOLE_ROWS), key=drawn), key=drawn):
+        mine, n = list(group), max(1, rows[t] * below // HASHES)
+        bits = min(24, max(1, math.ceil(math.log2(max(2, n / RANGE_ROWS)))))
+        df = _drawn(tables[t], column, below)
+        again = [r for some in _parts(list(enumerate(mine)), SCAN_COMBOS)
+                 for r in _repeated_keys(df, {i: cols for i, (_, cols) in some}, size, n, bits).collect()]
+        suspect = sorted({r["id"] for r in again})
+        out.update(x for i, x in enumerate(mine) if i not in suspect)
+        if suspect:
+            tuples = _union(_tuples(tables, [mine[i] for i in suspect], size, sample)).withColumn("key", F.shiftrightunsigned("h1", 24 - bits))
+            keys = df.sparkSession.createDataFrame([(suspect.index(r["id"]), r["key"]) for r in again], "id int, key bigint")
+            shared = _shared(tuples.join(F.broadcast(keys), ["id", "key"]))
+            others = {r["id"] for r in again if r["more"]}
+            left = [i for k, i in enumerate(suspect) if k not in shared]
+            out.update(mine[i] for i in left if i not in others)
+            out.update(_unique(tables, [mine[i] for i in left if i in others], sample))  # keys met by chance, too many to list
+    return [x for x in combos if x in out]
 
 
 @dataclass
@@ -160,8 +265,13 @@ def find_keys(tables: dict[str, DataFrame], max_size: int = 3) -> KeySearch:
         left = _unique(tables, combos, sample)
         whole = [x for x in left if below[x[0]] == HASHES]  # every row was in the sample
         rest = [x for x in left if below[x[0]] < HASHES]
+        # A table of many rows is sifted once more: testing one combination on all rows costs more.
+        n_rows = {t: r["n"] for t, r in rows.items()}
+        again = [x for x in rest if n_rows[x[0]] > WHOLE_ROWS and RESIFT * sample[x][1] < HASHES]
+        refuted = set(again) - set(_unique_whole(tables, again, n_rows, {x: (sample[x][0], RESIFT * sample[x][1]) for x in again}))
+        rest = [x for x in rest if x not in refuted]
         tested += len(rest)
-        whole += _unique(tables, rest)
+        whole += _unique_whole(tables, rest, n_rows)
         found += sorted(whole, key=combos.index)
     return KeySearch([(t, cols, rows[t]["n"]) for t, cols in found], looked, bounded, tested)
 
@@ -314,7 +424,7 @@ def inclusion_dependencies(spark: SparkSession, tables: dict[str, DataFrame], ma
     be a foreign key to it."""
     search = find_inclusions(tables, max_columns)
     parents = sorted({p for (_, p), _ in search.found})
-    unique = set(_unique(tables, parents))
+    unique = set(_unique_whole(tables, parents, {t: tables[t].count() for t in {x[0] for x in parents}}))
     rows = [(c[0], ",".join(c[1]), p[0], ",".join(p[1]), len(c[1]), n, p in unique) for (c, p), n in search.found]
     return spark.createDataFrame(sorted(rows), "child_table string, child_columns string, parent_table string, parent_columns string, "
                                                "n_columns int, child_distinct bigint, parent_unique boolean")

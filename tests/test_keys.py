@@ -38,6 +38,24 @@ def test_minimal_keys_equal_all_combinations(spark, monkeypatch, sample):
     assert not [r for r in got if r["table_name"] == "empty"]
 
 
+def test_large_tables_are_tested_by_blocks_of_keys(spark, monkeypatch):
+    for name, value in (("ROWS", 10), ("RESIFT", 2), ("WHOLE_ROWS", 20), ("RANGE_ROWS", 8), ("REPEATS", 1), ("BLOCK_ENTRIES", 64), ("SCAN_COMBOS", 2)):
+        monkeypatch.setattr(keys, name, value)
+    pairs = [r for r in itertools.product(range(30), range(20), range(2))]
+    rows = [(a, b, c, 40 * a + 2 * b + c) for a, b, c in pairs] + [(30, b, 2, 1200 + b) for b in range(5)] + [(30, 6, 2, 1204)]
+    tables = {"t": spark.createDataFrame(rows, "a int, b int, c int, d int"), "u": spark.createDataFrame(rows[:-1], "a int, b int, c int, d int")}
+    got = keys.composite_keys(spark, tables).collect()
+    want = {(t, k) for t, r in (("t", rows), ("u", rows[:-1])) for k in brute_keys(r, "abcd")}
+    assert {(r["table_name"], r["key_columns"]) for r in got} == want and ("t", "a,b,c") in want
+    # One range and all combinations at once shuffle a row of blocks, not a row of each tuple.
+    blocks = keys._repeated_keys(spark.range(1000).selectExpr("id % 999 AS a", "id AS b"), {0: ("a",), 1: ("b",)}, 1, 1000, 1).collect()
+    assert [(r["id"], r["more"]) for r in blocks] == [(0, False)]
+    # Keys that meet by chance are no repeats.
+    fake = spark.createDataFrame([(0, 5, True), (1, 5, False)], "id int, key bigint, more boolean")
+    monkeypatch.setattr(keys, "_repeated_keys", lambda *a: fake)
+    assert keys._unique_whole({"u": tables["u"]}, [("u", ("d",)), ("u", ("a", "b", "c"))], {"u": len(rows) - 1}) == [("u", ("d",)), ("u", ("a", "b", "c"))]
+
+
 def test_key_values_of_other_types_and_samples_prune(spark, monkeypatch):
     df = spark.createDataFrame([(float(i % 10), f"n{i // 10}", i % 2 == 0, [i]) for i in range(100)], "d double, s string, b boolean, a array<int>")
     zeros = spark.createDataFrame([(0.0, 1), (-0.0, 1)], "d double, k int")
