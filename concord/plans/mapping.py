@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,7 +81,8 @@ def _from_cell_arrays(lines: DataFrame) -> DataFrame:
     scored = lines.withColumn("__hits", hits)
     header = scored.groupBy("document").agg(F.max_by("cells", "__hits").alias("__header"), F.max("__hits").alias("__h"))
     known_header = F.col("__h") >= 2
-    rows = scored.join(header, "document").where(known_header & (F.col("cells") != F.col("__header")))
+    # A short row a document: the lines stay where they are read.
+    rows = scored.join(F.broadcast(header), "document").where(known_header & (F.col("cells") != F.col("__header")))
     hdr_lower = F.transform("__header", lambda x: F.lower(x))
     out = [F.col("document")]
     for field in FIELDS:
@@ -100,16 +102,24 @@ def _documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _document_shapes(docs: DataFrame) -> list:
-    """(document, delimiter, most cells of a line) of each document, from its own
-    first line that is not blank."""
-    first = F.get(F.filter(F.split("text", "\r\n|\r|\n"), lambda x: F.trim(x) != ""), F.lit(0))
-    n = {d: F.length("first") - F.length(F.replace(F.col("first"), F.lit(d), F.lit(""))) for d in DELIMITER_CANDIDATES}
-    best, most = F.lit(DELIMITER_CANDIDATES[0]), F.coalesce(n[DELIMITER_CANDIDATES[0]], F.lit(0))
-    for d in DELIMITER_CANDIDATES[1:]:
-        best, most = F.when(n[d] > most, F.lit(d)).otherwise(best), F.greatest(most, n[d])
-    shaped = docs.select("document", "text", first.alias("first")).select("document", "text", best.alias("sep"))
-    cells = F.array_max(F.transform(F.split("text", "\r\n|\r|\n"), lambda x: F.length(x) - F.length(F.replace(x, F.col("sep"), F.lit("")))))
-    return shaped.select("document", "sep", (cells + 1).alias("width")).collect()  # one small row a document
+    """(document, is it a pipe table, delimiter, most cells of a line) of each document; the
+    delimiter from its own first line that is not blank."""
+    candidates = DELIMITER_CANDIDATES
+
+    def shapes(batches):
+        for batch in batches:
+            out = []
+            for document, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py() or ""
+                lines = re.split("\r\n|\r|\n", text)
+                first = next((x for x in lines if x.strip(" ")), "")
+                sep = max(candidates, key=first.count)  # the first of equals
+                out.append((document, text.lstrip(" ").startswith("|"), sep, 1 + max(x.count(sep) for x in lines)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["document", "pipe", "sep", "width"])
+
+    rows = docs.mapInArrow(shapes, "document string, pipe boolean, sep string, width bigint")
+    return rows.collect()  # one small row a document
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], delimiter: str | None = None) -> DataFrame:
@@ -118,8 +128,12 @@ def read_delimited(spark: SparkSession, path: str | list[str], delimiter: str |
     header and as many cells as its longest line has; quoted cells may hold
     the delimiter, line breaks and non-ASCII text.  Documents without a known
     header come back as rows with ``error``."""
+    return _delimited(spark, _document_shapes(_documents(spark, path)), delimiter)
+
+
+def _delimited(spark: SparkSession, shapes: list, delimiter: str | None = None) -> DataFrame:
     by_shape: dict[str, list] = {}
-    for r in _document_shapes(_documents(spark, path)):
+    for r in shapes:
         by_shape.setdefault(delimiter or r["sep"], []).append(r)
     lines = spark.createDataFrame([], "document string, cells array<string>")
     for sep, docs in sorted(by_shape.items()):
@@ -147,11 +161,11 @@ def read_pipe_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     """``.txt`` documents: pipe tables where the first line starts with a pipe,
     else delimited - each document by itself."""
-    docs = _documents(spark, path).select("document", F.ltrim("text").startswith("|").alias("pipe")).collect()
-    pipes, others = ([r["document"] for r in docs if r["pipe"] == x] for x in (True, False))
+    shapes = _document_shapes(_documents(spark, path))  # the one pass over whole texts
+    pipes, others = [r["document"] for r in shapes if r["pipe"]], [r for r in shapes if not r["pipe"]]
     if not pipes:
-        return read_delimited(spark, path)
-    return read_pipe_tables(spark, pipes).unionByName(read_delimited(spark, others)) if others else read_pipe_tables(spark, pipes)
+        return _delimited(spark, others)
+    return read_pipe_tables(spark, pipes).unionByName(_delimited(spark, others)) if others else read_pipe_tables(spark, pipes)
 
 
 def field_mappings(rows: DataFrame) -> DataFrame:

@@ -85,3 +85,14 @@ def test_run_counters(spark, results):
     row = report.run_counters(df).collect()[0]
     assert row["total_cases"] == len(res)
     assert row["failed_cases"] == 3  # geo row count, S006 value match, S006 range rule
+
+
+def test_documents_are_read_without_a_shuffle_of_their_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\n \nMapID;Src Table;Src Field\r\nA1;t;\"x;y\"\rA2;u;z\n", newline="")
+    (tmp_path / "b.txt").write_text("  | MapID | Src Table |\n|---|---|\n| B1 | t |\n")
+    (tmp_path / "c.csv").write_text("")
+    got = mapping.read_text_documents(spark, str(tmp_path))
+    assert sorted((r["map_id"], r["source_table"], r["source_column"]) for r in got.collect()) == [("A1", "t", "x;y"), ("A2", "u", "z"), ("B1", "t", None)]
+    cells = spark.createDataFrame([("d", ["MapID", "Key"]), ("d", ["1", "y"]), ("e", ["no"])], "document string, cells array<string>")
+    plan = mapping._from_cell_arrays(cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
