@@ -5,8 +5,8 @@ Words (runs of letters and digits, in small letters) are hashed into
 pass counts in how many passages each term stands.  Terms of more than ``COMMON`` of
 all passages (and 20 more) carry no topic and weigh nothing; the others weigh
 their IDF, folded by a second hash into ``COLUMNS`` columns: that is the TF-IDF
-matrix A.  A second pass does a randomised SVD: every task adds up Y'A and Y'Y,
-with Y = A * Omega for a fixed Gaussian Omega of ``SKETCH`` columns, and the sums
+matrix A.  A second pass does a randomised SVD: every task adds up A'A over its passages
+and makes Y'A and Y'Y of it, with Y = A * Omega for a fixed Gaussian Omega of ``SKETCH`` columns, and their sums
 give the ``RANK`` leading right singular vectors.  Tasks send sums of fixed size,
 added up in blocks of columns, lanes of tasks first; only COLUMNS x SKETCH numbers reach the driver.
 All passages of all documents take part.
@@ -186,31 +186,29 @@ def _gram_sums(texts: DataFrame, space: Space) -> tuple[np.ndarray, np.ndarray]:
 
     def add(batches):
         sp = shared.value
-        ya, yy = np.zeros((COLUMNS, SKETCH), np.float32), np.zeros((SKETCH, SKETCH))
+        # Y'A = Omega'(A'A) and Y'Y = Omega'(A'A)Omega: only pairs of words of one passage are added up.
+        pairs, own_square = np.zeros(COLUMNS * COLUMNS, np.float32), np.zeros(COLUMNS)
         for batch in batches:
-            for _, h, first in _terms(batch.column(0), 2 * TEXT_BYTES):  # more words of a column at once
-                if not len(h):
-                    continue
-                s = _starts(first, PASSAGE)
-                y = sp.sums(h, s, sp.latent)
-                yy += y.T @ y
+            for _, h, first in _terms(batch.column(0), 2 * TEXT_BYTES):
                 w = sp.weight[_term(h)]
                 some = np.flatnonzero(w)
                 if not len(some):
                     continue
-                column = _column(h[some]).astype(np.int16)
-                order = np.argsort(column, kind="stable")
-                seen, at = np.unique(column[order], return_index=True)
-                own = np.searchsorted(s, some, "right") - 1
-                # One sketch column after another: the arrays stay as small as the block's words.
-                own, weight = own[order], w[some][order]
-                added, each = np.empty((SKETCH, len(at)), np.float32), np.empty(len(some), np.float32)
-                for k, column_of_y in enumerate(np.ascontiguousarray(y.T)):
-                    np.take(column_of_y, own, out=each)
-                    np.multiply(each, weight, out=each)
-                    np.add.reduceat(each, at, out=added[k])
-                ya[seen] += added.T
-        yield _blocks_of(ya.astype("f8"))
+                column, weight = _column(h[some]), w[some]
+                own = np.searchsorted(_starts(first, PASSAGE), some, "right")
+                own_square += np.bincount(column, weight.astype(float) ** 2, COLUMNS)
+                at = np.arange(len(some))  # the words with another one of their passage so far behind
+                for lag in range(1, PASSAGE):
+                    at = at[at < len(some) - lag]
+                    at = at[own[at + lag] == own[at]]
+                    if not len(at):
+                        break
+                    np.add.at(pairs, column[at] * COLUMNS + column[at + lag], weight[at] * weight[at + lag])
+        pairs = pairs.reshape(COLUMNS, COLUMNS)
+        ya = (pairs @ sp.latent + pairs.T @ sp.latent + own_square[:, None] * sp.latent).astype("f8")
+        yy = sp.latent.T.astype("f8") @ ya
+        del pairs
+        yield _blocks_of(ya)
         yield pa.RecordBatch.from_arrays([pa.array([SUM_BLOCKS], pa.int32()), pa.array([yy.tobytes()], pa.binary())], names=["block", "data"])
         ta.trim()
 
@@ -285,6 +283,8 @@ class Side:
     pieces: list[dict]
     unit: np.ndarray  # their directions in the latent space
     slots: np.ndarray  # (pieces, SLOTS): the weight of a piece's uncommon words
+    all_slots: np.ndarray  # (pieces, SLOTS): of all its words
+    all_need: np.ndarray
     need: np.ndarray  # the weight of uncommon words without which PARAPHRASE cannot be reached
     reach: np.ndarray
     cosine: float
@@ -293,12 +293,14 @@ class Side:
 def side_of(n_steps: int, pieces: list[dict], space: Space) -> Side | None:
     if not pieces:
         return None
-    slots, need = np.zeros((len(pieces), SLOTS), np.float32), []
+    slots, all_slots = np.zeros((2, len(pieces), SLOTS), np.float32)
+    need = []
     for i, p in enumerate(pieces):
         rare = space.weight[_term(p["h"])] > 0
         np.add.at(slots[i], _slot(p["h"][rare]), p["weight"][rare])
+        np.add.at(all_slots[i], _slot(p["h"]), p["weight"])
         need.append(PARAPHRASE * p["weight"].sum() - p["weight"][~rare].sum())
-    return Side(n_steps, pieces, _unit(np.array([p["vector"] for p in pieces])), slots, np.array(need), np.array([len(p["h"]) for p in pieces]),
+    return Side(n_steps, pieces, _unit(np.array([p["vector"] for p in pieces])), slots, all_slots, np.array([p["need"] for p in pieces]), np.array(need), np.array([len(p["h"]) for p in pieces]),
                 COSINE_SHORT if pieces[0]["short"] else COSINE)
 
 
@@ -320,29 +322,42 @@ def _search(h: np.ndarray, first: np.ndarray, space: Space, sides: list[Side], e
     s = _starts(first, STEP)
     step = space.sums(h, s, space.latent)
     owner = np.searchsorted(first, s, "right") - 1
-    rare = np.flatnonzero(space.weight[_term(h)])
-    rare_slot = _slot(h[rare])
+    uncommon = space.weight[_term(h)] > 0
+    rare_before = np.append(0, np.cumsum(uncommon))
+    slot = _slot(h)
+    rare_slot = slot[uncommon]
     for side in sides:
         window = step.copy()
         for k in range(1, side.n_steps):
             same = owner[k:] == owner[:-k]
             window[:-k][same] += step[k:][same]
         window = _unit(window)
-        some, flat = max(64, COSINES // len(side.pieces)), side.slots.ravel()
+        some = max(64, COSINES // len(side.pieces))
         for lo in range(0, len(window), some):
             cosine = window[lo: lo + some] @ side.unit.T
             w, p = np.nonzero(cosine >= side.cosine)
-            cos = cosine[w, p]
-            a = np.maximum(first[owner[lo + w]], s[lo + w] - side.reach[p])
-            b = np.minimum(first[owner[lo + w] + 1], s[lo + w] + side.n_steps * STEP + side.reach[p])
-            # An upper bound of the common words' weight, for all candidates at once.
-            ra, rb = np.searchsorted(rare, a), np.searchsorted(rare, b)
-            n = rb - ra
-            which = np.repeat(np.arange(len(n)), n)
-            at = np.arange(n.sum()) + np.repeat(ra - (np.cumsum(n) - n), n)
-            bound = np.bincount(which, flat.take(np.repeat(p * SLOTS, n) + rare_slot.take(at)), minlength=len(n))
-            for i in np.flatnonzero(bound >= side.need[p] - 1e-4):
-                _align(found.setdefault(int(owner[lo + w[i]]), {}), side.pieces[p[i]], h[a[i]: b[i]], float(cos[i]), space)
+            if not len(w):
+                continue
+            cos, w = cosine[w, p], w + lo
+            a = np.maximum(first[owner[w]], s[w] - side.reach[p])
+            b = np.minimum(first[owner[w] + 1], s[w] + side.n_steps * STEP + side.reach[p])
+            # An upper bound of the common words' weight, for all candidates at once: sums of
+            # every piece's weight along the uncommon words around the windows.
+            ra, rb = rare_before[a], rare_before[b]
+            base = ra.min()
+            along = np.zeros((len(side.pieces), rb.max() - base + 1), np.float32)
+            np.cumsum(side.slots.take(rare_slot[base: rb.max()], axis=1), axis=1, out=along[:, 1:])
+            bound = along[p, rb - base] - along[p, ra - base]
+            left = np.flatnonzero(bound >= side.need[p] - 1e-2)
+            # Of what is left, a bound that takes every word of the piece once.
+            for at in (left[i: i + GROUP] for i in range(0, len(left), GROUP)):
+                n = b[at] - a[at]
+                which = np.repeat(np.arange(len(at)), n)
+                there = np.zeros((len(at), SLOTS), bool)
+                there[which, slot[np.arange(n.sum()) + np.repeat(a[at] - (np.cumsum(n) - n), n)]] = True
+                weight = np.where(there, side.all_slots[p[at]], 0).sum(1)
+                for i in at[weight >= side.all_need[p[at]] - 1e-2]:
+                    _align(found.setdefault(int(owner[w[i]]), {}), side.pieces[p[i]], h[a[i]: b[i]], float(cos[i]), space)
     for exact in exacts:
         _search_exact(h, first, space, exact, step, s, owner, found)
     return {d: [v for _, v in sorted(x.items())] for d, x in found.items() if x}
