@@ -33,6 +33,16 @@ def test_toxicity_held_out_accuracy_and_columns(spark):
     assert np.mean([i % 3 != 0 for (i,) in kept.select("doc_id").collect()]) > 0.95
 
 
+def test_toxicity_learns_from_long_texts_and_every_row(spark):
+    # All texts have over 2048 words; before, none of them was learnt from.
+    rows = [(i, prose(i, 2100) + (" zounds poltroon" if i % 3 == 0 else ""), "en", "s", 1) for i in range(240)]
+    docs, labels = spark.createDataFrame(rows, DOCS), labels_of(spark, [(i, 1, int(i % 3 == 0)) for i in range(240)])
+    learnt = toxicity_cnn.labelled_rows(docs.union(docs.limit(9)), labels, 3, 1, "text", "doc_id", "lang").count()
+    assert learnt == sum(fold(i, 3) != 1 for i in [*range(240), *(r["doc_id"] for r in docs.limit(9).collect())])
+    got = toxicity_cnn.toxicity_scores(docs, labels).collect()
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 3 == 0) for r in got]) > 0.95
+
+
 def test_quality_held_out_accuracy(spark):
     docs, labels = corpus(spark)
     got = quality_mil.quality_scores(with_clashes(docs), labels).collect()
