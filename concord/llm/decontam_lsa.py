@@ -73,7 +73,9 @@ KEYS = 0.8
 GROUP = 1024
 HITS_AT_ONCE = 1 << 21
 ITEMS = 8192
-COSINES = 1 << 19  # windows times items compared at once
+COSINES = 1 << 17  # windows times items compared at once
+PAIRS = 256  # candidates whose words are compared at once
+FEW = 8
 SUM_BLOCKS = 16
 SLOTS = 1024
 SEED = 11
@@ -110,17 +112,31 @@ class Space:
         """The weighted sum of ``table``'s rows over each run of words."""
         w = self.weight[_term(h)]
         some = np.flatnonzero(w)
-        out = np.zeros((len(starts), table.shape[1]), np.float32)
-        if len(some):
-            rows = w[some, None] * table[_column(h[some])]
-            run = np.searchsorted(starts, some, "right") - 1
-            first = np.flatnonzero(np.diff(run, prepend=-1))
-            # Runs are short: the first words of all runs are added, then the second ones, and so on.
-            rank = np.arange(len(some)) - np.repeat(first, np.diff(np.append(first, len(some))))
-            for k in range(rank.max() + 1):
-                at = np.flatnonzero(rank == k)
-                out[run[at]] += rows[at]
-        return out
+        return _added(np.searchsorted(starts, some, "right") - 1, len(starts), table, _column(h[some]), w[some])
+
+
+def _added(run: np.ndarray, n: int, table: np.ndarray, row: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """For each of ``n`` runs the sum of the rows of ``table`` that its members name, each times its
+    weight; ``run`` ascends. The first members of all runs are added, then the second ones, and so
+    on. The runs with the most members come first, so every turn adds to the front of the sums."""
+    size = np.bincount(run, minlength=n)
+    order = np.argsort(-size, kind="stable")
+    begin, size = (np.cumsum(size) - size)[order], size[order]
+    sums, each = np.zeros((2, n, table.shape[1]), np.float32)
+    for k in range(size.max(initial=0)):
+        m = int(np.searchsorted(-size, -k))  # runs of more than k members
+        if m <= FEW and k >= PASSAGE:  # a few long runs are left
+            for i in range(m):
+                at = slice(begin[i] + k, begin[i] + size[i])
+                sums[i] += table[row[at]].sum(0) if weight is None else weight[at] @ table[row[at]]
+            break
+        at = begin[:m] + k
+        rows = np.take(table, row[at], axis=0, out=each[:m], mode="clip")
+        if weight is not None:
+            rows *= weight[at, None]
+        sums[:m] += rows
+    each[order] = sums
+    return each
 
 
 def _starts(first: np.ndarray, width: int) -> np.ndarray:
@@ -200,16 +216,8 @@ def _gram_sums(texts: DataFrame, space: Space) -> tuple[np.ndarray, np.ndarray]:
                     continue
                 column = _column(h[some]).astype(np.int16)
                 order = np.argsort(column, kind="stable")
-                seen, at = np.unique(column[order], return_index=True)
                 own = np.searchsorted(s, some, "right") - 1
-                # One sketch column after another: the arrays stay as small as the block's words.
-                own, weight = own[order], w[some][order]
-                added, each = np.empty((SKETCH, len(at)), np.float32), np.empty(len(some), np.float32)
-                for k, column_of_y in enumerate(np.ascontiguousarray(y.T)):
-                    np.take(column_of_y, own, out=each)
-                    np.multiply(each, weight, out=each)
-                    np.add.reduceat(each, at, out=added[k])
-                ya[seen] += added.T
+                ya += _added(column[order], COLUMNS, y, own[order], w[some][order])
         yield _blocks_of(ya.astype("f8"))
         yield pa.RecordBatch.from_arrays([pa.array([SUM_BLOCKS], pa.int32()), pa.array([yy.tobytes()], pa.binary())], names=["block", "data"])
         ta.trim()
@@ -284,7 +292,7 @@ class Side:
     n_steps: int
     pieces: list[dict]
     unit: np.ndarray  # their directions in the latent space
-    slots: np.ndarray  # (pieces, SLOTS): the weight of a piece's uncommon words
+    slots: np.ndarray  # (SLOTS, pieces): the weight of a piece's uncommon words
     all_slots: np.ndarray  # (pieces, SLOTS): of all its words
     all_need: np.ndarray
     need: np.ndarray  # the weight of uncommon words without which PARAPHRASE cannot be reached
@@ -302,7 +310,7 @@ def side_of(n_steps: int, pieces: list[dict], space: Space) -> Side | None:
         np.add.at(slots[i], _slot(p["h"][rare]), p["weight"][rare])
         np.add.at(all_slots[i], _slot(p["h"]), p["weight"])
         need.append(PARAPHRASE * p["weight"].sum() - p["weight"][~rare].sum())
-    return Side(n_steps, pieces, _unit(np.array([p["vector"] for p in pieces])), slots, all_slots, np.array([p["need"] for p in pieces]), np.array(need), np.array([len(p["h"]) for p in pieces]),
+    return Side(n_steps, pieces, _unit(np.array([p["vector"] for p in pieces])), np.ascontiguousarray(slots.T), all_slots, np.array([p["need"] for p in pieces]), np.array(need), np.array([len(p["h"]) for p in pieces]),
                 COSINE_SHORT if pieces[0]["short"] else COSINE)
 
 
@@ -316,6 +324,19 @@ def weighted_lcs(item: np.ndarray, region: np.ndarray, weight: np.ndarray) -> fl
     return float(best[-1] / max(weight.sum(), 1e-9))
 
 
+def _sliding(x: np.ndarray, width: int) -> np.ndarray:
+    """The sum of ``width`` rows from each row on that has so many."""
+    n, at, size = len(x) - width + 1, 0, 1
+    out = np.zeros((n, x.shape[1]), np.float32)
+    while size <= width:  # x: sums of ``size`` rows
+        if width & size:
+            out += x[at: at + n]
+            at += size
+        x = x[:-size] + x[size:]
+        size *= 2
+    return out
+
+
 def _search(h: np.ndarray, first: np.ndarray, space: Space, sides: list[Side], exacts: list[Exact]) -> dict[int, list]:
     """text: [(item, cosine, lcs, answer)] of the block's texts."""
     found: dict[int, dict] = {}
@@ -324,10 +345,9 @@ def _search(h: np.ndarray, first: np.ndarray, space: Space, sides: list[Side], e
     s = _starts(first, STEP)
     step = space.sums(h, s, space.latent)
     owner = np.searchsorted(first, s, "right") - 1
-    uncommon = space.weight[_term(h)] > 0
-    rare_before = np.append(0, np.cumsum(uncommon))
+    rare = np.flatnonzero(space.weight[_term(h)])
     slot = _slot(h)
-    rare_slot = slot[uncommon]
+    rare_slot, rare_step = slot[rare], np.searchsorted(s, rare, "right") - 1
     for side in sides:
         window = step.copy()
         for k in range(1, side.n_steps):
@@ -337,29 +357,30 @@ def _search(h: np.ndarray, first: np.ndarray, space: Space, sides: list[Side], e
         some = max(64, COSINES // len(side.pieces))
         for lo in range(0, len(window), some):
             cosine = window[lo: lo + some] @ side.unit.T
-            w, p = np.nonzero(cosine >= side.cosine)
-            if not len(w):
+            near = cosine >= side.cosine
+            if not near.any():
                 continue
+            # An upper bound of the uncommon words' weight, for all windows and pieces at once: every
+            # piece's weight in each step, added up over the steps that the longest piece reaches.
+            n = -(-side.reach.max() // STEP)
+            low, high = lo - n, lo + len(near) + side.n_steps + n - 1
+            these = slice(*np.searchsorted(rare_step, [low, high]))
+            along = _sliding(_added(rare_step[these] - low, high - low, side.slots, rare_slot[these]), side.n_steps + 2 * n)
+            near &= along >= side.need - 1e-2
+            w, p = np.divmod(np.flatnonzero(near), near.shape[1])
             cos, w = cosine[w, p], w + lo
             a = np.maximum(first[owner[w]], s[w] - side.reach[p])
             b = np.minimum(first[owner[w] + 1], s[w] + side.n_steps * STEP + side.reach[p])
-            # An upper bound of the common words' weight, for all candidates at once: sums of
-            # every piece's weight along the uncommon words around the windows.
-            ra, rb = rare_before[a], rare_before[b]
-            base = ra.min()
-            along = np.zeros((len(side.pieces), rb.max() - base + 1), np.float32)
-            np.cumsum(side.slots.take(rare_slot[base: rb.max()], axis=1), axis=1, out=along[:, 1:])
-            bound = along[p, rb - base] - along[p, ra - base]
-            left = np.flatnonzero(bound >= side.need[p] - 1e-2)
-            # Of what is left, a bound that takes every word of the piece once.
-            for at in (left[i: i + GROUP] for i in range(0, len(left), GROUP)):
+            # Of what is left, a bound of all words' weight that takes every word of the piece once.
+            for i in range(0, len(w), PAIRS):
+                at = slice(i, i + PAIRS)
                 n = b[at] - a[at]
-                which = np.repeat(np.arange(len(at)), n)
-                there = np.zeros((len(at), SLOTS), bool)
-                there[which, slot[np.arange(n.sum()) + np.repeat(a[at] - (np.cumsum(n) - n), n)]] = True
-                weight = np.where(there, side.all_slots[p[at]], 0).sum(1)
-                for i in at[weight >= side.all_need[p[at]] - 1e-2]:
-                    _align(found.setdefault(int(owner[w[i]]), {}), side.pieces[p[i]], h[a[i]: b[i]], float(cos[i]), space)
+                which = np.repeat(np.arange(len(n)), n)
+                there = np.zeros((len(n), SLOTS), np.float32)
+                there[which, slot[np.arange(n.sum()) + np.repeat(a[at] - (np.cumsum(n) - n), n)]] = 1
+                weight = np.einsum("ij,ij->i", there, side.all_slots.take(p[at], axis=0))
+                for j in i + np.flatnonzero(weight >= side.all_need[p[at]] - 1e-2):
+                    _align(found.setdefault(int(owner[w[j]]), {}), side.pieces[p[j]], h[a[j]: b[j]], float(cos[j]), space)
     for exact in exacts:
         _search_exact(h, first, space, exact, step, s, owner, found)
     return {d: [v for _, v in sorted(x.items())] for d, x in found.items() if x}

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -147,3 +148,69 @@ def test_the_latent_search_finds_paraphrases_and_carries_the_result(spark):
         want, got = found([], exact(pieces)), found(sides, exact(dim))
         assert len(got & want) >= 0.9 * len(want) and len(want) > 100
         assert len(found([], exact(dim))) < 0.3 * len(want)
+
+
+def test_rows_are_added_by_run():
+    """Against one row at a time: empty runs, long ones at the end, with weights and without."""
+    r = np.random.default_rng(4)
+    table = r.normal(size=(30, 5)).astype(np.float32)
+    for n, members in ((1, 0), (7, 40), (50, 20), (3, 900), (20, 900)):
+        run = np.sort(r.integers(0, n, members))
+        row, weight = r.integers(0, 30, members), r.random(members).astype(np.float32)
+        for w in (None, weight):
+            want = np.zeros((n, 5))
+            np.add.at(want, run, table[row].astype(float) * (1 if w is None else w[:, None]))
+            assert np.allclose(m._added(run, n, table, row, w), want, atol=1e-3)
+
+
+def test_sliding_sums():
+    x = np.random.default_rng(5).integers(0, 9, (23, 4)).astype(np.float32)
+    for width in (1, 2, 5, 8, 16, 23):
+        assert (m._sliding(x, width) == [x[i: i + width].sum(0) for i in range(len(x) - width + 1)]).all()
+
+
+def searched():
+    """One block of texts, the pieces that the latent space shows and the space."""
+    rows = [t for _, t, *_ in planted()[0]] + ["", "one", ITEMS[3][1]]
+    lo, h, first = next(m._terms(m.pa.array(rows), 1 << 30))
+    df = np.bincount(m._term(np.unique(h)), minlength=m.TERMS).astype(float)
+    idf = np.where(df > 0, 6 - 3 * np.random.default_rng(1).random(m.TERMS), 7).astype(np.float32)
+    weight = idf.copy()
+    weight[[m._term(m._words_of(w))[0] for w in ("the", "of", "and", "to")]] = 0
+    space = m.Space(weight, idf, np.random.default_rng(2).normal(size=(m.COLUMNS, m.RANK)).astype(np.float32))
+    return h, first, space
+
+
+def test_the_sift_loses_no_candidate(spark):
+    """Every window at the cosine aligned without a sift gives the same leaks."""
+    h, first, space = searched()
+    for short in (True, False):
+        pieces = [p for p in m.pieces_of(ITEMS, space) if p["short"] == short]
+        side = m.side_of(2 if short else 4, pieces, space)
+        s = m._starts(first, m.STEP)
+        owner = np.searchsorted(first, s, "right") - 1
+        want = {}
+        for i in range(len(s)):
+            d = owner[i]
+            end = min(first[d + 1], s[i] + side.n_steps * m.STEP)
+            place = m._unit(space.sums(h[s[i]: end], np.array([0]), space.latent))[0]
+            for piece, cosine in zip(pieces, side.unit @ place):
+                if cosine >= side.cosine:
+                    n = len(piece["h"])
+                    m._align(want.setdefault(int(d), {}), piece, h[max(first[d], s[i] - n): min(first[d + 1], s[i] + side.n_steps * m.STEP + n)], float(cosine), space)
+        got = m._search(h, first, space, [side], [])
+        pairs = lambda x: {(d, v[0]): v[2:] for d, vs in x.items() for v in vs}
+        assert pairs(got) == pairs({d: list(x.values()) for d, x in want.items()}) and len(pairs(got)) >= 10
+
+
+def test_the_sift_takes_memory_by_window_not_by_word():
+    """The weights of pieces along the words of a block took 34 MB here."""
+    h, first, space = searched()
+    items = [(i, text(5000 + i, 40)) for i in range(300)] + ITEMS
+    side = m.side_of(4, [p for p in m.pieces_of(items, space) if not p["short"]], space)
+    m._search(h, first, space, [side], [])
+    tracemalloc.start()
+    m._search(h, first, space, [side], [])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
