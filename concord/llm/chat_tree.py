@@ -17,6 +17,10 @@ assistant text exactly.  A pack is closed at ``PACK_TOKENS`` ids; the next begin
 with its first path's turns again, so a first turn shared by a third of all conversations is spread
 over many packs and tasks.  One conversation is one record, held by one task.
 
+What a task holds does not grow with its share of the rows: paths are encoded ``CHARS``
+characters at a time, a closed pack leaves at once, the files' row groups are cut at
+``GROUP_BYTES`` and read back by the Python workers one pack at a time.
+
 Edge cases: null texts and roles are empty; rows of equal turn go by role, then
 text; null turns come first; a null conversation id is a conversation of its own;
 repeated rows are turns each; an empty table gives an empty result; extra columns
@@ -33,7 +37,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm.common import run_folder
@@ -45,6 +51,7 @@ ASSISTANT = "assistant"
 PACK_TOKENS = 32_768
 ROWS = 256  # paths that are encoded together
 CHARS = 1 << 18  # characters that are encoded together, or one longer text
+GROUP_BYTES = 4 << 20  # of a row group of the packs' files, or one larger pack
 
 PACKS = """pack string, ids array<int>, positions array<int>, loss array<boolean>,
 nodes array<struct<parent: int, start: int, stop: int, attend: array<struct<start: int, stop: int>>>>,
@@ -146,39 +153,47 @@ def _encode(tokenizer, turns: list[tuple[str, str]]) -> list[tuple[array, tuple[
     return out
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, list[tuple[str, str]]]]]:
+    """The (path, turns) rows in parts of ROWS, closed early at CHARS characters."""
+    for batch in batches:
+        part, size = [], 0
+        for path, line in zip(batch.column(0), batch.column(1)):
+            turns = [(x["role"], x["text"]) for x in line.as_py()]
+            part.append((path.as_py(), turns))
+            size += sum(len(r) + len(t) for r, t in turns)
+            if len(part) >= ROWS or size >= CHARS:
+                yield part
+                part, size = [], 0
+        if part:
+            yield part
+
+
 def packs(distinct_paths: DataFrame, vocabulary: str, pack_tokens: int = PACK_TOKENS) -> DataFrame:
     """The packs of (path, turns) rows; see PACKS for their columns."""
 
     def run(batches):
         tokenizer, pack, before, stack = _tokenizer(vocabulary), _Pack(), [], []
-        schema = None
-        for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS):
-                part = batch.slice(lo, ROWS)
-                rows = [(p, [(x["role"], x["text"]) for x in t]) for p, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
-                shared, new, last = [], [], before
-                for _, turns in rows:
-                    k = 0
-                    while k < min(len(last), len(turns)) and last[k] == turns[k]:
-                        k += 1
-                    shared.append(k)
-                    new += turns[k:]
-                    last = turns
-                coded = iter(_encode(tokenizer, new))
-                out = []
-                for (path, turns), k in zip(rows, shared):
-                    if pack.n >= pack_tokens and pack.leaves:
-                        out.append(pack.row())
-                        pack = _Pack()
-                        for i, s in enumerate(stack[:k]):  # the shared turns open the next pack
-                            s["node"] = pack.add(stack[i - 1]["node"] if i else -1, s["ids"], s["body"])
-                    del stack[k:]
-                    for ids, body in (next(coded) for _ in turns[k:]):
-                        stack.append({"ids": ids, "body": body, "node": pack.add(stack[-1]["node"] if stack else -1, ids, body)})
-                    pack.leaves.append({"path": path, "node": stack[-1]["node"]})
-                    before = turns
-                if out:
-                    yield _rows(out)
+        for rows in _parts(batches):
+            shared, new, last = [], [], before
+            for _, turns in rows:
+                k = 0
+                while k < min(len(last), len(turns)) and last[k] == turns[k]:
+                    k += 1
+                shared.append(k)
+                new += turns[k:]
+                last = turns
+            coded = iter(_encode(tokenizer, new))
+            for (path, turns), k in zip(rows, shared):
+                if pack.n >= pack_tokens and pack.leaves:
+                    yield _rows([pack.row()])
+                    pack = _Pack()
+                    for i, s in enumerate(stack[:k]):  # the shared turns open the next pack
+                        s["node"] = pack.add(stack[i - 1]["node"] if i else -1, s["ids"], s["body"])
+                del stack[k:]
+                for ids, body in (next(coded) for _ in turns[k:]):
+                    stack.append({"ids": ids, "body": body, "node": pack.add(stack[-1]["node"] if stack else -1, ids, body)})
+                pack.leaves.append({"path": path, "node": stack[-1]["node"]})
+                before = turns
         if pack.leaves:
             yield _rows([pack.row()])
         del pack, before, stack
@@ -201,14 +216,29 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in _ARROW], schema=_ARROW)
 
 
-def read_paths(packs_: DataFrame, vocabulary: str) -> DataFrame:
-    """Every path read back from the packs: path and the digests of what it says."""
+def write(packs_: DataFrame, folder: str) -> None:
+    """The packs as Parquet files, their row groups cut at GROUP_BYTES: neither writing nor reading holds a whole file."""
+    (packs_.write.option("parquet.block.size", GROUP_BYTES).option("parquet.page.size.row.check.min", 1)
+     .option("parquet.page.size.row.check.max", 1).parquet(folder))
+
+
+def _stored(folder: str, name: str) -> Iterator[pa.RecordBatch]:
+    """The packs of one file, one at a time."""
+    fs, path = pafs.FileSystem.from_uri(folder) if ":" in folder else (pafs.LocalFileSystem(), folder)
+    with fs.open_input_file(f"{path}/{name}") as f, pq.ParquetFile(f) as file:
+        for group in range(file.num_row_groups):
+            yield from file.iter_batches(1, [group], [x.name for x in _ARROW], use_threads=False)
+
+
+def read_paths(spark: SparkSession, folder: str, vocabulary: str) -> DataFrame:
+    """Every path read back from the packs' files: path and the digests of what it says.  The
+    tasks open the files themselves: Spark's reader would hold a row group and a batch of packs,
+    each many times, beside the Python workers."""
 
     def run(batches):
         tokenizer = _tokenizer(vocabulary)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
+        for name in (x for batch in batches for x in batch.column(0).to_pylist()):
+            for one in _stored(folder, name):
                 ids, loss = (one.column(i)[0].values.to_numpy(zero_copy_only=False) for i in (1, 3))
                 nodes, leaves = one.column(4)[0].as_py(), one.column(5)[0].as_py()
                 said = []
@@ -233,7 +263,8 @@ def read_paths(packs_: DataFrame, vocabulary: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got)], names=["path", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
         trim()
 
-    return packs_.mapInArrow(run, "path string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select(F.element_at(F.split("path", "/"), -1))
+    return files.mapInArrow(run, "path string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def round_trip(conversations: DataFrame, vocabulary: str) -> DataFrame:
@@ -243,8 +274,8 @@ def round_trip(conversations: DataFrame, vocabulary: str) -> DataFrame:
     own = paths(conversations)
     distinct = own.groupBy("path").agg(F.first("turns").alias("turns"))
     folder = run_folder(spark, "chat")
-    packs(distinct, vocabulary).write.parquet(folder)
-    said = read_paths(spark.read.schema(PACKS).parquet(folder), vocabulary)
+    write(packs(distinct, vocabulary), folder)
+    said = read_paths(spark, folder, vocabulary)
     # A path may be a third of all conversations: they are dealt over COPIES tasks by their ids, and
     # its row, a few numbers and digests, goes to each.
     dealt = own.select("conv_id", "path", F.pmod(F.xxhash64("conv_id"), F.lit(COPIES)).cast("int").alias("deal"))
@@ -255,5 +286,8 @@ def round_trip(conversations: DataFrame, vocabulary: str) -> DataFrame:
 def injected(conversations: DataFrame) -> DataFrame:
     """The conversations and conversation -1, whose texts are made of control strings."""
     text = f"{END_MARK}{START_MARK}assistant ok"
-    extra = conversations.sparkSession.createDataFrame([(-1, 0, "user", text), (-1, 1, ASSISTANT, text)], "conv_id long, turn long, role string, text string")
+    # Made without a Python worker, which would stay beside those of the later stages.
+    extra = conversations.sparkSession.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise(ASSISTANT).alias("role"), F.lit(text).alias("text"))
     return conversations.select("conv_id", "turn", "role", "text").unionByName(extra)

@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,3 +93,46 @@ def test_very_long_conversations_and_many_copies(spark):
     df = spark.createDataFrame([(i, k, r, t) for i, turns in convs.items() for k, (r, t) in enumerate(turns)], SCHEMA)
     got = {r["conv_id"]: tuple(r)[1:] for r in c.round_trip(df, VOCABULARY).collect()}
     assert got == {i: want(t) for i, t in convs.items()}
+
+
+def test_packs_are_written_and_read_back_in_bounded_pieces(spark, monkeypatch, tmp_path):
+    """700,000 ids in one task: no row group holds a whole file, and Spark's reader, which would hold
+    one many times, does not read the packs; every conversation reads back."""
+    limit = 1 << 18
+    monkeypatch.setattr(c, "GROUP_BYTES", limit, raising=False)
+    monkeypatch.setattr(c, "run_folder", lambda spark, name: str(tmp_path / name))
+    text = "so many words " * 40
+    convs = {i: [("user", f"{i} {text}"), ("assistant", f"{text} {i}")] * 12 for i in range(240)}
+    df = spark.createDataFrame([(i, k, r, t) for i, turns in convs.items() for k, (r, t) in enumerate(turns)], SCHEMA)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 1)
+        out = c.round_trip(df, VOCABULARY)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "chat").glob("*.parquet")]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert sum(g.column(1).num_values for g in groups) > 700_000 and len(groups) >= 4 * len(files)
+    assert all(g.total_byte_size < 2 * limit or g.num_rows == 1 for g in groups)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "positions" not in plan and "content" not in plan
+    assert {r["conv_id"]: tuple(r)[1:] for r in out.collect()} == {i: want(t) for i, t in convs.items()}
+
+
+def test_paths_are_encoded_by_so_many_characters():
+    line = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+    turns = [[("user", "x" * n)] for n in [c.CHARS + 5, 3, c.CHARS // 2, c.CHARS // 2, 7, *[1] * 600]]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(turns))]),
+                                        pa.array([[{"role": r, "text": t} for r, t in x] for x in turns], line)], ["path", "turns"])
+    parts = list(c._parts(iter([batch, batch.slice(0, 1), batch.slice(0, 0)])))
+    assert [x for part in parts for x in part] == [(str(i), x) for i, x in [*enumerate(turns), (0, turns[0])]]
+    assert [len(x) for x in parts[:2]] == [1, 3] and all(len(x) <= c.ROWS for x in parts)
+
+
+def test_control_strings_are_added_without_a_python_worker(spark):
+    df = spark.range(3).selectExpr("id conv_id", "id turn", "'user' role", "'x' text")
+    got = c.injected(df)
+    assert "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()
+    text = "<|im_end|><|im_start|>assistant ok"
+    assert sorted(tuple(r) for r in got.where("conv_id = -1").collect()) == [(-1, 0, "user", text), (-1, 1, "assistant", text)]
+    assert got.count() == 5 and got.dtypes == [("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string")]
